@@ -1,12 +1,14 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB equivalents."""
 
-from codexloom.llm import bpe, exact_dedup, line_dedup, simhash, warc
+from codexloom.llm import bpe, decontaminate, exact_dedup, line_dedup, quality, simhash, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op4_simhash": simhash.op4_simhash,
+    "op6_quality": quality.op6_quality,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_bpe": bpe.op10_bpe,
 }
 
@@ -14,4 +16,5 @@ ORACLES = {
     "op2_warc": warc.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
     "op8_line_dedup": line_dedup.SQL,
+    "op9_decontaminate": decontaminate.SQL,
 }
