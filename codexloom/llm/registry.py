@@ -1,8 +1,9 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB equivalents."""
 
-from codexloom.llm import bpe, decontaminate, exact_dedup, line_dedup, quality, simhash, warc
+from codexloom.llm import bpe, decontaminate, exact_dedup, line_dedup, pii, quality, simhash, warc
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_warc": warc.op2_warc,
     "op4_simhash": simhash.op4_simhash,
     "op6_quality": quality.op6_quality,
