@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a DataFrame to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
