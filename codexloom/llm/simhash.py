@@ -22,8 +22,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from codexloom.llm.common import ASCII_LOWER, attach_by_key, components, stage
+from codexloom.llm.common import ASCII_LOWER, attach_by_key, components, partitions, stage
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 
@@ -58,12 +59,12 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def ball_links(fps: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints at distance 2 or less; every such pair is at least connected."""
     flips = [F.lit(0).cast("long"), *(F.lit(1).cast("long") * F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64))]
+    # the table of fingerprints is small, but each row becomes 65: more tasks than its files would make
+    fps = fps.repartition(partitions(fps.sparkSession), "fp")
     variants = fps.select("fp", F.explode(F.array(*flips)).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"), "fp")
-    # most variants belong to one fingerprint; the others hold at most 65
-    buckets = variants.groupBy("variant").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count(F.lit(1)).alias("n"))
-    pairs = buckets.where("n = 2").select("a", "b")
-    more = variants.join(buckets.where("n > 2").select("variant", "a"), "variant").select("a", F.col("fp").alias("b")).where("a <> b")
-    links = pairs.unionByName(more)
+    # at most 65 fingerprints share a variant, so each window is small and every row crosses once
+    least = F.min("fp").over(Window.partitionBy("variant"))
+    links = variants.select(least.alias("a"), F.col("fp").alias("b")).where("a <> b")
     return links.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
