@@ -63,6 +63,15 @@ def zh_value(text: Column) -> Column:
     return F.when(t.rlike(shape) & (value > 0), value)
 
 
+def word_value(text: Column) -> Column:
+    """The value of an English number word up to ninety-nine at the text's start, else null."""
+    parts = F.split(F.lower(text), "[- ]")
+    at = lambda names, i: F.array_position(F.array(*map(F.lit, names)), F.coalesce(F.get(parts, F.lit(i)), F.lit("")))
+    ten, unit = at(TENS, 0), at(UNITS, 1)
+    return (F.when((ten > 0) & (unit > 0), ten * 10 + 10 + unit).when(ten > 0, ten * 10 + 10)
+            .when(at(UNITS, 0) > 0, at(UNITS, 0)).when(at(TEENS, 0) > 0, at(TEENS, 0) + 9)).cast("int")
+
+
 def printed_number(label: Column) -> Column:
     """The chapter number that a label prints, null for none.
 
@@ -73,11 +82,9 @@ def printed_number(label: Column) -> Column:
     arabic = _group(label, PREFIX + r"([0-9]+)\b")
     bare = _group(label, r"^\s*([0-9]+)\s*(?:$|[.:：、—–-])")
     roman = F.coalesce(_group(label, PREFIX + r"([IVXLCDM]+)\b"), _group(label, r"^\s*([IVXLCDM]+)\s*(?:$|\.)"))
-    words = F.create_map(*[x for w, v in number_words().items() for x in (F.lit(w), F.lit(v))])
-    word = words[F.lower(_group(label, PREFIX + r"([A-Za-z]+(?:[- ][A-Za-z]+)?)"))]
-    word1 = words[F.lower(_group(label, PREFIX + r"([A-Za-z]+)"))]
+    word = word_value(_group(label, PREFIX + r"([A-Za-z]+(?:[- ][A-Za-z]+)?)"))
     as_int = lambda c: c.try_cast("int")
-    other = F.coalesce(as_int(arabic), as_int(bare), roman_value(roman), word, word1)
+    other = F.coalesce(as_int(arabic), as_int(bare), roman_value(roman), word)
     number = F.when(zh.isNotNull(), F.coalesce(F.when(zh.rlike("^[0-9]+$"), zh.try_cast("int")), zh_value(zh))).otherwise(other)
     return F.when(number > 0, number).cast("int")
 

@@ -20,6 +20,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """Write to shared storage and read back."""
+    path = f"{scratch(df.sparkSession)}/stage"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def replace_books(df: DataFrame, path: str, book_ids: list | None = None) -> None:
     """Replace the partitions of the books in ``df``; books named in ``book_ids`` without rows are emptied.
 
