@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from codexloom.sources import store
@@ -61,14 +62,14 @@ def _latest(stream: DataFrame, keys: list[str], place: str | None, mode: str = "
     """Run a keyed aggregation and return the last row that it gave for every key."""
     spark = stream.sparkSession
     place = place or store.scratch(spark)
-    schema = stream.schema.add("batch", "long")
+    columns, schema = stream.columns, T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
 
     def each(df: DataFrame, batch: int) -> None:
         df.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{place}/out/part={batch}")
 
     _run(stream, place, mode, each)
     got = _read(spark, f"{place}/out", schema)
-    rest = [c for c in stream.columns if c not in keys]
+    rest = [c for c in columns if c not in keys]
     return got.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_l")).select(*keys, *[f"_l.{c}" for c in rest])
 
 
