@@ -1,12 +1,13 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB equivalents."""
 
-from codexloom.llm import bpe, decontaminate, exact_dedup, line_dedup, paragraphs, pii, quality, simhash, warc
+from codexloom.llm import bpe, decontaminate, exact_dedup, line_dedup, paragraphs, pii, quality, simhash, suffix_dedup, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_warc": warc.op2_warc,
     "op3_paragraphs": paragraphs.op3_paragraphs,
     "op4_simhash": simhash.op4_simhash,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_quality": quality.op6_quality,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_line_dedup": line_dedup.op8_line_dedup,
