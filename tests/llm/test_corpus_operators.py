@@ -103,7 +103,7 @@ def test_pseudonyms_are_permutations(spark):
     assert n.distinct().count() == 10_000 and n.where("not v rlike '^[0-9]{4}$'").count() == 0
     ssn = spark.range(300).select(F.format_string("%03d-%02d-%04d", F.col("id") % 899 + 1, F.col("id") % 99 + 1, F.col("id") + 1).alias("s"))
     got = ssn.select("s", pii.pseudonym(F.col("s")).alias("v")).where("s not like '666%'")
-    assert got.select("v").distinct().count() == got.count() and got.where(r"not v rlike '^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$'").count() == 0
+    assert got.select("v").distinct().count() == got.count() and got.where(~F.col("v").rlike(r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$")).count() == 0
 
 
 def test_dates_and_ibans_stay_valid_and_linked(spark):
@@ -378,9 +378,9 @@ def test_fm_index_finds_all_occurrences():
 
 
 def test_leaks_of_awkward_tables(spark, awkward):
-    bench = spark.createDataFrame([(1, "SAME text"), (2, None), (3, "..."), (4, "same-text"), (None, "words long words long words long words long words long words")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, "SAME text"), (2, None), (3, "..."), (4, "same-text"), (None, "words long words long words long words long words long")], "item_id long, text string")
     got = sorted((r["doc_id"] or -1, r["n_words"], sum(s["stop"] - s["start"] for s in r["spans"]), sorted(r["items"])) for r in decontaminate.leaks(awkward, bench).collect())
-    assert (4, 4, 2, ["1", "4"]) in got and (1, 0, 0, []) in got and (7, 60_000, 59_999, [""]) in got and len(got) == 10
+    assert (4, 4, 2, ["1", "4"]) in got and (1, 0, 0, []) in got and (7, 60_000, 59_998, [""]) in got and len(got) == 10
     many = sorted((r["doc_id"] or -1, r["n_words"], sum(s["stop"] - s["start"] for s in r["spans"]), sorted(r["items"])) for r in decontaminate.leaks(awkward, bench, block=1, shard=10).collect())
     assert many == got
     assert decontaminate.leaks(awkward, bench.limit(0)).where(F.size("spans") > 0).count() == 0
