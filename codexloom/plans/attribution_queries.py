@@ -148,13 +148,14 @@ def cited_ids(spark, sf):
     return A.cited_ids(e.select("session_id", facts.alias("facts")))
 
 
-_REPEATED = F.when(col("session_id") % 3 == 0, F.concat_ws(" \n", "content", "content")).otherwise(col("content"))
+def _repeated():
+    return F.when(col("session_id") % 3 == 0, F.concat_ws(" \n", "content", "content")).otherwise(col("content"))
 
 
 @query()
 def clean_answers(spark, sf):
     t = S.turns(spark, sf).where("role = 'assistant'")
-    text = F.concat(lit("</fact><fact>"), _REPEATED, F.when(col("turn") % 4 == 1, lit("</fact>")).otherwise(lit("")))
+    text = F.concat(lit("</fact><fact>"), _repeated(), F.when(col("turn") % 4 == 1, lit("</fact>")).otherwise(lit("")))
     return A.clean_answers(t.select(F.concat_ws("-", "session_id", "turn").alias("key"), text.alias("text")))
 
 
@@ -162,7 +163,7 @@ def clean_answers(spark, sf):
 f AS (SELECT *, regexp_replace(x, '\s+', '', 'g') AS y FROM t)
 SELECT session_id, turn, length(x) >= 120 AND length(y) % 2 = 0 AND substr(y, 1, length(y) // 2) = substr(y, length(y) // 2 + 1, length(y) // 2) AS doubled FROM f""")
 def doubled_answers(spark, sf):
-    return S.turns(spark, sf).select("session_id", "turn", A.doubled(_REPEATED).alias("doubled"))
+    return S.turns(spark, sf).select("session_id", "turn", A.doubled(_repeated()).alias("doubled"))
 
 
 _INTENTS = ['{"kind": "search", "query": " who is it ", "ambiguous": true, "question": "Which one?", "options": ["a", "b", "c", "d", "e"]}', '{"kind": "chapter", "chapter": 3}', '{"kind": "chapter", "chapter": "x"}',
