@@ -48,11 +48,16 @@ def lead_sentences(text: Column, limit: int = 200) -> Column:
 
 
 def embed(df: DataFrame, text: str, dims: int = 256) -> DataFrame:
-    """df with ``embedding``: hashed term weights of unit length, from Spark's own feature stages."""
+    """df with ``embedding``: hashed term weights of unit length, from Spark's own feature stages.
+
+    An empty table has no weights to fit; it gets the column and stays empty.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
     from pyspark.ml.functions import vector_to_array
 
+    if df.isEmpty():
+        return df.withColumn("embedding", F.lit(None).cast("array<float>"))
     df = df.withColumn("_text", F.coalesce(text, F.lit("")))
     flow = Pipeline(stages=[Tokenizer(inputCol="_text", outputCol="_words"), HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dims),
                             IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_unit")])

@@ -26,8 +26,8 @@ def test_ledger_across_restarts(spark):
 
 def test_exactly_thirty_minutes_is_in_time(spark):
     asks, answers = store.scratch(spark), store.scratch(spark)
-    day = 86_400
-    _write(spark, asks, [(1, 0, 0), (2, 0, 0), (3, 0, 0), (9, 0, 5 * day)])
-    _write(spark, answers, [(1, 0, 1800), (2, 0, 1801), (9, 0, 5 * day)])
+    day, t = 86_400, 1_700_000_000
+    _write(spark, asks, [(1, 0, t), (2, 0, t), (3, 0, t), (9, 0, t + 5 * day)])
+    _write(spark, answers, [(1, 0, t + 1800), (2, 0, t + 1801), (9, 0, t + 5 * day)])
     got = {r["session_id"]: r["outcome"] for r in H.clarify_outcomes(_stream(spark, asks), _stream(spark, answers)).collect()}
     assert got[1] == "in_time" and got[2] == "late" and got[3] == "never"
