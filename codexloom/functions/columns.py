@@ -48,3 +48,13 @@ def bround_pct(part: Column, total: Column) -> Column:
     """part / total in percent, one decimal, halves to even, computed in decimals."""
     d = lambda x: x.cast("decimal(18,0)")
     return F.bround((d(part) * 100 / F.coalesce(F.nullif(d(total), F.lit(0)), F.lit(1))).cast("decimal(20,6)"), 1).cast("double")
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with the value written and computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def only_if(value: Column, test) -> Column:
+    """The value where test(value) holds, else null; computed once."""
+    return F.get(F.filter(F.array(value), test), F.lit(0))

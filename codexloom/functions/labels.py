@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codexloom.functions.columns import let, only_if
+
 # Keywords that decide a label's kind.
 PROLOGUE = ("prologue", "prolog", "序章", "楔子", "引子")
 EPILOGUE = ("epilogue", "epilog", "尾声", "终章")
@@ -39,37 +41,43 @@ def number_words() -> dict[str, int]:
 
 def _group(text: Column, pattern: str, i: int = 1) -> Column:
     """A group of the first match, null where it is absent or empty."""
-    return F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
+    return only_if(F.regexp_extract(text, pattern, i), lambda v: v != "")
 
 
 def roman_value(text: Column) -> Column:
     """The value of a canonical upper-case Roman numeral, else null."""
     letter = F.create_map(*[x for c, v in ROMAN_ORDER if len(c) == 1 for x in (F.lit(c), F.lit(v))])
-    values = F.transform(F.split(text, ""), lambda c: F.coalesce(letter[c], F.lit(0)))
-    total = F.aggregate(F.reverse(values), F.struct(F.lit(0).alias("sum"), F.lit(0).alias("last")), lambda s, v: F.struct(
-        F.when(v < s["last"], s["sum"] - v).otherwise(s["sum"] + v).alias("sum"), v.alias("last")), lambda s: s["sum"])
-    return F.when((F.length(text) > 0) & text.rlike(f"^{ROMAN}$"), total)
+
+    def total(t: Column) -> Column:
+        values = F.transform(F.split(t, ""), lambda c: F.coalesce(letter[c], F.lit(0)))
+        return F.aggregate(F.reverse(values), F.struct(F.lit(0).alias("sum"), F.lit(0).alias("last")), lambda s, v: F.struct(
+            F.when(v < s["last"], s["sum"] - v).otherwise(s["sum"] + v).alias("sum"), v.alias("last")), lambda s: s["sum"])
+
+    return let(text, lambda t: F.when((F.length(t) > 0) & t.rlike(f"^{ROMAN}$"), total(t)))
 
 
 def zh_value(text: Column) -> Column:
     """The value of a Chinese numeral up to the hundreds, else null."""
-    unit = lambda c: F.when(F.length(c) == 1, F.instr(F.lit(ZH), c))
-    t = F.translate(text, "两〇", "二零")
-    part = lambda p, i: F.regexp_extract(t, p, i)
     shape = r"^(?:([一二三四五六七八九])百)?零?(?:([一二三四五六七八九]?)(十))?([一二三四五六七八九]?)$"
-    hundred, ten, has_ten, one = (part(shape, i) for i in (1, 2, 3, 4))
-    value = (F.coalesce(unit(hundred), F.lit(0)) * 100 + F.when(has_ten != "", F.coalesce(unit(F.nullif(ten, F.lit(""))), F.lit(1)) * 10).otherwise(0)
-             + F.coalesce(unit(one), F.lit(0)))
-    return F.when(t.rlike(shape) & (value > 0), value)
+
+    def value(t: Column) -> Column:
+        # a group that is absent is empty, which instr would find at 1
+        unit = lambda i: let(F.regexp_extract(t, shape, i), lambda c: F.when(c == "", 0).otherwise(F.instr(F.lit(ZH), c)))
+        tens = F.when(F.regexp_extract(t, shape, 3) == "", 0).otherwise(F.greatest(unit(2), F.lit(1)) * 10)
+        return F.when(t.rlike(shape), unit(1) * 100 + tens + unit(4))
+
+    return only_if(let(F.translate(text, "两〇", "二零"), value), lambda v: v > 0)
 
 
 def word_value(text: Column) -> Column:
     """The value of an English number word up to ninety-nine at the text's start, else null."""
-    parts = F.split(F.lower(text), "[- ]")
-    at = lambda names, i: F.array_position(F.array(*map(F.lit, names)), F.coalesce(F.get(parts, F.lit(i)), F.lit("")))
-    ten, unit = at(TENS, 0), at(UNITS, 1)
-    return (F.when((ten > 0) & (unit > 0), ten * 10 + 10 + unit).when(ten > 0, ten * 10 + 10)
-            .when(at(UNITS, 0) > 0, at(UNITS, 0)).when(at(TEENS, 0) > 0, at(TEENS, 0) + 9)).cast("int")
+    def value(parts: Column) -> Column:
+        at = lambda names, i: F.array_position(F.array(*map(F.lit, names)), F.coalesce(F.get(parts, F.lit(i)), F.lit("")))
+        return let(F.struct(at(TENS, 0).alias("ten"), at(UNITS, 1).alias("unit"), at(UNITS, 0).alias("one"), at(TEENS, 0).alias("teen")), lambda x: (
+            F.when((x["ten"] > 0) & (x["unit"] > 0), x["ten"] * 10 + 10 + x["unit"]).when(x["ten"] > 0, x["ten"] * 10 + 10)
+            .when(x["one"] > 0, x["one"]).when(x["teen"] > 0, x["teen"] + 9)).cast("int"))
+
+    return let(F.split(F.lower(text), "[- ]"), value)
 
 
 def printed_number(label: Column) -> Column:
@@ -85,8 +93,8 @@ def printed_number(label: Column) -> Column:
     word = word_value(_group(label, PREFIX + r"([A-Za-z]+(?:[- ][A-Za-z]+)?)"))
     as_int = lambda c: c.try_cast("int")
     other = F.coalesce(as_int(arabic), as_int(bare), roman_value(roman), word)
-    number = F.when(zh.isNotNull(), F.coalesce(F.when(zh.rlike("^[0-9]+$"), zh.try_cast("int")), zh_value(zh))).otherwise(other)
-    return F.when(number > 0, number).cast("int")
+    number = let(zh, lambda z: F.when(z.isNotNull(), F.coalesce(F.when(z.rlike("^[0-9]+$"), z.try_cast("int")), zh_value(z))).otherwise(other))
+    return only_if(number, lambda v: v > 0).cast("int")
 
 
 def _any(label: Column, words: tuple[str, ...]) -> Column:
