@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from codexloom.operators import ledgers as G
-from codexloom.plans import corpus_queries as Q
 from codexloom.plans import sqlviews as V
 from codexloom.plans.base import query
 from codexloom.sources import corpus as S

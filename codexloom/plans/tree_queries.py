@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from codexloom.functions import hooks
 from codexloom.functions import labels as L
-from codexloom.operators import chunks as K
 from codexloom.operators import tree as T
 from codexloom.plans import corpus_queries as Q
 from codexloom.plans import sqlviews as V
