@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Pre-tokens kept per task.
 CACHE = 200_000

@@ -17,7 +17,6 @@ hits nothing; other columns pass through ``remove_leaks`` and are ignored by the
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -25,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from codexloom.llm.common import stage
 

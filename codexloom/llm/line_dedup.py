@@ -19,7 +19,6 @@ as the least; an empty table gives an empty result; other columns pass through
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
