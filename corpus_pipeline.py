@@ -35,11 +35,12 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates the document with the least id stays; exact repeats of its row collapse."""
+    key = F.coalesce("doc_id", F.lit(line_dedup.NO_ID))
     found = simhash.near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = stage(kept, "kept")
-    one = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    return (docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    kept = stage(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_key")).distinct(), "kept")
+    # the kept ids grow with the documents, so they are never broadcast; the texts are moved once
+    one = Window.partitionBy("_key", F.xxhash64("text")).orderBy(F.lit(0))
+    return (docs.withColumn("_key", key).join(kept.hint("merge"), "_key", "left_semi")
             .withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*COLUMNS))
 
 
