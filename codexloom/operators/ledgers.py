@@ -45,7 +45,7 @@ def chunk_map(chunks: DataFrame, sections: DataFrame, events: DataFrame) -> Data
     first = cited.groupBy("book_id", "chunk_id").agg(F.min(F.struct("created", "event_id")).alias("_e"))
     j = chunks.where("raptor_level = 0").join(sections.select("book_id", "section_id", F.col("order_idx").alias("_o"), "label"), ["book_id", "section_id"], "left").join(first, ["book_id", "chunk_id"], "left")
     return j.select("book_id", "chunk_id", F.coalesce("label", F.lit("Unsorted")).alias("section_label"), F.coalesce("_o", F.lit((1 << 31) - 1)).cast("long").alias("section_order"), "chunk_ord",
-                    F.length("text").alias("n_chars"), F.substring("text", 1, 200).alias("preview"), F.col("_e.event_id").alias("lit_by"), F.col("_e").isNotNull().alias("lit"))
+                    F.length("text").cast("long").alias("n_chars"), F.substring("text", 1, 200).alias("preview"), F.col("_e.event_id").alias("lit_by"), F.col("_e").isNotNull().alias("lit"))
 
 
 def last_event(events: DataFrame) -> DataFrame:

@@ -130,7 +130,7 @@ def resolve_citations(spark, sf):
         tops.select("book_id", "node_id", lit(1).alias("raptor_level"), lit("summary").alias("text"), lit(None).cast("array<string>").alias("block_ids"), lit(None).cast("string").alias("primary_block_id")))
     ids = spans.where("chunk_ord % 10 = 0").select("book_id", col("chunk_id").alias("node_id")).unionByName(tops.where("doc_id % 20 = 0").select("book_id", "node_id")).unionByName(
         b.select("book_id", lit("missing").alias("node_id")).distinct())
-    return A.resolve_citations(ids, nodes, cov, b)
+    return A.resolve_citations(ids, nodes, cov, b).withColumn("n_blocks", col("n_blocks").cast("long"))
 
 
 @query()
@@ -190,7 +190,8 @@ v AS (SELECT key, message, CASE WHEN json_valid(resp) THEN (list_filter(list_tra
 w AS (SELECT key, coalesce(len(s) >= 2, false) AS compound, CASE WHEN len(s) >= 2 THEN s ELSE [message] END AS s FROM v)
 SELECT key, compound, len(s) * 3 AS est_calls, 8 + 3 * (len(s) - 1) AS est_seconds, unnest(range(len(s))) AS sub_no, unnest(s) AS sub_question FROM w""")
 def coerce_plans(spark, sf):
-    return A.coerce_plans(S.passages(spark, sf).select(col("query_id").alias("key"), col("text").alias("message"), _pick(_PLANS, col("query_id")).alias("response")))
+    got = A.coerce_plans(S.passages(spark, sf).select(col("query_id").alias("key"), col("text").alias("message"), _pick(_PLANS, col("query_id")).alias("response")))
+    return got.withColumns({c: col(c).cast("long") for c in ("est_calls", "est_seconds", "sub_no")})
 
 
 @query("""SELECT conv_id * 1000 + turn AS key, CASE WHEN turn % 3 = 0 THEN text || chr(10) || chr(10) || 'Clarification: Which?' || chr(10) || 'Answer: That one' ELSE text END AS resolved FROM conversations WHERE role = 'user'""")

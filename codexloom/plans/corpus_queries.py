@@ -135,7 +135,7 @@ def _geometry(lines):
                         n.cast("double").alias("x1"), (y + 10).alias("y1"), (n % 7 + 10).cast("double").alias("font_size"))
 
 
-_GEO = f"""{V.LINES}, geo AS (SELECT doc_id AS book_id, pos // 4 AS page, pos, text, (pos * 12 + length(text) % 3 * 6)::DOUBLE AS y0, length(text)::DOUBLE AS x1, (length(text) % 7 + 10)::DOUBLE AS font FROM lines_f)"""
+_GEO = f"""{V.LINES}, geo AS (SELECT doc_id AS book_id, (pos // 4)::BIGINT AS page, pos, text, (pos * 12 + length(text) % 3 * 6)::DOUBLE AS y0, length(text)::DOUBLE AS x1, (length(text) % 7 + 10)::DOUBLE AS font FROM lines_f)"""
 
 
 @query(f"""WITH {_GEO}, n AS (SELECT *, CASE WHEN y0 - (lag(y0) OVER w + 10) > 8 OR lag(y0) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM geo WINDOW w AS (PARTITION BY book_id, page ORDER BY pos)),
