@@ -22,7 +22,7 @@ def keyword_index(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     t = blocks.select("book_id", "block_id", "order_idx", tokens(F.col("text")).alias("_t"))
     totals = t.agg(F.count(F.lit(1)).alias("n"), (F.sum(F.size("_t")) / F.count(F.lit(1))).alias("avgdl"))
-    # a block's tokens are counted in the block's own row, so only distinct tokens are shuffled
+    # counts are partial before the shuffle, so a token crosses once per block
     p = t.select("book_id", "block_id", "order_idx", F.size("_t").alias("dl"), F.explode("_t").alias("token"))
     p = p.groupBy("token", "book_id", "block_id").agg(F.first("order_idx").alias("order_idx"), F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     return p, totals
