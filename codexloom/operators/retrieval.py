@@ -35,16 +35,20 @@ def document_frequencies(postings: DataFrame) -> DataFrame:
 def keyword_search(queries: DataFrame, postings: DataFrame, totals: DataFrame, k: int = 8, per_book: bool = False) -> DataFrame:
     """Best blocks (query_id, book_id, block_id, order_idx, score, rank) that hold all tokens of a query (query_id, tokens).
 
-    BM25 with the inverse document frequency floored at 1e-6; ties by book and order. Only postings
-    of tokens that some query asks for are counted and joined.
+    BM25 with the inverse document frequency floored at 1e-6; ties by book and order. Candidates
+    come from each query's rarest token; its other tokens are looked up by (token, block), so the
+    long posting lists of common words are never joined to a query as a whole.
     """
     q = queries.select("query_id", F.array_distinct("tokens").alias("_q")).where(F.size("_q") > 0)
     q = q.select("query_id", F.size("_q").alias("_need"), F.explode("_q").alias("token"))
     asked = postings.join(q.select("token").distinct(), "token", "left_semi")
-    asked = asked.join(document_frequencies(asked), "token").crossJoin(F.broadcast(totals))
+    q = q.join(document_frequencies(asked), "token")
+    rare = q.groupBy("query_id").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
+    found = asked.join(rare, "token").select("query_id", "book_id", "block_id")
+    terms = found.join(q, "query_id").join(asked, ["token", "book_id", "block_id"]).crossJoin(F.broadcast(totals))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = asked.withColumn("_s", part).join(q, "token").groupBy("query_id", "book_id", "block_id").agg(
+    hits = terms.withColumn("_s", part).groupBy("query_id", "book_id", "block_id").agg(
         F.first("order_idx").alias("order_idx"), F.count(F.lit(1)).alias("_n"), F.first("_need").alias("_need"), F.sum("_s").alias("score"))
     keys = ["query_id", "book_id"] if per_book else ["query_id"]
     w = Window.partitionBy(*keys).orderBy(F.round("score", 6).desc(), "book_id", "order_idx")
