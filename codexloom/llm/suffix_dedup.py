@@ -18,6 +18,7 @@ Limits: all differing segments of one anchor are merged in one task (equal ones
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,7 +56,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def segments(data: np.ndarray, doc: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple:
-    """(doc, first, n, gram, hash) of the segments of joined texts: runs of starts with one anchor.
+    """(doc, first, n, anchor, gram, hash) of the segments of joined texts: runs of starts with one anchor.
 
     ``first`` counts in the joined text; ``hash`` covers the n + length - 1 bytes of the segment.
     """
@@ -79,7 +80,7 @@ def segments(data: np.ndarray, doc: np.ndarray, begins: np.ndarray, ends: np.nda
     at = np.flatnonzero(new)
     first, n = starts[at], np.diff(np.append(at, len(starts)))
     stop = first + n + length - 1
-    return owner[at], first, n, grams[anchor[at]], _mix((sums[stop] - sums[first]) * down[first] + n.astype(np.uint64))
+    return owner[at], first, n, anchor[at], grams[anchor[at]], _mix((sums[stop] - sums[first]) * down[first] + n.astype(np.uint64))
 
 
 def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[bytes], list[tuple[int, int]]]]:
@@ -99,7 +100,7 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[bytes], list
 
 
 def anchored(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(key, dup, hash, doc, _row, first, n): the segments of all documents.
+    """(key, dup, hash, doc, _row, first, n): the segments of all documents, n with the anchor's offset above its low byte.
 
     Of equal segments in one piece of joined text only the first keeps its anchor as key; the others
     are known to be repeats (dup) and are keyed by their document.
@@ -113,9 +114,11 @@ def anchored(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 data = np.frombuffer(b"".join(own), np.uint8)
                 ends = np.cumsum([len(t) for t in own])
                 begins = ends - np.array([len(t) for t in own])
-                part, first, n, gram, digest = segments(data, np.arange(len(own)), begins, ends, length)
+                part, first, n, anchor, gram, digest = segments(data, np.arange(len(own)), begins, ends, length)
                 which, shift = np.array(at).T
                 doc, row, pos = ids[which][part], rows[which][part], first - begins[part] + shift[part]
+                # a segment's starts and its anchor's offset are both below 256
+                n = n | (anchor - first) << 8
                 order = np.lexsort((pos, row, doc, digest, gram))
                 gram, digest, doc, row, pos, n = (x[order] for x in (gram, digest, doc, row, pos, n))
                 dup = np.concatenate(([False], (gram[1:] == gram[:-1]) & (digest[1:] == digest[:-1])))
@@ -197,14 +200,31 @@ def merge_shards(shards: list[ShardBWT], length: int = LENGTH) -> tuple[np.ndarr
     return shard, order[rows], block
 
 
+def _partnered(own: list[tuple], length: int) -> list[tuple]:
+    """The segments (key, doc, row, first, offset, text) that can share a string with another one.
+
+    A string around an anchor has half of its other bytes on one side of it at least, so two
+    segments that share one agree in that half next to the anchor.
+    """
+    half = (length - GRAM + 1) // 2
+    sides = []
+    for key, _, _, _, a, text in own:
+        sides.append(((key, 0, text[a - half:a]) if a >= half else None, (key, 1, text[a + GRAM:a + GRAM + half]) if len(text) >= a + GRAM + half else None))
+    counts = Counter(x for pair in sides for x in pair if x)
+    return [x for x, (left, right) in zip(own, sides) if (left and counts[left] > 1) or (right and counts[right] > 1)]
+
+
 def _later_starts(own: list[tuple], length: int) -> list[tuple]:
-    """(row, first, n) runs of starts, in segments (key, doc, row, first, text), whose string starts earlier too."""
+    """(row, first, n) runs of starts, in segments (key, doc, row, first, offset, text), whose string starts earlier too."""
+    own = _partnered(own, length)
+    if not own:
+        return []
     shards, members, part, size = [], [], [], 0
     for k, x in enumerate(own):
         part.append(k)
-        size += len(x[4]) + 1
+        size += len(x[5]) + 1
         if size >= _SHARD or k == len(own) - 1:
-            shards.append(ShardBWT([own[i][4] for i in part]))
+            shards.append(ShardBWT([own[i][5] for i in part]))
             members.append(part)
             part, size = [], 0
     shard, pos, block = merge_shards(shards, length)
@@ -214,7 +234,7 @@ def _later_starts(own: list[tuple], length: int) -> list[tuple]:
     offset = np.empty(len(pos), np.int64)
     for s, part in enumerate(members):
         at = np.flatnonzero(shard == s)
-        begins = np.cumsum([0] + [len(own[i][4]) + 1 for i in part])
+        begins = np.cumsum([0] + [len(own[i][5]) + 1 for i in part])
         local = np.searchsorted(begins, pos[at], "right") - 1
         seg[at], offset[at] = np.array(part)[local], pos[at] - begins[local]
     doc, row, first = (np.array([x[i] for x in own], np.int64) for i in (1, 2, 3))
@@ -231,7 +251,7 @@ def _later_starts(own: list[tuple], length: int) -> list[tuple]:
 
 
 def _merged(parts: DataFrame, length: int) -> DataFrame:
-    """(_row, first, n) of later starts among segments (key, doc, _row, first, part) sorted by key in each partition."""
+    """(_row, first, n) of later starts among segments (key, doc, _row, first, offset, part) sorted by key in each partition."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own, size = None, [], 0
@@ -240,14 +260,14 @@ def _merged(parts: DataFrame, length: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], names=["_row", "first", "n"])
 
         for batch in batches:
-            for x in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "_row", "first", "part"))):
+            for x in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "_row", "first", "offset", "part"))):
                 # only whole anchors are merged together
                 if x[0] != key and size >= _BATCH:
                     yield out(_later_starts(own, length))
                     own, size = [], 0
                 key = x[0]
                 own.append(x)
-                size += len(x[4]) + 1
+                size += len(x[5]) + 1
         if own:
             yield out(_later_starts(own, length))
 
@@ -264,18 +284,19 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = rows.withColumn("_mixed", F.min("hash").over(group) < F.max("hash").over(group))
     again = F.col("dup") | (F.col("_n") > 1)
     known = stage(rows.where(again | F.col("_mixed")).select("key", again.alias("again"), "doc", "_row", "first", "n"), "known")
-    open_ = known.where("not again").groupBy("_row").agg(F.collect_list(F.struct("key", "first", "n")).alias("_s"))
+    known = known.withColumn("offset", F.shiftright("n", 8)).withColumn("n", F.col("n").bitwiseAND(255))
+    open_ = known.where("not again").groupBy("_row").agg(F.collect_list(F.struct("key", "first", "offset", "n")).alias("_s"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc, row, text, own in zip(batch.column("doc").to_pylist(), batch.column("_row").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("_s").to_pylist()):
                 text = text.as_py()
-                out += [(s["key"], doc, row, s["first"], text[s["first"]:s["first"] + s["n"] + length - 1]) for s in own]
-            kinds = [pa.int64()] * 4 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kinds[i]) for i in range(5)], names=["key", "doc", "_row", "first", "part"])
+                out += [(s["key"], doc, row, s["first"], s["offset"], text[s["first"]:s["first"] + s["n"] + length - 1]) for s in own]
+            kinds = [pa.int64()] * 5 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kinds[i]) for i in range(6)], names=["key", "doc", "_row", "first", "offset", "part"])
 
-    texts = docs.join(open_, "_row").select("doc", "_row", "text", "_s").mapInArrow(cut, "key long, doc long, _row long, first long, part binary")
+    texts = docs.join(open_, "_row").select("doc", "_row", "text", "_s").mapInArrow(cut, "key long, doc long, _row long, first long, offset long, part binary")
     found = _merged(texts.repartition(parts, "key").sortWithinPartitions("key"), length)
     return known.where("again").select("_row", "first", F.col("n").cast("long").alias("n")).unionByName(found)
 
