@@ -134,7 +134,7 @@ def kmeans(vectors: np.ndarray, k: int, seed: int = 42, restarts: int = 10, step
     return best[1], best[2]
 
 
-def vector_topk_ivf(queries: DataFrame, nodes: DataFrame, k: int = 3, cells: int = 16, probes: int = 6, sample: int = 5000) -> DataFrame:
+def vector_topk_ivf(queries: DataFrame, nodes: DataFrame, k: int = 3, cells: int = 16, probes: int = 12, sample: int = 5000) -> DataFrame:
     """Approximate top-k: nodes are dealt into cells around centres fitted on at most ``sample`` nodes; a query meets only its nearest cells."""
     spark = nodes.sparkSession
     some = nodes.orderBy(F.xxhash64("node_id")).limit(sample).select("vector").collect()

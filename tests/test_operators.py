@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +17,9 @@ from codexloom.operators import ledgers as G
 from codexloom.operators import retrieval as R
 from codexloom.operators import tree as T
 from codexloom.operators.dom import parse_blocks
+from codexloom.plans import registry
 from codexloom.sources import store
+from tests.compare import SF
 
 
 def table(spark, rows, schema):
@@ -162,6 +166,12 @@ def test_ivf_recall(spark):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_registered_ivf_recall(spark, size):
+    exact, near = (set(got(registry.QUERIES[n](spark, f"{os.path.dirname(SF)}/{size}"), "query_id", "node_id")) for n in ("vector_topk", "vector_topk_ivf"))
+    assert len(exact & near) >= 0.9 * len(exact)
+
+
 def test_multi_query_origins(spark):
     legs = [(1, "v", 0, 1, "1"), (1, "v", 0, 2, "2"), (1, "hyde", 0, 1, "2"), (1, "hyde", 0, 2, "3")]
     m = R.multi_query_merge(table(spark, legs, "query_id int, leg string, leg_no int, rank int, chunk_id string"))
