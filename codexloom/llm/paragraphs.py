@@ -5,10 +5,11 @@ lower-cased) become one class first. Every class gets a MinHash signature over i
 shingles, cut into bands tuned for high recall: at a similarity of 0.8, ``BANDS`` bands of ``ROWS``
 values collide with a probability of 0.998. Buckets of up to ``BUCKET`` classes are settled in one
 task each, by exact Jaccard similarity of all members that are not connected yet. In a larger
-bucket every class is held against one leader, and those that are not similar to it are dealt into
-finer buckets, again and again until none is large; no large bucket is expanded into pairs. Links
-are joined to components, and of each component only the first occurrence (smallest doc_id, then
-position) stays.
+bucket every class is held against one leader, and all of its classes, linked or not, are dealt into
+finer buckets. Buckets whose classes are connected already are done. A finer bucket that is still
+large after its own leader is split into blocks, and every two blocks that are not connected already
+meet in one task. Links are joined to components, and of each component only the first occurrence
+(smallest doc_id, then position) stays.
 
 Defined cases: a null text stays null, with no paragraphs; shorter lines are never touched; a
 paragraph repeated within a document stays once; repeated rows of a doc_id are told apart by
@@ -159,14 +160,15 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _bucket_links(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(leader, pid) links that connect all similar members of each bucket (key, pid) of bounded size.
+    """(leader, pid) links that connect all similar members of each bucket (key, pid, root) of bounded size.
 
-    Buckets arrive sorted, one after the other. Members are compared unless links of the same bucket
-    connect them already.
+    Buckets arrive sorted, one after the other. Members are compared unless their root or links of
+    the same bucket connect them already.
     """
 
-    def links(own: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
-        sets, root, out = [shingles(p) for _, p in own], list(range(len(own))), []
+    def links(own: list[tuple[int, bytes, int]]) -> list[tuple[int, int]]:
+        sets, first, out = [shingles(p) for _, p, _ in own], {}, []
+        root = [first.setdefault(r, i) for i, (_, _, r) in enumerate(own)]
 
         def find(i: int) -> int:
             while root[i] != i:
@@ -185,11 +187,11 @@ def _bucket_links(members: DataFrame, texts: DataFrame) -> DataFrame:
         key, own = None, []
         for batch in batches:
             out = []
-            for k, pid, p in zip(batch.column("key").to_pylist(), batch.column("pid").to_pylist(), batch.column("p").to_pylist()):
+            for k, *member in zip(*[batch.column(c).to_pylist() for c in ("key", "pid", "p", "root")]):
                 if k != key:
                     out += links(own)
                     key, own = k, []
-                own.append((pid, p))
+                own.append(tuple(member))
             yield _pairs(out)
         yield _pairs(links(own))
 
@@ -198,14 +200,14 @@ def _bucket_links(members: DataFrame, texts: DataFrame) -> DataFrame:
 
     n = partitions(members.sparkSession)
     # a text meets its class once and is then copied to the class's buckets
-    own = members.groupBy("pid").agg(F.collect_list("key").alias("keys")).join(texts, "pid")
-    dealt = own.select(F.explode("keys").alias("key"), "pid", "p").repartition(n, "key").sortWithinPartitions("key", "pid")
+    own = members.groupBy("pid").agg(F.first("root").alias("root"), F.collect_list("key").alias("keys")).join(texts, "pid")
+    dealt = own.select(F.explode("keys").alias("key"), "pid", "p", "root").repartition(n, "key").sortWithinPartitions("key", "pid")
     return dealt.mapInArrow(walk, "leader long, pid long")
 
 
-def _finer(rest: DataFrame, texts: DataFrame, level: int) -> DataFrame:
-    """(key, pid) over new buckets of the classes (pid), by bands of fresh and longer signatures."""
-    rng = np.random.default_rng(1000 + level)
+def _finer(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, pid, root) over new buckets of the classes (pid, root), by bands of fresh and longer signatures."""
+    rng = np.random.default_rng(1000)
     a = rng.integers(1, 1 << 63, FINE_BANDS * FINE_ROWS, dtype=np.uint64) | np.uint64(1)
     b = rng.integers(0, 1 << 63, FINE_BANDS * FINE_ROWS, dtype=np.uint64)
 
@@ -214,25 +216,56 @@ def _finer(rest: DataFrame, texts: DataFrame, level: int) -> DataFrame:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
                 keys = band_keys(part.column("p").to_pylist(), a, b, FINE_ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column("pid").to_numpy(), FINE_BANDS))], names=["key", "pid"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *[pa.array(np.repeat(part.column(c).to_numpy(), FINE_BANDS)) for c in ("pid", "root")]], names=["key", "pid", "root"])
 
-    return rest.join(texts, "pid").select("pid", "p").mapInArrow(emit, "key long, pid long")
+    return rest.join(texts, "pid").select("pid", "root", "p").mapInArrow(emit, "key long, pid long, root long")
+
+
+def _with_roots(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with root: the component of their pid under the links found, or the pid itself."""
+    known = components(found, "leader", "pid").withColumnRenamed("node", "pid")
+    return rows.drop("root").join(known, "pid", "left").withColumn("root", F.coalesce("root", "pid"))
+
+
+def _block_pairs(members: DataFrame, bucket: int) -> DataFrame:
+    """(key, pid, root): buckets in which all members of two blocks meet, for all blocks not connected already.
+
+    A block is part of one component (g: its root) or a pool of small ones (g: -1), about half a
+    bucket each, so a bucket of one large component and a few others gives few copies.
+    """
+    half = max(1, bucket // 2)
+    groups = stage(members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")), "groups")
+    pools = groups.groupBy("key").agg(F.sum(F.when(F.col("c") <= half, F.col("c")).otherwise(0)).alias("pool"), F.countDistinct("root").alias("roots"))
+    groups = groups.join(pools.where("roots > 1"), "key")
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.ceil(F.col(n) / half))
+    small = F.col("c") <= half
+    parts = members.join(groups, ["key", "root"]).select(
+        "key", "pid", "root", F.when(small, -1).otherwise(F.col("root")).alias("g"), F.when(small, deal("root", "pool")).otherwise(deal("pid", "c")).alias("b"))
+    parts = stage(parts, "parts")
+    blocks = stage(parts.groupBy("key", "g", "b").agg(F.count(F.lit(1)).alias("_n")).select("key", "g", "b"), "blocks")
+    x, y = (blocks.select("key", F.struct("g", "b").alias(n)) for n in "xy")
+    pairs = x.join(y, "key").where("x <= y and (x.g < 0 or x.g <> y.g)")
+    each = pairs.select("key", F.xxhash64("key", "x", "y").alias("pair"), F.explode(F.array_distinct(F.array("x", "y"))).alias("z"))
+    return parts.join(each.select("key", "z.g", "z.b", "pair"), ["key", "g", "b"]).select(F.col("pair").alias("key"), "pid", "root")
 
 
 def similar_classes(docs: DataFrame, classes: DataFrame, min_words: int = MIN_WORDS, bucket: int = BUCKET) -> DataFrame:
     """Components (node, root) of classes (pid, _row, pos, bands) under verified similarity.
 
     Buckets of up to ``bucket`` members are settled whole, one of several with the same members.
-    In a larger one all are held against a leader, the member that shares most buckets, and those
-    that are not similar to it are dealt into finer buckets, until none is large.
+    In a larger one all are held against a leader, the member that shares most buckets, and all
+    others are dealt into finer buckets. Finer ones that stay large are compared in blocks.
     """
-    rows, texts, found, level = classes.select("pid", F.explode("bands").alias("key")), None, None, 0
-    while True:
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("pid")).alias("x"), F.min("pid").alias("m"))
-        sizes = stage(sizes.where("n > 1"), "sizes")
+    rows, texts, found = classes.select("pid", F.col("pid").alias("root"), F.explode("bands").alias("key")), None, None
+    for last in (False, True):
+        sizes = rows.groupBy("key").agg(
+            F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("pid")).alias("x"), F.min("pid").alias("m"), F.min("root").alias("r"), F.max("root").alias("s"))
+        # members of one component have no link to find
+        sizes = stage(sizes.where("n > 1 and r < s").drop("r", "s"), "sizes")
         once = stage(sizes.where(F.col("n") <= bucket).groupBy("n", "x", "m").agg(F.min("key").alias("key")).select("key"), "once")
-        large = stage(sizes.where(F.col("n") > bucket).select("key", "n"), "large")
-        small = stage(rows.join(once, "key").select("key", "pid"), "small")
+        large = sizes.where(F.col("n") > bucket).groupBy("n", "x", "m").agg(F.min("key").alias("key"))
+        large = stage(large.select("key", "n"), "large")
+        small = stage(rows.join(once, "key").select("key", "pid", "root"), "small")
         more = not large.isEmpty()
         # both sides are plain shuffles, so a bucket with a large share of the rows is split at run time
         members = stage(rows.join(large, "key").select("key", "n", "pid"), "members") if more else None
@@ -248,11 +281,13 @@ def similar_classes(docs: DataFrame, classes: DataFrame, min_words: int = MIN_WO
         shared = members.groupBy("pid").agg(F.sum("n").alias("w"), F.collect_list("key").alias("keys")).select("pid", "w", F.explode("keys").alias("key"))
         lead = shared.groupBy("key").agg(F.max(F.struct("w", "pid")).alias("l")).select("key", F.col("l.pid").alias("leader"))
         led = stage(members.join(stage(lead, "lead"), "key").where("pid <> leader").select("key", "leader", "pid"), "led")
-        linked = stage(_verified(led.select("leader", "pid").distinct(), texts), "linked")
-        found = found.unionByName(linked)
-        rest = stage(led.join(linked, ["leader", "pid"], "left_anti").select("pid").distinct(), "rest")
-        rows = stage(_finer(rest, texts, level), "finer")
-        level += 1
+        found = found.unionByName(stage(_verified(led.select("leader", "pid").distinct(), texts), "linked"))
+        if last:
+            rest = stage(_with_roots(led.select("key", "pid"), found), "rest")
+            return components(found.unionByName(stage(_bucket_links(_block_pairs(rest, bucket), texts), "split")), "leader", "pid")
+        # those similar to the leader as well: they can be similar to members that are not
+        rest = stage(_with_roots(led.select("pid").distinct(), found), "rest")
+        rows = stage(_finer(rest, texts), "finer")
 
 
 def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -211,6 +211,21 @@ def test_many_near_copies_of_one_paragraph(spark):
     assert lost.count() == 119
 
 
+@pytest.mark.parametrize("bucket", [3, 1])
+def test_chains_through_a_large_bucket(spark, bucket):
+    words, docs = [f"word{i}" for i in range(200)], []
+    for d in range(4):
+        docs.append((d, " ".join(words)))
+        for at in range(10 + 20 * d, 190, 70):
+            words[at] = f"other{d}"
+    sets = [paragraphs.shingles(t.encode()) for _, t in docs]
+    assert [paragraphs.similar(sets[i], sets[j]) for i, j in ((0, 1), (1, 2), (2, 3), (0, 2), (1, 3))] == [True] * 3 + [False] * 2
+    table = spark.createDataFrame(docs, "_row long, text string")
+    # all share one bucket, which the end of the chain leads
+    classes = table.select((3 - F.col("_row")).alias("pid"), "_row", F.lit(0).alias("pos"), F.array(F.lit(1).cast("long")).alias("bands"))
+    assert {(r["node"], r["root"]) for r in paragraphs.similar_classes(table, classes, bucket=bucket).collect()} == {(i, 0) for i in range(4)}
+
+
 # fingerprints
 
 def _fingerprint(text):
