@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 from codexloom.llm.common import ASCII_LOWER, components, partitions, stage
 
-MIN_WORDS, SHINGLE, SIMILARITY = 20, 5, 0.8
+SHINGLE, SIMILARITY = 5, 0.8
+#: From here on a line has a shingle and so a similarity.
+MIN_WORDS = SHINGLE
 BANDS, ROWS = 12, 4
 #: Larger buckets are split by finer bands, which a pair at 0.8 shares with a probability of 0.999.
 BUCKET, FINE_BANDS, FINE_ROWS = 1024, 40, 8

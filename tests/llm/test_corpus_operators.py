@@ -226,6 +226,14 @@ def test_chains_through_a_large_bucket(spark, bucket):
     assert {(r["node"], r["root"]) for r in paragraphs.similar_classes(table, classes, bucket=bucket).collect()} == {(i, 0) for i in range(4)}
 
 
+def test_paragraphs_of_few_words(spark):
+    words = [f"word{i}" for i in range(19)]
+    docs = [(d, "\n".join([" ".join(words[:n]) for n in (5, 8, 12, 18)] + [f"own{d} " * 4])) for d in range(2)]
+    docs.append((2, " ".join(words[:17]) + " other17"))
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in paragraphs.drop_near_paragraphs(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[d][0] for d in range(3)] == [0, 4, 1] and got[0][1] == docs[0][1] and got[1][1] == "own1 " * 4
+
+
 # fingerprints
 
 def _fingerprint(text):
