@@ -140,13 +140,25 @@ def _checked(data: bytes, pos: int) -> tuple[int, dict, bytes, str] | str:
 
 def _member(data: bytes, pos: int) -> tuple[int, bytes, bool]:
     """(end, content, whole) of the gzip member at pos; of a broken one as much as can be inflated."""
-    inflate, out, at = zlib.decompressobj(31), [], pos
-    try:
-        while at < len(data) and not inflate.eof:
-            out.append(inflate.decompress(data[at:at + 65536]))
-            at += 65536
-    except zlib.error:
-        return pos, b"".join(out), False
+    inflate, out, at, step = zlib.decompressobj(31), [], pos, 65536
+    while at < len(data) and not inflate.eof:
+        before = inflate.copy()
+        try:
+            out.append(inflate.decompress(data[at:at + step]))
+            at += step
+        except zlib.error:
+            # a failing call gives nothing, so it is repeated in smaller steps, at last by bytes of output
+            inflate, step = before, step // 256
+            if step:
+                continue
+            rest = data[at:at + 1]
+            try:
+                while got := inflate.decompress(rest, 1):
+                    out.append(got)
+                    rest = inflate.unconsumed_tail
+            except zlib.error:
+                pass
+            return pos, b"".join(out), False
     return min(at, len(data)) - len(inflate.unused_data), b"".join(out), inflate.eof
 
 

@@ -142,6 +142,23 @@ def test_archives_salvage():
     assert list(warc.salvage(b"")) == [] and gaps(b"junk") == 4
 
 
+def test_damaged_member_of_many_records():
+    def rec(i):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + hashlib.sha512(b"%d" % i).hexdigest().encode() * 3
+        return (f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:{i}>\r\nContent-Type: application/http\r\n"
+                f"Content-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+    c = zlib.compressobj(wbits=31)
+    member = c.compress(b"".join(map(rec, range(400)))) + c.flush()
+    found = lambda data: [x[4]["warc-record-id"] for x in warc.salvage(data) if x[0] == "record"]
+    # one byte of the check sum
+    assert found(member[:-6] + bytes([member[-6] ^ 1]) + member[-5:]) == [f"<urn:{i}>" for i in range(400)]
+    # a block of a type that does not exist, after the first half
+    c = zlib.compressobj(wbits=31)
+    half = c.compress(b"".join(map(rec, range(200)))) + c.flush(zlib.Z_FULL_FLUSH)
+    assert found(half + b"\xff" * 50) == [f"<urn:{i}>" for i in range(200)]
+
+
 def test_archives_of_awkward_pages(spark):
     big = "é" * 600
     pages = [(1, "u", big), (2, "u\r\nx", big), (3, None, None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "u", big), (None, "u", big)]
