@@ -115,6 +115,21 @@ def test_dates_and_ibans_stay_valid_and_linked(spark):
     assert int("".join(str(int(c, 36)) for c in flat)) % 97 == 1
 
 
+def test_neighbours_of_valid_numbers(spark):
+    secret = "aB3" * 50
+    t = ["4111111111111111 123", "4111 1111 1111 1111 12/27", "12 4111 1111 1111 1111", "4111 1111 1111 1111 555-123-4567", "2023-01-01 2023-12-31",
+         "ES91 2100 0418 4502 0005 1332 EUR", f"token={secret}", "4111 1111 1111 1111 2nd", "4111 1111 1111 1111 4111 1111 1111 1111"]
+    got = [r["text"] for r in pii.pseudonymise(spark.createDataFrame([(i, x) for i, x in enumerate(t)], "i int, text string")).orderBy("i").collect()]
+    alone = lambda x: pii.pseudonymise(spark.createDataFrame([(1, x)], "i int, text string")).first()["text"]
+    card = alone("4111 1111 1111 1111")
+    assert card != "4111 1111 1111 1111" and got[0] == card.replace(" ", "") + " 123" and got[1] == card + " 12/27" and got[2] == "12 " + card
+    assert got[3] == card + " " + alone("555-123-4567") and got[4] == alone("2023-01-01") + " " + alone("2023-12-31")
+    iban = got[5].removesuffix(" EUR").replace(" ", "")
+    assert iban != t[5][:-4].replace(" ", "") and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert len(got[6]) == len(t[6]) and not any(got[6][6 + i:][:12] == secret[i:][:12] for i in range(0, 139))
+    assert got[7] == card + " 2nd" and got[8] == card + " " + card
+
+
 # archives
 
 def test_archives_salvage():
