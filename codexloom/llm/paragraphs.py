@@ -308,7 +308,7 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
 
 
 def drop_near_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs without their near-duplicate paragraphs, with n_paragraphs (lines) and n_removed."""
+    """docs without their near-duplicate paragraphs, with n_removed, the number of paragraphs removed."""
     names = docs.columns
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("_row", F.monotonically_increasing_id())
     docs = stage(docs, "numbered")
@@ -318,7 +318,6 @@ def drop_near_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFra
     text = F.when(F.col("_lost").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     got = docs.join(lost, "_row", "left")
     return got.select(*[text.alias("text") if n == "text" else F.col(n) for n in names],
-                      F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_paragraphs"),
                       F.when(F.col("_lost").isNull(), 0).otherwise(F.size("_lost")).cast("long").alias("n_removed"))
 
 
