@@ -7,45 +7,39 @@ from pyspark.sql import functions as F
 
 from codexloom.functions.columns import let, only_if
 
-# Keywords that decide a label's kind.
-PROLOGUE = ("prologue", "prolog", "序章", "楔子", "引子")
-EPILOGUE = ("epilogue", "epilog", "尾声", "终章")
-BACK = ("appendix", "afterword", "acknowledg", "notes", "bibliography", "index", "glossary", "about the author", "附录", "后记", "致谢", "参考文献")
-FRONT = ("preface", "foreword", "introduction", "contents", "copyright", "dedication", "title page", "cover", "前言", "目录", "版权")
+# Keywords that decide a label's kind, found anywhere in its lower-case form.
+PROLOGUE = ("prologue", "引子", "楔子")
+EPILOGUE = ("epilogue", "尾声", "终章")
+FRONT = ("cover", "title page", "titlepage", "half title", "copyright", "contents", "table of contents", "toc", "dedication", "foreword", "preface", "introduction",
+         "acknowledgments", "frontispiece", "list of figures", "list of tables", "前言", "序言", "自序", "译者", "目录", "版权", "献辞", "导言", "扉页", "插图目录")
+BACK = ("afterword", "appendix", "glossary", "index", "bibliography", "colophon", "notes", "references", "about the author", "further reading",
+        "附录", "索引", "参考文献", "后记", "作者简介", "延伸阅读")
 # Structural tokens of e-book files and the kinds they stand for.
 STRUCTURE = {
-    "chapter": "chapter", "prologue": "prologue", "epilogue": "epilogue", "appendix": "appendix", "preface": "front_matter", "foreword": "front_matter",
-    "introduction": "front_matter", "dedication": "front_matter", "toc": "front_matter", "titlepage": "front_matter", "copyright-page": "front_matter",
-    "cover": "front_matter", "frontmatter": "front_matter", "afterword": "back_matter", "acknowledgments": "back_matter", "bibliography": "back_matter",
-    "index": "back_matter", "glossary": "back_matter", "backmatter": "back_matter", "part": "part"}
+    "cover": "cover", "halftitlepage": "titlepage", "titlepage": "titlepage", "copyright-page": "front_matter", "toc": "toc", "landmarks": "front_matter",
+    "loi": "front_matter", "lot": "front_matter", "preamble": "front_matter", "dedication": "front_matter", "preface": "preface", "foreword": "foreword",
+    "introduction": "introduction", "acknowledgments": "front_matter", "frontmatter": "front_matter", "prologue": "prologue", "chapter": "chapter", "part": "chapter",
+    "subchapter": "chapter", "epilogue": "epilogue", "bodymatter": "chapter", "afterword": "afterword", "appendix": "appendix", "glossary": "glossary", "index": "index",
+    "bibliography": "bibliography", "colophon": "back_matter", "backmatter": "back_matter"}
 UNITS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 TEENS = ("ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen")
 TENS = ("twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
-ZH = "一二三四五六七八九"
-ZH_NUMBER = r"第\s*([0-9]+|[一二三四五六七八九十百零〇两]+)\s*[章节回]"
-PREFIX = r"^\s*(?i:chapter|chap\.|part|book)\s+"
+# Forms of chapter markers. Chinese numbers are counted with 章 alone.
+ZH_NUMBER = r"第\s*([0-9零一二三四五六七八九十百千两]+)\s*章"
+EXPLICIT = r"^\s*(?i:chapter|part|book)\s+(?i:[0-9]+|[ivxlcdm]+)\b"
+MARKED = r"^\s*(?:CHAPTER|Chapter|chapter|PART|Part|part|BOOK|Book|book)\b"
 ROMAN_ORDER = (("M", 1000), ("CM", 900), ("D", 500), ("CD", 400), ("C", 100), ("XC", 90), ("L", 50), ("XL", 40), ("X", 10), ("IX", 9), ("V", 5), ("IV", 4), ("I", 1))
 #: A canonical Roman numeral from 1 to 3999.
 ROMAN = r"M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})"
 
 
-def number_words() -> dict[str, int]:
-    """English number words from one to ninety-nine, with blank or hyphen."""
-    out = {w: i + 1 for i, w in enumerate(UNITS)} | {w: i + 10 for i, w in enumerate(TEENS)}
-    for k, ten in enumerate(TENS):
-        out[ten] = 20 + 10 * k
-        for i, unit in enumerate(UNITS):
-            out[f"{ten}-{unit}"] = out[f"{ten} {unit}"] = 21 + 10 * k + i
-    return out
-
-
 def _group(text: Column, pattern: str, i: int = 1) -> Column:
     """A group of the first match, null where it is absent or empty."""
     return only_if(F.regexp_extract(text, pattern, i), lambda v: v != "")
 
 
 def roman_value(text: Column) -> Column:
-    """The value of a canonical upper-case Roman numeral, else null."""
+    """The value of a canonical Roman numeral of either case, else null."""
     letter = F.create_map(*[x for c, v in ROMAN_ORDER if len(c) == 1 for x in (F.lit(c), F.lit(v))])
 
     def total(t: Column) -> Column:
@@ -53,46 +47,53 @@ def roman_value(text: Column) -> Column:
         return F.aggregate(F.reverse(values), F.struct(F.lit(0).alias("sum"), F.lit(0).alias("last")), lambda s, v: F.struct(
             F.when(v < s["last"], s["sum"] - v).otherwise(s["sum"] + v).alias("sum"), v.alias("last")), lambda s: s["sum"])
 
-    return let(text, lambda t: F.when((F.length(t) > 0) & t.rlike(f"^{ROMAN}$"), total(t)))
+    return let(F.upper(text), lambda t: F.when((F.length(t) > 0) & t.rlike(f"^{ROMAN}$"), total(t)))
+
+
+def _zh_below_hundred(text: Column) -> Column:
+    """Tens and units, or a row of digits read by place; null for no number, 0 only for 零十."""
+    shape = "^([零一二三四五六七八九两]?)十([零一二三四五六七八九两]?)$"
+    digits = lambda c: F.translate(c, "零一二三四五六七八九两", "01234567892").try_cast("int")
+    place = lambda t, i, absent: let(F.regexp_extract(t, shape, i), lambda c: F.when(c == "", absent).otherwise(digits(c)))
+    return let(text, lambda t: F.when(t.rlike(shape), place(t, 1, 1) * 10 + place(t, 2, 0)).when(
+        t.rlike("^[零一二三四五六七八九两]+$"), only_if(digits(t), lambda v: v > 0)))
 
 
 def zh_value(text: Column) -> Column:
     """The value of a Chinese numeral up to the hundreds, else null."""
-    shape = r"^(?:([一二三四五六七八九])百)?零?(?:([一二三四五六七八九]?)(十))?([一二三四五六七八九]?)$"
+    shape = "^([零一二三四五六七八九两]?)百(.*)$"
 
     def value(t: Column) -> Column:
-        # a group that is absent is empty, which instr would find at 1
-        unit = lambda i: let(F.regexp_extract(t, shape, i), lambda c: F.when(c == "", 0).otherwise(F.instr(F.lit(ZH), c)))
-        tens = F.when(F.regexp_extract(t, shape, 3) == "", 0).otherwise(F.greatest(unit(2), F.lit(1)) * 10)
-        return F.when(t.rlike(shape), unit(1) * 100 + tens + unit(4))
+        head, rest = F.regexp_extract(t, shape, 1), F.regexp_extract(t, shape, 2)
+        hundreds = F.when(head == "", 1).otherwise(F.translate(head, "零一二三四五六七八九两", "01234567892").try_cast("int")) * 100
+        return F.when(t.rlike(shape), hundreds + F.when(rest == "", 0).otherwise(_zh_below_hundred(rest))).otherwise(_zh_below_hundred(t))
 
-    return only_if(let(F.translate(text, "两〇", "二零"), value), lambda v: v > 0)
+    return only_if(let(text, value), lambda v: v > 0)
 
 
 def word_value(text: Column) -> Column:
-    """The value of an English number word up to ninety-nine at the text's start, else null."""
+    """The value of one English number word, or of tens and units; null for any other words."""
     def value(parts: Column) -> Column:
         at = lambda names, i: F.array_position(F.array(*map(F.lit, names)), F.coalesce(F.get(parts, F.lit(i)), F.lit("")))
         return let(F.struct(at(TENS, 0).alias("ten"), at(UNITS, 1).alias("unit"), at(UNITS, 0).alias("one"), at(TEENS, 0).alias("teen")), lambda x: (
-            F.when((x["ten"] > 0) & (x["unit"] > 0), x["ten"] * 10 + 10 + x["unit"]).when(x["ten"] > 0, x["ten"] * 10 + 10)
-            .when(x["one"] > 0, x["one"]).when(x["teen"] > 0, x["teen"] + 9)).cast("int"))
+            F.when(F.size(parts) > 1, F.when((x["ten"] > 0) & (x["unit"] > 0), x["ten"] * 10 + 10 + x["unit"]))
+            .when(x["ten"] > 0, x["ten"] * 10 + 10).when(x["one"] > 0, x["one"]).when(x["teen"] > 0, x["teen"] + 9)).cast("int"))
 
-    return let(F.split(F.lower(text), "[- ]"), value)
+    return let(F.split(F.lower(text), r"[-\s]"), value)
 
 
 def printed_number(label: Column) -> Column:
     """The chapter number that a label prints, null for none.
 
-    In order: Chinese form (if it matches but has no value there is no number), prefixed Arabic, bare
-    Arabic alone or before a mark, Roman, English words.
+    In order: Chinese form (if it matches but has no value there is no number), Arabic after a marker,
+    bare Arabic alone or before a mark, Roman (after a marker in either case, else upper case alone or
+    before a full stop), English words after a marker.
     """
     zh = _group(label, ZH_NUMBER)
-    arabic = _group(label, PREFIX + r"([0-9]+)\b")
-    bare = _group(label, r"^\s*([0-9]+)\s*(?:$|[.:：、—–-])")
-    roman = F.coalesce(_group(label, PREFIX + r"([IVXLCDM]+)\b"), _group(label, r"^\s*([IVXLCDM]+)\s*(?:$|\.)"))
-    word = word_value(_group(label, PREFIX + r"([A-Za-z]+(?:[- ][A-Za-z]+)?)"))
-    as_int = lambda c: c.try_cast("int")
-    other = F.coalesce(as_int(arabic), as_int(bare), roman_value(roman), word)
+    arabic = F.coalesce(_group(label, r"^\s*(?i:chapter|part|book)\s*([0-9]+)\b"), _group(label, r"^\s*([0-9]+)(?:\s*$|\s*[.:：、—–-])"))
+    roman = F.when(label.rlike(MARKED), _group(label, MARKED + r"\s*((?i:[ivxlcdm]+))\b")).otherwise(_group(label, r"^\s*([IVXLCDM]+)(?:\s*$|\s*\.)"))
+    word = word_value(_group(label, r"^\s*(?i:chapter|part|book)\s+([A-Za-z]+(?:[-\s][A-Za-z]+)?)\b"))
+    other = F.coalesce(arabic.try_cast("int"), roman_value(roman), word)
     number = let(zh, lambda z: F.when(z.isNotNull(), F.coalesce(F.when(z.rlike("^[0-9]+$"), z.try_cast("int")), zh_value(z))).otherwise(other))
     return only_if(number, lambda v: v > 0).cast("int")
 
@@ -103,8 +104,7 @@ def _any(label: Column, words: tuple[str, ...]) -> Column:
 
 def section_kind(label: Column) -> Column:
     """chapter, prologue, epilogue, back_matter, front_matter or other, tested in this order."""
-    explicit = label.rlike(r"^\s*(?i:chapter|chap\.)\s+\S") | label.rlike(ZH_NUMBER)
-    return (F.when(explicit, "chapter").when(_any(label, PROLOGUE), "prologue").when(_any(label, EPILOGUE), "epilogue")
+    return (F.when(label.rlike(EXPLICIT), "chapter").when(_any(label, PROLOGUE), "prologue").when(_any(label, EPILOGUE), "epilogue")
             .when(_any(label, BACK), "back_matter").when(_any(label, FRONT), "front_matter").when(printed_number(label).isNotNull(), "chapter").otherwise("other"))
 
 

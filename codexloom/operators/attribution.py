@@ -177,26 +177,35 @@ def clean_answers(answers: DataFrame) -> DataFrame:
     return answers.select("key", "text").mapInPandas(emit, "key string, text string, was_doubled boolean, dropped_tags int, added_closers int")
 
 
-_KINDS = ("search", "overview", "chapter", "progress", "export", "chat")
+# The kinds of intent and, below, the names of the response's fields.
+_KINDS = ("chapter_summary", "search", "book_overview", "reading_progress", "export_notes", "smalltalk")
 
 
 def coerce_intents(raw: DataFrame) -> DataFrame:
-    """raw (key, message, response JSON) -> (key, kind, query, chapter, export_format, ambiguous, question, options, note, note_type)."""
-    shape = ("struct<kind: string, query: string, chapter: string, format: string, ambiguous: boolean, question: string, options: array<string>, "
-             "note: struct<text: string, type: string>>")
-    r = raw.withColumn("_r", F.from_json("response", shape))
-    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
-    kind = F.when(F.col("_r.kind").isin(*_KINDS), F.col("_r.kind")).otherwise("search")
-    asks = kind.isin("search", "overview")
-    question = blank(F.col("_r.question"))
-    unclear = asks & F.coalesce("_r.ambiguous", F.lit(False)) & question.isNotNull()
-    note = blank(F.col("_r.note.text"))
+    """raw (key, message, response JSON) -> one usable intent per row: key, kind, chapter_number, search_query, export_format,
+    ambiguous, clarify_question, clarify_options, clarify_multi, memory_note, memory_note_type.
+
+    A response that is no JSON or names an unknown kind counts as a failed call: a search for the message.
+    """
+    shape = ("struct<kind: string, chapter_number: int, search_query: string, export_format: string, ambiguous: boolean, clarify_question: string, "
+             "clarify_options: array<string>, clarify_multi: boolean, memory_note: string, memory_note_type: string>")
+    r = raw.select("key", "message", F.from_json("response", shape).alias("_r"))
+    known = F.coalesce("_r.kind", F.lit("search")).isin(*_KINDS)
+    field = lambda name: F.when(known, F.col(f"_r.{name}"))
+    given = lambda c: F.nullif(c, F.lit(""))
+    kind = F.coalesce(field("kind"), F.lit("search"))
+    asks = kind.isin("search", "book_overview")
+    question = given(field("clarify_question"))
+    unclear = asks & F.coalesce(field("ambiguous"), F.lit(False)) & question.isNotNull()
+    note = given(F.trim(field("memory_note")))
+    options = F.when(unclear, F.slice(F.coalesce(field("clarify_options"), F.array().cast("array<string>")), 1, 4)).otherwise(F.array().cast("array<string>"))
     return r.select(
-        "key", kind.alias("kind"), F.coalesce(blank(F.col("_r.query")), F.when(asks, F.col("message"))).alias("query"),
-        F.when(F.col("_r.chapter").rlike("^-?[0-9]{1,9}$"), F.col("_r.chapter").cast("int")).alias("chapter"),
-        F.when(kind == "export", F.coalesce(blank(F.col("_r.format")), F.lit("markdown"))).alias("export_format"), unclear.alias("ambiguous"),
-        F.when(unclear, question).alias("question"), F.when(unclear, F.slice(F.coalesce("_r.options", F.array().cast("array<string>")), 1, 4)).alias("options"),
-        note.alias("note"), F.when(note.isNotNull(), F.when(F.col("_r.note.type").isin("fact", "interest"), F.col("_r.note.type")).otherwise("interest")).alias("note_type"))
+        "key", kind.alias("kind"), field("chapter_number").alias("chapter_number"),
+        F.when(asks, F.coalesce(given(field("search_query")), "message")).otherwise(field("search_query")).alias("search_query"),
+        F.when(kind == "export_notes", F.coalesce(given(field("export_format")), F.lit("markdown"))).otherwise(field("export_format")).alias("export_format"),
+        unclear.alias("ambiguous"), F.when(unclear, question).alias("clarify_question"), options.alias("clarify_options"),
+        (unclear & F.coalesce(field("clarify_multi"), F.lit(False))).alias("clarify_multi"), note.alias("memory_note"),
+        F.when(note.isNotNull(), F.when(field("memory_note_type").isin("fact", "interest"), field("memory_note_type")).otherwise("interest")).alias("memory_note_type"))
 
 
 def coerce_plans(raw: DataFrame, most: int = 4) -> DataFrame:

@@ -41,8 +41,9 @@ def cluster_lines(lines: DataFrame, gap: float = 8.0) -> DataFrame:
         F.element_at(fonts, (F.floor(F.size(fonts) / 2) + 1).cast("int")).alias("font_size"))
 
 
-#: Starts of headings in English, Chinese and by number.
-HEADING = r"^(?i:chapter|part|section|prologue|epilogue|appendix)\b|^第.{1,6}[章节回]|^[0-9]+(\.[0-9]+)*[.\s]"
+# Starts of headings; an English one needs a number or a capitalised word after its marker.
+HEADING = (r"^(?:CHAPTER|Chapter|SECTION|Section|PART|Part|BOOK|Book)\s+(?:[0-9]+|[IVXLCDM]+|[A-Z][a-z]+)\b"
+           r"|^[0-9]+\.[0-9]+(?:\.[0-9]+)?\s+[\p{L}\p{N}_]|^第[一二三四五六七八九十百零两0-9]+章")
 
 
 def heal_page_breaks(blocks: DataFrame) -> DataFrame:

@@ -76,8 +76,10 @@ def recent_questions(turns: DataFrame, n: int = 15) -> DataFrame:
     return q.orderBy(F.col("start_time").desc(), F.col("session_id").desc(), F.col("turn").desc()).limit(n).select("session_id", "turn", "content")
 
 
-#: Requests that say nothing about a reader's interests.
-NOISE = r"^(?i:hi|hello|hey|thanks|thank you|ok|okay|yes|no|continue|go on|export|summary|summarize)\b|^(你好|谢谢|继续|好的|导出|总结)"
+# Questions that say nothing about a reader's interests, found anywhere in them.
+NOISE = (r"(?i)how\s+(much|far)\s+have\s+i\s+read|\bprogress\b|(export|save)\b.{0,20}\b(notes?|pdf|markdown)|summar[iy][sz]e\s+(this|the)\s+book"
+         r"|what(?:'s|\s+is)\s+(this|the)\s+book\s+about|^(hi|hello|hey)\b|nice\s+to\s+meet\s+you|(who|what)\s+are\s+you"
+         r"|进度|读了多少|导出|保存.{0,6}笔记|介绍.{0,4}这本书|这本书.{0,4}(讲|关于)|你好|你是谁|你叫什么")
 CJK = r"[一-鿿]"
 
 
@@ -105,30 +107,39 @@ def exclude_titles(picks: DataFrame, owned: DataFrame, seen: DataFrame) -> DataF
     return rest.groupBy("_k").agg(F.min(F.struct("pos", "title")).alias("_m")).select("_m.pos", "_m.title")
 
 
-#: Marks of editions that are not the book itself.
-KNOCK_OFF = r"(?i)\b(summary|study guide|analysis|workbook|companion|cliffsnotes|sparknotes|trivia|quiz)\b"
+# Marks of editions that are not the book itself.
+KNOCK_OFF = (r"(?i)\b(summary|summaries|study guide|workbook|analysis|key takeaways|conversation starters|sparknotes|cliffs?notes|quicklet|trivia|"
+             r"sidekick|instaread|blinkist)\b")
 
 
 def norm_title(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[\p{P}\p{S}]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\s]", " "))
 
 
 def match_catalog(wanted: DataFrame, volumes: DataFrame) -> DataFrame:
-    """Best volume per wanted title (pick_id, title, author): candidates share a title word.
+    """Best volume per wanted title (pick_id, title, author): candidates hold the title's rarest word, or are the title.
 
     volumes (volume_id, title, subtitle, publisher, author, description). An exact title scores 10, one
-    inside the other 5, else twice the common words; the author 3, a knock-off -8, a description 0.5.
-    The first volume wins ties.
+    inside the other 5, else twice the common words; a common word of the author's name 3, a knock-off -8,
+    a description 0.5. The first volume wins ties. Volumes without a title are not used.
     """
-    words = lambda c: F.filter(F.array_distinct(F.split(norm_title(c), " ")), lambda w: F.length(w) > 1)
-    a = wanted.select("pick_id", norm_title(F.col("title")).alias("_a"), words(F.col("title")).alias("_wa"), F.lower("author").alias("_aa"))
-    b = volumes.select("volume_id", norm_title(F.col("title")).alias("_b"), words(F.col("title")).alias("_wb"), F.lower("author").alias("_ab"),
-                       F.concat_ws(" ", "title", "subtitle", "publisher").rlike(KNOCK_OFF).alias("_off"), (F.coalesce(F.trim("description"), F.lit("")) != "").alias("_d"))
-    # common words are counted by joining on them; the rest is looked up by id
-    common = a.select("pick_id", F.explode("_wa").alias("w")).join(b.select("volume_id", F.explode("_wb").alias("w")), "w").groupBy("pick_id", "volume_id").agg(F.count(F.lit(1)).alias("_n"))
-    j = common.join(a.drop("_wa"), "pick_id").join(b.drop("_wb"), "volume_id")
-    title = F.when(F.col("_a") == F.col("_b"), 10).when(F.contains("_a", F.col("_b")) | F.contains("_b", F.col("_a")), 5).otherwise(F.col("_n") * 2)
-    author = F.coalesce(F.contains("_ab", F.col("_aa")) | F.contains("_aa", F.col("_ab")), F.lit(False))
+    words = lambda c: F.filter(F.array_distinct(F.split(norm_title(c), r"\s+")), lambda w: F.length(w) > 1)
+    a = wanted.select("pick_id", norm_title(F.col("title")).alias("_a"), words(F.col("title")).alias("_wa"), words(F.col("author")).alias("_aa"))
+    b = volumes.where(F.trim("title") != "").select(
+        "volume_id", norm_title(F.col("title")).alias("_b"), words(F.col("title")).alias("_wb"), words(F.col("author")).alias("_ab"),
+        F.concat_ws(" ", "title", "subtitle", "publisher").rlike(KNOCK_OFF).alias("_off"), (F.coalesce(F.trim("description"), F.lit("")) != "").alias("_d"))
+    posted = b.select("volume_id", F.explode("_wb").alias("_w"))
+    # a pick is looked up by its rarest word, so frequent words never meet
+    asked = a.select("pick_id", F.explode("_wa").alias("_w"))
+    counts = posted.join(asked.select("_w").distinct(), "_w").groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = asked.join(counts, "_w").groupBy("pick_id").agg(F.min_by("_w", F.struct("_n", "_w")).alias("_w"))
+    found = rarest.join(posted, "_w").select("pick_id", "volume_id").unionByName(
+        a.where("_a <> ''").join(b, F.col("_a") == F.col("_b")).select("pick_id", "volume_id")).distinct()
+    j = found.join(a, "pick_id").join(b, "volume_id")
+    common = F.size(F.array_intersect("_wa", "_wb"))
+    inside = (F.col("_a") != "") & (F.contains("_a", F.col("_b")) | F.contains("_b", F.col("_a")))
+    title = F.when((F.col("_a") != "") & (F.col("_a") == F.col("_b")), 10).when(inside, 5).otherwise(common * 2)
+    author = F.coalesce(F.arrays_overlap("_aa", "_ab"), F.lit(False))
     score = title + F.when(author, 3).otherwise(0) - F.when(F.col("_off"), 8).otherwise(0) + F.when(F.col("_d"), 0.5).otherwise(0.0)
     best = j.withColumn("score", score.cast("double")).groupBy("pick_id").agg(F.max(F.struct("score", (-F.col("volume_id")).alias("_v"))).alias("_m"))
     return best.select("pick_id", (-F.col("_m._v")).alias("volume_id"), "_m.score")

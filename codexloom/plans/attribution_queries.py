@@ -166,20 +166,24 @@ def doubled_answers(spark, sf):
     return S.turns(spark, sf).select("session_id", "turn", A.doubled(_repeated()).alias("doubled"))
 
 
-_INTENTS = ['{"kind": "search", "query": " who is it ", "ambiguous": true, "question": "Which one?", "options": ["a", "b", "c", "d", "e"]}', '{"kind": "chapter", "chapter": 3}', '{"kind": "chapter", "chapter": "x"}',
-            '{"kind": "export"}', '{"kind": "unknown", "note": {"text": "likes whales", "type": "odd"}}', "broken", '{"kind": "overview", "ambiguous": true}', '{"kind": "chat", "note": {"text": "  "}, "ambiguous": true, "question": "Eh?"}']
+_INTENTS = ['{"kind": "search", "search_query": "who is it", "ambiguous": true, "clarify_question": "Which one?", "clarify_options": ["a", "b", "c", "d", "e"], "clarify_multi": true}',
+            '{"kind": "chapter_summary", "chapter_number": 5, "search_query": null}', '{"kind": "chapter_summary", "chapter_number": "x"}', '{"kind": "export_notes"}', '{"kind": "export_notes", "export_format": "pdf"}',
+            '{"kind": "overview", "memory_note": "likes whales"}', "broken", '{"kind": "book_overview", "ambiguous": true, "memory_note": " likes whales ", "memory_note_type": "odd"}',
+            '{"kind": "smalltalk", "memory_note": "  ", "ambiguous": true, "clarify_question": "Eh?"}', '{"kind": "reading_progress", "memory_note": "is a nurse", "memory_note_type": "fact"}', '{"search_query": ""}']
 
 
 @query(f"""WITH r AS (SELECT item_id AS key, text AS message, {_sql_pick(_INTENTS, 'item_id')} AS resp FROM benchmark), v AS (SELECT key, message, CASE WHEN json_valid(resp) THEN resp ELSE '{{}}' END::JSON AS j FROM r),
-k AS (SELECT *, CASE WHEN j->>'$.kind' IN ('search', 'overview', 'chapter', 'progress', 'export', 'chat') THEN j->>'$.kind' ELSE 'search' END AS kind, nullif(trim(j->>'$.question'), '') AS q, nullif(trim(j->>'$.note.text'), '') AS note FROM v),
-u AS (SELECT *, kind IN ('search', 'overview') AND coalesce((j->>'$.ambiguous')::BOOLEAN, false) AND q IS NOT NULL AS ambiguous FROM k)
-SELECT key, kind, coalesce(nullif(trim(j->>'$.query'), ''), CASE WHEN kind IN ('search', 'overview') THEN message END) AS query, try_cast(j->>'$.chapter' AS INTEGER) AS chapter,
-CASE WHEN kind = 'export' THEN coalesce(nullif(trim(j->>'$.format'), ''), 'markdown') END AS export_format, ambiguous, CASE WHEN ambiguous THEN q END AS question,
-CASE WHEN ambiguous THEN array_to_string((json_extract_string(j, '$.options[*]'))[1:4], ',') END AS options, note,
-CASE WHEN note IS NOT NULL THEN CASE WHEN j->>'$.note.type' IN ('fact', 'interest') THEN j->>'$.note.type' ELSE 'interest' END END AS note_type FROM u""")
+w AS (SELECT key, message, CASE WHEN coalesce(j->>'$.kind', 'search') IN ('chapter_summary', 'search', 'book_overview', 'reading_progress', 'export_notes', 'smalltalk') THEN j ELSE '{{}}'::JSON END AS j FROM v),
+k AS (SELECT *, coalesce(j->>'$.kind', 'search') AS kind, nullif(j->>'$.clarify_question', '') AS q, nullif(trim(j->>'$.memory_note'), '') AS note FROM w),
+u AS (SELECT *, kind IN ('search', 'book_overview') AND coalesce((j->>'$.ambiguous')::BOOLEAN, false) AND q IS NOT NULL AS ambiguous FROM k)
+SELECT key, kind, CASE WHEN json_type(j->'$.chapter_number') = 'UBIGINT' THEN (j->>'$.chapter_number')::INTEGER END AS chapter_number,
+CASE WHEN kind IN ('search', 'book_overview') THEN coalesce(nullif(j->>'$.search_query', ''), message) ELSE j->>'$.search_query' END AS search_query,
+CASE WHEN kind = 'export_notes' THEN coalesce(nullif(j->>'$.export_format', ''), 'markdown') ELSE j->>'$.export_format' END AS export_format, ambiguous, CASE WHEN ambiguous THEN q END AS clarify_question,
+CASE WHEN ambiguous THEN array_to_string((json_extract_string(j, '$.clarify_options[*]'))[1:4], ',') ELSE '' END AS clarify_options, ambiguous AND coalesce((j->>'$.clarify_multi')::BOOLEAN, false) AS clarify_multi, note AS memory_note,
+CASE WHEN note IS NOT NULL THEN CASE WHEN j->>'$.memory_note_type' IN ('fact', 'interest') THEN j->>'$.memory_note_type' ELSE 'interest' END END AS memory_note_type FROM u""")
 def coerce_intents(spark, sf):
     raw = S.passages(spark, sf).select(col("query_id").alias("key"), col("text").alias("message"), _pick(_INTENTS, col("query_id")).alias("response"))
-    return A.coerce_intents(raw).withColumn("options", F.array_join("options", ","))
+    return A.coerce_intents(raw).withColumn("clarify_options", F.array_join("clarify_options", ","))
 
 
 _PLANS = ['{"sub_questions": ["a?", " ", "b?", "c?", "d?", "e?"]}', '{"sub_questions": ["only one"]}', "nonsense", '{"sub_questions": [" x ", "y"]}', "{}"]

@@ -101,14 +101,15 @@ def export_notes(spark, sf):
     return store.export_notes(S.turns(spark, sf))
 
 
-@query("""WITH t AS (SELECT l_orderkey AS id, arg_max(CASE l_returnflag WHEN 'A' THEN 'added' ELSE 'dismissed' END, epoch_us(l_shipdate) * 100 + l_linenumber) AS s
-  FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY l_orderkey)
-SELECT o_orderkey AS id, coalesce(s, 'suggested') AS status, false AS missing FROM orders LEFT JOIN t ON o_orderkey = id WHERE o_orderkey % 3 = 0
-UNION ALL SELECT id, NULL, true FROM t WHERE id % 3 <> 0 OR id NOT IN (SELECT o_orderkey FROM orders)""")
+@query("""WITH m AS (SELECT l_orderkey AS id, CASE WHEN l_returnflag = 'A' THEN 'added' WHEN l_returnflag = 'N' THEN 'dismissed' WHEN l_linenumber = 1 THEN 'read' ELSE 'seen' END AS s, epoch_us(l_shipdate) * 100 + l_linenumber AS at_ FROM lineitem),
+t AS (SELECT id, arg_max(s, at_) AS s FROM m WHERE s IN ('suggested', 'seen', 'added', 'dismissed') GROUP BY id), r AS (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')
+SELECT o_orderkey AS id, coalesce(s, 'suggested') AS status, false AS missing FROM r LEFT JOIN t ON o_orderkey = id
+UNION ALL SELECT id, NULL, true FROM t WHERE id NOT IN (SELECT o_orderkey FROM r)""")
 def rec_status_latest(spark, sf):
-    flag = F.when(col("l_returnflag") == "A", "added").when(col("l_returnflag") == "N", "dismissed").otherwise("returned")
+    flag = col("l_returnflag")
+    flag = F.when(flag == "A", "added").when(flag == "N", "dismissed").when(col("l_linenumber") == 1, "read").otherwise("seen")
     moves = S.table(spark, sf, "lineitem").select(col("l_orderkey").alias("id"), flag.alias("status"), col("l_shipdate").alias("ts"), col("l_linenumber").alias("seq"))
-    recs = S.table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(col("o_orderkey").alias("id"), lit("suggested").alias("status"))
+    recs = S.table(spark, sf, "orders").where("o_orderstatus <> 'P'").select(col("o_orderkey").alias("id"), lit("suggested").alias("status"))
     now, missing = store.apply_status(recs, moves)
     return now.withColumn("missing", lit(False)).unionByName(missing.select("id", lit(None).cast("string").alias("status"), lit(True).alias("missing")))
 
@@ -149,7 +150,7 @@ def cluster_lines(spark, sf):
 @query(r"""WITH d AS (SELECT doc_id AS book_id, unnest(string_split(text, ', ')) AS text, unnest(range(len(string_split(text, ', '))))::INTEGER AS ord FROM documents),
 p AS (SELECT *, ord // 2 AS page, rtrim(lag(text) OVER w) AS tail, ltrim(text) AS head, lag(ord // 2) OVER w AS last_page FROM d WINDOW w AS (PARTITION BY book_id ORDER BY ord)),
 j AS (SELECT *, coalesce(regexp_matches(tail, '[-‐]$'), false) AS hyphen,
-  coalesce(regexp_matches(tail, '[-‐]$') OR (NOT regexp_matches(head, '^(?i:chapter|part|section|prologue|epilogue|appendix)\b|^第.{1,6}[章节回]|^[0-9]+(\.[0-9]+)*[.\s]')
+  coalesce(regexp_matches(tail, '[-‐]$') OR (NOT regexp_matches(head, '^(CHAPTER|Chapter|SECTION|Section|PART|Part|BOOK|Book)\s+(\d+|[IVXLCDM]+|[A-Z][a-z]+)\b|^\d+\.\d+(\.\d+)?\s+[\p{L}\p{N}_]|^第[一二三四五六七八九十百零两\d]+章')
     AND regexp_matches(head, '^\p{Ll}') AND regexp_matches(tail, '[,;:\p{Ll}]$')), false) AS jn, coalesce(last_page <> page, false) AS turn FROM p),
 r AS (SELECT *, sum(CASE WHEN jn THEN 0 ELSE 1 END) OVER (PARTITION BY book_id ORDER BY ord) AS run FROM j),
 m AS (SELECT *, jn AND max(CASE WHEN jn AND turn THEN 1 ELSE 0 END) OVER (PARTITION BY book_id, run ORDER BY ord) = 1 AS mg FROM r),
@@ -174,7 +175,8 @@ def _toc(spark, sf):
 _LABELS = r"""words AS (SELECT ['I','II','III','IV','V','VI','VII','VIII','IX','X'] AS r, ['One','Two','Three','Four','Five','Six','Seven','Eight','Nine','Ten'] AS w, ['一','二','三','四','五','六','七','八','九','十'] AS z),
 lab AS (SELECT source AS book_id, doc_id, doc_id % 40 + 1 AS n, ((doc_id % 40 + 1) % 10 + 1)::INTEGER AS k, words.* FROM documents, words),
 labels_text AS (SELECT book_id, doc_id, ['Chapter ' || n, 'Chapter ' || r[k], '第' || z[k] || '章', 'Chapter ' || w[k], 'Preface', 'Appendix A', r[k] || '. The Start', n || ': Again',
-  'Prologue', 'Epilogue', 'The House of ' || w[k], '第' || z[k] || '十' || z[k] || '章', 'Chapter IIII'][doc_id % 13 + 1] AS label FROM lab)"""
+  'Prologue', 'Epilogue', 'The House of ' || w[k], '第' || z[k] || '十' || z[k] || '章', 'Chapter IIII', 'Chapter iv', 'PART II', '第三节', '第一百零八章', 'Acknowledgments', 'Colophon', '序言', '作者简介', 'Table of Contents', 'References', 'Half Title',
+  'Chapter 3: Notes on Method', 'CHAPTER I. INTRODUCTION.', '8 Broadway, Hill', 'Chapter Twenty-One', 'Chapter Five The Start', 'I am Here', 'Chapter2'][doc_id % 31 + 1] AS label FROM lab)"""
 
 
 @query(f"""WITH {_LABELS}, t AS (SELECT book_id, doc_id AS pos, row_number() OVER (PARTITION BY book_id ORDER BY doc_id) AS n, CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE label END AS title FROM labels_text WHERE doc_id % 3 = 0)
@@ -266,32 +268,36 @@ def _values(pairs) -> str:
 
 
 def _roman(n: int) -> str:
-    out = ""
-    for c, v in L.ROMAN_ORDER:
-        out, n = out + c * (n // v), n % v
-    return out
+    tens, units = ("", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX", "XC"), ("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX")
+    return "C" * (n // 100) + tens[n // 10 % 10] + units[n % 10]
 
 
 def _zh(n: int) -> list[str]:
+    digits = "零一二三四五六七八九"
     h, t, o = n // 100, n // 10 % 10, n % 10
-    head = L.ZH[h - 1] + "百" if h else ""
+    head, unit = digits[h] + "百" if h else "", digits[o] if o else ""
     if t:
-        out = [head + L.ZH[t - 1] + "十" + (L.ZH[o - 1] if o else "")]
-        return out + [head + "十" + (L.ZH[o - 1] if o else "")] if t == 1 else out
-    return [head + L.ZH[o - 1], head + "零" + L.ZH[o - 1]] if h and o else [head + (L.ZH[o - 1] if o else "")]
+        return [head + digits[t] + "十" + unit] + ([head + "十" + unit] if t == 1 else [])
+    return [head + "零" + unit, head + unit] if h and o else [head + unit]
 
 
-_NUMBERS = f"""{_LABELS}, rom(s, v) AS (VALUES {_values((_roman(i), i) for i in range(1, 120))}), eng(s, v) AS (VALUES {_values(L.number_words().items())}),
+_WORDS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+_SPELLED = [(w, i + 1) for i, w in enumerate(_WORDS)] + [(w, 20 + 10 * k) for k, w in enumerate(_TENS)] + [(f"{w} {u}", 21 + 10 * k + i) for k, w in enumerate(_TENS) for i, u in enumerate(_WORDS[:9])]
+_NUMBERS = f"""{_LABELS}, rom(s, v) AS (VALUES {_values((_roman(i), i) for i in range(1, 120))}), eng(s, v) AS (VALUES {_values(_SPELLED)}),
 zhn(s, v) AS (VALUES {_values((s, i) for i in range(1, 300) for s in _zh(i))}),
-x AS (SELECT *, regexp_extract(label, '第\\s*([0-9]+|[一二三四五六七八九十百零〇两]+)\\s*[章节回]', 1) AS zh, regexp_extract(label, '^\\s*(?i:chapter|chap\\.|part|book)\\s+([0-9]+)\\b', 1) AS ar,
-  regexp_extract(label, '^\\s*([0-9]+)\\s*(?:$|[.:：、—–-])', 1) AS bare, regexp_extract(label, '^\\s*(?i:chapter|chap\\.|part|book)\\s+([IVXLCDM]+)\\b', 1) AS r1,
-  regexp_extract(label, '^\\s*([IVXLCDM]+)\\s*(?:$|\\.)', 1) AS r2, lower(regexp_extract(label, '^\\s*(?i:chapter|chap\\.|part|book)\\s+([A-Za-z]+)', 1)) AS w1 FROM labels_text),
+x AS (SELECT *, regexp_extract(label, '第\\s*([0-9零一二三四五六七八九十百千两]+)\\s*章', 1) AS zh, regexp_extract(label, '^\\s*(?i:chapter|part|book)\\s*([0-9]+)\\b', 1) AS ar,
+  regexp_extract(label, '^\\s*([0-9]+)(?:\\s*$|\\s*[.:：、—–-])', 1) AS bare,
+  upper(CASE WHEN regexp_matches(label, '^\\s*(CHAPTER|Chapter|chapter|PART|Part|part|BOOK|Book|book)\\b') THEN regexp_extract(label, '^\\s*(?i:chapter|part|book)\\s*((?i)[IVXLCDM]+)\\b', 1)
+    ELSE regexp_extract(label, '^\\s*([IVXLCDM]+)(?:\\s*$|\\s*\\.)', 1) END) AS r1,
+  replace(lower(regexp_extract(label, '^\\s*(?i:chapter|part|book)\\s+([A-Za-z]+(?:[-\\s][A-Za-z]+)?)\\b', 1)), '-', ' ') AS w1 FROM labels_text),
 num AS (SELECT x.book_id, x.doc_id, x.label, CASE WHEN zh <> '' THEN coalesce(try_cast(zh AS INTEGER), zhn.v) ELSE
   coalesce(try_cast(nullif(ar, '') AS INTEGER), try_cast(nullif(bare, '') AS INTEGER), rom.v, eng.v) END AS printed_number
-  FROM x LEFT JOIN zhn ON zhn.s = zh LEFT JOIN rom ON rom.s = coalesce(nullif(r1, ''), nullif(r2, '')) LEFT JOIN eng ON eng.s = w1),
-kinds AS (SELECT *, CASE WHEN regexp_matches(label, '^\\s*(?i:chapter|chap\\.)\\s+\\S|第\\s*([0-9]+|[一二三四五六七八九十百零〇两]+)\\s*[章节回]') THEN 'chapter'
-  WHEN regexp_matches(lower(label), '{"|".join(L.PROLOGUE)}') THEN 'prologue' WHEN regexp_matches(lower(label), '{"|".join(L.EPILOGUE)}') THEN 'epilogue'
-  WHEN regexp_matches(lower(label), '{"|".join(L.BACK)}') THEN 'back_matter' WHEN regexp_matches(lower(label), '{"|".join(L.FRONT)}') THEN 'front_matter'
+  FROM x LEFT JOIN zhn ON zhn.s = zh LEFT JOIN rom ON rom.s = nullif(r1, '') LEFT JOIN eng ON eng.s = w1),
+kinds AS (SELECT *, CASE WHEN regexp_matches(label, '^\\s*(?i)(chapter|part|book)\\s+(\\d+|[IVXLCDM]+)\\b') THEN 'chapter'
+  WHEN regexp_matches(lower(label), 'prologue|引子|楔子') THEN 'prologue' WHEN regexp_matches(lower(label), 'epilogue|尾声|终章') THEN 'epilogue'
+  WHEN regexp_matches(lower(label), 'afterword|appendix|glossary|index|bibliography|colophon|notes|references|about the author|further reading|附录|索引|参考文献|后记|作者简介|延伸阅读') THEN 'back_matter'
+  WHEN regexp_matches(lower(label), 'cover|title page|titlepage|half title|copyright|contents|table of contents|toc|dedication|foreword|preface|introduction|acknowledgments|frontispiece|list of figures|list of tables|前言|序言|自序|译者|目录|版权|献辞|导言|扉页|插图目录') THEN 'front_matter'
   WHEN printed_number IS NOT NULL THEN 'chapter' ELSE 'other' END AS kind FROM num)"""
 
 
@@ -305,11 +311,11 @@ def printed_number(spark, sf):
     return S.section_labels(spark, sf).select("doc_id", "label", L.printed_number(col("label")).alias("printed_number"))
 
 
-@query(f"""WITH {_NUMBERS}, o AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN 'appendix' WHEN 1 THEN 'front_matter' ELSE NULL END AS ov FROM kinds),
+@query(f"""WITH {_NUMBERS}, o AS (SELECT *, CASE doc_id % 8 WHEN 0 THEN 'appendix' WHEN 1 THEN 'preface' WHEN 4 THEN 'chapter' WHEN 5 THEN 'titlepage' WHEN 6 THEN 'front_matter' WHEN 7 THEN 'back_matter' END AS ov FROM kinds),
 f AS (SELECT *, coalesce(ov, kind) AS k FROM o) SELECT doc_id, k AS kind, CASE WHEN k = 'chapter' THEN printed_number END AS number FROM f""")
 def section_kind_number(spark, sf):
     d = S.section_labels(spark, sf)
-    given = F.element_at(F.array(lit("unknown appendix"), lit("preface toc"), lit("nothing"), lit(None).cast("string")), (col("doc_id") % 4 + 1).cast("int"))
+    given = F.element_at(F.array(lit("unknown appendix"), lit("preface toc"), lit("nothing"), lit(None).cast("string"), lit("part"), lit("HalfTitlePage"), lit("loi"), lit("colophon")), (col("doc_id") % 8 + 1).cast("int"))
     kind = L.resolve_kind(col("label"), L.structural_kind(given))
     return d.select("doc_id", kind.alias("kind"), L.resolve_number(col("label"), kind).alias("number"))
 

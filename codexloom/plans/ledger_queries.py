@@ -90,20 +90,21 @@ def recent_questions(spark, sf):
     return G.recent_questions(S.turns(spark, sf).withColumn("start_time", col("session_id") % 37))
 
 
-@query(rf"""WITH q AS ({_USER_TURNS}), x AS (SELECT session_id, turn, CASE WHEN turn % 4 = 0 THEN 'Thanks ' || content ELSE content END AS t FROM q)
+@query(rf"""WITH q AS ({_USER_TURNS}), x AS (SELECT session_id, turn, CASE turn % 6 WHEN 0 THEN 'How far have I read ' || content WHEN 2 THEN 'Hi! ' || content WHEN 4 THEN 'No country: ' || content ELSE content END AS t FROM q)
 SELECT session_id, turn, t AS content FROM x WHERE length(trim(t)) >= 10 AND (regexp_matches(t, '[\x{{4e00}}-\x{{9fff}}]') OR len(regexp_split_to_array(trim(t), '\s+')) >= 3)
-AND NOT regexp_matches(trim(t), '^(?i:hi|hello|hey|thanks|thank you|ok|okay|yes|no|continue|go on|export|summary|summarize)\b|^(你好|谢谢|继续|好的|导出|总结)')""")
+AND NOT regexp_matches(trim(t), '(?i)how\s+(much|far)\s+have\s+i\s+read|\bprogress\b|(export|save)\b.{{0,20}}\b(notes?|pdf|markdown)|summar[iy][sz]e\s+(this|the)\s+book|what(''s|\s+is)\s+(this|the)\s+book\s+about|^(hi|hello|hey)\b|nice\s+to\s+meet\s+you|(who|what)\s+are\s+you|进度|读了多少|导出|保存.{{0,6}}笔记|介绍.{{0,4}}这本书|这本书.{{0,4}}(讲|关于)|你好|你是谁|你叫什么')""")
 def interest_questions(spark, sf):
     t = S.turns(spark, sf).where("role = 'user' and trim(content) <> ''")
-    t = t.select("session_id", "turn", F.when(col("turn") % 4 == 0, F.concat(lit("Thanks "), "content")).otherwise(col("content")).alias("content"))
-    return t.where(G.is_interest(col("content")))
+    n = col("turn") % 6
+    head = F.when(n == 0, "How far have I read ").when(n == 2, "Hi! ").when(n == 4, "No country: ").otherwise("")
+    return t.select("session_id", "turn", F.concat(head, "content").alias("content")).where(G.is_interest(col("content")))
 
 
-@query("""WITH u AS (SELECT 0 AS s, item_id AS o, trim(text[1:12]) AS t FROM benchmark UNION ALL SELECT 1, p_partkey, trim(p_name) FROM part UNION ALL SELECT 2, p_partkey, trim(upper(p_name)) FROM part)
+@query("""WITH u AS (SELECT 0 AS s, item_id AS o, trim(text) AS t FROM benchmark UNION ALL SELECT 1, p_partkey, trim(p_name) FROM part UNION ALL SELECT 2, p_partkey, trim(upper(p_name)) FROM part)
 SELECT s AS source, o AS ord, t AS text FROM (SELECT *, row_number() OVER (PARTITION BY lower(t) ORDER BY s, o, t) AS n FROM u WHERE t <> '') WHERE n = 1""")
 def interest_dedup(spark, sf):
     p = S.table(spark, sf, "part")
-    return G.interests([S.passages(spark, sf).select(col("query_id").alias("ord"), F.substring("text", 1, 12).alias("text")),
+    return G.interests([S.passages(spark, sf).select(col("query_id").alias("ord"), "text"),
                         p.select(col("p_partkey").alias("ord"), col("p_name").alias("text")), p.select(col("p_partkey").alias("ord"), F.upper("p_name").alias("text"))])
 
 
@@ -114,22 +115,29 @@ def exclude_titles(spark, sf):
     return G.exclude_titles(p.select(col("p_partkey").alias("pos"), col("p_name").alias("title")), p.where("p_size < 5").select(col("p_name").alias("title")), p.select(col("p_type").alias("title")))
 
 
-_NT = r"trim(regexp_replace(regexp_replace(lower({}), '[\p{{P}}\p{{S}}]', ' ', 'g'), '\s+', ' ', 'g'))"
+_NT = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'))"
+_NW = r"list_filter(list_distinct(regexp_split_to_array({}, '\s+')), lambda w: length(w) > 1)"
 
 
-@query(f"""WITH a AS (SELECT p_partkey AS pick_id, {_NT.format("split_part(p_name, ' ', 1) || ' ' || p_type")} AS a, lower(p_brand) AS aa FROM part WHERE p_partkey % 20 = 0),
-b AS (SELECT p_partkey AS volume_id, {_NT.format("p_name || CASE WHEN p_partkey % 3 = 0 THEN ' ' || p_type ELSE '' END")} AS b, lower(p_brand) AS ab, p_size % 9 = 0 AS off_, p_size % 2 = 0 AS d FROM part WHERE p_partkey % 7 = 0),
-wa AS (SELECT pick_id, unnest(list_filter(list_distinct(string_split(a, ' ')), lambda w: length(w) > 1)) AS w FROM a), wb AS (SELECT volume_id, unnest(list_filter(list_distinct(string_split(b, ' ')), lambda w: length(w) > 1)) AS w FROM b),
-n AS (SELECT pick_id, volume_id, count(*) AS n FROM wa JOIN wb ON wa.w = wb.w GROUP BY ALL),
-s AS (SELECT n.pick_id, n.volume_id, (CASE WHEN a = b THEN 10 WHEN contains(a, b) OR contains(b, a) THEN 5 ELSE n * 2 END + CASE WHEN contains(ab, aa) OR contains(aa, ab) THEN 3 ELSE 0 END - CASE WHEN off_ THEN 8 ELSE 0 END + CASE WHEN d THEN 0.5 ELSE 0 END)::DOUBLE AS score
+@query(f"""WITH a AS (SELECT p_partkey AS pick_id, {_NT.format("p_name || ' ' || (1000 + p_partkey // 7)")} AS a, {_NW.format("lower(replace(p_brand, '#', '') || ' and sons')")} AS aa FROM part WHERE p_partkey % 100 = 0),
+b AS (SELECT p_partkey AS volume_id, {_NT.format("CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_size % 4 = 1 THEN p_type || ', ' || p_name ELSE p_name || ' of' END || ' ' || (1000 + p_partkey // 7)")} AS b, {_NW.format("lower(replace(p_brand, '#', ''))")} AS ab,
+  p_size % 9 < 2 AS off_, p_size % 2 = 0 AS d FROM part),
+wa AS (SELECT pick_id, unnest({_NW.format("a")}) AS w FROM a), wb AS (SELECT volume_id, unnest({_NW.format("b")}) AS w FROM b),
+df AS (SELECT w, count(*) AS df FROM wb GROUP BY w), rare AS (SELECT pick_id, arg_min(wa.w, [df::VARCHAR.lpad(12, '0'), wa.w]) AS w FROM wa JOIN df ON wa.w = df.w GROUP BY pick_id),
+cand AS (SELECT pick_id, volume_id FROM rare JOIN wb ON rare.w = wb.w UNION SELECT pick_id, volume_id FROM a JOIN b ON a = b),
+n AS (SELECT c.pick_id, c.volume_id, count(wb.w) AS n FROM cand c JOIN wa ON wa.pick_id = c.pick_id LEFT JOIN wb ON wb.volume_id = c.volume_id AND wb.w = wa.w GROUP BY ALL),
+s AS (SELECT n.pick_id, n.volume_id, (CASE WHEN a = b THEN 10 WHEN contains(a, b) OR contains(b, a) THEN 5 ELSE n * 2 END + CASE WHEN list_has_any(ab, aa) THEN 3 ELSE 0 END - CASE WHEN off_ THEN 8 ELSE 0 END + CASE WHEN d THEN 0.5 ELSE 0 END)::DOUBLE AS score
   FROM n JOIN a ON n.pick_id = a.pick_id JOIN b ON n.volume_id = b.volume_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY pick_id ORDER BY score DESC, volume_id) AS k FROM s) SELECT pick_id, volume_id, score FROM r WHERE k = 1""")
 def match_catalog(spark, sf):
-    p = S.table(spark, sf, "part")
-    wanted = p.where("p_partkey % 20 = 0").select(col("p_partkey").alias("pick_id"), F.concat_ws(" ", F.substring_index("p_name", " ", 1), "p_type").alias("title"), col("p_brand").alias("author"))
-    vol = p.where("p_partkey % 7 = 0").select(
-        col("p_partkey").alias("volume_id"), F.concat("p_name", F.when(col("p_partkey") % 3 == 0, F.concat(lit(" "), "p_type")).otherwise(lit(""))).alias("title"),
-        F.when(col("p_size") % 9 == 0, "A Study Guide").alias("subtitle"), lit("House").alias("publisher"), col("p_brand").alias("author"), F.when(col("p_size") % 2 == 0, "Good.").alias("description"))
+    p, n = S.table(spark, sf, "part"), col("p_partkey")
+    # a few parts share a number, which is the rare word of their titles
+    number, author = (F.floor(n / 7) + 1000).cast("string"), F.replace("p_brand", lit("#"), lit(""))
+    wanted = p.where("p_partkey % 100 = 0").select(n.alias("pick_id"), F.concat_ws(" ", "p_name", number).alias("title"), F.concat(author, lit(" and sons")).alias("author"))
+    title = F.concat_ws(" ", F.when(n % 3 == 0, col("p_name")).when(col("p_size") % 4 == 1, F.concat_ws(", ", "p_type", "p_name")).otherwise(F.concat("p_name", lit(" of"))), number)
+    mark = col("p_size") % 9
+    vol = p.select(n.alias("volume_id"), title.alias("title"), F.when(mark == 0, "A Study Guide").when(mark == 2, "A companion in America").alias("subtitle"),
+                   F.when(mark == 1, "Instaread").otherwise("House").alias("publisher"), author.alias("author"), F.when(col("p_size") % 2 == 0, "Good.").alias("description"))
     return G.match_catalog(wanted, vol)
 
 

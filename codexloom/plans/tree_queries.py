@@ -15,7 +15,7 @@ from codexloom.sources import corpus as S
 col, lit = F.col, F.lit
 
 
-def _inputs(spark, sf, budget=3000):
+def _inputs(spark, sf, budget=24000):
     c = S.fixed_chunks(S.blocks(spark, sf))
     secs = S.section_labels(spark, sf).select(col("doc_id"), L.section_kind(col("label")).alias("kind"), L.printed_number(col("label")).alias("printed_number"))
     ids = c.select("section_id", "doc_id").distinct()
@@ -23,7 +23,7 @@ def _inputs(spark, sf, budget=3000):
 
 
 _INPUTS = f"""{Q._NUMBERS}, {V.CHUNKS}, per AS (SELECT book_id, section_id, doc_id, count(*) AS n_chunks, sum(length(text)) AS len FROM chunks_x GROUP BY ALL),
-inp AS (SELECT p.book_id, p.section_id, p.n_chunks, k.kind, k.printed_number, string_agg(substr(c.text, 1, CASE WHEN len <= 3000 THEN 3000 ELSE greatest(400, 3000 // n_chunks) END::INTEGER), chr(10) || chr(10) ORDER BY c.chunk_ord) AS input
+inp AS (SELECT p.book_id, p.section_id, p.n_chunks, k.kind, k.printed_number, string_agg(substr(c.text, 1, CASE WHEN len <= 24000 THEN 24000 ELSE greatest(400, 24000 // n_chunks) END::INTEGER), chr(10) || chr(10) ORDER BY c.chunk_ord) AS input
   FROM per p JOIN chunks_x c ON c.book_id = p.book_id AND c.section_id = p.section_id JOIN kinds k ON k.doc_id = p.doc_id WHERE k.kind IN ('chapter', 'prologue', 'epilogue', 'appendix') GROUP BY ALL)"""
 _LEAD = r"array_to_string(list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> '')[1:{}], ' ')"
 

@@ -61,6 +61,11 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+#: Labels of fixed text that the rotation of labels ends with.
+LABELS = ("Chapter iv", "PART II", "第三节", "第一百零八章", "Acknowledgments", "Colophon", "序言", "作者简介", "Table of Contents", "References", "Half Title",
+          "Chapter 3: Notes on Method", "CHAPTER I. INTRODUCTION.", "8 Broadway, Hill", "Chapter Twenty-One", "Chapter Five The Start", "I am Here", "Chapter2")
+
+
 def section_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """book_id, doc_id, label: labels of every form in rotation over the documents."""
     n = F.col("doc_id") % 40 + 1
@@ -69,6 +74,6 @@ def section_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     zh = F.element_at(F.array(*map(F.lit, ["一", "二", "三", "四", "五", "六", "七", "八", "九", "十"])), (n % 10 + 1).cast("int"))
     forms = [F.concat(F.lit("Chapter "), n.cast("string")), F.concat(F.lit("Chapter "), roman), F.concat(F.lit("第"), zh, F.lit("章")),
              F.concat(F.lit("Chapter "), word), F.lit("Preface"), F.lit("Appendix A"), F.concat(roman, F.lit(". The Start")), F.concat(n.cast("string"), F.lit(": Again")),
-             F.lit("Prologue"), F.lit("Epilogue"), F.concat(F.lit("The House of "), word), F.concat(F.lit("第"), zh, F.lit("十"), zh, F.lit("章")), F.lit("Chapter IIII")]
+             F.lit("Prologue"), F.lit("Epilogue"), F.concat(F.lit("The House of "), word), F.concat(F.lit("第"), zh, F.lit("十"), zh, F.lit("章")), F.lit("Chapter IIII"), *map(F.lit, LABELS)]
     label = F.element_at(F.array(*forms), (F.col("doc_id") % len(forms) + 1).cast("int"))
     return table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), "doc_id", label.alias("label"))

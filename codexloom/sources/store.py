@@ -95,8 +95,8 @@ def export_notes(turns: DataFrame, title: str = "Conversation", cut: int | None
     return said.groupBy("session_id").agg(text.alias("_t")).select("session_id", name.alias("filename"), F.concat(F.lit("# "), head, F.lit("\n\n"), F.col("_t")).alias("note"))
 
 
-#: The statuses that a recommendation may take.
-STATUSES = ("suggested", "added", "dismissed", "read")
+# The statuses that a recommendation may take.
+STATUSES = ("suggested", "seen", "added", "dismissed")
 
 
 def apply_status(recs: DataFrame, transitions: DataFrame) -> tuple[DataFrame, DataFrame]:

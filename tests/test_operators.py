@@ -42,6 +42,10 @@ def test_bands_and_page_numbers(spark):
     (["first, and", "then more"], ["first, and then more"]),
     (["it ended.", "then more"], ["it ended.", "then more"]),
     (["all of it", "Chapter two"], ["all of it", "Chapter two"]),
+    (["he took", "part of the bread"], ["he took part of the bread"]),
+    (["he took,", "section by section"], ["he took, section by section"]),
+    (["in all of it", "2.1.3 more"], ["in all of it", "2.1.3 more"]),
+    (["free at open.org", "CHAPTER 2"], ["free at open.org", "CHAPTER 2"]),
     (["all of it", "1.1 more"], ["all of it", "1.1 more"]),
     (["all of it", "第三章"], ["all of it", "第三章"]),
     (["lower", "Upper"], ["lower", "Upper"]),
@@ -108,18 +112,35 @@ def test_chunks_do_not_cross_sections(spark):
 
 
 @pytest.mark.parametrize("label, number", [
-    ("Chapter 12", 12), ("CHAPTER 3. Home", 3), ("Chapter IV", 4), ("Chapter IIII", None), ("XIV", 14), ("XIV. The End", 14), ("第三章", 3), ("第十二章", 12), ("第二十章", 20),
-    ("第一百零五章", 105), ("第两百章", 200), ("第〇章", None), ("第12章 家", 12), ("Chapter Twenty-One", 21), ("Chapter Two", 2), ("Chapter Ninety", 90), ("7: Again", 7), ("7", 7),
-    ("12 Grimmauld Place", None), ("I am", None), ("Preface", None), ("Chapter 0", None), ("mix", None), (None, None), ("", None)])
+    ("Chapter 12", 12), ("CHAPTER 3. Home", 3), ("chapter 5", 5), ("Chapter 5: The Mill", 5), ("5. The Mill", 5), ("Chapter 108", 108), ("Chapter5", 5), ("Part 2: Title", 2),
+    ("Chapter IV", 4), ("Chapter iv", 4), ("PART ii", 2), ("CHAPTER V. Pigs and Pepper", 5), ("Chapter XIV", 14), ("V.", 5), ("IX", 9), ("XII. A Tale", 12), ("XIV. The End", 14),
+    ("第三章", 3), ("第十二章", 12), ("第二十章", 20), ("第二十一章", 21), ("第一百零五章", 105), ("第一百零八章", 108), ("第两百章", 200), ("第12章 家", 12), ("第五章 新家", 5), ("第一二章", 12),
+    ("Chapter Twenty-One", 21), ("Chapter twenty one", 21), ("Chapter Two", 2), ("CHAPTER FIVE", 5), ("Chapter Ninety", 90), ("7: Again", 7), ("7", 7),
+    ("第三节", None), ("第三回", None), ("第〇章", None), ("第千章", None), ("第零章 Chapter 3", None), ("Chapter IIII", None), ("Chapter VV", None), ("Chapter LL", None), ("iv.", None), ("v", None),
+    ("12 Grimmauld Place", None), ("8 MILL LANE, OLD TOWN, N.E.", None), ("I am", None), ("In the beginning", None), ("Preface", None), ("Chapter 0", None), ("Chapter Five The", None),
+    ("Chapter Ten Five", None), ("mix", None), ("   ", None), (None, None), ("", None)])
 def test_printed_number(spark, label, number):
     assert table(spark, [(label,)], "l string").select(L.printed_number(F.col("l"))).first()[0] == number
 
 
-@pytest.mark.parametrize("label, kind", [
-    ("Chapter 1", "chapter"), ("Prologue", "prologue"), ("尾声", "epilogue"), ("Appendix A", "back_matter"), ("Preface", "front_matter"), ("XI", "chapter"), ("Some words", "other"),
-    ("Chapter 2: Index of lies", "chapter"), ("", "other")])
-def test_section_kind(spark, label, kind):
-    assert table(spark, [(label,)], "l string").select(L.section_kind(F.col("l"))).first()[0] == kind
+@pytest.mark.parametrize("kind, labels", [
+    ("chapter", ["Chapter 1", "Chapter V", "CHAPTER VI. Pigs", "第五章", "第十二章", "Chapter Twenty-One", "5. The Mill", "XI", "CHAPTER I. INTRODUCTION.", "Chapter 3: Notes on Method", "Chapter 2: Index of lies"]),
+    ("prologue", ["Prologue", "PROLOGUE", "Prologue: The Start", "引子", "楔子"]), ("epilogue", ["Epilogue", "EPILOGUE", "尾声", "终章"]),
+    ("front_matter", ["Cover", "Title Page", "Half Title", "Copyright Page", "Contents", "Table of Contents", "Dedication", "Foreword", "Preface to the Third Edition", "Introduction", "Acknowledgments",
+                      "List of Figures", "Frontispiece", "目录", "前言", "序言", "自序", "译者序", "版权", "扉页"]),
+    ("back_matter", ["Appendix", "Appendix A", "Appendix B: Notes on the Text", "Afterword", "Glossary", "Index", "Bibliography", "Colophon", "Notes", "References", "Further Reading", "About the Author",
+                     "附录", "索引", "参考文献", "后记", "作者简介"]),
+    ("other", ["", "   ", None, "Some words", "The First Monday", "8 MILL LANE, OLD TOWN, N.E.", "第三节"])])
+def test_section_kind(spark, kind, labels):
+    df = table(spark, [(x,) for x in labels], "l string").select("l", L.section_kind(F.col("l")).alias("k"))
+    assert {(r["l"], r["k"]) for r in df.collect()} == {(x, kind) for x in labels}
+
+
+@pytest.mark.parametrize("tokens, kind", [
+    ("part", "chapter"), ("acknowledgments", "front_matter"), ("foreword", "foreword"), ("unknown  TOC", "toc"), ("HalfTitlePage", "titlepage"), ("landmarks", "front_matter"), ("loi", "front_matter"),
+    ("lot", "front_matter"), ("preamble", "front_matter"), ("subchapter", "chapter"), ("bodymatter", "chapter"), ("colophon", "back_matter"), ("index", "index"), ("nothing", None), (None, None)])
+def test_structural_kind(spark, tokens, kind):
+    assert table(spark, [(tokens,)], "t string").select(L.structural_kind(F.col("t"))).first()[0] == kind
 
 
 def test_sanitize_label(spark):
@@ -271,7 +292,30 @@ def test_match_catalog_prefers_the_book(spark):
     assert got(G.match_catalog(wanted, table(spark, vols[:1], cols)), "volume_id") == [(1,)]
 
 
-@pytest.mark.parametrize("text, keep", [("What drives the captain?", True), ("hello there old friend", False), ("short", False), ("为什么船长要追那条白鲸呢", True), ("twowords only", False)])
+def test_match_catalog_cases(spark):
+    cols = "volume_id int, title string, subtitle string, publisher string, author string, description string"
+
+    def best(author, *vols):
+        rows = [(i, *v) for i, v in enumerate(vols)]
+        return got(G.match_catalog(table(spark, [(1, "Tiny Habits, Big Gains", author)], "pick_id int, title string, author string"), table(spark, rows, cols)), "volume_id", "score")
+
+    title = "Tiny Habits, Big Gains"
+    assert best("James Clay", ("Summary of " + title, None, None, "Reader Publishing", "A summary."), (title, None, None, "James Clay", "The book.")) == [(1, 13.5)]
+    assert best("James Clay", (title, "A Study Guide and Workbook", None, "Notes House", None), (title, None, None, "James Clay", "x")) == [(1, 13.5)]
+    assert best("James Clay", (title, None, None, "James Clay", None), (title, None, None, "James Clay", "x")) == [(1, 13.5)]
+    assert best("Real Author", ("Summary of " + title, None, None, "X Publishing", None)) == [(0, -3.0)]
+    for mark in ("Key Takeaways", "Conversation Starters", "SparkNotes", "CliffsNotes", "Cliffnotes", "Quicklet", "Sidekick", "Instaread", "Blinkist", "Summaries", "Trivia", "Analysis"):
+        assert best(None, (title, None, f"by {mark} Inc", "A", None)) == [(0, 2.0)]
+    # companions and quizzes are books like any other; an author counts by whole words
+    assert best("Clay", (title, "A Companion Quiz", None, "Claymore", None)) == [(0, 10.0)]
+    assert best("Clay", (None, None, None, "Clay", "x"), (" ", None, None, "Clay", "x")) == []
+
+
+@pytest.mark.parametrize("text, keep", [
+    ("What drives the captain?", True), ("hello there old friend", False), ("short", False), ("为什么船长要追那条白鲸呢", True), ("twowords only", False), ("tell me", False),
+    ("How much have I read?", False), ("how far have I read so far", False), ("Summarise this book for me.", False), ("So what's this book about?", False), ("Hi! Nice to meet you. What are you?", False),
+    ("please export these notes as pdf", False), ("Show my progress please", False), ("你好，以后请叫我小李吧", False), ("请给我介绍下这本书好吗", False), ("No country for the old men?", True),
+    ("Thanks, and who kills the whale?", True), ("tell me about the King of Spades", True), ("我最近在思考习惯对认知的影响", True)])
 def test_is_interest(spark, text, keep):
     assert table(spark, [(text,)], "t string").select(G.is_interest(F.col("t"))).first()[0] is keep
 
@@ -293,9 +337,9 @@ def test_replace_books(spark):
 
 def test_status_transitions(spark):
     recs = table(spark, [(1, "suggested"), (2, "suggested")], "id int, status string")
-    moves = table(spark, [(1, "added", 1, 0), (1, "read", 2, 0), (1, "bogus", 3, 0), (7, "added", 1, 0)], "id int, status string, ts int, seq int")
+    moves = table(spark, [(1, "added", 1, 0), (1, "seen", 2, 0), (1, "read", 3, 0), (1, "bogus", 4, 0), (7, "added", 1, 0)], "id int, status string, ts int, seq int")
     now, missing = store.apply_status(recs, moves)
-    assert got(now, "id", "status") == [(1, "read"), (2, "suggested")] and got(missing, "id") == [(7,)]
+    assert got(now, "id", "status") == [(1, "seen"), (2, "suggested")] and got(missing, "id") == [(7,)]
 
 
 def test_map_text_survives_failures(spark):
@@ -306,3 +350,29 @@ def test_map_text_survives_failures(spark):
 
     df = table(spark, [(1, "a"), (2, None)], "id int, t string").coalesce(1)
     assert got(hooks.map_text(df, "t", shout, "out", "-"), "id", "out", "out_error") == [(1, "A", None), (2, "-", "ValueError")]
+
+
+def test_intents(spark):
+    import json
+
+    responses = [
+        {"kind": "chapter_summary", "chapter_number": 5, "search_query": None, "export_format": None}, {"kind": "search", "search_query": None}, {"kind": "export_notes"},
+        {"kind": "export_notes", "export_format": "pdf"}, {"kind": "reading_progress", "search_query": None}, {"kind": "book_overview", "search_query": ""}, {"kind": "smalltalk"}, None,
+        {"kind": "search", "search_query": "fate", "ambiguous": True, "clarify_question": "Who?", "clarify_options": ["Ann", "Bob"]},
+        {"kind": "smalltalk", "ambiguous": True, "clarify_question": "which one?", "clarify_options": ["a", "b"]},
+        {"kind": "search", "search_query": "x", "ambiguous": True, "clarify_question": None},
+        {"kind": "search", "search_query": "x", "ambiguous": True, "clarify_question": "who?", "clarify_options": ["a", "b", "c", "d", "e", 6], "clarify_multi": True},
+        {"kind": "smalltalk", "memory_note": " is called Li ", "memory_note_type": "fact"}, {"kind": "search", "search_query": "q", "memory_note": "likes whales"},
+        {"kind": "search", "search_query": "q", "memory_note": " ", "memory_note_type": "fact"}, {"kind": "chapter", "memory_note": "lost"}, {"kind": "chapter_summary", "chapter_number": "five"}]
+    df = table(spark, [(i, f"message {i}", json.dumps(r) if r else "broken") for i, r in enumerate(responses)], "key int, message string, response string")
+    r = {x["key"]: x for x in A.coerce_intents(df).collect()}
+    first = lambda *names: [tuple(r[i][n] for n in names) for i in range(len(r))]
+    assert first("kind", "chapter_number", "search_query", "export_format") == [
+        ("chapter_summary", 5, None, None), ("search", None, "message 1", None), ("export_notes", None, None, "markdown"), ("export_notes", None, None, "pdf"), ("reading_progress", None, None, None),
+        ("book_overview", None, "message 5", None), ("smalltalk", None, None, None), ("search", None, "message 7", None), ("search", None, "fate", None), ("smalltalk", None, None, None),
+        ("search", None, "x", None), ("search", None, "x", None), ("smalltalk", None, None, None), ("search", None, "q", None), ("search", None, "q", None), ("search", None, "message 15", None),
+        ("chapter_summary", None, None, None)]
+    unclear = {8: ("Who?", ["Ann", "Bob"], False), 11: ("who?", ["a", "b", "c", "d"], True)}
+    assert {i: (x["clarify_question"], x["clarify_options"], x["clarify_multi"]) for i, x in r.items() if x["ambiguous"]} == unclear
+    assert all((x["clarify_question"], x["clarify_options"], x["clarify_multi"]) == (None, [], False) for i, x in r.items() if i not in unclear)
+    assert {i: (x["memory_note"], x["memory_note_type"]) for i, x in r.items() if x["memory_note"]} == {12: ("is called Li", "fact"), 13: ("likes whales", "interest")}
