@@ -35,6 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def pack(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, _rest): doc_id as long, text as string, and all other columns inside one struct, where their names clash with nothing."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("doc_id", "text")]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.struct(*rest) if rest else F.lit(None).cast("int")).alias("_rest"))
+
+
+def unpack(packed: DataFrame, docs: DataFrame, *outputs: str) -> DataFrame:
+    """The columns of ``docs`` in their order, then ``outputs``, which replace columns of the same name."""
+    taken = {x.lower() for x in outputs}
+    own = [F.col(c.lower()).alias(c) if c.lower() in ("doc_id", "text") else F.col("_rest").getField(c).alias(c) for c in docs.columns if c.lower() not in taken]
+    return packed.select(*own, *outputs)
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a DataFrame to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}"

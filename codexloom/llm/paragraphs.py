@@ -14,7 +14,8 @@ meet in one task. Links are joined to components, and of each component only the
 Defined cases: a null text stays null, with no paragraphs; shorter lines are never touched; a
 paragraph repeated within a document stays once; repeated rows of a doc_id are told apart by
 their row and the earlier one keeps; a null doc_id sorts first; an empty table gives an empty
-result; other columns pass through ``drop_near_paragraphs``.
+result; other columns pass through ``drop_near_paragraphs``, except that its n_removed replaces a
+column of that name.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexloom.llm.common import ASCII_LOWER, components, partitions, stage
+from codexloom.llm.common import ASCII_LOWER, components, pack, partitions, stage, unpack
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: From here on a line has a shingle and so a similarity.
@@ -90,8 +91,8 @@ def band_keys(paragraphs: list[bytes], a: np.ndarray = _A, b: np.ndarray = _B, r
     return keys.view(np.int64)
 
 
-def paragraph_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(_row, doc_id, pos, h, bands) of every paragraph."""
+def paragraph_table(docs: DataFrame, min_words: int = MIN_WORDS, with_bands: bool = True) -> DataFrame:
+    """(_row, doc_id, pos, h) of every paragraph, and its bands if wanted."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,12 +111,14 @@ def paragraph_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     def _batch(own: list) -> pa.RecordBatch:
         texts = [x[3] for x in own]
-        bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(own) + 1) * BANDS, BANDS), pa.int32()), pa.array(band_keys(texts).ravel()))
-        return pa.RecordBatch.from_arrays([
-            pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.int64()), pa.array([x[2] for x in own], pa.int32()),
-            pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), bands], names=["_row", "doc_id", "pos", "h", "bands"])
+        out = {"_row": pa.array([x[0] for x in own], pa.int64()), "doc_id": pa.array([x[1] for x in own], pa.int64()), "pos": pa.array([x[2] for x in own], pa.int32()),
+               "h": pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary())}
+        if with_bands:
+            out["bands"] = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(own) + 1) * BANDS, BANDS), pa.int32()), pa.array(band_keys(texts).ravel()))
+        return pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    return docs.select("_row", "doc_id", F.col("text").cast("string")).mapInArrow(emit, "_row long, doc_id long, pos int, h binary, bands array<long>")
+    schema = "_row long, doc_id long, pos int, h binary" + (", bands array<long>" if with_bands else "")
+    return docs.select("_row", "doc_id", "text").mapInArrow(emit, schema)
 
 
 def class_texts(docs: DataFrame, wanted: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -258,19 +261,22 @@ def similar_classes(docs: DataFrame, classes: DataFrame, min_words: int = MIN_WO
     In a larger one all are held against a leader, the member that shares most buckets, and all
     others are dealt into finer buckets. Finer ones that stay large are compared in blocks.
     """
-    rows, texts, found = classes.select("pid", F.col("pid").alias("root"), F.explode("bands").alias("key")), None, None
+    rows, texts, found = classes.select(F.explode("bands").alias("key"), "pid"), None, None
     for last in (False, True):
-        sizes = rows.groupBy("key").agg(
-            F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("pid")).alias("x"), F.min("pid").alias("m"), F.min("root").alias("r"), F.max("root").alias("s"))
+        # most keys have one member and go here; both sides are plain shuffles, so a bucket with a large share of the rows is split at run time
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        met = rows.join(sizes, "key")
+        met = stage(met if last else met.withColumn("root", F.col("pid")), "met")
+        lists = met.where(F.col("n") <= bucket).groupBy("key").agg(
+            F.sort_array(F.collect_list(F.struct("pid", "root"))).alias("own"), F.min("root").alias("r"), F.max("root").alias("s"))
         # members of one component have no link to find
-        sizes = stage(sizes.where("n > 1 and r < s").drop("r", "s"), "sizes")
-        once = stage(sizes.where(F.col("n") <= bucket).groupBy("n", "x", "m").agg(F.min("key").alias("key")).select("key"), "once")
-        large = sizes.where(F.col("n") > bucket).groupBy("n", "x", "m").agg(F.min("key").alias("key"))
-        large = stage(large.select("key", "n"), "large")
-        small = stage(rows.join(once, "key").select("key", "pid", "root"), "small")
+        once = lists.where("r < s").groupBy("own").agg(F.min("key").alias("key"))
+        small = stage(once.select("key", F.explode("own").alias("m")).select("key", "m.pid", "m.root"), "small")
+        large = met.where(F.col("n") > bucket).groupBy("key").agg(
+            F.first("n").alias("n"), F.bit_xor(F.xxhash64("pid")).alias("x"), F.min("pid").alias("m"), F.min("root").alias("r"), F.max("root").alias("s"))
+        large = stage(large.where("r < s").groupBy("n", "x", "m").agg(F.min("key").alias("key")).select("key"), "large")
         more = not large.isEmpty()
-        # both sides are plain shuffles, so a bucket with a large share of the rows is split at run time
-        members = stage(rows.join(large, "key").select("key", "n", "pid"), "members") if more else None
+        members = stage(met.join(large, "key").select("key", "n", "pid"), "members") if more else None
         if texts is None:
             ids = small.select("pid").unionByName(members.select("pid")) if more else small.select("pid")
             wanted = classes.select("pid", "_row", "pos").join(ids.distinct(), "pid", "left_semi")
@@ -294,31 +300,37 @@ def similar_classes(docs: DataFrame, classes: DataFrame, min_words: int = MIN_WO
 
 def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(_row, pos) of the paragraphs to remove; docs need a unique _row that follows their order."""
-    table = stage(paragraph_table(docs, min_words), "paragraphs")
     order = F.struct("doc_id", "_row", "pos")
-    classes = table.groupBy("h").agg(F.min(order).alias("at"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    classes = paragraph_table(docs, min_words).groupBy("h").agg(F.min(order).alias("at"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
     classes = stage(classes.select(F.monotonically_increasing_id().alias("pid"), "h", "at", "n", "bands"), "classes")
     roots = similar_classes(docs, classes.select("pid", "at._row", "at.pos", "bands"), min_words)
     joined = classes.select("pid", "h", "at", "n").join(roots.withColumnRenamed("node", "pid"), "pid", "left")
     joined = stage(joined.select("h", "at", "n", F.coalesce("root", "pid").alias("root")), "joined")
     first = stage(joined.groupBy("root").agg(F.min("at").alias("keep"), F.sum("n").alias("n")).where("n > 1").select("root", "keep"), "first")
     keep = stage(joined.select("h", "root").join(first, "root").select("h", "keep"), "keep")
+    # found a second time, without bands, which are most of a paragraph's bytes
+    table = paragraph_table(docs, min_words, with_bands=False)
     lost = table.select("_row", "pos", "h").join(keep, "h").where("not (_row = keep._row and pos = keep.pos)")
     return lost.select("_row", "pos")
 
 
 def drop_near_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs without their near-duplicate paragraphs, with n_removed, the number of paragraphs removed."""
-    names = docs.columns
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("_row", F.monotonically_increasing_id())
-    docs = stage(docs, "numbered")
-    lost = repeated_paragraphs(docs, min_words).groupBy("_row").agg(F.collect_list("pos").alias("_lost"))
-    lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("_lost"), i))
-    text = F.when(F.col("_lost").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    got = docs.join(lost, "_row", "left")
-    return got.select(*[text.alias("text") if n == "text" else F.col(n) for n in names],
-                      F.when(F.col("_lost").isNull(), 0).otherwise(F.size("_lost")).cast("long").alias("n_removed"))
+    packed = stage(pack(docs).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    lost = repeated_paragraphs(packed, min_words).groupBy("_row").agg(F.collect_list("pos").alias("_lost"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, counts = [], []
+            for text, own in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("_lost").to_pylist()):
+                gone = set(own or ())
+                texts.append(b"\n".join(line for i, line in enumerate(text.split(b"\n")) if i not in gone) if gone else text)
+                counts.append(len(gone))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string()), batch.column("_rest"), pa.array(counts, pa.int64())],
+                                             names=["doc_id", "text", "_rest", "n_removed"])
+
+    got = packed.join(lost, "_row", "left").select("doc_id", "text", "_rest", "_lost")
+    return unpack(got.mapInArrow(cut, f"doc_id long, text string, _rest {packed.schema['_rest'].dataType.simpleString()}, n_removed long"), docs, "n_removed")
 
 
 def op3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
