@@ -8,7 +8,8 @@ own pieces.
 
 Defined cases: a null or empty text gives no ids; strings that look like special tokens are
 ordinary text; very long texts are encoded pre-token by pre-token; repeated rows and other
-columns pass through; an empty table gives an empty result.
+columns pass through, except that the operator's own columns replace columns of their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from codexloom.llm.common import pack, unpack, with_fields
+
 #: Pre-tokens kept per task.
 CACHE = 200_000
 
@@ -125,7 +128,9 @@ def bpe_encode(docs: DataFrame, ranks: str, pattern: str, with_ids: bool = True)
     size is that of the vocabulary.
     """
     held = docs.sparkSession.sparkContext.broadcast(sentencepiece_model(read_ranks(ranks)))
-    names = docs.columns
+    packed = pack(docs)
+    names = packed.columns if with_ids else ["doc_id", "_rest"]
+    more = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(held.value, pattern)
@@ -140,17 +145,15 @@ def bpe_encode(docs: DataFrame, ranks: str, pattern: str, with_ids: bool = True)
                 if with_ids:
                     ids.append(np.frombuffer(raw, "<u4").astype(np.int32))
                     decoded.append(back)
-            out = {x: batch.column(x) for x in names} if with_ids else {x: batch.column(x) for x in names if x != "text"}
+            out = {x: batch.column(x) for x in names}
             out |= {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(dec_sha, pa.string())}
             if with_ids:
                 out |= {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.binary()).cast(pa.string())}
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields if with_ids or f.name != "text"}
-    kinds |= {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
-    if with_ids:
-        kinds |= {"ids": "array<int>", "decoded": "string"}
-    return docs.mapInArrow(emit, ", ".join(f"`{n}` {t}" for n, t in kinds.items()))
+    got = packed.mapInArrow(emit, with_fields(packed, names, more))
+    outputs = [x.split()[0] for x in more.split(", ")]
+    return unpack(got, docs if with_ids else docs.drop("text"), *outputs)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:

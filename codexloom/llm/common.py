@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -48,6 +49,11 @@ def unpack(packed: DataFrame, docs: DataFrame, *outputs: str) -> DataFrame:
     return packed.select(*own, *outputs)
 
 
+def with_fields(docs: DataFrame, columns: list[str], more: str) -> StructType:
+    """The schema of some of the columns, followed by the fields of a DDL string."""
+    return StructType([docs.schema[c] for c in columns] + (StructType.fromDDL(more).fields if more else []))
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a DataFrame to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}"

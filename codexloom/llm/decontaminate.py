@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexloom.llm.common import stage
+from codexloom.llm.common import pack, stage, unpack, with_fields
 
 WINDOW, BLOCK, SHARD = 10, 20_000, 1 << 21
 #: Words are digits, a-z and everything beyond ASCII, after lower-casing A-Z.
@@ -279,19 +279,17 @@ def cut_words(text: bytes, spans: list) -> bytes:
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with the benchmark's words cut out of every text; all rows stay."""
-    docs = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = stage(leaks(docs, benchmark, key="_row").where(F.size("spans") > 0).select("_row", "spans"), "spans")
-    hit = docs.join(found, "_row")
-    names = [f.name for f in docs.schema if f.name != "_row"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "_row")
+    packed = stage(pack(docs).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = stage(leaks(packed, benchmark, key="_row").where(F.size("spans") > 0).select("_row", "spans"), "spans")
+    names = ["doc_id", "text", "_rest"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [cut_words(t.as_py(), s) for t, s in zip(batch.column("text").cast(pa.binary()), batch.column("spans").to_pylist())]
-            cols = {n: batch.column(n) for n in names} | {"text": pa.array(texts, pa.binary()).cast(pa.string())}
-            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string()), batch.column("_rest")], names=names)
 
-    return docs.join(found.select("_row"), "_row", "left_anti").select(*names).unionByName(hit.mapInArrow(emit, schema))
+    cut = packed.join(found, "_row").mapInArrow(emit, with_fields(packed, names, ""))
+    return unpack(packed.join(found.select("_row"), "_row", "left_anti").select(*names).unionByName(cut), docs)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

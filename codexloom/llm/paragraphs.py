@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexloom.llm.common import ASCII_LOWER, components, pack, partitions, stage, unpack
+from codexloom.llm.common import ASCII_LOWER, components, pack, partitions, stage, unpack, with_fields
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: From here on a line has a shingle and so a similarity.
@@ -330,7 +330,7 @@ def drop_near_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFra
                                              names=["doc_id", "text", "_rest", "n_removed"])
 
     got = packed.join(lost, "_row", "left").select("doc_id", "text", "_rest", "_lost")
-    return unpack(got.mapInArrow(cut, f"doc_id long, text string, _rest {packed.schema['_rest'].dataType.simpleString()}, n_removed long"), docs, "n_removed")
+    return unpack(got.mapInArrow(cut, with_fields(packed, ["doc_id", "text", "_rest"], "n_removed long")), docs, "n_removed")
 
 
 def op3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,10 @@ hash of doc_id; everything is scored.
 
 Defined cases: null and empty texts have zero words and are scored by the intercept and the
 structure statistics; rows labelled null are not learnt from; repeated document rows are scored
-each; a document labelled twice counts once, by its smaller label; with no labelled rows, or rows
-of one class only, the score is the share of the labels seen so far (0.5 if none); other columns
-pass through ``score_documents``.
+each; a document labelled twice counts once, by its smaller label, and of rows that repeat a labelled
+doc_id one text is learnt from, chosen by its hash; with no labelled rows, or rows of one class
+only, the score is the share of the labels seen so far (0.5 if none); other columns pass through
+``score_documents``, except that its score replaces a column of that name.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codexloom.llm.common import pack, unpack, with_fields
+
 #: The most labelled documents that the model is fitted on.
 SAMPLE = 4000
 THRESHOLD = 0.3
@@ -185,8 +188,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
                     names=["doc_id", "quality", "buckets", "counts", "dense"])
                 base += len(own)
 
-    rows = text.join(F.broadcast(known), "doc_id").mapInArrow(count, "doc_id long, quality int, buckets array<int>, counts array<int>, dense array<double>")
-    rows = sorted({r["doc_id"]: r for r in rows.collect()}.values(), key=lambda r: r["doc_id"])
+    # one text per document, however often its row repeats
+    text = text.join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = text.mapInArrow(count, "doc_id long, quality int, buckets array<int>, counts array<int>, dense array<double>")
+    rows = sorted(rows.collect(), key=lambda r: r["doc_id"])
     words = np.zeros((len(rows), BUCKETS), np.float32)
     for k, r in enumerate(rows):
         words[k, r["buckets"]] = r["counts"]
@@ -196,16 +201,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
 def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
     """docs with score: the probability that a text is labelled 1."""
-    held = docs.sparkSession.sparkContext.broadcast(machine)
-    names = docs.columns
+    held, packed = docs.sparkSession.sparkContext.broadcast(machine), pack(docs)
+    names = [*packed.columns, "score"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = held.value.score([x.as_py() or b"" for x in batch.column("text").cast(pa.binary())])
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(scores, pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(emit, f"{schema}, score double")
+    return unpack(packed.mapInArrow(emit, with_fields(packed, packed.columns, "score double")), docs, "score")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

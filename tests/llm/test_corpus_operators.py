@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -409,12 +410,39 @@ def test_line_dedup_of_awkward_documents(spark, awkward, room):
 def test_perfect_hash():
     rng = np.random.default_rng(4)
     for n in (0, 1, 63, 64, 5000):
-        keys = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
-        index = line_dedup.LineIndex(keys, np.arange(len(keys)), np.arange(len(keys)) * 2, np.arange(len(keys)) * 3)
-        found, count, ids = index.probe(keys, np.arange(len(keys)))
-        assert found.all() and (count == np.arange(len(keys)) * 2).all() and (ids == np.arange(len(keys)) * 3).all()
-        other = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
-        assert not index.probe(other, np.full(1000, -1))[0].any()
+        keys = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+        n = len(keys)
+        # the second half repeats 64 bits of the first half, once as key and once as print
+        prints = rng.integers(-(1 << 62), 1 << 62, n)
+        keys, prints = np.concatenate((keys, keys)), np.concatenate((prints, rng.integers(-(1 << 62), 1 << 62, n)))
+        prints[:n // 2] = 7
+        index = line_dedup.LineIndex(keys, prints, np.arange(2 * n) * 2, np.arange(2 * n) * 3)
+        index = pickle.loads(pickle.dumps(index, protocol=5))
+        found, count, ids = index.probe(keys, prints)
+        assert found.all() and (count == np.arange(2 * n) * 2).all() and (ids == np.arange(2 * n) * 3).all()
+        assert not index.probe(rng.integers(0, 1 << 62, 1000), np.full(1000, -1))[0].any()
+    assert not hasattr(index, "keys")
+
+
+@pytest.mark.parametrize("room", [1 << 20, 0])
+@pytest.mark.parametrize("at_least", [2, 3, 5])
+def test_lines_against_brute_force(spark, room, at_least):
+    rng = np.random.default_rng(at_least)
+    line = lambda i: f"  Shared Line number {i} with more than forty characters \t"
+    docs = [(int(rng.integers(60)), "\n".join(line(int(i)) if i < 30 else f"own {i}" for i in rng.integers(0, 60, 12))) for _ in range(80)] + [(None, line(1)), (None, line(1)), (99, line(2) + "\n" + line(2).upper())]
+    key = lambda x: lower(x.strip(" \t"))
+    held = {}
+    for d, t in docs:
+        for x in t.split("\n"):
+            if len(key(x)) >= 40:
+                held.setdefault(key(x), set()).add(-1 if d is None else d)
+    want = []
+    for d, t in docs:
+        lost = lambda x: len(held.get(key(x), ())) >= at_least and max(held[key(x)]) != (-1 if d is None else d)
+        stay = [x for x in t.split("\n") if not lost(x)]
+        want.append((str(d), "\n".join(stay), len(t.split("\n")), len(t.split("\n")) - len(stay)))
+    got = line_dedup.drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"), min_docs=at_least, broadcast_bytes=room, per_shard=8).collect()
+    assert sorted((str(r["doc_id"]), r["text"], r["n_lines"], r["n_dropped"]) for r in got) == sorted(want)
 
 
 # decontamination
