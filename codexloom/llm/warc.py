@@ -1,29 +1,36 @@
 """WARC archives: writing with payload revisits, and a salvage reader.
 
-Archives are WARC/1.1 files. Spark's text sink writes one record per row, so any store that Spark
-can write to will do; ``maxRecordsPerFile`` bounds a file. The reader takes whole files
-(``binaryFile``) or a DataFrame (path, content) and parses them in Arrow batches. Plain files,
-gzip members per record and gzip members of many records are all understood. Every record is
-checked (version line, header fields, length, terminator, payload digest). After a failed check
-the reader searches for the next version line or gzip member that parses, recovers from there and
-logs the bytes between as a quarantined gap.
+Archives are WARC/1.1 files in which every record is a gzip member of its own, so damage to one
+record costs that record alone. They are written by a Python data source whose tasks write files
+under hidden names that the commit renames, so a lost or repeated task leaves nothing behind that
+is read. The reader takes whole files (``binaryFile``) or a DataFrame (path, content) and parses
+them in Arrow batches. Plain files, gzip members per record and gzip members of many records are all
+understood; a member is held in memory while it is read. Every record is checked (version line,
+header fields, length, terminator, payload digest). After a failed check the reader searches for
+the next version line or gzip member that parses, recovers from there and logs the bytes between
+as a quarantined gap.
 
 Defined cases: a null html gives an empty payload; an empty table gives no records; of equal
 payloads the greatest page_id is the response (a null id is the least and is written empty);
 repeated rows with the response's id are responses as well; other columns are ignored; a file
-without any record gives one gap over all its bytes, an empty file gives nothing.
+without any record gives one gap over all its bytes, an empty file gives nothing. ``op2_warc``
+fails if an archive that it has just written shows a gap.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.window import Window
 
 from codexloom.llm.common import shared_dir, with_salt
@@ -63,7 +70,7 @@ def _urn(c: Column) -> Column:
 
 
 def records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """One WARC record per page as text (record), without its last line feed, which the sink adds."""
+    """One WARC record per page as text (record)."""
     p = mark_revisits(pages, min_bytes)
     again = F.col("refers_to").isNotNull()
     block = F.concat(F.lit(HTTP_HEAD), F.when(again, F.lit("")).otherwise(F.col("html")))
@@ -80,13 +87,68 @@ def records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES, date: str = "1
         _field("X-Payload-Length", F.col("payload_bytes").cast("string")),
         F.lit(f"Content-Type: application/http; msgtype=response{CRLF}"),
         _field("Content-Length", F.octet_length(block).cast("string")), F.lit(CRLF))
-    return p.select(F.concat(head, block, F.lit("\r\n\r")).alias("record"))
+    return p.select(F.concat(head, block, F.lit("\r\n\r\n")).alias("record"))
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    files: list[tuple[str, str]]
+
+
+class _MemberWriter(DataSourceArrowWriter):
+    """Each record of column ``record`` as a gzip member, in files of at most ``per_file`` members."""
+
+    def __init__(self, path: str, per_file: int):
+        self.path, self.per_file = path, per_file
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        fs, root = FileSystem.from_uri(self.path)
+        fs.create_dir(root)
+        files, out, n = [], None, 0
+        for batch in iterator:
+            for record in batch.column("record").cast(pa.binary()):
+                if out is None or n == self.per_file:
+                    if out is not None:
+                        out.close()
+                    name = uuid.uuid4().hex
+                    files.append((f"{root}/_{name}.warc.gz", f"{root}/part-{name}.warc.gz"))
+                    out, n = fs.open_output_stream(files[-1][0], compression=None), 0
+                c = zlib.compressobj(wbits=31)
+                out.write(c.compress(record.as_py()) + c.flush())
+                n += 1
+        if out is not None:
+            out.close()
+        return _Written(files)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        fs, root = FileSystem.from_uri(self.path)
+        fs.create_dir(root)
+        for m in messages:
+            for hidden, name in m.files if m else ():
+                fs.move(hidden, name)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        fs, _ = FileSystem.from_uri(self.path)
+        for m in messages:
+            for hidden, _ in m.files if m else ():
+                fs.delete_file(hidden)
+
+
+class WarcSink(DataSource):
+    """Sink ``warc_members`` (options path, per_file) for a DataFrame (record)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "warc_members"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return _MemberWriter(self.options["path"], int(self.options.get("per_file", "1000")))
 
 
 def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, per_file: int = 1000) -> None:
-    """Write pages as gzip-compressed archives of at most ``per_file`` records each under ``path``."""
-    (records(pages, min_bytes).write.option("lineSep", "\n").option("compression", "gzip")
-        .option("maxRecordsPerFile", per_file).text(path))
+    """Write pages as archives of at most ``per_file`` gzip members, one per record, under ``path``."""
+    pages.sparkSession.dataSource.register(WarcSink)
+    records(pages, min_bytes).write.format("warc_members").option("per_file", per_file).mode("append").save(path)
 
 
 RECORD_SCHEMA = ("path string, kind string, offset long, inner_offset long, length long, record_type string, record_id string, "
@@ -165,6 +227,8 @@ def _member(data: bytes, pos: int) -> tuple[int, bytes, bool]:
 def salvage(data: bytes, zipped: bool = True) -> Iterator[tuple]:
     """Yield ("record", offset, inner, length, fields, payload, digest) and ("gap", offset, inner, length, why)."""
     pos, gap, why = 0, None, ""
+    marks = [b"WARC/1.", _MEMBER] if zipped else [b"WARC/1."]
+    ahead = dict.fromkeys(marks, -1)
     while pos < len(data):
         found, end = [], pos
         if zipped and data.startswith(_MEMBER, pos):
@@ -193,8 +257,12 @@ def salvage(data: bytes, zipped: bool = True) -> Iterator[tuple]:
             pos = end
             continue
         gap = gap or (pos, why)
-        ahead = [data.find(b"WARC/1.", pos + 1)] + ([data.find(_MEMBER, pos + 1)] if zipped else [])
-        pos = min((x for x in ahead if x >= 0), default=len(data))
+        # each mark is looked for again only once it has been passed, so the search stays linear
+        for mark, at in ahead.items():
+            if at <= pos:
+                at = data.find(mark, pos + 1)
+                ahead[mark] = at if at >= 0 else len(data)
+        pos = min(ahead.values())
     if gap is not None:
         yield "gap", gap[0], 0, len(data) - gap[0], gap[1]
 
@@ -227,7 +295,9 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc"
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    got = read_warc(files, with_payload=False).where("kind = 'record'")
+    got = read_warc(files, with_payload=False)
+    torn = F.raise_error(F.concat(F.lit("a gap in an archive just written: "), F.coalesce("path", F.lit("")), F.lit(" "), F.coalesce("note", F.lit(""))))
+    got = got.withColumn("record_id", F.when(F.col("kind") == "gap", torn).otherwise(F.col("record_id")))
     number = lambda c: F.substring(c, len(URN) + 1, 40).cast("long")
     return got.select(number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                       number(F.col("refers_to")).alias("refers_to"))

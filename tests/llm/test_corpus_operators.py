@@ -175,6 +175,40 @@ def test_damaged_member_of_many_records():
     assert found(half + b"\xff" * 50) == [f"<urn:{i}>" for i in range(200)]
 
 
+def test_one_damaged_byte_of_an_archive(spark):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>page {i} " + "text " * i) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    path = f"{common.shared_dir(spark)}/warc"
+    warc.write_warc(pages, path, per_file=25)
+    files = sorted((len(bytes(r["content"])), r["path"], bytes(r["content"])) for r in spark.read.format("binaryFile").load(path).collect())
+    assert len(files) == 2
+    data = files[-1][2]
+    whole = list(warc.salvage(data))
+    assert [x[0] for x in whole] == ["record"] * 25 and data.count(b"\x1f\x8b\x08") == 25
+    starts = [m.start() for m in re.finditer(b"\x1f\x8b\x08", data)] + [len(data)]
+    rng = np.random.default_rng(3)
+    for at in [int(x) for x in rng.integers(0, len(data), 60)] + [0, 3, len(data) - 1]:
+        bad = bytearray(data)
+        bad[at] ^= 1 + at % 255
+        got = list(warc.salvage(bytes(bad)))
+        gaps, member = [x for x in got if x[0] == "gap"], max(i for i, x in enumerate(starts) if x <= at)
+        ids = {x[4]["warc-record-id"] for x in got if x[0] == "record"}
+        lost = [i for i, x in enumerate(whole) if x[4]["warc-record-id"] not in ids]
+        # only the damaged member can be lost; damage to its frame alone leaves its record whole
+        assert lost in ([], [member])
+        if lost:
+            assert sum(x[3] for x in gaps) == starts[member + 1] - starts[member] or (len(gaps) == 1 and gaps[0][1] == starts[member])
+        else:
+            assert len(gaps) <= 1
+
+
+def test_search_for_records_is_linear():
+    import time
+
+    data = b"\x1f\x8b\x08junk" * 30_000
+    began = time.time()
+    assert [x[0] for x in warc.salvage(data)] == ["gap"] and time.time() - began < 20
+
+
 def test_archives_of_awkward_pages(spark):
     big = "é" * 600
     pages = [(1, "u", big), (2, "u\r\nx", big), (3, None, None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "u", big), (None, "u", big)]
