@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -36,6 +37,45 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Staged folders and bucketed tables of this process, for ``release``.
+_STAGED: list[tuple[str, str]] = []
+
+
+def staged(path: str, table: str = "") -> str:
+    """Note a path, and the table in it, for ``release``."""
+    _STAGED.append((path, table))
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Drop all that the operators have staged so far; call it once their results have been written.
+
+    Results that are still lazy read from what is staged and must not be used afterwards.
+    """
+    while _STAGED:
+        path, table = _STAGED.pop()
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        fs, root = FileSystem.from_uri(path)
+        if fs.get_file_info(root).type != FileType.NotFound:
+            fs.delete_dir(root)
+
+
+def written(path: str) -> bool:
+    """Whether a Spark write to path has been committed."""
+    fs, root = FileSystem.from_uri(path)
+    return any(f.base_name == "_SUCCESS" for f in fs.get_file_info(FileSelector(root, allow_not_found=True)))
+
+
+def bucketed(df: DataFrame, column: str) -> DataFrame:
+    """The rows as a table in the shared folder, bucketed and sorted by a column, so that joins on it do not move them again."""
+    spark, n = df.sparkSession, partitions(df.sparkSession)
+    own = f"codexloom_{uuid.uuid4().hex}"
+    path = staged(f"{shared_dir(spark)}/{own}", own)
+    (df.repartition(n, column).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, column).sortBy(column).saveAsTable(own))
+    return spark.table(own)
+
+
 def pack(docs: DataFrame) -> DataFrame:
     """(doc_id, text, _rest): doc_id as long, text as string, and all other columns inside one struct, where their names clash with nothing."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("doc_id", "text")]
@@ -56,7 +96,7 @@ def with_fields(docs: DataFrame, columns: list[str], more: str) -> StructType:
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a DataFrame to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
+    path = f"{staged(shared_dir(df.sparkSession))}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

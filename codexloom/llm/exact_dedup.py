@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codexloom.llm.common import ascii_lower, partitions, stage, with_salt
+from codexloom.llm.common import ascii_lower, partitions, shared_dir, stage, staged, with_salt
 
 
 def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,11 +29,18 @@ def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class DigestIndex:
-    """A persistent table (digest, keep_id), bucketed and sorted by digest."""
+    """A persistent table (digest, keep_id), bucketed and sorted by digest.
 
-    def __init__(self, spark: SparkSession, table: str | None = None, buckets: int | None = None):
+    A named table lives in the warehouse, or under ``path``, and stays. Without a name it is one of
+    this session in the shared folder, which ``common.release`` drops.
+    """
+
+    def __init__(self, spark: SparkSession, table: str | None = None, buckets: int | None = None, path: str | None = None):
         self.spark = spark
-        self.table = table or f"codexloom_digests_{uuid.uuid4().hex}"
+        self.table, self.path = table or f"codexloom_digests_{uuid.uuid4().hex}", path
+        if table is None and path is None:
+            self.path = f"{shared_dir(spark)}/{self.table}"
+            staged(self.path, self.table)
         self.buckets = buckets or partitions(spark)
 
     def exists(self) -> bool:
@@ -49,8 +56,9 @@ class DigestIndex:
             new = new.hint("merge").join(self.read().select("digest"), "digest", "left_anti")
         new = stage(new.select("digest", "keep_id"), "appended")
         # one file per bucket: the rows arrive at the writer dealt out by the bucket column
-        (new.repartition(self.buckets, "digest").write.mode("append").format("parquet")
-            .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table))
+        out = new.repartition(self.buckets, "digest").write.mode("append").format("parquet")
+        out = out.option("path", self.path) if self.path else out
+        out.bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
         return new
 
     def resolve(self, digests: DataFrame) -> DataFrame:

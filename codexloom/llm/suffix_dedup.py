@@ -3,36 +3,45 @@
 A 100-byte string that occurs twice has the same content-chosen anchor (the least hash of its
 16-byte grams) wherever it occurs, so occurrences can be dealt out by anchor. Runs of string
 starts with one anchor form a segment. Equal segments collapse to their first occurrence, all
-others being repeats as a whole. Segments that share an anchor but differ are put into shards; each
-shard's transform is built once, and the shards are merged by refining their interleave one
-character at a time. The refinement never sorts suffixes again: it keeps blocks of equal prefixes,
-drops blocks of one, and after 100 rounds the blocks left are the repeated intervals.
+others being repeats as a whole: first within every ``_GROUP`` bytes of a task's texts, then across
+tasks. A string reaches over half of its bytes beside the anchor on one side at least, so of
+segments that differ only those are kept that agree with another in the half next to the anchor.
+They are put into shards; each shard's transform is built once, and the shards are merged by
+refining their interleave one character at a time. The refinement never sorts suffixes again: it
+keeps blocks of equal prefixes, drops blocks of one, and after 100 rounds the blocks left are the
+repeated intervals.
+
+An anchor with more than ``WIDE`` such segments (the edges of a passage that very many documents
+hold) is not merged in one task: its strings are told apart by their 128-bit hashes, which Spark
+groups with partial sums, so no list of them is ever held.
 
 Defined cases: a null text is empty; texts below the length have nothing removed; documents are
 ordered by doc_id, null first, and rows that repeat a doc_id by their row; an empty table gives an
-empty result; other columns are ignored.
-
-Limits: all differing segments of one anchor are merged in one task (equal ones collapse before).
+empty result; other columns are ignored; a length that is not from 16 to 30,000 is an error.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codexloom.llm.common import partitions, stage
+from codexloom.llm.common import attach_by_key, bucketed, partitions, stage
 
 LENGTH, GRAM = 100, 16
 _BITS = 24
 _PIECE = 1 << 20
 _BATCH, _SHARD = 1 << 21, 1 << 18
+#: Bytes of text whose segments are compared within a task before any of them is sent on.
+_GROUP = 32 << 20
+#: Differing segments of one anchor that are merged in one task.
+WIDE = 1024
 _MULT = 0xD6E8FEB86659FD93
 _TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 _POWERS: list[np.ndarray] = []
@@ -56,11 +65,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def segments(data: np.ndarray, doc: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple:
-    """(doc, first, n, anchor, gram, hash) of the segments of joined texts: runs of starts with one anchor.
+    """(doc, first, n, anchor, gram, hash, sides) of the segments of joined texts: runs of starts with one anchor.
 
     ``first`` counts in the joined text; ``hash`` covers the n + length - 1 bytes of the segment.
+    ``sides`` has 32 bits each of the hashes of the half strings before and after the anchor, 0 where
+    the segment does not reach so far.
     """
-    window = length - GRAM + 1
+    window, half = length - GRAM + 1, (length - GRAM + 1) // 2
     up, down = _powers(len(data) + 1)
     sums = np.concatenate(([np.uint64(0)], np.cumsum(_TABLE[data] * up[:len(data)], dtype=np.uint64)))
     grams = _mix((sums[GRAM:] - sums[:-GRAM]) * down[:len(data) - GRAM + 1])
@@ -79,8 +90,12 @@ def segments(data: np.ndarray, doc: np.ndarray, begins: np.ndarray, ends: np.nda
     new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]))) if len(starts) else np.zeros(0, bool)
     at = np.flatnonzero(new)
     first, n = starts[at], np.diff(np.append(at, len(starts)))
-    stop = first + n + length - 1
-    return owner[at], first, n, anchor[at], grams[anchor[at]], _mix((sums[stop] - sums[first]) * down[first] + n.astype(np.uint64))
+    stop, mid = first + n + length - 1, anchor[at]
+    low, high = np.maximum(mid - half, first), np.minimum(mid + GRAM + half, stop)
+    left, right = _mix((sums[mid] - sums[low]) * down[low]) | np.uint64(1), _mix((sums[high] - sums[mid + GRAM]) * down[mid + GRAM]) | np.uint64(1)
+    top = np.uint64(0xFFFFFFFF)
+    sides = np.where(mid - half >= first, left & top, np.uint64(0)) << np.uint64(32) | np.where(mid + GRAM + half <= stop, right & top, np.uint64(0))
+    return owner[at], first, n, mid, grams[mid], _mix((sums[stop] - sums[first]) * down[first] + n.astype(np.uint64)), sides
 
 
 def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[bytes], list[tuple[int, int]]]]:
@@ -100,13 +115,25 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[bytes], list
 
 
 def anchored(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(key, dup, hash, doc, _row, first, n): the segments of all documents, n with the anchor's offset above its low byte.
+    """(key, dup, hash, sides, doc, _row, first, n): the segments of all documents, n with the anchor's offset above its low 16 bits.
 
-    Of equal segments in one piece of joined text only the first keeps its anchor as key; the others
+    Of equal segments in one group of joined texts only the first keeps its anchor as key; the others
     are known to be repeats (dup) and are keyed by their document.
     """
+    names = ["key", "dup", "hash", "sides", "doc", "_row", "first", "n"]
+
+    def once(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        gram, digest, sides, doc, row, pos, n = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((pos, row, doc, digest, gram))
+        gram, digest = gram[order], digest[order]
+        dup = np.concatenate(([False], (gram[1:] == gram[:-1]) & (digest[1:] == digest[:-1])))
+        key = np.where(dup, _mix(row[order].astype(np.uint64)), gram)
+        cols = [key.view(np.int64), dup, digest.view(np.int64), sides[order].view(np.int64), doc[order], row[order], pos[order], n[order]]
+        for at in range(0, len(dup), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at:at + (1 << 16)]) for c in cols], names=names)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for batch in batches:
             texts = [x.as_py() or b"" for x in batch.column("text").cast(pa.binary())]
             ids, rows = batch.column("doc").to_numpy(), batch.column("_row").to_numpy()
@@ -114,20 +141,18 @@ def anchored(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 data = np.frombuffer(b"".join(own), np.uint8)
                 ends = np.cumsum([len(t) for t in own])
                 begins = ends - np.array([len(t) for t in own])
-                part, first, n, anchor, gram, digest = segments(data, np.arange(len(own)), begins, ends, length)
+                part, first, n, anchor, gram, digest, sides = segments(data, np.arange(len(own)), begins, ends, length)
                 which, shift = np.array(at).T
-                doc, row, pos = ids[which][part], rows[which][part], first - begins[part] + shift[part]
-                # a segment's starts and its anchor's offset are both below 256
-                n = n | (anchor - first) << 8
-                order = np.lexsort((pos, row, doc, digest, gram))
-                gram, digest, doc, row, pos, n = (x[order] for x in (gram, digest, doc, row, pos, n))
-                dup = np.concatenate(([False], (gram[1:] == gram[:-1]) & (digest[1:] == digest[:-1])))
-                key = np.where(dup, _mix(row.astype(np.uint64)), gram)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(dup), pa.array(digest.view(np.int64)), pa.array(doc), pa.array(row), pa.array(pos.astype(np.int64)), pa.array(n.astype(np.int32))],
-                    names=["key", "dup", "hash", "doc", "_row", "first", "n"])
+                pos = (first - begins[part] + shift[part]).astype(np.int64)
+                parts.append((gram, digest, sides, ids[which][part], rows[which][part], pos, (n | (anchor - first) << 16).astype(np.int32)))
+                size += len(data)
+                if size >= _GROUP:
+                    yield from once(parts)
+                    parts, size = [], 0
+        if parts:
+            yield from once(parts)
 
-    return docs.select("doc", "_row", "text").mapInArrow(emit, "key long, dup boolean, hash long, doc long, _row long, first long, n int")
+    return docs.select("doc", "_row", "text").mapInArrow(emit, "key long, dup boolean, hash long, sides long, doc long, _row long, first long, n int")
 
 
 class ShardBWT:
@@ -274,41 +299,65 @@ def _merged(parts: DataFrame, length: int) -> DataFrame:
     return parts.mapInArrow(walk, "_row long, first long, n long")
 
 
+def _cut(docs: DataFrame, open_: DataFrame, length: int, emit_one, schema: str) -> DataFrame:
+    """emit_one(key, doc, row, first, offset, part) rows for the segments (open_) of the documents, part being a segment's bytes."""
+    own = open_.groupBy("_row").agg(F.collect_list(F.struct("key", "first", "offset", "n")).alias("_s"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = zip(*(x.split() for x in schema.split(", ")))
+        kinds = [pa.binary() if k == "binary" else pa.int64() for k in kinds]
+        for batch in batches:
+            for k in range(len(batch)):
+                doc, row, text = batch.column("doc")[k].as_py(), batch.column("_row")[k].as_py(), batch.column("text")[k].as_py().encode()
+                out = []
+                for s in batch.column("_s")[k].as_py():
+                    out += emit_one(s["key"], doc, row, s["first"], s["offset"], text[s["first"]:s["first"] + s["n"] + length - 1])
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], names=list(names))
+
+    return docs.join(own, "_row").select("doc", "_row", "text", "_s").mapInArrow(cut, schema)
+
+
+def _wide_starts(docs: DataFrame, open_: DataFrame, length: int) -> DataFrame:
+    """(_row, first, n) of later starts among the segments of anchors that are too wide for one task."""
+
+    def each(key, doc, row, first, offset, part):
+        return [(xxhash.xxh3_128_digest(part[i:i + length]), doc, row, first + i) for i in range(len(part) - length + 1)]
+
+    starts = stage(_cut(docs, open_, length, each, "h binary, doc long, _row long, first long"), "starts")
+    least = starts.groupBy("h").agg(F.min(F.struct("doc", "_row", "first")).alias("at"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "at")
+    known = attach_by_key(starts, least, "h", "_row").where("at is not null and not (at._row = _row and at.first = first)")
+    return known.select("_row", "first", F.lit(1).cast("long").alias("n"))
+
+
 def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(_row, first, n): runs of starts whose string starts earlier too; docs (doc, _row, text), bucketed by _row."""
+    if not GRAM <= length <= 30_000:
+        raise ValueError("length must be from 16 to 30,000")
     parts = partitions(docs.sparkSession)
     rows = anchored(docs, length).repartition(parts, "key")
+    rows = rows.withColumn("left", F.shiftrightunsigned("sides", 32)).withColumn("right", F.col("sides").bitwiseAND(0xFFFFFFFF)).drop("sides")
     same = Window.partitionBy("key", "dup", "hash").orderBy("doc", "_row", "first")
-    group = Window.partitionBy("key", "dup")
-    rows = rows.withColumn("_n", F.row_number().over(same))
-    rows = rows.withColumn("_mixed", F.min("hash").over(group) < F.max("hash").over(group))
-    again = F.col("dup") | (F.col("_n") > 1)
-    known = stage(rows.where(again | F.col("_mixed")).select("key", again.alias("again"), "doc", "_row", "first", "n"), "known")
-    known = known.withColumn("offset", F.shiftright("n", 8)).withColumn("n", F.col("n").bitwiseAND(255))
-    open_ = known.where("not again").groupBy("_row").agg(F.collect_list(F.struct("key", "first", "offset", "n")).alias("_s"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc, row, text, own in zip(batch.column("doc").to_pylist(), batch.column("_row").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("_s").to_pylist()):
-                text = text.as_py()
-                out += [(s["key"], doc, row, s["first"], s["offset"], text[s["first"]:s["first"] + s["n"] + length - 1]) for s in own]
-            kinds = [pa.int64()] * 5 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kinds[i]) for i in range(6)], names=["key", "doc", "_row", "first", "offset", "part"])
-
-    texts = docs.join(open_, "_row").select("doc", "_row", "text", "_s").mapInArrow(cut, "key long, doc long, _row long, first long, offset long, part binary")
+    rows = rows.withColumn("again", F.col("dup") | (F.row_number().over(same) > 1))
+    # a segment is open if another one agrees with it in the half beside the anchor; all windows lie inside a key
+    alike = F.lit(False)
+    for side in ("left", "right"):
+        rows = rows.withColumn(f"n_{side}", F.count_if(~F.col("again")).over(Window.partitionBy("key", "dup", side)))
+        alike = alike | ((F.col(side) != 0) & (F.col(f"n_{side}") > 1))
+    rows = rows.withColumn("open", ~F.col("again") & alike)
+    rows = rows.withColumn("wide", F.count_if("open").over(Window.partitionBy("key", "dup")) > WIDE)
+    known = stage(rows.where("again or open").select("key", "again", "wide", "doc", "_row", "first", "n"), "known")
+    known = known.withColumn("offset", F.shiftright("n", 16)).withColumn("n", F.col("n").bitwiseAND(0xFFFF))
+    texts = _cut(docs, known.where("not again and not wide"), length, lambda *x: [x], "key long, doc long, _row long, first long, offset long, part binary")
     found = _merged(texts.repartition(parts, "key").sortWithinPartitions("key"), length)
-    return known.where("again").select("_row", "first", F.col("n").cast("long").alias("n")).unionByName(found)
+    found = known.where("again").select("_row", "first", F.col("n").cast("long").alias("n")).unionByName(found)
+    wide = known.where("not again and wide")
+    return found if wide.isEmpty() else found.unionByName(_wide_starts(docs, wide, length))
 
 
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, _row, text) as a table bucketed by _row, so that later joins on it do not move the texts again."""
-    spark = docs.sparkSession
-    name, n = f"codexloom_texts_{uuid.uuid4().hex}", partitions(spark)
+    """(doc_id, doc, _row, text) as a table bucketed by _row, so that later joins on it do not move the texts again."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    d = d.withColumn("_row", F.monotonically_increasing_id()).repartition(n, "_row")
-    d.write.format("parquet").option("compression", "zstd").bucketBy(n, "_row").sortBy("_row").saveAsTable(name)
-    return spark.table(name)
+    return bucketed(d.withColumn("_row", F.monotonically_increasing_id()), "_row")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

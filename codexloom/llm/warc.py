@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.window import Window
 
-from codexloom.llm.common import shared_dir, with_salt
+from codexloom.llm.common import shared_dir, staged, with_salt
 
 CRLF = "\r\n"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -292,7 +292,7 @@ def read_warc(files: DataFrame, with_payload: bool = True) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/warc"
+    path = f"{staged(shared_dir(spark))}/warc"
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
     got = read_warc(files, with_payload=False)

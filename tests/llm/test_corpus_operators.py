@@ -342,22 +342,34 @@ def test_ball_links_find_every_pair(spark):
 
 # suffixes
 
-def test_suffix_dedup_against_brute_force(spark, documents):
-    seen, want = set(), {}
-    for d in sorted(documents):
-        b = documents[d].encode()
+def _without_repeats(docs, length=100):
+    """{doc: (bytes, removed, spans, kept)} of (doc, text) rows in order."""
+    seen, out = set(), {}
+    for d, t in docs:
+        b = t.encode()
         gone = np.zeros(len(b), bool)
-        for i in range(len(b) - 99):
-            w = b[i:i + 100]
-            if w in seen:
-                gone[i:i + 100] = True
-            seen.add(w)
-        spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
-        want[d] = (len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
+        for i in range(len(b) - length + 1):
+            if b[i:i + length] in seen:
+                gone[i:i + length] = True
+            seen.add(b[i:i + length])
+        out[d] = (len(b), int(gone.sum()), int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum()), np.frombuffer(b, np.uint8)[~gone].tobytes())
+    return out
+
+
+@pytest.mark.parametrize("wide, group", [(1024, 32 << 20), (2, 1000)])
+def test_suffix_dedup_against_brute_force(spark, documents, wide, group, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "WIDE", wide)
+    monkeypatch.setattr(suffix_dedup, "_GROUP", group)
+    want = {d: (*x[:3], hashlib.sha256(x[3]).hexdigest()) for d, x in _without_repeats(sorted(documents.items())).items()}
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in registry.QUERIES["op5_suffix_dedup"](spark, SF).collect()}
     assert got == want
 
 
+def _repeats_removed(spark, docs, length=100):
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), length)
+    return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got.collect()}
+
+
 @pytest.mark.parametrize("parts", [[b"a" * 300], [b"abc" * 50, b"xabc" * 50, b"bca" * 40], [bytes(range(256)), bytes(range(100, 256))], [b"x" * 99, b"x" * 99]])
 def test_merged_shards_give_all_repeats(parts):
     shards = [suffix_dedup.ShardBWT(parts[i:i + 1]) for i in range(len(parts))]
@@ -378,6 +390,24 @@ def test_suffix_dedup_of_periodic_and_tied_texts(spark):
     assert got == sorted([(-1, 120, 118), (1, 800, 800), (1, 800, 800), (2, 99, 0), (2, 99, 0), (3, 0, 0), (4, 101, 100)])
 
 
+def test_suffix_dedup_of_other_lengths(spark, documents):
+    docs = [(d, t) for d, t in sorted(documents.items()) if len(t) < 3000]
+    for length in (16, 30, 400):
+        assert _repeats_removed(spark, docs, length) == _without_repeats(docs, length)
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), 8)
+
+
+def test_suffix_dedup_of_a_passage_in_every_document(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "WIDE", 50)
+    rng = np.random.default_rng(9)
+    word = lambda n: " ".join("".join(chr(97 + int(c)) for c in rng.integers(0, 26, 7)) for _ in range(n))
+    passage = word(40)
+    docs = [(d, word(6) + passage + word(6)) for d in range(300)]
+    got = _repeats_removed(spark, docs)
+    assert got == _without_repeats(docs) and got[0][1] == 0 and all(got[d][1] >= len(passage) for d in range(1, 300))
+
+
 # quality
 
 def test_quality_on_held_out_documents(spark):
