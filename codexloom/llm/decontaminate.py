@@ -6,13 +6,16 @@ backward-searches all benchmark windows at once. Occurrences are located by walk
 sampled position and merged into removal spans. Words that no benchmark item has become breaks, as
 no window can cross them, and runs shorter than the shortest window are left out of the index.
 
-The benchmark is the query set. It is read in blocks of ``block`` items, so what a task holds of
-it is bounded; spans of several blocks are merged per document.
+The benchmark is the query set. It is read in blocks of about ``block`` items and ``block_bytes``
+bytes, and items of more than ``PIECE`` words in pieces that overlap by a window, so what the driver
+and a task hold of it is bounded; spans of several blocks are merged per document. Every block
+searches the documents anew.
 
 Defined cases: null texts and items have no words; an item of fewer words than a window is one
-window, one without words none; repeated items all count; repeated document rows are separate
-documents; a null item_id counts as an item but is written as an empty string; an empty benchmark
-hits nothing; other columns pass through ``remove_leaks`` and are ignored by the query.
+window, one without words none; rows that repeat an item_id are one item with the windows of all of
+them; repeated document rows are separate documents; rows without an item_id are one item, that of
+the empty id, and are written as an empty string; an empty benchmark hits nothing; other columns pass
+through ``remove_leaks`` and are ignored by the query.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from codexloom.llm.common import pack, stage, unpack, with_fields
 
 WINDOW, BLOCK, SHARD = 10, 20_000, 1 << 21
+BLOCK_BYTES, PIECE = 32 << 20, 100_000
 #: Words are digits, a-z and everything beyond ASCII, after lower-casing A-Z.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -134,11 +138,13 @@ class FMIndex:
         return out
 
 
-def windows(items: list[tuple[int | None, str | None]], size: int = WINDOW) -> dict:
+def windows(items: list[tuple[str, str | None]], size: int = WINDOW) -> dict:
     """The benchmark as word ids: vocabulary, distinct windows by length, and the items of each window."""
     vocabulary: dict[bytes, int] = {}
     found: dict[tuple, set[int]] = {}
-    for k, (_, text) in enumerate(items):
+    numbers: dict[str, int] = {}
+    for name, text in items:
+        k = numbers.setdefault(name, len(numbers))
         words = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in (text or "").encode().translate(_WORD_BYTES).split()]
         for i in range(max(1, len(words) - size + 1) if words else 0):
             found.setdefault(tuple(words[i:i + size]), set()).add(k)
@@ -149,7 +155,7 @@ def windows(items: list[tuple[int | None, str | None]], size: int = WINDOW) -> d
     for n, own in sorted(by_length.items()):
         counts = np.array([len(found[w]) for w in own])
         groups.append((n, np.array(own, np.int64), np.concatenate(([0], np.cumsum(counts))), np.array([k for w in own for k in sorted(found[w])])))
-    return {"vocabulary": vocabulary, "groups": groups, "ids": [x[0] for x in items], "least": min(by_length, default=0)}
+    return {"vocabulary": vocabulary, "groups": groups, "ids": list(numbers), "least": min(by_length, default=0)}
 
 
 class _Shard:
@@ -209,15 +215,24 @@ class _Shard:
 SPANS = "n_words long, spans array<struct<start: int, stop: int>>, items array<string>"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", size: int = WINDOW, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+def pieces(benchmark: DataFrame, size: int = WINDOW, piece: int = PIECE) -> DataFrame:
+    """(item_id as string, text): items of more than ``piece`` words cut into pieces that together have the same windows."""
+    words = F.regexp_extract_all(F.col("text").cast("string"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
+    b = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words.alias("w")).where(F.size("w") > 0)
+    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)), F.lit(piece))
+    return b.withColumn("at", F.explode(starts)).select("item_id", F.array_join(F.slice("w", F.col("at"), F.lit(piece + size - 1)), " ").alias("text"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", size: int = WINDOW, block: int = BLOCK, shard: int = SHARD,
+          block_bytes: int = BLOCK_BYTES, piece: int = PIECE) -> DataFrame:
     """Per document (key): n_words, merged spans of word positions that occur in the benchmark, and the items hit."""
     spark = docs.sparkSession
-    bench = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    n = bench.count()
-    if n > block:
-        # dealt into blocks by a hash; the number of blocks keeps each near its bound
-        blocks = -(-n // block) * 2
-        bench = bench.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    bench = pieces(benchmark, size, piece)
+    n, n_bytes = bench.select(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    if n > block or n_bytes > block_bytes:
+        # dealt into blocks by a hash; the number of blocks keeps each near its bounds
+        blocks = max(-(-n // block), -(-n_bytes // block_bytes)) * 2
+        bench = stage(bench.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "benchmark")
         parts = [bench.where(F.col("_block") == i).drop("_block") for i in range(blocks)]
         docs = stage(docs.select(key, "text").withColumn("_row", F.monotonically_increasing_id()), "numbered")
     else:
@@ -229,7 +244,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", size: int
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bench, own, arrow = held.value, _Shard(held.value), None
-            names = [f'{"" if x is None else x}' for x in bench["ids"]]
+            names = bench["ids"]
 
             def flush(own: _Shard) -> pa.RecordBatch:
                 got = list(own.results())
@@ -259,7 +274,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", size: int
         one = search(part, "_row", "bigint")
         found = one if found is None else found.unionByName(one)
     found = found.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-                                      F.flatten(F.collect_list("items")).alias("items"))
+                                      F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     start = "cast(array() as array<struct<start: int, stop: int>>)"
     merged = F.expr(f"""aggregate(spans, {start}, (acc, x) -> case
         when size(acc) > 0 and element_at(acc, -1).stop >= x.start
@@ -314,7 +329,7 @@ hit AS (SELECT dw.doc_id, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.n = bw.n
 pos AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hit),
 np AS (SELECT doc_id, count(*) AS n_hit FROM pos GROUP BY doc_id),
 it AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s)) AS h
-       FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hit) GROUP BY doc_id)
+       FROM (SELECT DISTINCT doc_id, coalesce(item_id::VARCHAR, '') AS s FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN np ON d.doc_id = np.doc_id LEFT JOIN it ON d.doc_id = it.doc_id

@@ -3,7 +3,11 @@ near-duplicates, cut out benchmark passages, encode.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next stage's docs. ``n_chars`` follows the text. A null or empty text passes through
-every stage that does not reject it; an empty table stays empty.
+every stage that does not reject it; an empty table stays empty; columns beside those of documents
+are dropped by the first stage.
+
+``run`` drops what the operators staged as soon as a stage is written. Given a place, it keeps the
+written stages there, and a later run takes up after the last one that was finished.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codexloom.llm import bpe, decontaminate, line_dedup, quality, simhash
-from codexloom.llm.common import stage
+from codexloom.llm.common import release, shared_dir, stage, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,6 +28,7 @@ def _documents(df: DataFrame) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored at the threshold or above stay, unchanged."""
+    docs = docs.select(*COLUMNS)
     machine = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score_documents(docs, machine).where(F.col("score") >= quality.THRESHOLD).select(*COLUMNS)
 
@@ -63,10 +68,12 @@ STAGES = [("quality", keep_quality), ("lines", drop_lines), ("near_copies", keep
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, apply) in enumerate(STAGES):
-        docs = apply(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stage(docs, name)
-    return docs
+def run(spark: SparkSession, sf_dir: str, place: str | None = None) -> DataFrame:
+    docs, place = spark.read.parquet(f"{sf_dir}/documents.parquet"), (place or shared_dir(spark)).rstrip("/")
+    for k, (name, apply) in enumerate(STAGES[:-1]):
+        path = f"{place}/{k}_{name}"
+        if not written(path):
+            apply(spark, docs, sf_dir).write.mode("overwrite").option("compression", "zstd").parquet(path)
+            release(spark)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -78,3 +78,25 @@ def test_ids(steps, encoding):  # noqa: F811
 def test_run_gives_the_last_stage(spark, steps):
     got = P.run(spark, SF).select("doc_id", "ids_sha256").toPandas()
     assert dict(zip(got.doc_id, got.ids_sha256)) == dict(zip(steps[5][0].doc_id, steps[5][0].ids_sha256))
+
+
+def test_run_takes_up_where_it_stopped(spark, monkeypatch):
+    calls, place = [], common.shared_dir(spark)
+
+    def counted(name, apply):
+        return name, lambda *a: calls.append(name) or apply(*a)
+
+    monkeypatch.setattr(P, "STAGES", [counted(*x) for x in P.STAGES])
+    first = P.run(spark, SF, place).select("doc_id", "ids_sha256").toPandas()
+    calls.clear()
+    again = P.run(spark, SF, place).select("doc_id", "ids_sha256").toPandas()
+    assert calls == ["encode"] and dict(zip(first.doc_id, first.ids_sha256)) == dict(zip(again.doc_id, again.ids_sha256))
+
+
+def test_release_drops_what_was_staged(spark):
+    df = common.bucketed(spark.range(10), "id")
+    path, table = common._STAGED[-1]
+    common.stage(spark.range(5))
+    assert df.count() == 10
+    common.release(spark)
+    assert not spark.catalog.tableExists(table) and not common._STAGED and not __import__("os").path.exists(path.removeprefix("file://"))
