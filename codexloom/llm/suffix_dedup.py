@@ -128,7 +128,9 @@ def anchored(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         gram, digest = gram[order], digest[order]
         dup = np.concatenate(([False], (gram[1:] == gram[:-1]) & (digest[1:] == digest[:-1])))
         key = np.where(dup, _mix(row[order].astype(np.uint64)), gram)
-        cols = [key.view(np.int64), dup, digest.view(np.int64), sides[order].view(np.int64), doc[order], row[order], pos[order], n[order]]
+        # nothing is asked of a known repeat but where it is
+        digest, sides = (np.where(dup, np.uint64(0), x) for x in (digest, sides[order]))
+        cols = [key.view(np.int64), dup, digest.view(np.int64), sides.view(np.int64), doc[order], row[order], pos[order], n[order]]
         for at in range(0, len(dup), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(c[at:at + (1 << 16)]) for c in cols], names=names)
 
@@ -156,14 +158,18 @@ def anchored(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 class ShardBWT:
-    """The transform of a shard of segments, each closed by a zero: characters, LF mapping and suffix order."""
+    """The transform of a shard of segments, each closed by a zero: characters, LF mapping, suffix order and depth.
+
+    The depth of a row is how many characters of its segment come before its suffix.
+    """
 
     def __init__(self, parts: list[bytes]):
-        text = np.zeros(sum(len(p) + 1 for p in parts), np.uint16)
+        text, depth = np.zeros(sum(len(p) + 1 for p in parts), np.uint16), np.zeros(sum(len(p) + 1 for p in parts), np.int32)
         at = 0
         for p in parts:
             text[at:at + len(p)] = np.frombuffer(p, np.uint8)
             text[at:at + len(p)] += 1
+            depth[at:at + len(p) + 1] = np.arange(len(p) + 1)
             at += len(p) + 1
         n = len(text)
         # seven characters at once, then prefix doubling over what is still equal
@@ -190,6 +196,7 @@ class ShardBWT:
             h *= 2
         self.order = np.empty(n, np.int32)
         self.order[rank] = np.arange(n, dtype=np.int32)
+        self.depth = depth[self.order]
         self.chars = text[self.order - 1]
         self.lf = rank[self.order - 1].astype(np.int32)
 
@@ -199,17 +206,17 @@ def merge_shards(shards: list[ShardBWT], length: int = LENGTH) -> tuple[np.ndarr
 
     The interleave of the shards' rows starts as their concatenation. In each round every row moves
     to the row of its one-longer suffix, stably by that suffix's first character; rows that agree
-    in it and came from one block form a block. Blocks of one row can never grow again.
+    in it and came from one block form a block. Blocks of one row can never grow again, and rows that
+    are not ``length`` characters deep would run out of their segment, so neither is carried on.
     """
     sizes = np.array([len(s.order) for s in shards])
     base = np.cumsum(sizes) - sizes
     chars = np.concatenate([s.chars for s in shards])
     lf = np.concatenate([s.lf + np.int32(b) for s, b in zip(shards, base)])
-    rows, block = np.arange(int(sizes.sum()), dtype=np.int32), np.zeros(int(sizes.sum()), np.int32)
+    rows = np.flatnonzero(np.concatenate([s.depth >= length for s in shards])).astype(np.int32)
+    block = np.zeros(len(rows), np.int32)
     for _ in range(length):
         c = chars[rows]
-        inside = c > 0
-        rows, block, c = rows[inside], block[inside], c[inside]
         by = np.argsort(c, kind="stable")
         rows, block, c = lf[rows[by]], block[by], c[by]
         if not len(rows):
@@ -299,34 +306,45 @@ def _merged(parts: DataFrame, length: int) -> DataFrame:
     return parts.mapInArrow(walk, "_row long, first long, n long")
 
 
-def _cut(docs: DataFrame, open_: DataFrame, length: int, emit_one, schema: str) -> DataFrame:
-    """emit_one(key, doc, row, first, offset, part) rows for the segments (open_) of the documents, part being a segment's bytes."""
+def _segments_of(docs: DataFrame, open_: DataFrame) -> DataFrame:
+    """(doc, _row, text, _s): the documents with their segments (key, first, offset, n)."""
     own = open_.groupBy("_row").agg(F.collect_list(F.struct("key", "first", "offset", "n")).alias("_s"))
+    return docs.join(own, "_row").select("doc", "_row", "text", "_s")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = zip(*(x.split() for x in schema.split(", ")))
-        kinds = [pa.binary() if k == "binary" else pa.int64() for k in kinds]
-        for batch in batches:
-            for k in range(len(batch)):
-                doc, row, text = batch.column("doc")[k].as_py(), batch.column("_row")[k].as_py(), batch.column("text")[k].as_py().encode()
-                out = []
-                for s in batch.column("_s")[k].as_py():
-                    out += emit_one(s["key"], doc, row, s["first"], s["offset"], text[s["first"]:s["first"] + s["n"] + length - 1])
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], names=list(names))
 
-    return docs.join(own, "_row").select("doc", "_row", "text", "_s").mapInArrow(cut, schema)
+def _parts(batch: pa.RecordBatch, length: int) -> Iterator[tuple]:
+    """(key, doc, row, first, offset, bytes) of each segment."""
+    for doc, row, text, own in zip(batch.column("doc").to_pylist(), batch.column("_row").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("_s").to_pylist()):
+        text = text.as_py()
+        for s in own:
+            yield s["key"], doc, row, s["first"], s["offset"], text[s["first"]:s["first"] + s["n"] + length - 1]
 
 
 def _wide_starts(docs: DataFrame, open_: DataFrame, length: int) -> DataFrame:
-    """(_row, first, n) of later starts among the segments of anchors that are too wide for one task."""
+    """(_row, first, n) of later starts among the segments of anchors that are too wide for one task.
 
-    def each(key, doc, row, first, offset, part):
-        return [(xxhash.xxh3_128_digest(part[i:i + length]), doc, row, first + i) for i in range(len(part) - length + 1)]
+    Of the starts of one string in a batch of documents only the first is held against those of other batches.
+    """
 
-    starts = stage(_cut(docs, open_, length, each, "h binary, doc long, _row long, first long"), "starts")
-    least = starts.groupBy("h").agg(F.min(F.struct("doc", "_row", "first")).alias("at"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "at")
-    known = attach_by_key(starts, least, "h", "_row").where("at is not null and not (at._row = _row and at.first = first)")
-    return known.select("_row", "first", F.lit(1).cast("long").alias("n"))
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least, out = {}, []
+            for _, doc, row, first, _, part in _parts(batch, length):
+                for i in range(len(part) - length + 1):
+                    h, at = xxhash.xxh3_128_digest(part[i:i + length]), (doc, row, first + i)
+                    if h in least:
+                        at, least[h] = max(at, least[h]), min(at, least[h])
+                        out.append((None, *at))
+                    else:
+                        least[h] = at
+            out += [(h, *at) for h, at in least.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), *(pa.array([x[i] for x in out], pa.int64()) for i in (1, 2, 3))], names=["h", "doc", "_row", "first"])
+
+    starts = stage(_segments_of(docs, open_).mapInArrow(each, "h binary, doc long, _row long, first long"), "starts")
+    one = starts.where("h is not null")
+    least = one.groupBy("h").agg(F.min(F.struct("doc", "_row", "first")).alias("at"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "at")
+    later = attach_by_key(one, least, "h", "_row").where("at is not null and not (at._row = _row and at.first = first)")
+    return starts.where("h is null").select("_row", "first").unionByName(later.select("_row", "first")).withColumn("n", F.lit(1).cast("long"))
 
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -347,7 +365,14 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = rows.withColumn("wide", F.count_if("open").over(Window.partitionBy("key", "dup")) > WIDE)
     known = stage(rows.where("again or open").select("key", "again", "wide", "doc", "_row", "first", "n"), "known")
     known = known.withColumn("offset", F.shiftright("n", 16)).withColumn("n", F.col("n").bitwiseAND(0xFFFF))
-    texts = _cut(docs, known.where("not again and not wide"), length, lambda *x: [x], "key long, doc long, _row long, first long, offset long, part binary")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64()] * 5 + [pa.binary()]
+        for batch in batches:
+            out = list(_parts(batch, length))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kinds[i]) for i in range(6)], names=["key", "doc", "_row", "first", "offset", "part"])
+
+    texts = _segments_of(docs, known.where("not again and not wide")).mapInArrow(cut, "key long, doc long, _row long, first long, offset long, part binary")
     found = _merged(texts.repartition(parts, "key").sortWithinPartitions("key"), length)
     found = known.where("again").select("_row", "first", F.col("n").cast("long").alias("n")).unionByName(found)
     wide = known.where("not again and wide")

@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def _feistel(key, kind, left, right, sides):
     return left, right
 
 
-def _feistel_text(key, kind, text):
+def _feistel_text(key, kind, text, hexadecimal=False):
     half = len(text) // 2
     left, right = text[:half], text[half:]
 
@@ -70,7 +71,7 @@ def _feistel_text(key, kind, text):
         by = hashlib.sha512(f"{key}|{kind}|{i}|{other}".encode()).digest()
         out = ""
         for c, b in zip(part, by):
-            own = next((a for a in (pii.DIGITS, pii.LOWER, pii.LOWER.upper()) if c in a), None)
+            own = next((a for a in ((pii.HEX,) if hexadecimal else (pii.DIGITS, pii.LOWER, pii.LOWER.upper())) if c in a), None)
             out += own[(own.index(c) + b) % len(own)] if own else c
         return out
 
@@ -79,6 +80,143 @@ def _feistel_text(key, kind, text):
     return left + right
 
 
+def _fill(shape, new):
+    rest = iter(new)
+    return "".join(next(rest) if re.match("[0-9A-Za-z]", c) else c for c in shape)
+
+
+def _mod97(flat):
+    return int("".join(str(int(c, 36)) for c in flat)) % 97
+
+
+def _new_card(shape, key):
+    body = _feistel_text(key, "card", re.sub("[^0-9]", "", shape)[:-1])
+    return _fill(shape, next(body + str(d) for d in range(10) if luhn(body + str(d)) == 0))
+
+
+def _new_iban(shape, key):
+    flat = shape.replace(" ", "")
+    body = _feistel_text(key, "iban", flat[4:])
+    return _fill(shape, flat[:2] + f"{98 - _mod97(body + flat[:2] + '00'):02d}" + body)
+
+
+def _by_groups(found, valid, change):
+    parts, out, i = re.findall("[0-9A-Z]+|[ -]", found), "", 0
+    while i < len(parts):
+        end = next((j for j in range(len(parts), i, -1) if i % 2 == 0 and j % 2 and valid(re.sub("[ -]", "", "".join(parts[i:j])))), None)
+        out += change("".join(parts[i:end])) if end else parts[i]
+        i = end or i + 1
+    return out
+
+
+def _new_date(found, key):
+    import datetime
+
+    p, sep = re.split("[-/.]", found), re.search("[-/.]", found)[0]
+    lead = len(p[0]) == 4
+    us = not lead and sep == "/" and int(p[0]) <= 12
+    y, m, d = p if lead else (p[2], p[0], p[1]) if us else (p[2], p[1], p[0])
+    start = datetime.date.fromisoformat(pii.FIRST_DAY)
+    try:
+        at = (datetime.date(int(y), int(m), int(d)) - start).days
+    except ValueError:
+        return found
+    if not 0 <= at < pii.DAYS:
+        return found
+    while True:
+        a, b = _feistel(key, "date", at // pii.DAY_SIDES[1], at % pii.DAY_SIDES[1], pii.DAY_SIDES)
+        if (at := a * pii.DAY_SIDES[1] + b) < pii.DAYS:
+            break
+    new = start + datetime.timedelta(at)
+    m, d = (f"{x:0{2 if len(like) == 2 else 1}d}" for x, like in ((new.month, m), (new.day, d)))
+    return sep.join((str(new.year), m, d) if lead else (m, d, str(new.year)) if us else (d, m, str(new.year)))
+
+
+def _pseudonym(found, key=pii.DEMO_KEY):
+    """The pseudonym of a candidate by plain Python."""
+    whole = lambda p: re.fullmatch(p, found, re.A)
+    digits = re.sub("[^0-9]", "", found)
+    if whole(pii.EMAIL):
+        name, at, host = found.lower().partition("@")
+        return _feistel_text(key, "email", name) + at + host
+    if whole(pii.ACCESS):
+        return "AKIA" + _feistel_text(key, "access", found[4:])
+    if whole(pii.IPV4):
+        o = [int(x) for x in found.split(".")]
+        if max(o) > 255:
+            return found
+        a, b = _feistel(key, "ip", o[0] * 256 + o[1], o[2] * 256 + o[3], (65536, 65536))
+        return f"{a >> 8}.{a & 255}.{b >> 8}.{b & 255}"
+    if whole(pii.IPV6):
+        groups = found.split(":")
+        flat = _feistel_text(key, "ipv6", "".join(g.lower().zfill(4) for g in groups), True)
+        new = [flat[i:i + 4] for i in range(0, 32, 4)]
+        return ":".join(new if all(len(g) == 4 for g in groups) else [g.lstrip("0") or "0" for g in new])
+    if whole(pii.SSN):
+        area, group, serial = (int(x) for x in found.split("-"))
+        if not (0 < area < 900 and area != 666 and group and serial):
+            return found
+        a, b = _feistel(key, "ssn", (area - 1 - (area > 666)) * 99 + group - 1, serial - 1, (898 * 99, 9999))
+        return f"{a // 99 + 1 + (a // 99 >= 665):03d}-{a % 99 + 1:02d}-{b + 1:04d}"
+    if whole(pii.YMD) or whole(pii.DMY):
+        return _new_date(found, key)
+    if whole(pii.ABROAD):
+        country = re.match(pii.COUNTRY, digits)
+        return _fill(found, country[0] + _feistel_text(key, "abroad", digits[len(country[0]):])) if country and 8 <= len(digits) <= 15 else found
+    if whole(pii.PHONE):
+        area, rest = int(digits[-10:-7]), int(digits[-7:])
+        if area < 200 or rest < 2_000_000:
+            return found
+        a, b = _feistel(key, "phone", area - 200, rest - 2_000_000, (800, 8_000_000))
+        return _fill(found, digits[:-10] + f"{a + 200}{b + 2_000_000:07d}")
+    if regex.fullmatch(pii.CARD, found):
+        return _by_groups(found, lambda d: 13 <= len(d) <= 19 and d.isdigit() and luhn(d) == 0, lambda x: _new_card(x, key))
+    if whole(pii.IBAN):
+        return _by_groups(found, lambda d: bool(re.fullmatch("[A-Z]{2}[0-9]{2}[A-Z0-9]{8,31}", d)) and _mod97(d[4:] + d[:4]) == 1, lambda x: _new_iban(x, key))
+    if whole(pii._DATES):
+        return found
+    pieces = [found[i:i + 64] for i in range(0, len(found), 64)]
+    return "".join(_feistel_text(key, "secret", x, bool(re.fullmatch("[0-9a-f]+", x))) for x in pieces)
+
+
+def _pseudonymised(text):
+    """(text, how many values changed) by plain Python."""
+    found = []
+
+    def new(m):
+        found.append((m.group(), _pseudonym(m.group())))
+        return found[-1][1]
+
+    out = regex.sub(pii.PATTERN, new, text) if text is not None else None
+    return out, sum(a != b for a, b in found)
+
+
+def test_pseudonyms_of_all_documents(spark, documents):
+    got = {r["doc_id"]: (r["text"], r["n_replaced"]) for r in registry.QUERIES["op1_pii"](spark, SF).collect()}
+    want = {d: _pseudonymised(t) for d, t in documents.items()}
+    assert got == want and sum(n for _, n in want.values()) > 10
+    # what has no candidate stays as it is
+    assert all(got[d][0] == t for d, t in documents.items() if not regex.search(pii.PATTERN, t))
+
+
+def test_pseudonyms_of_every_kind(spark):
+    rng = np.random.default_rng(12)
+    num = lambda n: "".join(str(x) for x in rng.integers(0, 10, n))
+    values = []
+    for _ in range(40):
+        card = num(15)
+        values += [next(card + str(d) for d in range(10) if luhn(card + str(d)) == 0), num(16), f"{num(3)}-{num(2)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"+1 {num(3)}.{num(3)}.{num(4)}",
+                   f"+44 {num(2)} {num(4)} {num(4)}", f"+353{num(8)}", f"+7 ({num(3)}) {num(3)}-{num(2)}-{num(2)}", f"{num(4)}-{num(2)}-{num(2)}", f"{rng.integers(1, 13)}/{rng.integers(1, 29)}/19{num(2)}",
+                   f"{rng.integers(1, 29)}.{rng.integers(1, 13)}.20{num(2)}", ".".join(str(x) for x in rng.integers(0, 300, 4)), ":".join(f"{x:x}" for x in rng.integers(0, 65536, 8)),
+                   ":".join(f"{x:04x}" for x in rng.integers(0, 65536, 8)), f"user.{num(2)}@mail.example.com", f"AKIA{num(16)}", f"password = '{num(9)}aB_x'", f"api_key: {num(80)}"]
+    texts = [(i, f"of {v}, and {w}") for i, (v, w) in enumerate(zip(values, values[1:]))]
+    got = pii.pseudonymise(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["text"], r["n_replaced"]) for r in got} == {i: _pseudonymised(t) for i, t in texts}
+    # two spellings of a number stay linked, impossible numbers stay
+    a, b, c = (pii.pseudonymise(spark.createDataFrame([(1, x)], "i int, text string")).first()["text"] for x in ("+44 20 7946 0958", "+442079460958", "(125) 555-7196"))
+    assert a.replace(" ", "") == b != "+442079460958" and b.startswith("+44") and c == "(125) 555-7196"
+
+
 def luhn(digits):
     return sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(digits))) % 10
 
@@ -90,7 +228,8 @@ def test_pseudonyms_against_python(spark):
     body = _feistel_text(pii.DEMO_KEY, "card", "411111111111111")
     card = next(body + str(d) for d in range(10) if luhn(body + str(d)) == 0)
     mail = _feistel_text(pii.DEMO_KEY, "email", "ann.b-7") + "@mail.example.com"
-    phone = _feistel_text(pii.DEMO_KEY, "phone", "6255557196")
+    l, r = _feistel(pii.DEMO_KEY, "phone", 425, 355 * 10_000 + 7196, (800, 8_000_000))
+    phone = f"{l + 200}{r + 2_000_000:07d}"
     text = f"ip {ip} card 4111-1111 1111 1111, Ann.B-7@mail.example.com +1 (625) 555-7196; 4111111111111112 300.1.1.1 2001-02-29"
     want = f"ip {a >> 8}.{a & 255}.{b >> 8}.{b & 255} card {card[:4]}-{card[4:8]} {card[8:12]} {card[12:]}, {mail} +1 ({phone[:3]}) {phone[3:6]}-{phone[6:]}; 4111111111111112 300.1.1.1 2001-02-29"
     r = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()
@@ -293,6 +432,50 @@ def test_chains_through_a_large_bucket(spark, bucket):
     assert {(r["node"], r["root"]) for r in paragraphs.similar_classes(table, classes, bucket=bucket).collect()} == {(i, 0) for i in range(4)}
 
 
+def _lines_classes(spark, lines, bucket, monkeypatch):
+    """(roots by the operator, roots by all pairs) of different lines, one per document."""
+    own = paragraphs.similar_classes
+    monkeypatch.setattr(paragraphs, "similar_classes", lambda *a: own(*a, bucket=bucket))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").withColumn("_row", F.col("doc_id"))
+    lost = {r["_row"] for r in paragraphs.repeated_paragraphs(docs).collect()}
+    want = _paragraph_classes(list(enumerate(lines)))
+    return lost, set(want)
+
+
+@pytest.mark.parametrize("bucket", [16, 6])
+def test_variants_of_variants_stay_one_component(spark, bucket, monkeypatch):
+    rng = np.random.default_rng(1)
+    base = [f"word{i}" for i in range(100)]
+    one = []
+    for d in range(60):
+        own = list(base)
+        for at in rng.choice(100, 2, replace=False):
+            own[at] = f"a{d}x{at}"
+        one.append(own)
+    two = []
+    for d, words in enumerate(one):
+        own = list(words)
+        own[rng.integers(100)] = f"b{d}"
+        two.append(own)
+    lines = [" ".join(x) for x in [base, *one, *two]]
+    got, want = _lines_classes(spark, lines, bucket, monkeypatch)
+    assert got == want and len(want) > 100
+
+
+def test_lines_just_below_the_similarity_end(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    base, lines = [f"word{i}" for i in range(60)], []
+    for d in range(120):
+        own = list(base)
+        own[rng.integers(60)] = f"own{d}"
+        lines.append(" ".join(own))
+    sets = [paragraphs.shingles(x.encode()) for x in lines]
+    near = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i]]
+    assert 0.7 < np.mean(near) < 0.85
+    got, want = _lines_classes(spark, lines, 6, monkeypatch)
+    assert got == want
+
+
 def test_paragraphs_of_few_words(spark):
     words = [f"word{i}" for i in range(19)]
     docs = [(d, "\n".join([" ".join(words[:n]) for n in (5, 8, 12, 18)] + [f"own{d} " * 4])) for d in range(2)]
@@ -567,8 +750,114 @@ def test_encoding_of_awkward_documents(spark, awkward, encoding):
         assert r["decoded"] == (r["text"] or "") and list(r["ids"]) == own.encode_ordinary(r["text"] or "") and r["n_tokens"] == len(r["ids"])
 
 
+def test_ids_of_all_documents(spark, documents, encoding):
+    own, want = encoding[2], {}
+    for d, t in documents.items():
+        ids = own.encode_ordinary(t)
+        want[d] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in registry.QUERIES["op10_bpe"](spark, SF).collect()}
+    assert got == want
+
+
+def test_scores_of_all_documents(spark, documents):
+    """The query's scores are those of a machine fitted in plain Python on the same labels."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet").toPandas()
+    known = sorted((int(d), int(q)) for d, q in zip(labels.doc_id, labels.quality) if q == q and zlib.crc32(str(int(d)).encode()) % 5)
+    assert len(known) <= quality.SAMPLE
+    words, dense = np.zeros((len(known), quality.BUCKETS), np.float32), []
+    for k, (d, _) in enumerate(known):
+        _, bucket, counts, own = quality.word_features([documents[d].encode()])
+        words[k, bucket] = counts
+        dense.append(own[0])
+    machine = quality.fit(words, np.array(dense), np.array([q for _, q in known]))
+    want = {d: machine.score([t.encode()])[0] for d, t in documents.items()}
+    got = {r["doc_id"]: r for r in registry.QUERIES["op6_quality"](spark, SF).collect()}
+    assert set(got) == set(want)
+    for d, r in got.items():
+        assert r["score"] == pytest.approx(want[d], abs=1e-6) and r["predicted"] == int(r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 0)
+
+
 # all of them
 
+CLASHES = ["_row", "_lost", "n_removed", "n_lines", "n_dropped", "_drop", "score", "spans", "n_replaced", "ids", "decoded", "n_tokens", "_rest", "rest", "found", "new", "_salt", "key", "root", "kept", "fp",
+           "bands", "h", "hash", "sides", "digest", "a.b", "with space"]
+
+
+def _clashing(spark):
+    """The awkward table with a column of every name that an operator uses inside or returns."""
+    values = [F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in CLASHES]
+    return spark.createDataFrame([x[:3] for x in AWKWARD], "doc_id long, text string, lang string").select("doc_id", *values[:14], "text", *values[14:], "lang")
+
+
+def _with_outputs(spark, apply, outputs):
+    """Rows of an operator, after checking that all columns but its own came through."""
+    docs = _clashing(spark)
+    got = apply(docs)
+    own = [c for c in docs.columns if c not in outputs]
+    assert got.columns == [*own, *outputs]
+    rows_ = got.collect()
+    key = lambda r: (str(r["doc_id"]), str(r["lang"]))
+    extra = [c for c in own if c != "text"]
+    assert sorted([tuple(str(r[c]) for c in extra) for r in rows_]) == sorted([tuple(str(r[c]) for c in extra) for r in docs.collect()])
+    none = apply(docs.limit(0))
+    assert none.columns == got.columns and none.count() == 0
+    return sorted(rows_, key=key)
+
+
+@pytest.fixture(scope="module")
+def awkward_texts():
+    return sorted((str(d), str(lang), t) for d, t, lang, *_ in AWKWARD)
+
+
+def test_clashes_pii(spark, awkward_texts):
+    got = _with_outputs(spark, pii.pseudonymise, ["n_replaced"])
+    assert [(str(r["doc_id"]), str(r["lang"]), r["text"]) for r in got] == awkward_texts and {r["n_replaced"] for r in got} == {0}
+
+
+def test_clashes_paragraphs(spark):
+    got = _with_outputs(spark, paragraphs.drop_near_paragraphs, ["n_removed"])
+    # document 8 repeats a line of eight words, documents 4 to 6 have fewer than five
+    line = "A line of more than forty characters, again."
+    assert {str(r["doc_id"]): (r["text"], r["n_removed"]) for r in got if r["n_removed"]} == {"8": (line, 2)}
+    assert {str(r["doc_id"]): r["text"] for r in got if str(r["doc_id"]) in ("1", "2", "3", "None")} == {"1": None, "2": "", "3": " \n\t", "None": "x y z"}
+
+
+def test_clashes_quality(spark, awkward_texts):
+    machine = quality.train(_clashing(spark), spark.createDataFrame([(4, 1), (7, 0), (8, 1), (1, 0), (2, 0)], "doc_id long, quality int"))
+    got = _with_outputs(spark, lambda d: quality.score_documents(d, machine), ["score"])
+    want = machine.score([(t or "").encode() for _, _, t in awkward_texts])
+    assert [(str(r["doc_id"]), str(r["lang"]), r["text"]) for r in got] == awkward_texts and [r["score"] for r in got] == pytest.approx(list(want))
+
+
+@pytest.mark.parametrize("room", [1 << 20, 0])
+def test_clashes_lines(spark, room):
+    got = _with_outputs(spark, lambda d: line_dedup.drop_repeated_lines(d, broadcast_bytes=room), ["n_lines", "n_dropped"])
+    assert [(r["n_lines"], r["n_dropped"]) for r in got] == [(len((t or "").split("\n")), 0) for _, _, t in sorted((str(d), str(lang), t) for d, t, lang, *_ in AWKWARD)]
+    assert all(r["text"] is not None for r in got)
+
+
+def test_clashes_leaks(spark):
+    bench = spark.createDataFrame([(1, "same text"), (2, "long words long words long words long words long words")], "item_id long, text string")
+    got = {(str(r["doc_id"]), r["text"]) for r in _with_outputs(spark, lambda d: decontaminate.remove_leaks(d, bench), [])}
+    assert {x for x in got if x[0] in ("4", "5", "6")} == {("4", "\n é here"), ("5", "\n é here"), ("6", "\n É here")} and ("1", None) in got and ("None", "x y z") in got
+    assert [t.strip() for d, t in got if d == "7"] == [""]
+
+
+def test_clashes_ids(spark, encoding):
+    path, pattern, own = encoding
+    got = _with_outputs(spark, lambda d: bpe.bpe_encode(d, path, pattern), ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
+    for r in got:
+        ids = own.encode_ordinary(r["text"] or "")
+        assert list(r["ids"]) == ids and r["n_tokens"] == len(ids) and r["decoded"] == (r["text"] or "") and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
+def test_clashes_where_columns_are_ignored(spark, awkward):
+    docs = _clashing(spark)
+    for apply in (simhash.near_duplicates, exact_dedup.exact_dedup, suffix_dedup.remove_repeats, lambda d: decontaminate.leaks(d, docs.select(F.col("doc_id").alias("item_id"), "text"))):
+        plain = docs.select("doc_id", "text")
+        assert sorted(map(str, apply(docs).collect())) == sorted(map(str, apply(plain).collect())) and len(apply(docs.limit(0)).collect()) == 0
+
+
 @pytest.mark.parametrize("apply", [
     pii.pseudonymise, paragraphs.drop_near_paragraphs, simhash.near_duplicates, suffix_dedup.remove_repeats, exact_dedup.exact_dedup, line_dedup.drop_repeated_lines])
 def test_awkward_and_empty_tables(spark, awkward, apply):
