@@ -51,7 +51,7 @@ def heal_page_breaks(blocks: DataFrame) -> DataFrame:
 
     Neighbours are joinable when the first ends in a hyphen, or the second is no heading and
     continues in lower case after a comma, semicolon, colon or lower-case letter. A run of joinable
-    blocks merges from its first page change on.
+    blocks merges from its first page change on. Windows hold one book's blocks.
     """
     w = Window.partitionBy("book_id").orderBy("ord")
     tail, head = F.rtrim(F.lag("text").over(w)), F.ltrim("text")
@@ -133,20 +133,23 @@ def emit_blocks(drafts: DataFrame) -> DataFrame:
                     (F.col("start_off") + F.length("text")).cast("long").alias("end_off"))
 
 
-def assign_sections(blocks: DataFrame, sections: DataFrame, clamp: bool = False) -> DataFrame:
+def assign_sections(blocks: DataFrame, sections: DataFrame, clamp: bool = False, span: int = 1 << 16) -> DataFrame:
     """As-of join: each block (book_id, pos, ...) gets the latest section (book_id, start, section_id) with start <= pos.
 
     Of several sections with one start the last by order_idx wins. Blocks before the first section
-    get none, or the first with ``clamp``. One union and one window, no range join.
+    get none, or the first with ``clamp``. A union and a window over ``span`` positions of a book;
+    what a span inherits comes from a window over one row per span. No range join.
     """
     starts = sections.groupBy("book_id", F.col("start").alias("pos")).agg(F.max_by("section_id", "order_idx").alias("_sec"))
     names = blocks.columns
-    both = blocks.withColumn("_is", F.lit(1)).unionByName(starts.withColumn("_is", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy("book_id").orderBy("pos", "_is")
-    sec = F.last("_sec", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    if clamp:
-        sec = F.coalesce(sec, F.first("_sec", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return both.withColumn("assigned_section", sec).where("_is = 1").select(*names, "assigned_section")
+    both = blocks.withColumn("_is", F.lit(1)).unionByName(starts.withColumn("_is", F.lit(0)), allowMissingColumns=True).withColumn("_r", F.floor(F.col("pos") / span))
+    book = Window.partitionBy("book_id").orderBy("_r")
+    per = both.groupBy("book_id", "_r").agg(F.max_by("_sec", F.when(F.col("_is") == 0, F.col("pos"))).alias("_end"), F.min_by("_sec", F.when(F.col("_is") == 0, F.col("pos"))).alias("_begin"))
+    first = F.first("_begin", ignorenulls=True).over(book.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    per = per.select("book_id", "_r", F.last("_end", ignorenulls=True).over(book.rowsBetween(*_BEFORE)).alias("_end"), first.alias("_begin"))
+    w = Window.partitionBy("book_id", "_r").orderBy("pos", "_is").rowsBetween(Window.unboundedPreceding, 0)
+    sec = F.coalesce(F.last("_sec", ignorenulls=True).over(w), "_end", *(["_begin"] if clamp else []))
+    return both.join(per, ["book_id", "_r"]).withColumn("assigned_section", sec).where("_is = 1").select(*names, "assigned_section")
 
 
 def resolve_anchor(toc: DataFrame, drafts: DataFrame) -> DataFrame:

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codexloom.functions.columns import chunk_id
+from codexloom.sources import store
 
+#: Blocks of one book that a window holds at most.
+RANGE = 1 << 16
 SEPARATORS = ("\n\n", "\n", "。", ".", " ")
 
 
@@ -52,9 +56,15 @@ def chunk_blocks(blocks: DataFrame, size: int = 800, overlap: int = 100) -> Data
     A section that another interrupts gives two windows. Each window is one row and is split in an
     Arrow batch; blank windows and blank pieces are skipped and take no number.
     """
-    w = Window.partitionBy("book_id").orderBy("order_idx")
-    new = F.when(F.lag("order_idx").over(w).isNull() | ~F.lag("section_id").over(w).eqNullSafe(F.col("section_id")), F.col("order_idx"))
-    b = blocks.withColumn("_win", F.last(new, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # the block before is found within a range of orders, or as the last of the range before
+    b = blocks.withColumn("_r", F.floor(F.col("order_idx") / RANGE))
+    ends = b.groupBy("book_id", "_r").agg(F.max_by(F.struct("section_id"), "order_idx").alias("_last"))
+    ends = ends.select("book_id", "_r", F.lag("_last").over(Window.partitionBy("book_id").orderBy("_r")).alias("_last"))
+    b = b.join(ends, ["book_id", "_r"])
+    before = F.coalesce(F.lag(F.struct("section_id")).over(Window.partitionBy("book_id", "_r").orderBy("order_idx")), "_last")
+    b = b.withColumn("_new", F.when(before.isNull() | ~before["section_id"].eqNullSafe(F.col("section_id")), F.col("order_idx")))
+    w = Window.partitionBy("book_id", "section_id").orderBy("order_idx").rowsBetween(Window.unboundedPreceding, 0)
+    b = b.withColumn("_win", F.last("_new", ignorenulls=True).over(w))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order_idx", "text"))), lambda x: x["text"]), "\n")
     wins = b.groupBy("book_id", "section_id", "_win").agg(text.alias("win")).where(F.col("win").rlike(r"\S"))
 
@@ -72,35 +82,46 @@ def chunk_blocks(blocks: DataFrame, size: int = 800, overlap: int = 100) -> Data
                 out.append(own)
             yield pd.Series(out)
 
-    p = wins.withColumn("_p", pieces("win"))
-    before = F.coalesce(F.sum(F.size("_p")).over(Window.partitionBy("book_id").orderBy("_win").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    p = p.withColumn("_before", before).select("book_id", "section_id", F.col("_win").alias("window"), "win", "_before", F.posexplode("_p").alias("_i", "_x"))
+    # numbers are summed over narrow rows, so that no window holds a book's text
+    p = store.stage(wins.withColumn("_p", pieces("win")))
+    before = F.sum("_n").over(Window.partitionBy("book_id").orderBy("_win").rowsBetween(Window.unboundedPreceding, -1))
+    numbers = p.select("book_id", "_win", F.size("_p").alias("_n")).select("book_id", "_win", F.coalesce(before, F.lit(0)).alias("_before"))
+    p = p.join(numbers, ["book_id", "_win"])
+    p = p.select("book_id", "section_id", F.col("_win").alias("window"), "win", "_before", F.posexplode("_p").alias("_i", "_x"))
     p = p.withColumn("chunk_ord", (F.col("_before") + F.col("_i")).cast("long"))
     return p.select("book_id", "section_id", "window", "chunk_ord", chunk_id(F.col("book_id"), F.col("chunk_ord")).alias("chunk_id"),
                     F.col("_x.start").alias("start"), F.col("_x.stop").alias("stop"),
                     F.substring("win", F.col("_x.start") + 1, F.col("_x.stop") - F.col("_x.start")).alias("text"))
 
 
+def _places(blocks: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
+    """Which of a section's blocks hold each chunk's first, last and middle position, by sorted starts."""
+    out = []
+    for at, start, stop in zip(blocks, starts, stops):
+        at, start, stop = (np.asarray(x, np.int64) for x in (at, start, stop))
+        lo, hi, mid = (np.maximum(np.searchsorted(at, x, "right") - 1, 0) for x in (start, np.maximum(start, stop - 1), (start + stop) // 2))
+        first = np.maximum(start - at[lo], 0)
+        out.append([{"lo": a, "hi": b, "mid": c, "first": d} for a, b, c, d in zip(lo.tolist(), hi.tolist(), mid.tolist(), first.tolist())])
+    return pd.Series(out)
+
+
 def chunk_spans(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
-    """chunks with block_ids, primary_block_id, lo, hi and first_char: an interval join inside each section.
+    """chunks with block_ids, primary_block_id, lo, hi and first_char: a sorted lookup inside each section.
 
     Positions count in the section's window; a position on the line break between blocks belongs to
-    the earlier one.
+    the earlier one. A section's chunks and its blocks are one row each, which meet once.
     """
-    w = Window.partitionBy("book_id", "section_id").orderBy("order_idx")
-    base = F.min("start_off").over(Window.partitionBy("book_id", "section_id"))
-    b = blocks.select("book_id", "section_id", "block_id", "order_idx", (F.col("start_off") - base).alias("_bs"))
-    b = b.withColumn("_nx", F.coalesce(F.lead("_bs").over(w), F.lit(1_000_000_000)))
-    j = chunks.join(b, ["book_id", "section_id"]).where("_bs <= greatest(start, stop - 1) and _nx > start")
-    mid = F.floor((F.col("start") + F.col("stop")) / 2)
-    holds = lambda p: (F.col("_bs") <= p) & (p < F.col("_nx"))
-    names = chunks.columns
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("order_idx", "block_id"))), lambda x: x["block_id"])
-    got = j.groupBy("book_id", "chunk_id").agg(
-        *[F.first(n).alias(n) for n in names if n not in ("book_id", "chunk_id")], ids.alias("block_ids"), F.min("order_idx").alias("lo"), F.max("order_idx").alias("hi"),
-        F.max(F.when(holds(mid), F.col("block_id"))).alias("primary_block_id"),
-        F.greatest(F.min(F.when(holds(F.col("start")), F.col("start") - F.col("_bs"))), F.lit(0)).cast("long").alias("first_char"))
-    return got.select(*names, "block_ids", "lo", "hi", "primary_block_id", "first_char")
+    keys = ["book_id", "section_id"]
+    b = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("order_idx", "start_off", "block_id"))).alias("_b"))
+    c = chunks.groupBy(*keys).agg(F.collect_list(F.struct(*[n for n in chunks.columns if n not in keys])).alias("_c"))
+    base, places = F.get("_b", F.lit(0))["start_off"], F.pandas_udf(_places, "array<struct<lo: int, hi: int, mid: int, first: long>>")
+    j = c.join(b, keys).withColumn("_s", places(F.transform("_b", lambda x: x["start_off"] - base), F.transform("_c", lambda x: x["start"]), F.transform("_c", lambda x: x["stop"])))
+    j = j.select(*keys, "_b", F.explode(F.arrays_zip("_c", "_s")).alias("_x"))
+    own = [n if n in keys else F.col(f"_x._c.{n}").alias(n) for n in chunks.columns]
+    block = lambda name, i: F.get("_b", F.col(f"_x._s.{i}"))[name]
+    ids = F.transform(F.slice("_b", F.col("_x._s.lo") + 1, F.col("_x._s.hi") - F.col("_x._s.lo") + 1), lambda x: x["block_id"])
+    return j.select(*own, ids.alias("block_ids"), block("order_idx", "lo").alias("lo"), block("order_idx", "hi").alias("hi"),
+                    block("block_id", "mid").alias("primary_block_id"), F.col("_x._s.first").alias("first_char"))
 
 
 def block_to_chunk(spans: DataFrame) -> DataFrame:

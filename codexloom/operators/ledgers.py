@@ -158,7 +158,7 @@ def usage_cost(usage: DataFrame, prices: DataFrame, *keys: str) -> DataFrame:
     A model without a price costs nothing and is counted as unpriced. Prices are one row per model.
     """
     d = lambda c: F.col(c).cast("decimal(18,0)")
-    j = usage.join(F.broadcast(prices), "model", "left")
+    j = usage.join(prices, "model", "left")
     cost = (d("input_tokens") * F.col("input_per_1m") + d("output_tokens") * F.col("output_per_1m")) / F.lit(1_000_000).cast("decimal(10,0)")
     return j.groupBy(*keys).agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
                                 F.coalesce(F.sum(cost.cast("decimal(28,12)")), F.lit(0).cast("decimal(28,12)")).alias("cost"), F.count_if(F.col("input_per_1m").isNull()).alias("n_unpriced"))

@@ -3,36 +3,58 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codexloom.functions.columns import tokens
+from codexloom.sources import store
 
 K1, B = 1.2, 0.75
 
 
-def keyword_index(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(postings, totals): token, book_id, block_id, order_idx, tf, dl, df per posting; one row of n and avgdl.
+class KeywordIndex(NamedTuple):
+    """postings (token, book_id, block_id, order_idx, tf, dl), frequencies (token, df) and totals (one row of n and avgdl)."""
 
-    Document frequencies and the average length are over all books.
-    """
+    postings: DataFrame
+    frequencies: DataFrame
+    totals: DataFrame
+
+
+def keyword_index(blocks: DataFrame) -> KeywordIndex:
+    """An index of the blocks that is computed anew by everything that reads it; frequencies and the average length are over all books."""
     t = blocks.select("book_id", "block_id", "order_idx", tokens(F.col("text")).alias("_t"))
     totals = t.agg(F.count(F.lit(1)).alias("n"), (F.sum(F.size("_t")) / F.count(F.lit(1))).alias("avgdl"))
     # counts are partial before the shuffle, so a token crosses once per block
     p = t.select("book_id", "block_id", "order_idx", F.size("_t").alias("dl"), F.explode("_t").alias("token"))
     p = p.groupBy("token", "book_id", "block_id").agg(F.first("order_idx").alias("order_idx"), F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    return p, totals
+    return KeywordIndex(p, p.groupBy("token").agg(F.count(F.lit(1)).alias("df")), totals)
+
+
+def write_keyword_index(blocks: DataFrame, path: str | None = None) -> KeywordIndex:
+    """Write the index under a path (a new shared folder without one) and return what was written.
+
+    Postings are dealt out by token and block, so no token makes a task of its own, and sorted by
+    token in each file, so that a search reads the row groups of its tokens only.
+    """
+    path = path or store.scratch(blocks.sparkSession)
+    own = keyword_index(blocks)
+    p = store.stage(own.postings.sortWithinPartitions("token", "book_id", "order_idx"), f"{path}/postings")
+    f = store.stage(p.groupBy("token").agg(F.count(F.lit(1)).alias("df")), f"{path}/frequencies")
+    n = blocks.agg(F.count(F.lit(1)).alias("n"))
+    totals = n.crossJoin(p.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("_len"))).select("n", (F.col("_len") / F.nullif("n", F.lit(0))).alias("avgdl"))
+    return KeywordIndex(p, f, store.stage(totals, f"{path}/totals"))
 
 
-def document_frequencies(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+def read_keyword_index(spark: SparkSession, path: str) -> KeywordIndex:
+    return KeywordIndex(*(spark.read.parquet(f"{path}/{name}") for name in KeywordIndex._fields))
 
 
-def keyword_search(queries: DataFrame, postings: DataFrame, totals: DataFrame, k: int = 8, per_book: bool = False) -> DataFrame:
+def keyword_search(queries: DataFrame, index: KeywordIndex, k: int = 8, per_book: bool = False) -> DataFrame:
     """Best blocks (query_id, book_id, block_id, order_idx, score, rank) that hold all tokens of a query (query_id, tokens).
 
     BM25 with the inverse document frequency floored at 1e-6; ties by book and order. Candidates
@@ -40,12 +62,11 @@ def keyword_search(queries: DataFrame, postings: DataFrame, totals: DataFrame, k
     long posting lists of common words are never joined to a query as a whole.
     """
     q = queries.select("query_id", F.array_distinct("tokens").alias("_q")).where(F.size("_q") > 0)
-    q = q.select("query_id", F.size("_q").alias("_need"), F.explode("_q").alias("token"))
-    asked = postings.join(q.select("token").distinct(), "token", "left_semi")
-    q = q.join(document_frequencies(asked), "token")
+    q = q.select("query_id", F.size("_q").alias("_need"), F.explode("_q").alias("token")).join(index.frequencies, "token")
     rare = q.groupBy("query_id").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
-    found = asked.join(rare, "token").select("query_id", "book_id", "block_id")
-    terms = found.join(q, "query_id").join(asked, ["token", "book_id", "block_id"]).crossJoin(F.broadcast(totals))
+    asked = index.postings.join(q.select("token").distinct(), "token", "left_semi")
+    found = index.postings.join(rare, "token").select("query_id", "book_id", "block_id")
+    terms = found.join(q, "query_id").join(asked, ["token", "book_id", "block_id"]).crossJoin(F.broadcast(index.totals))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     hits = terms.withColumn("_s", part).groupBy("query_id", "book_id", "block_id").agg(
@@ -75,46 +96,78 @@ def keyword_chunks(hits: DataFrame, block_chunk: DataFrame, k: int = 8) -> DataF
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "book_id", "chunk_id", "rank", F.lit("keyword").alias("origin"))
 
 
+class _Best:
+    """The k best nodes so far of each of n queries, by similarity (6 decimals), then by node."""
+
+    def __init__(self, n: int, k: int):
+        self.sims, self.nodes = np.full((n, k), -np.inf), np.zeros((n, k), np.int64)
+
+    def add(self, rows: np.ndarray, sims: np.ndarray, nodes: np.ndarray) -> None:
+        """sims of some queries (rows) by ascending nodes; minus infinity where they may not meet."""
+        k, m = self.sims.shape[1], len(nodes)
+        nodes = np.broadcast_to(nodes, sims.shape)
+        if m > k:
+            # one whole number orders by similarity and breaks ties by node
+            order = np.where(np.isfinite(sims), np.rint(sims * 1e6), -(1 << 40)).astype(np.int64) * m - np.arange(m)
+            top = np.argpartition(-order, k - 1, 1)[:, :k]
+            sims, nodes = np.take_along_axis(sims, top, 1), np.take_along_axis(nodes, top, 1)
+        sims, nodes = np.concatenate((self.sims[rows], sims), 1), np.concatenate((self.nodes[rows], nodes), 1)
+        order = np.lexsort((nodes, -sims), axis=-1)[:, :k]
+        self.sims[rows], self.nodes[rows] = np.take_along_axis(sims, order, 1), np.take_along_axis(nodes, order, 1)
+
+    def frame(self, ids: np.ndarray) -> pd.DataFrame:
+        q, j = np.nonzero(np.isfinite(self.sims))
+        return pd.DataFrame({"query_id": ids[q], "node_id": self.nodes[q, j], "sim": self.sims[q, j]})
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float64)
+
+
+def _ranked(found: DataFrame | None, spark: SparkSession, k: int) -> DataFrame:
+    if found is None:
+        return spark.createDataFrame([], "query_id long, node_id long, sim double, rank int")
+    w = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "node_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _query_blocks(queries: DataFrame, block: int, *columns: str) -> Iterator[list]:
+    """The stated queries in blocks of about ``block`` rows at the driver, dealt by a hash."""
+    parts = max(1, -(-queries.count() // block))
+    for i in range(parts):
+        if own := queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).select("query_id", "vector", *columns).collect():
+            yield own
+
+
 def vector_topk(queries: DataFrame, nodes: DataFrame, k: int = 3, on: list[str] | None = None, block: int = 4096) -> DataFrame:
     """Exact top-k by inner product: query_id, node_id, sim, rank; ``on`` names columns that must agree.
 
-    Queries are a stated set. They are held as matrix blocks of at most ``block`` rows; every batch
-    of nodes keeps its own k best per query, and those meet in a window.
+    Queries are a stated set. They are held as matrix blocks of about ``block`` rows; every task keeps
+    its k best nodes per query, and those meet in a window.
     """
     spark, on = nodes.sparkSession, on or []
-    n = queries.count()
-    parts = max(1, -(-n // block))
     found = None
-    for i in range(parts):
-        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).select("query_id", "vector", *on).collect()
-        if not own:
-            continue
+    for own in _query_blocks(queries, block, *on):
         held = spark.sparkContext.broadcast((np.array([r["query_id"] for r in own]), np.array([r["vector"] for r in own], np.float64), [tuple(r[c] for c in on) for r in own]))
 
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, matrix, keys = held.value
+            top, every = _Best(len(ids), k), np.arange(len(ids))
             for b in batches:
                 if not len(b):
                     continue
-                v = np.stack(b["vector"].to_numpy()).astype(np.float64)
-                sims = np.round(matrix @ v.T, 6)
+                b = b.sort_values("node_id")
+                sims = np.round(matrix @ _matrix(b["vector"]).T, 6)
                 if on:
                     own_keys = list(zip(*[b[c] for c in on]))
                     code = {x: j for j, x in enumerate({*keys, *own_keys})}
                     sims = np.where(np.array([code[x] for x in keys])[:, None] == np.array([code[x] for x in own_keys])[None, :], sims, -np.inf)
-                node = b["node_id"].to_numpy()
-                rows = []
-                for q in range(len(ids)):
-                    top = np.lexsort((node, -sims[q]))[:k]
-                    rows += [(ids[q], node[t], sims[q, t]) for t in top if np.isfinite(sims[q, t])]
-                yield pd.DataFrame(rows, columns=["query_id", "node_id", "sim"])
+                top.add(every, sims, b["node_id"].to_numpy())
+            yield top.frame(ids)
 
         one = nodes.select("node_id", "vector", *on).mapInPandas(best, "query_id long, node_id long, sim double")
         found = one if found is None else found.unionByName(one)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, node_id long, sim double, rank int")
-    w = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "node_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return _ranked(found, spark, k)
 
 
 def kmeans(vectors: np.ndarray, k: int, seed: int = 42, restarts: int = 10, steps: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -134,29 +187,67 @@ def kmeans(vectors: np.ndarray, k: int, seed: int = 42, restarts: int = 10, step
     return best[1], best[2]
 
 
-def vector_topk_ivf(queries: DataFrame, nodes: DataFrame, k: int = 3, cells: int = 16, probes: int = 12, sample: int = 5000) -> DataFrame:
-    """Approximate top-k: nodes are dealt into cells around centres fitted on at most ``sample`` nodes; a query meets only its nearest cells."""
+class VectorCells(NamedTuple):
+    """nodes (node_id, vector, cell) in runs of cells, and the cells' centres."""
+
+    nodes: DataFrame
+    centres: np.ndarray
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Cells of each vector, the nearest first."""
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.argsort(-(x / np.where(norm > 0, norm, 1) @ centres.T - 0.5 * (centres ** 2).sum(1)), 1, kind="stable")
+
+
+def vector_cells(nodes: DataFrame, cells: int | None = None, sample: int = 20_000, salts: int = 16) -> VectorCells:
+    """Deal nodes into about as many cells as the square root of their number, around centres fitted on at most ``sample`` nodes.
+
+    A cell's nodes fall into ``salts`` parts, so a cell with many nodes is no single task.
+    """
     spark = nodes.sparkSession
-    some = nodes.orderBy(F.xxhash64("node_id")).limit(sample).select("vector").collect()
-    v = np.array([r[0] for r in some], np.float64)
-    held = spark.sparkContext.broadcast(kmeans(v / np.linalg.norm(v, axis=1, keepdims=True), min(cells, len(v)), restarts=3)[1])
-
-    def near(n: int):
-        @F.pandas_udf("array<int>")
-        def cell(s: pd.Series) -> pd.Series:
-            if not len(s):
-                return pd.Series([], dtype=object)
-            x = np.stack(s.to_numpy()).astype(np.float64)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            c = held.value
-            return pd.Series(list(np.argsort(-(x @ c.T - 0.5 * (c ** 2).sum(1)), 1)[:, :n].astype(np.int32)))
-        return cell
-
-    q = queries.select("query_id", F.col("vector").alias("qv"), F.explode(near(probes)("vector")).alias("cell"))
-    d = nodes.select("node_id", "vector", near(1)("vector")[0].alias("cell"))
-    sim = F.round(F.aggregate(F.zip_with("qv", "vector", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x), 6)
-    w = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "node_id")
-    return (q.join(d, "cell").select("query_id", "node_id", sim.alias("sim")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+    v = np.array([r[0] for r in nodes.orderBy(F.xxhash64("node_id")).limit(sample).select("vector").collect()], np.float64)
+    if not len(v):
+        return VectorCells(nodes.select("node_id", "vector", F.lit(0).alias("cell")), np.zeros((1, 1)))
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    cells = cells or max(1, min(int(nodes.count() ** 0.5), len(v) // 8))
+    held = spark.sparkContext.broadcast(kmeans(v / np.where(norm > 0, norm, 1), min(cells, len(v)), restarts=1, steps=10)[1])
+
+    @F.pandas_udf("int")
+    def cell(s: pd.Series) -> pd.Series:
+        return pd.Series(_nearest(_matrix(s), held.value)[:, 0] if len(s) else [], dtype="int32")
+
+    dealt = nodes.select("node_id", "vector", cell("vector").alias("cell")).repartition("cell", F.pmod(F.xxhash64("node_id"), F.lit(salts)))
+    return VectorCells(dealt.sortWithinPartitions("cell"), held.value)
+
+
+def vector_topk_ivf(queries: DataFrame, index: VectorCells, k: int = 3, share: float = 0.75, block: int = 4096) -> DataFrame:
+    """Approximate top-k (query_id, node_id, sim, rank): a query meets the nodes of its nearest cells only, a ``share`` of all cells.
+
+    The share is for vectors without clusters, of which nearest neighbours lie in many cells. Cells
+    are scored as matrices; a task keeps its k best nodes per query, so no pairs are shuffled.
+    """
+    found, n_cells = None, len(index.centres)
+    for own in _query_blocks(queries, block):
+        q = np.array([r["vector"] for r in own], np.float64)
+        asked = np.zeros((len(own), n_cells), bool)
+        np.put_along_axis(asked, _nearest(q, index.centres)[:, :max(1, int(np.ceil(share * n_cells)))] if q.shape[1] == index.centres.shape[1] else np.zeros((len(own), 1), int), True, 1)
+        held = index.nodes.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in own]), q, asked))
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, matrix, asked = held.value
+            top = _Best(len(ids), k)
+            for b in batches:
+                for c, part in b.groupby("cell"):
+                    rows = np.flatnonzero(asked[:, c])
+                    if len(rows):
+                        part = part.sort_values("node_id")
+                        top.add(rows, np.round(matrix[rows] @ _matrix(part["vector"]).T, 6), part["node_id"].to_numpy())
+            yield top.frame(ids)
+
+        one = index.nodes.mapInPandas(best, "query_id long, node_id long, sim double")
+        found = one if found is None else found.unionByName(one)
+    return _ranked(found, index.nodes.sparkSession, k)
 
 
 def mmr(candidates: DataFrame, k: int = 3, weight: float = 0.5) -> DataFrame:

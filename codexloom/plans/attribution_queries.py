@@ -63,10 +63,10 @@ _SPANS = (r"list_filter(list_transform(regexp_extract_all({}, '[" + '"' + r"“
 
 
 def _said():
-    return F.concat(lit('He said "'), F.substring("text", 1, 40), lit('" and “'), F.substring("text", 60, 30), lit('” or "ab" or "-- x"'))
+    return F.concat(lit('He said "'), F.col("text"), lit('" and “'), F.upper(F.col("text")), lit('” or "ab" or "-- x"'))
 
 
-_SAID = "'He said \"' || substr(text, 1, 40) || '\" and “' || substr(text, 60, 30) || '” or \"ab\" or \"-- x\"'"
+_SAID = "'He said \"' || text || '\" and “' || upper(text) || '” or \"ab\" or \"-- x\"'"
 
 
 @query(f"SELECT item_id AS query_id, array_to_string({_SPANS.format(_SAID)}, '|') AS spans FROM benchmark")
@@ -118,7 +118,7 @@ def turn_attribution(spark, sf):
 
 @query(f"""WITH {V.SPANS}, cov AS (SELECT book_id, 'raptor_l1_' || section_id AS node_id, list_sort(list(block_id)) AS c FROM blocks_x GROUP BY ALL),
 n AS (SELECT book_id, chunk_id AS node_id, 0 AS lv, text, block_ids AS own, primary_block_id AS p FROM spans UNION ALL SELECT book_id, node_id, 1, 'summary', c, c[1] FROM cov),
-i AS (SELECT book_id, chunk_id AS node_id FROM spans WHERE chunk_ord % 10 = 0 UNION ALL SELECT DISTINCT book_id, 'raptor_l1_' || section_id FROM blocks_x WHERE doc_id % 20 = 0 UNION ALL SELECT DISTINCT book_id, 'missing' FROM blocks_x)
+i AS (SELECT book_id, chunk_id AS node_id FROM spans UNION ALL SELECT DISTINCT book_id, 'raptor_l1_' || section_id FROM blocks_x UNION ALL SELECT DISTINCT book_id, 'missing' FROM blocks_x)
 SELECT i.book_id, i.node_id, CASE WHEN lv > 0 THEN 'raptor' WHEN lv = 0 THEN 'raw' END AS layer, coalesce(len(own), 0) AS n_blocks, p AS primary_block_id, b.section_id, substr(n.text, 1, 280) AS snippet, p IS NOT NULL AS resolved
 FROM i LEFT JOIN n ON i.book_id = n.book_id AND i.node_id = n.node_id LEFT JOIN blocks_x b ON b.book_id = i.book_id AND b.block_id = p""")
 def resolve_citations(spark, sf):
@@ -128,7 +128,7 @@ def resolve_citations(spark, sf):
     tops = b.select("book_id", top.alias("node_id"), "doc_id").distinct()
     nodes = spans.select("book_id", col("chunk_id").alias("node_id"), lit(0).alias("raptor_level"), "text", "block_ids", "primary_block_id").unionByName(
         tops.select("book_id", "node_id", lit(1).alias("raptor_level"), lit("summary").alias("text"), lit(None).cast("array<string>").alias("block_ids"), lit(None).cast("string").alias("primary_block_id")))
-    ids = spans.where("chunk_ord % 10 = 0").select("book_id", col("chunk_id").alias("node_id")).unionByName(tops.where("doc_id % 20 = 0").select("book_id", "node_id")).unionByName(
+    ids = spans.select("book_id", col("chunk_id").alias("node_id")).unionByName(tops.select("book_id", "node_id")).unionByName(
         b.select("book_id", lit("missing").alias("node_id")).distinct())
     return A.resolve_citations(ids, nodes, cov, b).withColumn("n_blocks", col("n_blocks").cast("long"))
 

@@ -42,7 +42,7 @@ def blocks_page(spark, sf):
     return page.select("block_id", "order_idx", F.when(F.count(lit(1)).over(w) == 50, F.max("order_idx").over(w)).alias("cursor"))
 
 
-@query()
+@query(f"WITH {V.BLOCKS} SELECT book_id, count(*) AS n_blocks, max(order_idx) AS last_order FROM blocks_x WHERE book_id <> 'src4' AND (book_id <> 'src2' OR order_idx < 5) GROUP BY book_id")
 def replace_book(spark, sf):
     path = f"{store.scratch(spark)}/blocks"
     b = S.blocks(spark, sf).select("book_id", "block_id", "order_idx", "text")

@@ -108,11 +108,11 @@ def interest_dedup(spark, sf):
                         p.select(col("p_partkey").alias("ord"), col("p_name").alias("text")), p.select(col("p_partkey").alias("ord"), F.upper("p_name").alias("text"))])
 
 
-@query("""WITH k AS (SELECT lower(trim(p_name)) AS t FROM part WHERE p_size < 5 UNION SELECT lower(trim(p_type)) FROM part), x AS (SELECT p_partkey AS pos, p_name AS title, row_number() OVER (PARTITION BY lower(trim(p_name)) ORDER BY p_partkey) AS n
-  FROM part WHERE lower(trim(p_name)) NOT IN (SELECT t FROM k)) SELECT pos, title FROM x WHERE n = 1""")
+@query("""WITH p AS (SELECT *, p_name || ' ' || p_partkey % 300 AS t FROM part), k AS (SELECT lower(trim(t)) AS t FROM p WHERE p_size < 5 UNION SELECT lower(trim(p_name || ' ' || p_size)) FROM p),
+x AS (SELECT p_partkey AS pos, t AS title, row_number() OVER (PARTITION BY lower(trim(t)) ORDER BY p_partkey) AS n FROM p WHERE lower(trim(t)) NOT IN (SELECT t FROM k)) SELECT pos, title FROM x WHERE n = 1""")
 def exclude_titles(spark, sf):
-    p = S.table(spark, sf, "part")
-    return G.exclude_titles(p.select(col("p_partkey").alias("pos"), col("p_name").alias("title")), p.where("p_size < 5").select(col("p_name").alias("title")), p.select(col("p_type").alias("title")))
+    p = S.table(spark, sf, "part").withColumn("title", F.concat_ws(" ", "p_name", (col("p_partkey") % 300).cast("string")))
+    return G.exclude_titles(p.select(col("p_partkey").alias("pos"), "title"), p.where("p_size < 5").select("title"), p.select(F.concat_ws(" ", "p_name", col("p_size").cast("string")).alias("title")))
 
 
 _NT = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'))"

@@ -17,22 +17,19 @@ from codexloom.sources import corpus as S
 col, lit = F.col, F.lit
 
 
-def _index(spark, sf):
-    return R.keyword_index(S.blocks(spark, sf))
-
-
 def _questions(spark, sf):
-    """The first three words of every benchmark passage."""
-    return S.passages(spark, sf).select("query_id", F.slice(C.tokens(col("text")), 1, 3).alias("tokens"))
+    """Every clause of every benchmark passage, with all of its words."""
+    clauses = S.passages(spark, sf).select("query_id", F.posexplode(F.split("text", "[.,;:!?]")).alias("i", "c"))
+    return clauses.select((col("query_id") * 1000 + col("i")).alias("query_id"), C.tokens(col("c")).alias("tokens"))
 
 
 def _top(spark, sf, k=8):
-    return R.keyword_search(_questions(spark, sf), *_index(spark, sf), k=k)
+    return R.keyword_search(_questions(spark, sf), R.write_keyword_index(S.blocks(spark, sf)), k=k)
 
 
 @query(f"WITH {V.INDEX} SELECT p.token, df, sum(tf)::BIGINT AS n_tokens, max(tf) AS max_tf FROM postings p JOIN df ON p.token = df.token GROUP BY p.token, df")
 def keyword_index(spark, sf):
-    p, _ = _index(spark, sf)
+    p = R.keyword_index(S.blocks(spark, sf)).postings
     return p.groupBy("token").agg(F.count(lit(1)).alias("df"), F.sum("tf").alias("n_tokens"), F.max("tf").alias("max_tf"))
 
 
@@ -57,12 +54,12 @@ def keyword_chunks(spark, sf):
 
 def _vectors(spark, sf):
     e = S.table(spark, sf, "embeddings")
-    return (e.where("vec_id % 25 = 0").select(col("vec_id").alias("query_id"), col("embedding").alias("vector"), "label"),
+    return (e.where("vec_id % 100 = 0").select(col("vec_id").alias("query_id"), col("embedding").alias("vector"), "label"),
             e.select(col("vec_id").alias("node_id"), col("embedding").alias("vector"), "label"))
 
 
 _SIMS = """sims AS (SELECT q.vec_id AS query_id, d.vec_id AS node_id, round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS sim, q.label = d.label AS same
-  FROM embeddings q, embeddings d WHERE q.vec_id % 25 = 0)"""
+  FROM embeddings q, embeddings d WHERE q.vec_id % 100 = 0)"""
 
 
 @query(f"""WITH {_SIMS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, node_id) AS rank FROM sims) SELECT query_id, node_id, sim, rank FROM r WHERE rank <= 3""")
@@ -80,7 +77,7 @@ def vector_topk_section(spark, sf):
 @query()
 def vector_topk_ivf(spark, sf):
     q, d = _vectors(spark, sf)
-    return R.vector_topk_ivf(q, d)
+    return R.vector_topk_ivf(q, R.vector_cells(d))
 
 
 @query(f"""WITH {_SIMS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, node_id) AS rank FROM sims), c AS (SELECT * FROM r WHERE rank <= 20),
@@ -140,14 +137,14 @@ _STRIDE = "({n} <= {k} OR i IN (SELECT round_even(j * ({n} - 1) / {d}, 0)::BIGIN
 
 
 @query(f"""WITH {V.CHUNKS}, c AS (SELECT book_id, section_id, doc_id, chunk_id, chunk_ord, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY book_id, section_id) AS n
-  FROM chunks_x WHERE doc_id % 10 = 0 WINDOW w AS (PARTITION BY book_id, section_id ORDER BY chunk_ord)),
+  FROM chunks_x WINDOW w AS (PARTITION BY book_id, section_id ORDER BY chunk_ord)),
 s AS (SELECT * FROM c WHERE n <= 7 OR list_contains(list_transform(range(7), lambda j: round_even(j * (n - 1) / 6.0, 0)::BIGINT), i)),
 u AS (SELECT doc_id AS query_id, book_id, section_id, chunk_id, 0 AS raptor_level, 1 AS p, chunk_ord FROM s
   UNION ALL SELECT DISTINCT doc_id, book_id, section_id, 'raptor_l1_' || section_id, 1, 0, -1 FROM c)
 SELECT query_id, book_id, section_id, chunk_id, raptor_level, row_number() OVER (PARTITION BY query_id ORDER BY p, chunk_ord) AS rank FROM u""")
 def chapter_docs(spark, sf):
     nodes = _nodes(spark, sf)
-    rq = nodes.where("raptor_level = 1 and doc_id % 10 = 0").select(col("doc_id").alias("query_id"), "book_id", "section_id")
+    rq = nodes.where("raptor_level = 1").select(col("doc_id").alias("query_id"), "book_id", "section_id")
     return R.chapter_docs(rq, nodes.drop("doc_id")).withColumn("rank", col("rank").cast("long"))
 
 
@@ -157,14 +154,14 @@ def stride_sample(spark, sf):
     return R.stride_sample(S.fixed_chunks(S.blocks(spark, sf)), ["book_id"], "chunk_ord", 8).select("book_id", "chunk_id", "chunk_ord")
 
 
-@query(f"""WITH {V.BLOCK_CHUNK}, s AS (SELECT *, greatest(lo - 1, 0) AS f, hi - lo + 2 AS len FROM spans WHERE chunk_ord % 9 = 0),
+@query(f"""WITH {V.BLOCK_CHUNK}, s AS (SELECT *, greatest(lo - 1, 0) AS f, hi - lo + 2 AS len FROM spans),
 j AS (SELECT s.chunk_ord AS query_id, s.book_id, s.chunk_id, c.chunk_id AS neighbor_id, min(b.order_idx) AS o FROM s
   JOIN blocks_x b ON b.book_id = s.book_id AND b.order_idx BETWEEN s.f AND s.f + s.len JOIN b2c c ON c.book_id = b.book_id AND c.block_id = b.block_id
   WHERE c.chunk_id <> s.chunk_id GROUP BY ALL)
 SELECT query_id, book_id, chunk_id, neighbor_id, row_number() OVER (PARTITION BY query_id, book_id, chunk_id ORDER BY o) AS rank FROM j""")
 def expand_neighbors(spark, sf):
     spans = Q.spans_of(spark, sf)
-    seeds = spans.where("chunk_ord % 9 = 0").select(col("chunk_ord").alias("query_id"), "book_id", "chunk_id")
+    seeds = spans.select(col("chunk_ord").alias("query_id"), "book_id", "chunk_id")
     got = R.expand_neighbors(seeds, spans, S.blocks(spark, sf), K.block_to_chunk(spans))
     return got.withColumn("rank", col("rank").cast("long"))
 

@@ -48,9 +48,10 @@ dl AS (SELECT book_id, block_id, sum(tf) AS dl FROM postings GROUP BY ALL),
 stats AS (SELECT (SELECT count(*) FROM blocks_x) AS n, (SELECT sum(dl) FROM dl) / (SELECT count(*) FROM blocks_x)::DOUBLE AS avgdl),
 df AS (SELECT token, count(*) AS df FROM postings GROUP BY token)""".replace("{tok}", TOKENS.format("text"))
 
-#: The first three distinct words of each benchmark passage, as query tokens.
+#: A query for every clause of each benchmark passage, with all of its words.
 SEARCH = INDEX + r""",
-qt AS (SELECT item_id AS query_id, unnest(list_distinct({tok}[1:3])) AS token FROM benchmark),
+clause AS (SELECT item_id, unnest(regexp_split_to_array(text, '[.,;:!?]')) AS c, unnest(range(len(regexp_split_to_array(text, '[.,;:!?]')))) AS i FROM benchmark),
+qt AS (SELECT item_id * 1000 + i AS query_id, unnest(list_distinct({tok})) AS token FROM clause),
 qn AS (SELECT query_id, count(*) AS n_tokens FROM qt GROUP BY query_id),
 hit AS (
   SELECT qt.query_id, p.book_id, p.block_id, p.order_idx, count(*) AS n_hit,
@@ -60,4 +61,4 @@ hit AS (
 found AS (
   SELECT h.*, row_number() OVER (PARTITION BY h.query_id ORDER BY round(score, 6) DESC, h.book_id, h.order_idx) AS rank
   FROM hit h JOIN qn ON qn.query_id = h.query_id AND qn.n_tokens = h.n_hit),
-top AS (SELECT * FROM found WHERE rank <= 8)""".replace("{tok}", TOKENS.format("text"))
+top AS (SELECT * FROM found WHERE rank <= 8)""".replace("{tok}", TOKENS.format("c"))

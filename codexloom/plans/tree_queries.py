@@ -40,7 +40,8 @@ def section_nodes(spark, sf):
 
 def _vector_nodes(spark, sf):
     e = S.table(spark, sf, "embeddings")
-    return e.select(F.concat(lit("b"), (col("vec_id") % 5).cast("string")).alias("book_id"), F.format_string("n%06d", "vec_id").alias("node_id"), "embedding")
+    # a book of some hundred nodes, whatever the number of vectors
+    return e.select(F.concat(lit("b"), F.floor(col("vec_id") / 200).cast("string")).alias("book_id"), F.format_string("n%06d", "vec_id").alias("node_id"), "embedding")
 
 
 @query()
@@ -102,7 +103,7 @@ def node_sections(spark, sf):
 
 
 @query(f"""WITH {V.CHUNKS}, n AS (SELECT book_id, chunk_id AS node_id, 0 AS raptor_level, section_id FROM chunks_x UNION ALL SELECT DISTINCT book_id, 'raptor_l1_' || section_id, 1, section_id FROM chunks_x),
-i AS (SELECT book_id, CASE chunk_ord % 4 WHEN 0 THEN ' ' || chunk_id || ' ' WHEN 1 THEN substr(chunk_id, 5) WHEN 2 THEN 'raptor_l1_' || section_id ELSE 'nothing' END AS raw FROM chunks_x WHERE chunk_ord % 5 = 0),
+i AS (SELECT book_id, CASE chunk_ord % 4 WHEN 0 THEN ' ' || chunk_id || ' ' WHEN 1 THEN substr(chunk_id, 5) WHEN 2 THEN 'raptor_l1_' || section_id ELSE 'nothing' END AS raw FROM chunks_x),
 k AS (SELECT book_id, raw, CASE WHEN trim(raw) LIKE 'raptor_l%' OR trim(raw) LIKE 'chk_%' THEN trim(raw) ELSE 'chk_' || trim(raw) END AS node_id FROM i)
 SELECT k.book_id, k.raw, k.node_id, raptor_level, section_id FROM k LEFT JOIN n ON k.book_id = n.book_id AND k.node_id = n.node_id""")
 def lookup_nodes(spark, sf):
@@ -112,7 +113,7 @@ def lookup_nodes(spark, sf):
         c.select("book_id", top.alias("node_id"), lit(1).alias("raptor_level"), "section_id").distinct())
     m = col("chunk_ord") % 4
     raw = F.when(m == 0, F.concat(lit(" "), "chunk_id", lit(" "))).when(m == 1, F.substring("chunk_id", 5, 20)).when(m == 2, top).otherwise("nothing")
-    return T.lookup_nodes(c.where("chunk_ord % 5 = 0").select("book_id", raw.alias("raw")), nodes)
+    return T.lookup_nodes(c.select("book_id", raw.alias("raw")), nodes)
 
 
 @query(f"SELECT doc_id, {_LEAD.format('text', 20)} AS lead, NULL::VARCHAR AS lead_error FROM documents")

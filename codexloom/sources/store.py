@@ -20,9 +20,9 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write to shared storage and read back."""
-    path = f"{scratch(df.sparkSession)}/stage"
+    path = path or f"{scratch(df.sparkSession)}/stage"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -75,7 +75,7 @@ def _latest(stream: DataFrame, keys: list[str], place: str | None, mode: str = "
 
 def stream_usage(stream: DataFrame, prices: DataFrame, place: str | None = None) -> DataFrame:
     """Tokens and exact cost per session; stream (session_id, model, input_tokens, output_tokens), prices a small static table."""
-    j = stream.join(F.broadcast(prices), "model", "left")
+    j = stream.join(prices, "model", "left")
     d = lambda c: F.col(c).cast("decimal(18,0)")
     cost = F.coalesce(d("input_tokens") * F.col("input_per_1m") + d("output_tokens") * F.col("output_per_1m"), F.lit(0)).cast("decimal(28,9)")
     g = j.groupBy("session_id").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum(cost).alias("cost_micro"))

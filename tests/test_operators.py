@@ -149,17 +149,27 @@ def test_sanitize_label(spark):
 
 
 def _index(spark, rows):
-    return R.keyword_index(table(spark, rows, "book_id string, block_id string, order_idx int, text string"))
+    return R.write_keyword_index(table(spark, rows, "book_id string, block_id string, order_idx int, text string"))
 
 
 def test_keyword_search_needs_all_words(spark):
-    p, totals = _index(spark, [("b", "x", 0, "The white whale swims"), ("b", "y", 1, "A white sail"), ("c", "z", 0, "Wale, whale! Éclair")])
-    q = lambda *t: R.keyword_search(table(spark, [(1, list(t))], "query_id int, tokens array<string>"), p, totals)
+    index = _index(spark, [("b", "x", 0, "The white whale swims"), ("b", "y", 1, "A white sail"), ("c", "z", 0, "Wale, whale! Éclair")])
+    q = lambda *t: R.keyword_search(table(spark, [(1, list(t))], "query_id int, tokens array<string>"), index)
     assert got(q("white", "whale"), "block_id") == [("x",)]
     assert got(q("whale"), "block_id") == [("x",), ("z",)]
     assert got(q("eclair"), "block_id") == [("z",)]
     assert q("absent").count() == 0 and q().count() == 0
-    assert R.keyword_search(table(spark, [(1, ["white"])], "query_id int, tokens array<string>"), p, totals, k=1).count() == 1
+    assert R.keyword_search(table(spark, [(1, ["white"])], "query_id int, tokens array<string>"), index, k=1).count() == 1
+
+
+def test_written_index_is_the_lazy_one(spark):
+    blocks = table(spark, [("b", "x", 0, "The white whale swims"), ("b", "y", 1, "A white sail, white"), ("c", "z", 0, "- !")], "book_id string, block_id string, order_idx int, text string")
+    path = store.scratch(spark)
+    R.write_keyword_index(blocks, path)
+    for a, b in zip(R.keyword_index(blocks), R.read_keyword_index(spark, path)):
+        assert a.columns == b.columns and got(a, *a.columns) == got(b, *a.columns)
+    none = R.write_keyword_index(blocks.limit(0))
+    assert R.keyword_search(table(spark, [(1, ["white"])], "query_id int, tokens array<string>"), none).count() == 0
 
 
 def test_snippet(spark):
@@ -183,8 +193,10 @@ def test_ivf_recall(spark):
     nodes = table(spark, [(i, x.tolist()) for i, x in enumerate(v)], "node_id long, vector array<float>")
     q = nodes.where("node_id % 40 = 0").select(F.col("node_id").alias("query_id"), "vector")
     exact = set(got(R.vector_topk(q, nodes, 3), "query_id", "node_id"))
-    near = set(got(R.vector_topk_ivf(q, nodes, 3, cells=8, probes=6), "query_id", "node_id"))
+    near = set(got(R.vector_topk_ivf(q, R.vector_cells(nodes, cells=8), 3), "query_id", "node_id"))
     assert len(exact & near) >= 0.9 * len(exact)
+    assert exact == set(got(R.vector_topk_ivf(q, R.vector_cells(nodes), 3, share=1), "query_id", "node_id"))
+    assert R.vector_topk_ivf(q, R.vector_cells(nodes.where("false"))).count() == 0 and R.vector_topk_ivf(q.where("false"), R.vector_cells(nodes)).count() == 0
 
 
 @pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
