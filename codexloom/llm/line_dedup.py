@@ -39,6 +39,8 @@ BLANKS = b" \t\n\v\f\r"
 BROADCAST_BYTES = 64 << 20
 #: Lines per shuffle partition that are frequent enough to be answered without a shuffle.
 HOT_PER_TASK = 64
+#: Probes that one shard answers.
+PROBES = 1 << 21
 NO_ID = -(1 << 63)
 
 
@@ -183,7 +185,6 @@ def _routed(docs: DataFrame, repeated: DataFrame, shards: int, min_chars: int, m
     often = F.col("n_docs") > probes // (HOT_PER_TASK * parts)
     hot = line_index(repeated.where(often), 1).collect()
     held = spark.sparkContext.broadcast({0: pickle.loads(hot[0]["index"])} if hot else {})
-    cold = line_index(repeated.where(~often), shards)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,6 +200,9 @@ def _routed(docs: DataFrame, repeated: DataFrame, shards: int, min_chars: int, m
             yield pa.RecordBatch.from_arrays([pa.array(x[stay]) for x in (both[:, 0], both[:, 1], owners, rows, lost)], names=["key", "print", "doc", "_row", "known"])
 
     sent = stage(docs.select("_row", "doc_id", "text").mapInArrow(emit, "key long, print long, doc long, _row long, known boolean"), "probes")
+    # as many shards as keep both the lines and the probes of one within bounds
+    shards = max(shards, -(-sent.where("not known").count() // PROBES))
+    cold = line_index(repeated.where(~often), shards)
     asked = sent.where("not known").withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
 
     def ask(left, right):

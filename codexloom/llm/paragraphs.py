@@ -8,11 +8,14 @@ task each, by exact Jaccard similarity of all members that are not connected yet
 bucket every class is held against one leader, and all of its classes, linked or not, are dealt into
 finer buckets. Buckets whose classes are connected already are done. A finer bucket that is still
 large after its own leader is split into blocks, and every two blocks that are not connected already
-meet in one task. Links are joined to components, and of each component only the first occurrence
-(smallest doc_id, then position) stays.
-
-Defined cases: a null text stays null, with no paragraphs; shorter lines are never touched; a
-paragraph repeated within a document stays once; repeated rows of a doc_id are told apart by
+meet in one task. Links are joined to components, and of each component the first occurrence (smallest
+doc_id, then position) is the original, all others are copies. A document loses its runs of copies,
+that is copies with nothing but blank lines between them, of ``MIN_RUN`` words or more in all: a
+passage goes whether it is one line or wrapped into many, a lone short line (the name of a licence, a
+salutation) is no passage and stays.
+
+Defined cases: a null text stays null, with no paragraphs; lines of fewer words than a shingle are
+never touched and end a run; a run repeated within a document stays once; repeated rows of a doc_id are told apart by
 their row and the earlier one keeps; a null doc_id sorts first; an empty table gives an empty
 result; other columns pass through ``drop_near_paragraphs``, except that its n_removed replaces a
 column of that name.
@@ -33,6 +36,8 @@ from codexloom.llm.common import ASCII_LOWER, components, pack, partitions, stag
 SHINGLE, SIMILARITY = 5, 0.8
 #: From here on a line has a shingle and so a similarity.
 MIN_WORDS = SHINGLE
+#: Words of neighbouring copies from which on they are removed.
+MIN_RUN = 20
 BANDS, ROWS = 12, 4
 #: Larger buckets are split by finer bands, which a pair at 0.8 shares with a probability of 0.999.
 BUCKET, FINE_BANDS, FINE_ROWS = 1024, 40, 8
@@ -299,7 +304,7 @@ def similar_classes(docs: DataFrame, classes: DataFrame, min_words: int = MIN_WO
 
 
 def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(_row, pos) of the paragraphs to remove; docs need a unique _row that follows their order."""
+    """(_row, pos) of the paragraphs that are copies; docs need a unique _row that follows their order."""
     order = F.struct("doc_id", "_row", "pos")
     classes = paragraph_table(docs, min_words).groupBy("h").agg(F.min(order).alias("at"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
     classes = stage(classes.select(F.monotonically_increasing_id().alias("pid"), "h", "at", "n", "bands"), "classes")
@@ -314,8 +319,23 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     return lost.select("_row", "pos")
 
 
-def drop_near_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs without their near-duplicate paragraphs, with n_removed, the number of paragraphs removed."""
+def long_runs(lines: list[bytes], copies: set[int], min_run: int = MIN_RUN) -> set[int]:
+    """Those of the copies (positions of lines) that lie in runs of ``min_run`` words or more."""
+    out, run, words = set(), [], 0
+    for i, line in enumerate([*lines, b"."]):
+        n = len(line.split())
+        if i in copies:
+            run.append(i)
+            words += n
+        elif n:
+            if words >= min_run:
+                out.update(run)
+            run, words = [], 0
+    return out
+
+
+def drop_near_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = MIN_RUN) -> DataFrame:
+    """docs without their runs of near-duplicate paragraphs, with n_removed, the number of paragraphs removed."""
     packed = stage(pack(docs).withColumn("_row", F.monotonically_increasing_id()), "numbered")
     lost = repeated_paragraphs(packed, min_words).groupBy("_row").agg(F.collect_list("pos").alias("_lost"))
 
@@ -323,8 +343,9 @@ def drop_near_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFra
         for batch in batches:
             texts, counts = [], []
             for text, own in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("_lost").to_pylist()):
-                gone = set(own or ())
-                texts.append(b"\n".join(line for i, line in enumerate(text.split(b"\n")) if i not in gone) if gone else text)
+                lines = text.split(b"\n") if own else []
+                gone = long_runs(lines, set(own or ()), min_run)
+                texts.append(b"\n".join(line for i, line in enumerate(lines) if i not in gone) if gone else text)
                 counts.append(len(gone))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string()), batch.column("_rest"), pa.array(counts, pa.int64())],
                                              names=["doc_id", "text", "_rest", "n_removed"])

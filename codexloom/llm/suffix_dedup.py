@@ -39,7 +39,7 @@ _BITS = 24
 _PIECE = 1 << 20
 _BATCH, _SHARD = 1 << 21, 1 << 18
 #: Bytes of text whose segments are compared within a task before any of them is sent on.
-_GROUP = 32 << 20
+_GROUP = 16 << 20
 #: Differing segments of one anchor that are merged in one task.
 WIDE = 1024
 _MULT = 0xD6E8FEB86659FD93

@@ -393,16 +393,31 @@ def _paragraph_classes(texts):
     for i, k in enumerate(keys):
         keep[find(i)] = min(keep.get(find(i), (1 << 62, 0)), first[k])
     index = {k: i for i, k in enumerate(keys)}
-    return Counter(d for d, pos, p in occ if keep[find(index[p])] != (d, pos))
+    return {(d, pos) for d, pos, p in occ if keep[find(index[p])] != (d, pos)}
+
+
+def _in_long_runs(text, copies):
+    """Positions of copies in runs of 20 words, by cutting the text at the lines that are neither copies nor blank."""
+    lines = (text or "").split("\n")
+    marks = "".join("c" if i in copies else " " if not x.split() else "x" for i, x in enumerate(lines))
+    out = set()
+    for m in re.finditer("[c ]+", marks):
+        own = [i for i in range(*m.span()) if marks[i] == "c"]
+        if sum(len(lines[i].split()) for i in own) >= 20:
+            out.update(own)
+    return out
 
 
 @pytest.mark.parametrize("bucket", [256, 3])
 def test_paragraphs_against_brute_force(spark, documents, bucket, monkeypatch):
     own = paragraphs.similar_classes
     monkeypatch.setattr(paragraphs, "similar_classes", lambda *a: own(*a, bucket=bucket))
-    got = {r["doc_id"]: r["n_removed"] for r in registry.QUERIES["op3_paragraphs"](spark, SF).collect()}
-    want = _paragraph_classes(sorted(documents.items()))
-    assert got == {d: want.get(d, 0) for d in documents}
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in registry.QUERIES["op3_paragraphs"](spark, SF).collect()}
+    copies, want = _paragraph_classes(sorted(documents.items())), {}
+    for d, t in documents.items():
+        gone = _in_long_runs(t, {pos for e, pos in copies if e == d})
+        want[d] = (len(gone), "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone))
+    assert got == want and any(n for n, _ in got.values())
 
 
 def test_many_near_copies_of_one_paragraph(spark):
@@ -438,8 +453,7 @@ def _lines_classes(spark, lines, bucket, monkeypatch):
     monkeypatch.setattr(paragraphs, "similar_classes", lambda *a: own(*a, bucket=bucket))
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").withColumn("_row", F.col("doc_id"))
     lost = {r["_row"] for r in paragraphs.repeated_paragraphs(docs).collect()}
-    want = _paragraph_classes(list(enumerate(lines)))
-    return lost, set(want)
+    return lost, {d for d, _ in _paragraph_classes(list(enumerate(lines)))}
 
 
 @pytest.mark.parametrize("bucket", [16, 6])
@@ -480,8 +494,18 @@ def test_paragraphs_of_few_words(spark):
     words = [f"word{i}" for i in range(19)]
     docs = [(d, "\n".join([" ".join(words[:n]) for n in (5, 8, 12, 18)] + [f"own{d} " * 4])) for d in range(2)]
     docs.append((2, " ".join(words[:17]) + " other17"))
-    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in paragraphs.drop_near_paragraphs(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert [got[d][0] for d in range(3)] == [0, 4, 1] and got[0][1] == docs[0][1] and got[1][1] == "own1 " * 4
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in paragraphs.drop_near_paragraphs(table).collect()}
+    # four copies of 43 words in a row are a passage, one of 18 words is none
+    assert [got[d][0] for d in range(3)] == [0, 4, 0] and got[0][1] == docs[0][1] and got[1][1] == "own1 " * 4 and got[2][1] == docs[2][1]
+    got = {r["doc_id"]: r["n_removed"] for r in paragraphs.drop_near_paragraphs(table, min_run=5).collect()}
+    assert got == {0: 0, 1: 4, 2: 1}
+
+
+def test_runs_of_copies():
+    lines = [b"a b c d e f g", b"", b"a b c d e f g", b"short", b"a b c d e f g h i j k", b"  ", b"a b c d e f g h i"]
+    assert paragraphs.long_runs(lines, {0, 2}) == set() and paragraphs.long_runs(lines, {0, 2}, 14) == {0, 2}
+    assert paragraphs.long_runs(lines, {0, 2, 4, 6}) == {4, 6} and paragraphs.long_runs(lines, set()) == set() and paragraphs.long_runs([], set()) == set()
 
 
 # fingerprints
@@ -815,7 +839,7 @@ def test_clashes_pii(spark, awkward_texts):
 
 
 def test_clashes_paragraphs(spark):
-    got = _with_outputs(spark, paragraphs.drop_near_paragraphs, ["n_removed"])
+    got = _with_outputs(spark, lambda d: paragraphs.drop_near_paragraphs(d, min_run=16), ["n_removed"])
     # document 8 repeats a line of eight words, documents 4 to 6 have fewer than five
     line = "A line of more than forty characters, again."
     assert {str(r["doc_id"]): (r["text"], r["n_removed"]) for r in got if r["n_removed"]} == {"8": (line, 2)}
