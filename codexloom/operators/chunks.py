@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -94,15 +93,15 @@ def chunk_blocks(blocks: DataFrame, size: int = 800, overlap: int = 100) -> Data
                     F.substring("win", F.col("_x.start") + 1, F.col("_x.stop") - F.col("_x.start")).alias("text"))
 
 
-def _places(blocks: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
-    """Which of a section's blocks hold each chunk's first, last and middle position, by sorted starts."""
-    out = []
-    for at, start, stop in zip(blocks, starts, stops):
-        at, start, stop = (np.asarray(x, np.int64) for x in (at, start, stop))
-        lo, hi, mid = (np.maximum(np.searchsorted(at, x, "right") - 1, 0) for x in (start, np.maximum(start, stop - 1), (start + stop) // 2))
-        first = np.maximum(start - at[lo], 0)
-        out.append([{"lo": a, "hi": b, "mid": c, "first": d} for a, b, c, d in zip(lo.tolist(), hi.tolist(), mid.tolist(), first.tolist())])
-    return pd.Series(out)
+def _last_at(starts: Column, position: Column) -> Column:
+    """The index of the last of the sorted starts that is not beyond a position, the first if all are: a binary search."""
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["l"] + s["r"], 1)
+        below = F.get(starts, mid) <= position
+        return F.when(s["l"] >= s["r"], s).when(below, F.struct((mid + 1).alias("l"), s["r"].alias("r"))).otherwise(F.struct(s["l"].alias("l"), mid.alias("r")))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(starts) + F.lit(1))).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("l"), F.size(starts).alias("r")), halve, lambda s: F.greatest(s["l"] - 1, F.lit(0)))
 
 
 def chunk_spans(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -114,14 +113,19 @@ def chunk_spans(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
     keys = ["book_id", "section_id"]
     b = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("order_idx", "start_off", "block_id"))).alias("_b"))
     c = chunks.groupBy(*keys).agg(F.collect_list(F.struct(*[n for n in chunks.columns if n not in keys])).alias("_c"))
-    base, places = F.get("_b", F.lit(0))["start_off"], F.pandas_udf(_places, "array<struct<lo: int, hi: int, mid: int, first: long>>")
-    j = c.join(b, keys).withColumn("_s", places(F.transform("_b", lambda x: x["start_off"] - base), F.transform("_c", lambda x: x["start"]), F.transform("_c", lambda x: x["stop"])))
-    j = j.select(*keys, "_b", F.explode(F.arrays_zip("_c", "_s")).alias("_x"))
-    own = [n if n in keys else F.col(f"_x._c.{n}").alias(n) for n in chunks.columns]
-    block = lambda name, i: F.get("_b", F.col(f"_x._s.{i}"))[name]
-    ids = F.transform(F.slice("_b", F.col("_x._s.lo") + 1, F.col("_x._s.hi") - F.col("_x._s.lo") + 1), lambda x: x["block_id"])
-    return j.select(*own, ids.alias("block_ids"), block("order_idx", "lo").alias("lo"), block("order_idx", "hi").alias("hi"),
-                    block("block_id", "mid").alias("primary_block_id"), F.col("_x._s.first").alias("first_char"))
+    j = c.join(b, keys).withColumn("_at", F.transform("_b", lambda x: x["start_off"] - F.get("_b", F.lit(0))["start_off"]))
+    at = lambda p: _last_at(F.col("_at"), p)
+    found = F.transform("_c", lambda x: F.struct(
+        x.alias("c"), at(x["start"]).alias("lo"), at(F.greatest(x["start"], x["stop"] - 1)).alias("hi"), at(F.floor((x["start"] + x["stop"]) / 2)).alias("mid")))
+    # what a chunk needs of the blocks is taken before the chunks part, so that no chunk carries all blocks
+    block = lambda name, i: F.get("_b", i)[name]
+    whole = F.transform("_f", lambda x: F.struct(
+        x["c"].alias("c"), F.transform(F.slice("_b", x["lo"] + 1, x["hi"] - x["lo"] + 1), lambda y: y["block_id"]).alias("block_ids"),
+        block("order_idx", x["lo"]).alias("lo"), block("order_idx", x["hi"]).alias("hi"), block("block_id", x["mid"]).alias("primary_block_id"),
+        F.greatest(x["c"]["start"] - F.get("_at", x["lo"]), F.lit(0)).cast("long").alias("first_char")))
+    j = j.withColumn("_f", found).select(*keys, F.explode(whole).alias("_x"))
+    own = [n if n in keys else F.col(f"_x.c.{n}").alias(n) for n in chunks.columns]
+    return j.select(*own, "_x.block_ids", "_x.lo", "_x.hi", "_x.primary_block_id", "_x.first_char")
 
 
 def block_to_chunk(spans: DataFrame) -> DataFrame:

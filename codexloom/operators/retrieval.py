@@ -131,19 +131,23 @@ def _ranked(found: DataFrame | None, spark: SparkSession, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Queries that are scored as one matrix.
+_ROWS = 2048
+
+
 def _query_blocks(queries: DataFrame, block: int, *columns: str) -> Iterator[list]:
-    """The stated queries in blocks of about ``block`` rows at the driver, dealt by a hash."""
+    """The stated queries in blocks of about ``block`` rows at the driver, dealt by a hash; every block is a pass over the nodes."""
     parts = max(1, -(-queries.count() // block))
     for i in range(parts):
         if own := queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).select("query_id", "vector", *columns).collect():
             yield own
 
 
-def vector_topk(queries: DataFrame, nodes: DataFrame, k: int = 3, on: list[str] | None = None, block: int = 4096) -> DataFrame:
+def vector_topk(queries: DataFrame, nodes: DataFrame, k: int = 3, on: list[str] | None = None, block: int = 1 << 16) -> DataFrame:
     """Exact top-k by inner product: query_id, node_id, sim, rank; ``on`` names columns that must agree.
 
-    Queries are a stated set. They are held as matrix blocks of about ``block`` rows; every task keeps
-    its k best nodes per query, and those meet in a window.
+    Queries are a stated set. They are held in blocks of about ``block`` rows and scored as matrices;
+    every task keeps its k best nodes per query, and those meet in a window.
     """
     spark, on = nodes.sparkSession, on or []
     found = None
@@ -152,17 +156,19 @@ def vector_topk(queries: DataFrame, nodes: DataFrame, k: int = 3, on: list[str]
 
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, matrix, keys = held.value
-            top, every = _Best(len(ids), k), np.arange(len(ids))
+            top = _Best(len(ids), k)
             for b in batches:
                 if not len(b):
                     continue
                 b = b.sort_values("node_id")
-                sims = np.round(matrix @ _matrix(b["vector"]).T, 6)
-                if on:
-                    own_keys = list(zip(*[b[c] for c in on]))
-                    code = {x: j for j, x in enumerate({*keys, *own_keys})}
-                    sims = np.where(np.array([code[x] for x in keys])[:, None] == np.array([code[x] for x in own_keys])[None, :], sims, -np.inf)
-                top.add(every, sims, b["node_id"].to_numpy())
+                v, own_keys = _matrix(b["vector"]).T, list(zip(*[b[c] for c in on])) if on else []
+                code = {x: j for j, x in enumerate({*keys, *own_keys})} if on else {}
+                for at in range(0, len(ids), _ROWS):
+                    rows = np.arange(at, min(at + _ROWS, len(ids)))
+                    sims = np.round(matrix[rows] @ v, 6)
+                    if on:
+                        sims = np.where(np.array([code[keys[i]] for i in rows])[:, None] == np.array([code[x] for x in own_keys])[None, :], sims, -np.inf)
+                    top.add(rows, sims, b["node_id"].to_numpy())
             yield top.frame(ids)
 
         one = nodes.select("node_id", "vector", *on).mapInPandas(best, "query_id long, node_id long, sim double")
@@ -221,7 +227,7 @@ def vector_cells(nodes: DataFrame, cells: int | None = None, sample: int = 20_00
     return VectorCells(dealt.sortWithinPartitions("cell"), held.value)
 
 
-def vector_topk_ivf(queries: DataFrame, index: VectorCells, k: int = 3, share: float = 0.75, block: int = 4096) -> DataFrame:
+def vector_topk_ivf(queries: DataFrame, index: VectorCells, k: int = 3, share: float = 0.75, block: int = 1 << 16) -> DataFrame:
     """Approximate top-k (query_id, node_id, sim, rank): a query meets the nodes of its nearest cells only, a ``share`` of all cells.
 
     The share is for vectors without clusters, of which nearest neighbours lie in many cells. Cells
@@ -239,10 +245,11 @@ def vector_topk_ivf(queries: DataFrame, index: VectorCells, k: int = 3, share: f
             top = _Best(len(ids), k)
             for b in batches:
                 for c, part in b.groupby("cell"):
-                    rows = np.flatnonzero(asked[:, c])
-                    if len(rows):
-                        part = part.sort_values("node_id")
-                        top.add(rows, np.round(matrix[rows] @ _matrix(part["vector"]).T, 6), part["node_id"].to_numpy())
+                    part, asking = part.sort_values("node_id"), np.flatnonzero(asked[:, c])
+                    v = _matrix(part["vector"]).T
+                    for at in range(0, len(asking), _ROWS):
+                        rows = asking[at:at + _ROWS]
+                        top.add(rows, np.round(matrix[rows] @ v, 6), part["node_id"].to_numpy())
             yield top.frame(ids)
 
         one = index.nodes.mapInPandas(best, "query_id long, node_id long, sim double")

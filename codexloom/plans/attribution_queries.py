@@ -63,10 +63,10 @@ _SPANS = (r"list_filter(list_transform(regexp_extract_all({}, '[" + '"' + r"“
 
 
 def _said():
-    return F.concat(lit('He said "'), F.col("text"), lit('" and “'), F.upper(F.col("text")), lit('” or "ab" or "-- x"'))
+    return F.concat(lit('He said "'), F.col("text"), lit('" and “'), F.translate(F.col("text"), "aeiou", "AEIOU"), lit('” or "ab" or "-- x"'))
 
 
-_SAID = "'He said \"' || text || '\" and “' || upper(text) || '” or \"ab\" or \"-- x\"'"
+_SAID = "'He said \"' || text || '\" and “' || translate(text, 'aeiou', 'AEIOU') || '” or \"ab\" or \"-- x\"'"
 
 
 @query(f"SELECT item_id AS query_id, array_to_string({_SPANS.format(_SAID)}, '|') AS spans FROM benchmark")

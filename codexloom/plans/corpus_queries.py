@@ -101,14 +101,14 @@ def export_notes(spark, sf):
     return store.export_notes(S.turns(spark, sf))
 
 
-@query("""WITH m AS (SELECT l_orderkey AS id, CASE WHEN l_returnflag = 'A' THEN 'added' WHEN l_returnflag = 'N' THEN 'dismissed' WHEN l_linenumber = 1 THEN 'read' ELSE 'seen' END AS s, epoch_us(l_shipdate) * 100 + l_linenumber AS at_ FROM lineitem),
+@query("""WITH m AS (SELECT l_orderkey AS id, CASE WHEN l_returnflag = 'A' THEN 'added' WHEN l_returnflag = 'N' THEN 'dismissed' WHEN l_linenumber = 1 THEN 'read' ELSE 'seen' END AS s, [epoch_us(l_shipdate), l_linenumber, l_partkey, l_suppkey] AS at_ FROM lineitem),
 t AS (SELECT id, arg_max(s, at_) AS s FROM m WHERE s IN ('suggested', 'seen', 'added', 'dismissed') GROUP BY id), r AS (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')
 SELECT o_orderkey AS id, coalesce(s, 'suggested') AS status, false AS missing FROM r LEFT JOIN t ON o_orderkey = id
 UNION ALL SELECT id, NULL, true FROM t WHERE id NOT IN (SELECT o_orderkey FROM r)""")
 def rec_status_latest(spark, sf):
     flag = col("l_returnflag")
     flag = F.when(flag == "A", "added").when(flag == "N", "dismissed").when(col("l_linenumber") == 1, "read").otherwise("seen")
-    moves = S.table(spark, sf, "lineitem").select(col("l_orderkey").alias("id"), flag.alias("status"), col("l_shipdate").alias("ts"), col("l_linenumber").alias("seq"))
+    moves = S.table(spark, sf, "lineitem").select(col("l_orderkey").alias("id"), flag.alias("status"), col("l_shipdate").alias("ts"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("seq"))
     recs = S.table(spark, sf, "orders").where("o_orderstatus <> 'P'").select(col("o_orderkey").alias("id"), lit("suggested").alias("status"))
     now, missing = store.apply_status(recs, moves)
     return now.withColumn("missing", lit(False)).unionByName(missing.select("id", lit(None).cast("string").alias("status"), lit(True).alias("missing")))
