@@ -43,7 +43,7 @@ def write_keyword_index(blocks: DataFrame, path: str | None = None) -> KeywordIn
     """
     path = path or store.scratch(blocks.sparkSession)
     own = keyword_index(blocks)
-    p = store.stage(own.postings.sortWithinPartitions("token", "book_id", "order_idx"), f"{path}/postings")
+    p = store.stage(own.postings.sortWithinPartitions("token"), f"{path}/postings")
     f = store.stage(p.groupBy("token").agg(F.count(F.lit(1)).alias("df")), f"{path}/frequencies")
     n = blocks.agg(F.count(F.lit(1)).alias("n"))
     totals = n.crossJoin(p.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("_len"))).select("n", (F.col("_len") / F.nullif("n", F.lit(0))).alias("avgdl"))
@@ -62,11 +62,11 @@ def keyword_search(queries: DataFrame, index: KeywordIndex, k: int = 8, per_book
     long posting lists of common words are never joined to a query as a whole.
     """
     q = queries.select("query_id", F.array_distinct("tokens").alias("_q")).where(F.size("_q") > 0)
-    q = q.select("query_id", F.size("_q").alias("_need"), F.explode("_q").alias("token")).join(index.frequencies, "token")
+    # what is asked and what can answer are written, so that Spark knows their sizes before it joins them to the postings
+    q = store.stage(q.select("query_id", F.size("_q").alias("_need"), F.explode("_q").alias("token")).join(index.frequencies, "token"))
     rare = q.groupBy("query_id").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
-    asked = index.postings.join(q.select("token").distinct(), "token", "left_semi")
-    found = index.postings.join(rare, "token").select("query_id", "book_id", "block_id")
-    terms = found.join(q, "query_id").join(asked, ["token", "book_id", "block_id"]).crossJoin(F.broadcast(index.totals))
+    found = index.postings.join(store.stage(rare), "token").select("query_id", "book_id", "block_id")
+    terms = index.postings.join(store.stage(found.join(q, "query_id")), ["token", "book_id", "block_id"]).crossJoin(F.broadcast(index.totals))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     hits = terms.withColumn("_s", part).groupBy("query_id", "book_id", "block_id").agg(
