@@ -47,12 +47,17 @@ def staged(path: str, table: str = "") -> str:
     return path
 
 
-def release(spark: SparkSession) -> None:
-    """Drop all that the operators have staged so far; call it once their results have been written.
+def n_staged() -> int:
+    """How many folders and tables are staged now."""
+    return len(_STAGED)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Drop all that the operators have staged, or what came after the first ``since``; call it once their results have been written.
 
     Results that are still lazy read from what is staged and must not be used afterwards.
     """
-    while _STAGED:
+    while len(_STAGED) > since:
         path, table = _STAGED.pop()
         if table:
             spark.sql(f"DROP TABLE IF EXISTS {table}")

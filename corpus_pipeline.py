@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codexloom.llm import bpe, decontaminate, line_dedup, quality, simhash
-from codexloom.llm.common import release, shared_dir, stage, written
+from codexloom.llm.common import n_staged, release, shared_dir, stage, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -71,9 +71,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str, place: str | None = None) -> DataFrame:
     docs, place = spark.read.parquet(f"{sf_dir}/documents.parquet"), (place or shared_dir(spark)).rstrip("/")
     for k, (name, apply) in enumerate(STAGES[:-1]):
-        path = f"{place}/{k}_{name}"
+        path, before = f"{place}/{k}_{name}", n_staged()
         if not written(path):
             apply(spark, docs, sf_dir).write.mode("overwrite").option("compression", "zstd").parquet(path)
-            release(spark)
+            release(spark, before)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -94,9 +94,12 @@ def test_run_takes_up_where_it_stopped(spark, monkeypatch):
 
 
 def test_release_drops_what_was_staged(spark):
-    df = common.bucketed(spark.range(10), "id")
+    import os
+
+    first, before = common.bucketed(spark.range(7), "id"), common.n_staged()
+    common.bucketed(spark.range(10), "id")
     path, table = common._STAGED[-1]
     common.stage(spark.range(5))
-    assert df.count() == 10
-    common.release(spark)
-    assert not spark.catalog.tableExists(table) and not common._STAGED and not __import__("os").path.exists(path.removeprefix("file://"))
+    common.release(spark, before)
+    assert common.n_staged() == before and not spark.catalog.tableExists(table) and not os.path.exists(path.removeprefix("file://"))
+    assert first.count() == 7
