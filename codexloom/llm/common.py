@@ -8,7 +8,7 @@ import uuid
 from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -95,8 +95,8 @@ def unpack(packed: DataFrame, docs: DataFrame, *outputs: str) -> DataFrame:
 
 
 def with_fields(docs: DataFrame, columns: list[str], more: str) -> StructType:
-    """The schema of some of the columns, followed by the fields of a DDL string."""
-    return StructType([docs.schema[c] for c in columns] + (StructType.fromDDL(more).fields if more else []))
+    """The schema of some of the columns, which may be null in rows that hold something else, followed by the fields of a DDL string."""
+    return StructType([StructField(c, docs.schema[c].dataType) for c in columns] + (StructType.fromDDL(more).fields if more else []))
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
