@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codexloom.functions.columns import squeeze, tokens
+from codexloom.functions.columns import squeeze
+from codexloom.operators.substrings import contained
 
 FACT = r"(?is)<fact>(.*?)</fact>"
 
@@ -66,22 +67,13 @@ def quote_guard(facts: DataFrame, passages: DataFrame, top: int = 2) -> DataFram
 
 
 def quote_containment(docs: DataFrame, quotes: DataFrame) -> DataFrame:
-    """(doc_id, query_id) of documents whose normal text contains a quote's: candidates share the quote's rarest word.
+    """(doc_id, query_id) of documents whose normal text contains a quote's, wherever its edges lie; blank quotes are found nowhere.
 
-    A quote's first and last word may be cut by its edges, so only inner words count; a quote of one
-    or two words uses its longest.
+    Candidates hold the quote's rarest character gram; see ``contained``.
     """
-    q = quotes.select("query_id", squeeze(F.col("text")).alias("_q"))
-    q = q.withColumn("_w", F.array_distinct(tokens(F.col("_q")))).where(F.size("_w") > 0)
-    inner = F.when(F.size("_w") > 2, F.slice("_w", F.lit(2), F.size("_w") - 2)).otherwise(F.col("_w"))
-    qw = q.select("query_id", F.explode(inner).alias("token"))
-    d = docs.select("doc_id", squeeze(F.col("text")).alias("_d"))
-    words = d.select("doc_id", F.explode(F.array_distinct(tokens(F.col("_d")))).alias("token")).join(qw.select("token").distinct(), "token", "left_semi")
-    df = words.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    # a word that no document has rules the quote out
-    rare = qw.join(df, "token", "left").groupBy("query_id").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token"))
-    pairs = words.join(rare, "token").select("doc_id", "query_id")
-    return pairs.join(d, "doc_id").join(q.select("query_id", "_q"), "query_id").where(F.contains(F.col("_d"), F.col("_q"))).select("doc_id", "query_id")
+    hay = docs.select(F.col("doc_id").alias("hay_id"), squeeze(F.col("text")).alias("hay"))
+    found = contained(hay, quotes.select(F.col("query_id").alias("needle_id"), squeeze(F.col("text")).alias("needle")))
+    return found.select(F.col("hay_id").alias("doc_id"), F.col("needle_id").alias("query_id"))
 
 
 def turn_attribution(events: DataFrame, last: int = 3) -> DataFrame:

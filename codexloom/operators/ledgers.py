@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codexloom.functions.columns import bround_pct
+from codexloom.operators.substrings import all_windows, contained, hashed
+from codexloom.sources.store import stage
 
 
 def record_ledger(existing: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -116,33 +118,75 @@ def norm_title(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\s]", " "))
 
 
-def match_catalog(wanted: DataFrame, volumes: DataFrame) -> DataFrame:
-    """Best volume per wanted title (pick_id, title, author): candidates hold the title's rarest word, or are the title.
+def _words(c: Column) -> Column:
+    return F.filter(F.array_distinct(F.split(c, r"\s+")), lambda w: F.length(w) > 1)
+
+
+# What titles and volumes score.
+EXACT, INSIDE, WORD, AUTHOR, OFF, DESCRIBED = 10, 5, 2, 3, -8, 0.5
 
-    volumes (volume_id, title, subtitle, publisher, author, description). An exact title scores 10, one
-    inside the other 5, else twice the common words; a common word of the author's name 3, a knock-off -8,
-    a description 0.5. The first volume wins ties. Volumes without a title are not used.
+
+def match_catalog(wanted: DataFrame, volumes: DataFrame) -> DataFrame:
+    """Best volume per wanted title (pick_id, volume_id, score): the highest score over all volumes, the least volume_id of equal ones.
+
+    wanted (pick_id, title, author), volumes (volume_id, title, subtitle, publisher, author, description).
+    An exact title scores 10, one inside the other 5, else twice the common words; a common word of the author's name 3,
+    a knock-off -8, a description 0.5. Volumes without a title are not used; without volumes nothing is returned.
+
+    No pair of a pick and an arbitrary volume is formed. Volumes of one title are first reduced to their best, alone and for
+    each word of an author's name, so a title is one candidate however many volumes bear it. A volume
+    that shares no word with the pick cannot beat the best of all volumes, nor one that shares a single word
+    the best volume with that word, which are known from one row per word. For more common words the pick's words are
+    taken in order of rarity: those beyond which even a volume with all words left could not reach the best score so far are not looked up, and never the most frequent one. Substrings are joined by
+    their hashes (titles inside the pick's) and by rarest grams (the pick's inside titles), where they can still win.
     """
-    words = lambda c: F.filter(F.array_distinct(F.split(norm_title(c), r"\s+")), lambda w: F.length(w) > 1)
-    a = wanted.select("pick_id", norm_title(F.col("title")).alias("_a"), words(F.col("title")).alias("_wa"), words(F.col("author")).alias("_aa"))
-    b = volumes.where(F.trim("title") != "").select(
-        "volume_id", norm_title(F.col("title")).alias("_b"), words(F.col("title")).alias("_wb"), words(F.col("author")).alias("_ab"),
-        F.concat_ws(" ", "title", "subtitle", "publisher").rlike(KNOCK_OFF).alias("_off"), (F.coalesce(F.trim("description"), F.lit("")) != "").alias("_d"))
-    posted = b.select("volume_id", F.explode("_wb").alias("_w"))
-    # a pick is looked up by its rarest word, so frequent words never meet
-    asked = a.select("pick_id", F.explode("_wa").alias("_w"))
-    counts = posted.join(asked.select("_w").distinct(), "_w").groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = asked.join(counts, "_w").groupBy("pick_id").agg(F.min_by("_w", F.struct("_n", "_w")).alias("_w"))
-    found = rarest.join(posted, "_w").select("pick_id", "volume_id").unionByName(
-        a.where("_a <> ''").join(b, F.col("_a") == F.col("_b")).select("pick_id", "volume_id")).distinct()
-    j = found.join(a, "pick_id").join(b, "volume_id")
-    common = F.size(F.array_intersect("_wa", "_wb"))
-    inside = (F.col("_a") != "") & (F.contains("_a", F.col("_b")) | F.contains("_b", F.col("_a")))
-    title = F.when((F.col("_a") != "") & (F.col("_a") == F.col("_b")), 10).when(inside, 5).otherwise(common * 2)
-    author = F.coalesce(F.arrays_overlap("_aa", "_ab"), F.lit(False))
-    score = title + F.when(author, 3).otherwise(0) - F.when(F.col("_off"), 8).otherwise(0) + F.when(F.col("_d"), 0.5).otherwise(0.0)
-    best = j.withColumn("score", score.cast("double")).groupBy("pick_id").agg(F.max(F.struct("score", (-F.col("volume_id")).alias("_v"))).alias("_m"))
-    return best.select("pick_id", (-F.col("_m._v")).alias("volume_id"), "_m.score")
+    base = F.when(F.concat_ws(" ", "title", "subtitle", "publisher").rlike(KNOCK_OFF), OFF).otherwise(0) + F.when(F.coalesce(F.trim("description"), F.lit("")) != "", DESCRIBED).otherwise(0.0)
+    v = stage(volumes.where(F.trim("title") != "").select("volume_id", norm_title(F.col("title")).alias("b"), _words(norm_title(F.col("author"))).alias("names"), base.cast("double").alias("base")))
+    top = F.max(F.struct("base", (-F.col("volume_id")).alias("no"), "b")).alias("top")
+    best_of = lambda df, *keys: df.groupBy(*keys).agg(top)
+    titles = stage(best_of(v, "b").withColumn("words", _words(F.col("b"))))
+    named = stage(best_of(v.select("*", F.explode("names").alias("name")), "b", "name"))
+    p = wanted.select("pick_id", F.coalesce(norm_title(F.col("title")), F.lit("")).alias("a"), F.coalesce(_words(norm_title(F.col("author"))), F.array().cast("array<string>")).alias("names"))
+    p = stage(p.withColumn("words", _words(F.col("a"))))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """(pick_id, best): the best of the candidate titles (pick_id, b)."""
+        j = pairs.distinct().join(p, "pick_id").join(titles.select("b", F.col("top").alias("alone"), F.col("words").alias("own")), "b")
+        inside = (F.col("a") != "") & (F.contains("a", F.col("b")) | F.contains("b", F.col("a")))
+        title = F.when((F.col("a") != "") & (F.col("a") == F.col("b")), EXACT).when(inside, INSIDE).otherwise(F.size(F.array_intersect("words", "own")) * WORD)
+        j = j.select("pick_id", "b", title.cast("double").alias("title"), "alone", "names")
+        total = lambda c, more=0: F.struct((F.col("title") + F.col(f"{c}.base") + more).alias("score"), F.col(f"{c}.no").alias("no"))
+        by_name = j.select("pick_id", "b", "title", F.explode("names").alias("name")).join(named, ["b", "name"]).select("pick_id", total("top", AUTHOR).alias("x"))
+        return j.select("pick_id", total("alone").alias("x")).unionByName(by_name).groupBy("pick_id").agg(F.max("x").alias("best"))
+
+    asked = stage(p.select("pick_id", "names", F.explode("words").alias("w")))
+    wanted_words = asked.select("w").distinct()
+    posted = stage(titles.select("b", "top", F.explode("words").alias("w")).join(wanted_words, "w", "left_semi"))
+    counts = posted.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    rank = Window.partitionBy("pick_id").orderBy("n", "w")
+    ranked = stage(asked.join(counts, "w").select("pick_id", "w", F.row_number().over(rank).alias("r"), F.count(F.lit(1)).over(Window.partitionBy("pick_id")).alias("of")))
+    # the best of all, of a name, of a word, of a word and a name
+    x = F.col("top.base").alias("base"), F.col("top.no").alias("no"), F.col("top.b").alias("b")
+    b_of = lambda df, *keys: df.groupBy(*keys).agg(F.max(F.struct(*x)).alias("m")).select(*keys, F.col("m.b").alias("b"))
+    names = p.select("pick_id", F.explode("names").alias("name"))
+    overall = titles.agg(F.max(F.struct(*x)).alias("m")).select(F.col("m.b").alias("b")).where("b is not null")  # one row
+    by_word = b_of(posted, "w")
+    both = b_of(posted.select("b", "w").join(named, "b").select("w", "name", "top"), "w", "name")
+    first = (p.select("pick_id").crossJoin(F.broadcast(overall)).unionByName(p.where("a <> ''").select("pick_id", F.col("a").alias("b")))
+             .unionByName(p.where("a <> ''").select("pick_id", F.lit("").alias("b"))).unionByName(names.join(b_of(named, "name"), "name").select("pick_id", "b"))
+             .unionByName(asked.join(by_word, "w").select("pick_id", "b")).unionByName(asked.select("pick_id", "w", F.explode("names").alias("name")).join(both, ["w", "name"]).select("pick_id", "b"))
+             .unionByName(ranked.where("r = 1 and of > 1").join(posted, "w").select("pick_id", "b")))
+    one = stage(scored(first))
+    most = AUTHOR + DESCRIBED
+    # a volume that holds none of the r - 1 rarest words has at most of - r + 1 common words
+    further = ranked.where("r > 1 and r < of").join(one, "pick_id").where((F.col("of") - F.col("r") + 1) * WORD + most >= F.col("best.score"))
+    open_ = p.where("a <> ''").join(one.where(F.col("best.score") <= INSIDE + most).select("pick_id"), "pick_id", "left_semi")
+    longest = titles.agg(F.max(F.char_length("b"))).first()[0] or 0
+    within = all_windows(open_, "pick_id", "a", longest).join(hashed(titles.where("b <> ''"), "b", "b"), "hash").select("pick_id", "b")
+    around = contained(titles.select(F.col("b").alias("hay_id"), F.col("b").alias("hay")), open_.select(F.col("pick_id").alias("needle_id"), F.col("a").alias("needle"))).select(F.col("needle_id").alias("pick_id"), F.col("hay_id").alias("b"))
+    two = scored(further.join(posted, "w").select("pick_id", "b").unionByName(within).unionByName(around))
+    best = one.unionByName(two).groupBy("pick_id").agg(F.max("best").alias("best"))
+    return best.select("pick_id", (-F.col("best.no")).alias("volume_id"), "best.score")
 
 
 def add_notes(existing: DataFrame, new: DataFrame) -> DataFrame:

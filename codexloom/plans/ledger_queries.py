@@ -122,12 +122,8 @@ _NW = r"list_filter(list_distinct(regexp_split_to_array({}, '\s+')), lambda w: l
 @query(f"""WITH a AS (SELECT p_partkey AS pick_id, {_NT.format("p_name || ' ' || (1000 + p_partkey // 7)")} AS a, {_NW.format("lower(replace(p_brand, '#', '') || ' and sons')")} AS aa FROM part WHERE p_partkey % 100 = 0),
 b AS (SELECT p_partkey AS volume_id, {_NT.format("CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_size % 4 = 1 THEN p_type || ', ' || p_name ELSE p_name || ' of' END || ' ' || (1000 + p_partkey // 7)")} AS b, {_NW.format("lower(replace(p_brand, '#', ''))")} AS ab,
   p_size % 9 < 2 AS off_, p_size % 2 = 0 AS d FROM part),
-wa AS (SELECT pick_id, unnest({_NW.format("a")}) AS w FROM a), wb AS (SELECT volume_id, unnest({_NW.format("b")}) AS w FROM b),
-df AS (SELECT w, count(*) AS df FROM wb GROUP BY w), rare AS (SELECT pick_id, arg_min(wa.w, [df::VARCHAR.lpad(12, '0'), wa.w]) AS w FROM wa JOIN df ON wa.w = df.w GROUP BY pick_id),
-cand AS (SELECT pick_id, volume_id FROM rare JOIN wb ON rare.w = wb.w UNION SELECT pick_id, volume_id FROM a JOIN b ON a = b),
-n AS (SELECT c.pick_id, c.volume_id, count(wb.w) AS n FROM cand c JOIN wa ON wa.pick_id = c.pick_id LEFT JOIN wb ON wb.volume_id = c.volume_id AND wb.w = wa.w GROUP BY ALL),
-s AS (SELECT n.pick_id, n.volume_id, (CASE WHEN a = b THEN 10 WHEN contains(a, b) OR contains(b, a) THEN 5 ELSE n * 2 END + CASE WHEN list_has_any(ab, aa) THEN 3 ELSE 0 END - CASE WHEN off_ THEN 8 ELSE 0 END + CASE WHEN d THEN 0.5 ELSE 0 END)::DOUBLE AS score
-  FROM n JOIN a ON n.pick_id = a.pick_id JOIN b ON n.volume_id = b.volume_id),
+s AS (SELECT pick_id, volume_id, (CASE WHEN a = b THEN 10 WHEN contains(a, b) OR contains(b, a) THEN 5 ELSE 2 * len(list_intersect({_NW.format("a")}, {_NW.format("b")})) END
+  + CASE WHEN list_has_any(ab, aa) THEN 3 ELSE 0 END - CASE WHEN off_ THEN 8 ELSE 0 END + CASE WHEN d THEN 0.5 ELSE 0 END)::DOUBLE AS score FROM a CROSS JOIN b),
 r AS (SELECT *, row_number() OVER (PARTITION BY pick_id ORDER BY score DESC, volume_id) AS k FROM s) SELECT pick_id, volume_id, score FROM r WHERE k = 1""")
 def match_catalog(spark, sf):
     p, n = S.table(spark, sf, "part"), col("p_partkey")
