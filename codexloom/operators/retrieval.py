@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -132,7 +133,7 @@ def _ranked(found: DataFrame | None, spark: SparkSession, k: int) -> DataFrame:
 
 
 #: Queries that are scored as one matrix.
-_ROWS = 2048
+_ROWS = 256
 
 
 def _query_blocks(queries: DataFrame, block: int, *columns: str) -> Iterator[list]:
@@ -193,66 +194,76 @@ def kmeans(vectors: np.ndarray, k: int, seed: int = 42, restarts: int = 10, step
     return best[1], best[2]
 
 
-class VectorCells(NamedTuple):
-    """nodes (node_id, vector, cell) in runs of cells, and the cells' centres."""
+class VectorCodes(NamedTuple):
+    """nodes (node_id, vector, code); a code has ``bits`` signs, drawn by ``seed``."""
 
     nodes: DataFrame
-    centres: np.ndarray
+    bits: int
+    seed: int
 
 
-def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Cells of each vector, the nearest first."""
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.argsort(-(x / np.where(norm > 0, norm, 1) @ centres.T - 0.5 * (centres ** 2).sum(1)), 1, kind="stable")
+def _coded(vectors: np.ndarray, bits: int, seed: int) -> np.ndarray:
+    """The sides of randomly turned axes on which vectors lie, 8 in a byte."""
+    rng, d = np.random.default_rng(seed), vectors.shape[1]
+    directions = np.concatenate([np.linalg.qr(rng.standard_normal((d, d)))[0] for _ in range(-(-bits // d))], 1)[:, :bits]
+    return np.packbits(vectors @ directions > 0, axis=1)
 
 
-def vector_cells(nodes: DataFrame, cells: int | None = None, sample: int = 20_000, salts: int = 16) -> VectorCells:
-    """Deal nodes into about as many cells as the square root of their number, around centres fitted on at most ``sample`` nodes.
+def _vectors(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
-    A cell's nodes fall into ``salts`` parts, so a cell with many nodes is no single task.
+
+def vector_codes(nodes: DataFrame, bits: int = 256, seed: int = 42) -> VectorCodes:
+    """A code of ``bits`` signs, a multiple of 64, for every node: on which side of randomly turned axes its vector lies. Vectors are of one width and of about equal length; nodes without one are left out.
+
+    Codes do not depend on the data, so nothing is fitted and an index grows by appending. Write ``nodes``
+    to search it often.
     """
-    spark = nodes.sparkSession
-    v = np.array([r[0] for r in nodes.orderBy(F.xxhash64("node_id")).limit(sample).select("vector").collect()], np.float64)
-    if not len(v):
-        return VectorCells(nodes.select("node_id", "vector", F.lit(0).alias("cell")), np.zeros((1, 1)))
-    norm = np.linalg.norm(v, axis=1, keepdims=True)
-    cells = cells or max(1, min(int(nodes.count() ** 0.5), len(v) // 8))
-    held = spark.sparkContext.broadcast(kmeans(v / np.where(norm > 0, norm, 1), min(cells, len(v)), restarts=1, steps=10)[1])
+    known = nodes.where("vector is not null").select("node_id", "vector")
 
-    @F.pandas_udf("int")
-    def cell(s: pd.Series) -> pd.Series:
-        return pd.Series(_nearest(_matrix(s), held.value)[:, 0] if len(s) else [], dtype="int32")
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = _coded(_vectors(b.column("vector")), bits, seed) if len(b) else []
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in found], pa.binary())], names=["node_id", "vector", "code"])
 
-    dealt = nodes.select("node_id", "vector", cell("vector").alias("cell")).repartition("cell", F.pmod(F.xxhash64("node_id"), F.lit(salts)))
-    return VectorCells(dealt.sortWithinPartitions("cell"), held.value)
+    kind = known.schema["vector"].dataType.simpleString()
+    return VectorCodes(known.mapInArrow(code, f"node_id {known.schema['node_id'].dataType.simpleString()}, vector {kind}, code binary"), bits, seed)
 
 
-def vector_topk_ivf(queries: DataFrame, index: VectorCells, k: int = 3, share: float = 0.75, block: int = 1 << 16) -> DataFrame:
-    """Approximate top-k (query_id, node_id, sim, rank): a query meets the nodes of its nearest cells only, a ``share`` of all cells.
+def vector_topk_codes(queries: DataFrame, index: VectorCodes, k: int = 3, share: float = 0.05, least: int = 64, block: int = 1 << 16) -> DataFrame:
+    """Approximate top-k (query_id, node_id, sim, rank): all codes are compared, then the nearest ``share`` of every batch's nodes exactly, at least ``least`` of them.
 
-    The share is for vectors without clusters, of which nearest neighbours lie in many cells. Cells
-    are scored as matrices; a task keeps its k best nodes per query, so no pairs are shuffled.
+    Codes differ in about as many bits as their vectors lie apart in angle; comparing them takes a word operation for 64 bits and no
+    float work. How far the share reaches is read off 1,024 nodes spread over each batch, for each query of its own. A task keeps its
+    k best nodes per query, so no pairs are shuffled.
     """
-    found, n_cells = None, len(index.centres)
+    found = None
     for own in _query_blocks(queries, block):
         q = np.array([r["vector"] for r in own], np.float64)
-        asked = np.zeros((len(own), n_cells), bool)
-        np.put_along_axis(asked, _nearest(q, index.centres)[:, :max(1, int(np.ceil(share * n_cells)))] if q.shape[1] == index.centres.shape[1] else np.zeros((len(own), 1), int), True, 1)
-        held = index.nodes.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in own]), q, asked))
+        held = index.nodes.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in own]), q, _coded(q, index.bits, index.seed).view("<u8")))
 
-        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, matrix, asked = held.value
             top = _Best(len(ids), k)
             for b in batches:
-                for c, part in b.groupby("cell"):
-                    part, asking = part.sort_values("node_id"), np.flatnonzero(asked[:, c])
-                    v = _matrix(part["vector"]).T
-                    for at in range(0, len(asking), _ROWS):
-                        rows = asking[at:at + _ROWS]
-                        top.add(rows, np.round(matrix[rows] @ v, 6), part["node_id"].to_numpy())
-            yield top.frame(ids)
-
-        one = index.nodes.mapInPandas(best, "query_id long, node_id long, sim double")
+                if not len(b):
+                    continue
+                b = b.sort_by("node_id")
+                v, nodes = _vectors(b.column("vector")), b.column("node_id").to_numpy()
+                words = np.frombuffer(b"".join(b.column("code").to_pylist()), "<u8").reshape(len(b), -1).T.copy()
+                step, wanted = -(-len(nodes) // 1024), max(share, least / len(nodes))
+                for i in range(len(ids)):
+                    apart = np.zeros(len(nodes), np.uint16)
+                    for mine, theirs in zip(asked[i], words):
+                        apart += np.bitwise_count(mine ^ theirs)
+                    near = np.flatnonzero(apart <= np.quantile(apart[::step], min(wanted, 1), method="higher"))
+                    if len(near) < min(least, len(nodes)):
+                        near = np.sort(np.argpartition(apart, min(least, len(nodes)) - 1)[:least])
+                    top.add(np.array([i]), np.round(v[near] @ matrix[i], 6)[None, :], nodes[near])
+            out = top.frame(ids)
+            yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+
+        one = index.nodes.mapInArrow(best, "query_id long, node_id long, sim double")
         found = one if found is None else found.unionByName(one)
     return _ranked(found, index.nodes.sparkSession, k)
 

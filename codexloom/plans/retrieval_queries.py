@@ -77,7 +77,7 @@ def vector_topk_section(spark, sf):
 @query()
 def vector_topk_ivf(spark, sf):
     q, d = _vectors(spark, sf)
-    return R.vector_topk_ivf(q, R.vector_cells(d))
+    return R.vector_topk_codes(q, R.vector_codes(d))
 
 
 @query(f"""WITH {_SIMS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, node_id) AS rank FROM sims), c AS (SELECT * FROM r WHERE rank <= 20),
