@@ -13,8 +13,10 @@ appends nothing; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,11 +30,19 @@ def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
 
 
+#: The file that describes an index; readers of the data pass over names with an underscore.
+ABOUT = "_digest_index.json"
+
+
 class DigestIndex:
     """A persistent table (digest, keep_id), bucketed and sorted by digest.
 
     A named table lives in the warehouse, or under ``path``, and stays. Without a name it is one of
     this session in the shared folder, which ``common.release`` drops.
+
+    An index under a path describes itself: a file beside its data holds the number of buckets, so a session whose catalogue does not know the
+    table registers it over the files again. A path with files but no description is
+    not an index and is refused, since a new table would erase it.
     """
 
     def __init__(self, spark: SparkSession, table: str | None = None, buckets: int | None = None, path: str | None = None):
@@ -43,8 +53,32 @@ class DigestIndex:
             staged(self.path, self.table)
         self.buckets = buckets or partitions(spark)
 
+    def _described(self) -> int | None:
+        """Buckets of the index under the path, or None where there is nothing yet."""
+        fs, root = FileSystem.from_uri(self.path)
+        about = fs.get_file_info(f"{root}/{ABOUT}")
+        if about.type == FileType.NotFound:
+            if any(f.size for f in fs.get_file_info(FileSelector(root, allow_not_found=True))):
+                raise ValueError(f"{self.path} holds files that are no digest index")
+            return None
+        with fs.open_input_stream(about.path) as f:
+            return json.loads(f.read())["buckets"]
+
+    def _describe(self) -> None:
+        fs, root = FileSystem.from_uri(self.path)
+        fs.create_dir(root)
+        with fs.open_output_stream(f"{root}/{ABOUT}") as f:
+            f.write(json.dumps({"digest": "sha256", "buckets": self.buckets}).encode())
+
     def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.table)
+        """Whether there is an index; one under a path is registered in this session."""
+        if self.spark.catalog.tableExists(self.table):
+            return True
+        if self.path is None or (buckets := self._described()) is None:
+            return False
+        self.buckets = buckets
+        self.spark.sql(f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'")
+        return True
 
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
@@ -54,6 +88,10 @@ class DigestIndex:
         new = digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
         if self.exists():
             new = new.hint("merge").join(self.read().select("digest"), "digest", "left_anti")
+        elif self.path is not None:
+            # written first and with the files in one folder, which a new table keeps
+            self.spark.sql(f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
+            self._describe()
         new = stage(new.select("digest", "keep_id"), "appended")
         # one file per bucket: the rows arrive at the writer dealt out by the bucket column
         out = new.repartition(self.buckets, "digest").write.mode("append").format("parquet")

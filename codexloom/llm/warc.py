@@ -24,6 +24,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -90,32 +91,42 @@ def records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES, date: str = "1
     return p.select(F.concat(head, block, F.lit("\r\n\r\n")).alias("record"))
 
 
+#: Members and compressed bytes of an archive file; how many files are named at a time.
+PER_FILE, FILE_BYTES, MOVES = 100_000, 32 << 20, 32
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
 class _MemberWriter(DataSourceArrowWriter):
-    """Each record of column ``record`` as a gzip member, in files of at most ``per_file`` members."""
+    """Each record of column ``record`` as a gzip member, in files that end at ``per_file`` members or with the one that reaches ``file_bytes``.
+
+    A reader holds a file whole, so its size is bounded in bytes. Names are given at the end by the driver, some dozens at a time: an attempt of a task that fails or is
+    repeated leaves no named file.
+    """
 
-    def __init__(self, path: str, per_file: int):
-        self.path, self.per_file = path, per_file
+    def __init__(self, path: str, per_file: int, file_bytes: int):
+        self.path, self.per_file, self.file_bytes = path, per_file, file_bytes
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, root = FileSystem.from_uri(self.path)
         fs.create_dir(root)
-        files, out, n = [], None, 0
+        files, out, n, size = [], None, 0, 0
         for batch in iterator:
             for record in batch.column("record").cast(pa.binary()):
-                if out is None or n == self.per_file:
+                if out is None or n == self.per_file or size >= self.file_bytes:
                     if out is not None:
                         out.close()
                     name = uuid.uuid4().hex
                     files.append((f"{root}/_{name}.warc.gz", f"{root}/part-{name}.warc.gz"))
                     out, n = fs.open_output_stream(files[-1][0], compression=None), 0
+                    size = 0
                 c = zlib.compressobj(wbits=31)
-                out.write(c.compress(record.as_py()) + c.flush())
-                n += 1
+                member = c.compress(record.as_py()) + c.flush()
+                out.write(member)
+                n, size = n + 1, size + len(member)
         if out is not None:
             out.close()
         return _Written(files)
@@ -123,9 +134,9 @@ class _MemberWriter(DataSourceArrowWriter):
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, root = FileSystem.from_uri(self.path)
         fs.create_dir(root)
-        for m in messages:
-            for hidden, name in m.files if m else ():
-                fs.move(hidden, name)
+        with ThreadPoolExecutor(MOVES) as pool:
+            for _ in pool.map(lambda f: fs.move(*f), (f for m in messages if m for f in m.files)):
+                pass
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, _ = FileSystem.from_uri(self.path)
@@ -135,20 +146,20 @@ class _MemberWriter(DataSourceArrowWriter):
 
 
 class WarcSink(DataSource):
-    """Sink ``warc_members`` (options path, per_file) for a DataFrame (record)."""
+    """Sink ``warc_members`` (options path, per_file, file_bytes) for a DataFrame (record)."""
 
     @classmethod
     def name(cls) -> str:
         return "warc_members"
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return _MemberWriter(self.options["path"], int(self.options.get("per_file", "1000")))
+        return _MemberWriter(self.options["path"], int(self.options.get("per_file", PER_FILE)), int(self.options.get("file_bytes", FILE_BYTES)))
 
 
-def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, per_file: int = 1000) -> None:
-    """Write pages as archives of at most ``per_file`` gzip members, one per record, under ``path``."""
+def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, per_file: int = PER_FILE, file_bytes: int = FILE_BYTES) -> None:
+    """Write pages as archives under ``path``, a gzip member per record; see ``_MemberWriter`` for their size."""
     pages.sparkSession.dataSource.register(WarcSink)
-    records(pages, min_bytes).write.format("warc_members").option("per_file", per_file).mode("append").save(path)
+    records(pages, min_bytes).write.format("warc_members").option("per_file", per_file).option("file_bytes", file_bytes).mode("append").save(path)
 
 
 RECORD_SCHEMA = ("path string, kind string, offset long, inner_offset long, length long, record_type string, record_id string, "
@@ -298,7 +309,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = read_warc(files, with_payload=False)
     torn = F.raise_error(F.concat(F.lit("a gap in an archive just written: "), F.coalesce("path", F.lit("")), F.lit(" "), F.coalesce("note", F.lit(""))))
     got = got.withColumn("record_id", F.when(F.col("kind") == "gap", torn).otherwise(F.col("record_id")))
-    number = lambda c: F.substring(c, len(URN) + 1, 40).cast("long")
+    number = lambda c: F.substring(c, len(URN) + 1, 40).try_cast("long")  # noqa: E731  # a null page_id is an empty one in the archive
     return got.select(number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                       number(F.col("refers_to")).alias("refers_to"))
 
