@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codexloom.operators import ledgers as G
+from codexloom.operators import logs as L
 from codexloom.plans import sqlviews as V
 from codexloom.plans.base import query
 from codexloom.sources import corpus as S
@@ -224,3 +225,34 @@ def request_pairs(spark, sf):
 @query(f"WITH {_PAIRS} SELECT request_id, took_ms, client_id FROM pr WHERE took_ms > 1000 AND level = 'INFO'")
 def slow_requests(spark, sf):
     return G.request_pairs(_logs(spark, sf)).where("took_ms > 1000 and level = 'INFO'").select("request_id", "took_ms", "client_id")
+
+
+def _log_lines(spark, sf):
+    """JSON lines of every event's request: a start, and an end unless it failed; a third has no session, some lines are torn."""
+    e = S.ledger(spark, sf).select("*", S.micros("ts").alias("us"))
+    common = [col("seq").cast("string").alias("request_id"), F.when(col("seq") % 3 > 0, col("session_id").cast("string")).alias("session_id"), F.when(col("seq") % 5 == 0, lit("")).alias("book_id"),
+              F.when(col("kind") == "error", "ERROR").otherwise("INFO").alias("level"), lit("http").alias("logger"), F.concat(lit("/api/"), col("kind")).alias("path"), lit("POST").alias("method")]
+    took = F.round(col("value") * 100).cast("double")
+    start = e.select(*common, lit("request_start").alias("msg"), col("us").alias("time_us"), lit(None).cast("double").alias("took_ms"), lit(None).cast("int").alias("status"))
+    end = e.where("kind <> 'error'").select(*common, lit("request_end").alias("msg"), (col("us") + took * 1000).cast("long").alias("time_us"), took.alias("took_ms"), F.when(col("seq") % 7 == 0, 503).otherwise(200).alias("status"))
+    lines = L.log_lines(start.unionByName(end), "method", "path", "took_ms", "status")
+    # what other loggers may write: nulls, numbers in quotes, torn and empty lines
+    odd = e.where("seq % 50 = 0").select(F.explode(F.array(lit('{"msg": "note", "took_ms": null}'), lit('{"msg": "note", "took_ms": "12"}'), lit('{"msg": "request_st'), lit(""), lit("[1, 2]"))).alias("line"))
+    return lines.unionByName(odd)
+
+
+@query(f"""WITH {_EV}, r AS (SELECT 'http' AS logger, 'absent' AS took, seq FROM ev UNION ALL SELECT 'http', 'number', seq FROM ev WHERE kind <> 'error'),
+a AS (SELECT logger, false AS malformed, took, CASE WHEN seq % 3 > 0 THEN 'string' ELSE 'absent' END AS session, count(*) AS n FROM r GROUP BY ALL),
+o(malformed, took, k) AS (VALUES (false, 'null', 1), (false, 'string', 1), (true, 'absent', 3))
+SELECT * FROM a UNION ALL SELECT NULL, malformed, took, 'absent', k * (SELECT count(*) FROM ev WHERE seq % 50 = 0) FROM o""")
+def log_fields(spark, sf):
+    logs = L.read_logs(_log_lines(spark, sf))
+    return logs.groupBy("logger", "malformed", L.kind_of("fields", "took_ms").alias("took"), L.kind_of("fields", "session_id").alias("session")).agg(F.count(lit(1)).alias("n"))
+
+
+@query(f"""WITH {_EV}, r AS (SELECT '/api/' || kind AS path, CASE WHEN kind <> 'error' THEN round(value * 100) END AS took, kind = 'error' OR seq % 7 = 0 AS failed FROM ev)
+SELECT path, count(*) AS n_requests, count(*) FILTER (WHERE failed) AS n_failed, quantile_disc(took, 0.5) AS p50, quantile_disc(took, 0.95) AS p95, quantile_disc(took, 0.99) AS p99 FROM r GROUP BY path""")
+def request_latency(spark, sf):
+    hour = F.floor(col("start_us") / 3_600_000_000).alias("hour")
+    hourly = L.latency_sketches(L.http_requests(L.read_logs(_log_lines(spark, sf))), "path", hour)
+    return L.latency(hourly, "path")

@@ -18,6 +18,12 @@ def stream_ledger(spark, sf):
     return H.stream_ledger(H.read_events(spark, sf).where("kind = 'click'"))
 
 
+# the delay is longer than the events' months, so nothing is forgotten
+@query(f"WITH {_EV} SELECT DISTINCT session_id, k AS chunk_id FROM ev WHERE kind = 'click'")
+def stream_ledger_recent(spark, sf):
+    return H.stream_ledger_recent(H.read_events(spark, sf).where("kind = 'click'"), "4000 days").select("session_id", "chunk_id")
+
+
 @query(f"""WITH {_EV}, pr(model, pi, po) AS (VALUES ('click', 0.6, 2.4), ('view', 0.15, 0.6), ('purchase', 3, 15))
 SELECT session_id, sum(floor(value)::BIGINT)::BIGINT AS input_tokens, sum(k * 3)::BIGINT AS output_tokens, round(sum(coalesce(floor(value)::BIGINT * pi::DECIMAL(18,9) + k * 3 * po::DECIMAL(18,9), 0))::DOUBLE, 6) AS cost_micro
 FROM ev LEFT JOIN pr ON kind = model GROUP BY session_id""")
@@ -64,3 +70,11 @@ def session_activity(spark, sf):
 @query(f"WITH {_EV} SELECT book_id, count(DISTINCT k) AS n_cited FROM ev WHERE value > 10 GROUP BY book_id")
 def stream_progress(spark, sf):
     return H.stream_progress(H.read_events(spark, sf).where("value > 10").select("book_id", col("chunk_key").alias("chunk_id")))
+
+
+@query(f"WITH {_EV} SELECT book_id, count(DISTINCT k) AS n_cited, true AS within FROM ev WHERE value > 10 GROUP BY book_id")
+def stream_progress_sketch(spark, sf):
+    e = H.read_events(spark, sf).where("value > 10").select("book_id", col("chunk_key").alias("chunk_id"))
+    about = H.progress_estimates(H.stream_progress_sketches(e)).withColumnRenamed("n_cited", "about")
+    exact = S.ledger(spark, sf).where("value > 10").groupBy("book_id").agg(F.countDistinct("chunk_key").alias("n_cited"))
+    return exact.join(about, "book_id").select("book_id", "n_cited", (F.abs(col("about") - col("n_cited")) <= 0.03 * col("n_cited")).alias("within"))
