@@ -49,7 +49,9 @@ FAN = 16
 #: Different id pairs of documents, added up, at which a block of documents is closed.
 BLOCK = 1 << 19
 #: Characters of the pieces that a worker keeps.
-CACHE = 2_000_000
+CACHE = 5_000_000
+#: Characters of documents whose new pieces are aligned together.
+TOGETHER = 1 << 16
 #: Links of one group beyond which equal ids are counted before pairs are formed.
 WIDE = 4096
 
@@ -62,7 +64,9 @@ class Aligned:
 
     def __init__(self, a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray):
         self.a, self.a_ends, self.b, self.b_ends = a, a_ends, b, b_ends
-        self.cuts = np.intersect1d(a_ends, b_ends)
+        # both are in ascending order, without repeats but for tokens of no bytes
+        at = np.minimum(np.searchsorted(b_ends, a_ends), max(len(b_ends) - 1, 0))
+        self.cuts = a_ends[b_ends[at] == a_ends] if len(b_ends) else a_ends[:0]
 
     def between(self, low: int, high: int) -> Aligned:
         """The tokens that end behind low and not behind high."""
@@ -96,62 +100,102 @@ class Pair:
         self.lone_space = self.b.piece_to_id(SPACE)
         #: a space behind a character that is no white space to either side
         self.safe = re.compile(r"(?<=\S)(?= )")
-        self.size, self.held, self.known = cache, 0, {}
+        self.size = cache
+        self._forget()
 
     def align(self, stream: str) -> Aligned | None:
         """A stream that begins with a space and the places where it can be cut; None where either tokenizer changes its bytes."""
         a = np.array(self.a.encode(stream, add_special_tokens=False).ids, np.int64)
         b = np.array(self.b.encode(stream[1:]) if len(stream) > 1 else [self.lone_space], np.int64)
         raw = stream.encode()
-        if b"".join(map(self.bytes_b.__getitem__, b.tolist())) != raw or b"".join(map(self.bytes_a.__getitem__, a.tolist())) != raw:
+        # bytes of A can only be missing: its characters stand for bytes one by one
+        if self.len_a[a].sum() != len(raw) or b"".join(map(self.bytes_b.__getitem__, b.tolist())) != raw:
             return None
         return Aligned(a, np.cumsum(self.len_a[a]), b, np.cumsum(self.len_b[b]))
 
-    def _learn(self, new: list[str]) -> None:
-        """Align pieces; those that do not end in white space as one stream."""
+    def _forget(self) -> None:
+        """Of each piece its number; per number its groups' text, and (first code, codes, tokens of A, of B, groups)."""
+        self.held, self.known, self.texts, self.wide = 0, {}, [], {}
+        self.table, self.codes, self.n_codes = np.zeros((1 << 14, 5), np.int64), np.zeros(1 << 16, np.int64), 0
+
+    def learn(self, pieces: set[str]) -> None:
+        """Align what is new of some pieces; those that do not end in white space as one stream."""
+        new = pieces.difference(self.known)
+        size = sum(map(len, new))
+        if self.held + size > self.size and self.known:
+            self._forget()
+            new, size = pieces, sum(map(len, pieces))
+        self.held += size
         whole, tail = [p for p in new if not p[-1].isspace()], [p for p in new if p[-1].isspace()]
         got = self.align("".join(whole)) if whole else None
         if got is not None:
-            ends = np.cumsum([len(p.encode()) for p in whole])
-            self._keep(whole, got, ends)
+            self._keep(whole, got, np.cumsum([len(p.encode()) for p in whole]))
             whole = []
         for p in whole + tail:
             got = self.align(p)
             if got is None:
-                self.known[p] = None
+                self.known[p] = -1
             else:
                 self._keep([p], got, np.array([len(p.encode())]))
 
     def _keep(self, pieces: list[str], got: Aligned, ends: np.ndarray) -> None:
         groups = digested(got, self.n_b)
-        group_ends = np.searchsorted(got.cuts, ends, "right")
-        low = 0
-        for p, high in zip(pieces, group_ends.tolist()):
-            i, j = groups.pair_starts[low], groups.pair_starts[high]
-            weights = groups.weights[i:j].copy()
-            self.known[p] = (int(groups.a_starts[high] - groups.a_starts[low]), int(groups.b_starts[high] - groups.b_starts[low]), high - low, ";".join(groups.texts[low:high]), groups.codes[i:j].copy(),
-                             None if (weights == 1).all() else weights)
-            low = high
-
-    def document(self, text: str) -> tuple[list[int], str, np.ndarray, np.ndarray] | None:
-        """((n_a, n_b, n_groups, n_links), the groups' text, codes of the linked id pairs, their numbers of links), or None without tokens."""
-        if not text:
+        high = np.searchsorted(got.cuts, ends, "right")
+        low = np.concatenate(([0], high[:-1]))
+        text, at = ";".join(groups.texts), np.concatenate(([0], np.cumsum(np.fromiter(map(len, groups.texts), np.int64, len(groups.texts)) + 1)))
+        starts, counts = groups.pair_starts[low], groups.pair_starts[high] - groups.pair_starts[low]
+        n, codes = len(self.texts), self.n_codes + len(groups.codes)
+        self.table, self.codes = _room(self.table, n, n + len(pieces)), _room(self.codes, self.n_codes, codes)
+        self.table[n:n + len(pieces)] = np.stack((starts + self.n_codes, counts, groups.a_starts[high] - groups.a_starts[low], groups.b_starts[high] - groups.b_starts[low], high - low), 1)
+        self.codes[self.n_codes:codes] = groups.codes
+        self.n_codes = codes
+        self.texts += [text[i:j] for i, j in zip(at[low].tolist(), (at[high] - 1).tolist())]
+        self.known.update(zip(pieces, range(n, n + len(pieces))))
+        if groups.weights.max(initial=0) > 1:
+            self.wide.update((n + k, groups.weights[i:i + c].copy()) for k, (i, c) in enumerate(zip(starts.tolist(), counts.tolist())) if groups.weights[i:i + c].max(initial=0) > 1)
+
+    def summary(self, pieces: list[str]) -> Summary | None:
+        """What learned pieces amount to together, or None if one of them has no tokens."""
+        numbers = list(map(self.known.__getitem__, pieces))
+        at = np.array(numbers, np.int64)
+        if not len(at):
+            return Summary([0, 0, 0, 0], "", np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if at.min() < 0:
             return None
-        stream = " " + text
-        pieces = self.safe.split(stream)
-        if self.held + len(stream) > self.size:
-            self.held, self.known = 0, {}
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        if new:
-            self.held += sum(map(len, new))
-            self._learn(new)
-        got = list(map(self.known.__getitem__, pieces))
-        if None in got:
-            return None
-        n_a, n_b, n_groups, texts, codes, weights = zip(*got)
-        weights = None if weights.count(None) == len(weights) else np.concatenate([np.ones(len(c), np.int64) if w is None else w for c, w in zip(codes, weights)])
-        found, weights = summed(np.concatenate(codes), weights)
-        return [sum(n_a), sum(n_b), sum(n_groups), int(weights.sum())], ";".join(texts), found, weights
+        rows = self.table[at]
+        starts, counts = rows[:, 0], rows[:, 1]
+        ends = np.cumsum(counts)
+        codes = self.codes[np.repeat(starts - ends + counts, counts) + np.arange(ends[-1])]
+        weights = None
+        if self.wide and not self.wide.keys().isdisjoint(numbers):
+            weights = np.concatenate([self.wide.get(i, np.ones(n, np.int64)) for i, n in zip(numbers, counts.tolist())])
+        found, weights = summed(codes, weights)
+        return Summary([*rows[:, 2:].sum(0).tolist(), int(weights.sum())], ";".join(map(self.texts.__getitem__, numbers)), found, weights)
+
+    def documents(self, texts: list[str]) -> Iterator[Summary | None]:
+        """The summary of each text, or None without tokens; new pieces of some texts at a time are aligned together."""
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            held.append(self.safe.split(" " + text) if text else None)
+            size += len(text)
+            if size >= TOGETHER or i == len(texts) - 1:
+                self.learn({p for own in held if own for p in own})
+                yield from (self.summary(own) if own else None for own in held)
+                held, size = [], 0
+
+
+def _room(a: np.ndarray, used: int, need: int) -> np.ndarray:
+    """An array with space for ``need`` rows, at least doubled when it grows."""
+    return a if need <= len(a) else np.concatenate((a[:used], np.zeros((max(need, 2 * used) - used, *a.shape[1:]), a.dtype)))
+
+
+class Summary(NamedTuple):
+    """Tokens of A, of B, groups and links; the groups' text; codes of the linked id pairs in order, and each one's number of links."""
+
+    numbers: list[int]
+    text: str
+    codes: np.ndarray
+    weights: np.ndarray
 
 
 @functools.lru_cache(maxsize=1)
@@ -239,10 +283,20 @@ def _open(row: int, k: int, ok: bool, cut: bool, first: int | None, ends: tuple)
     return (row, k, OPEN, ok, cut, first, *ends, *[None] * 7)
 
 
-def _inside(row: int, k: int, x: Aligned, n_b: int) -> tuple:
+def _whole(x: Aligned, n_b: int) -> Summary:
     groups = digested(x, n_b)
     codes, weights = summed(groups.codes, groups.weights)
-    return (row, k, INSIDE, True, None, None, *[None] * 4, len(x.a), len(x.b), len(groups.texts), int(weights.sum()), ";".join(groups.texts), codes, weights)
+    return Summary([len(x.a), len(x.b), len(groups.texts), int(weights.sum())], ";".join(groups.texts), codes, weights)
+
+
+def _inside(row: int, k: int, parts: list[Summary]) -> list[tuple]:
+    """The row of a range's closed groups, if there are any."""
+    parts = [p for p in parts if p.numbers[2]]
+    if not parts:
+        return []
+    codes, weights = summed(np.concatenate([p.codes for p in parts]), np.concatenate([p.weights for p in parts]))
+    na, nb, groups, links = (sum(n) for n in zip(*(p.numbers for p in parts)))
+    return [(row, k, INSIDE, True, None, None, *[None] * 4, na, nb, groups, links, ";".join(p.text for p in parts), codes, weights)]
 
 
 def _one_group(row: int, k: int, a: list[int], b: list[int], n_b: int) -> tuple:
@@ -251,17 +305,28 @@ def _one_group(row: int, k: int, a: list[int], b: list[int], n_b: int) -> tuple:
 
 
 def fragment(pair: Pair, row: int, k: int, window: str, skip: int, take: int) -> list[tuple]:
-    """The rows of one range: its open ends, and its closed groups if any."""
-    got = pair.align(window)
-    if got is None:
-        return [_open(row, k, False, False, None, ([], [], [], []))]
-    x = got.between(skip, take)
-    if not len(x.cuts):
-        return [_open(row, k, True, False, None, (x.a, x.b, [], []))]
-    first, last = int(x.cuts[0]), int(x.cuts[-1])
-    head, tail, inner = x.between(skip, first), x.between(last, take), x.between(first, last)
-    out = [_open(row, k, True, True, k, (head.a, head.b, tail.a, tail.b))]
-    return out + [_inside(row, k, inner, pair.n_b)] if len(inner.a) else out
+    """The rows of one range: its open ends, and its closed groups if any. Only the window's first and last piece can reach over the range."""
+    failed = [_open(row, k, False, False, None, ([], [], [], []))]
+    head, *middle = pair.safe.split(window)
+    tail = middle.pop() if middle else None
+    x = pair.align(head)
+    if tail is None:
+        if x is None:
+            return failed
+        x = x.between(skip, take)
+        if not len(x.cuts):
+            return [_open(row, k, True, False, None, (x.a, x.b, [], []))]
+        first, last = int(x.cuts[0]), int(x.cuts[-1])
+        open_, inner, rest = x.between(skip, first), [_whole(x.between(first, last), pair.n_b)], x.between(last, take)
+    else:
+        pair.learn(set(middle))
+        y, between = pair.align(tail), pair.summary(middle)
+        if x is None or y is None or between is None:
+            return failed
+        x, y = x.between(skip, len(head.encode())), y.between(0, take - len(window.encode()) + len(tail.encode()))
+        first, last = int(x.cuts[0]), int(y.cuts[-1]) if len(y.cuts) else 0
+        open_, inner, rest = x.between(skip, first), [_whole(x.between(first, 1 << 62), pair.n_b), between, _whole(y.between(0, last), pair.n_b)], y.between(last, 1 << 62)
+    return [_open(row, k, True, True, k, (open_.a, open_.b, rest.a, rest.b)), *_inside(row, k, inner)]
 
 
 def compose(parts: list[dict], n_b: int) -> list[tuple]:
@@ -350,29 +415,26 @@ def align_tokens(docs: DataFrame, a: str, b: str, long: int = LONG, block: int =
                                               else pa.array(found) if m == "code" else pa.array(n) if m == "n_docs" else pa.nulls(len(found), t) for m, t in fields], names=keep + [m for m, _ in fields])
 
         for batch in batches:
-            of, rows = [], []
-            for i, text in enumerate(batch.column("text")):
-                text = text.as_py() or ""
-                of.append(i)
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            rows = []
+            for text, got in zip(texts, pair.documents(["" if len(t) > long else t for t in texts])):
                 if len(text) > long:
                     row += 1
                     rows.append({"_what": "document", "_k": 0, "_block": row})
                     for k, (window, skip, take) in enumerate(ranges(pair, text, long)):
                         yield cells(batch, [None], [{"_what": "range", "_block": row, "_k": k, "_window": window, "_skip": skip, "_take": take}])
                     continue
-                got = pair.document(text)
                 if got is None:
                     rows.append({"_what": "document", **dict.fromkeys(DIGEST, 0), "groups_sha256": ""})
                     continue
-                numbers, groups, found, weights = got
-                rows.append({"_what": "document", "_block": number, **dict(zip(DIGEST, numbers)), "groups_sha256": hashlib.sha256(groups.encode()).hexdigest(),
-                             "codes": found.astype("<i8").tobytes(), "weights": weights.astype("<i4").tobytes()})
-                codes.append(found)
-                size += len(found)
+                rows.append({"_what": "document", "_block": number, **dict(zip(DIGEST, got.numbers)), "groups_sha256": hashlib.sha256(got.text.encode()).hexdigest(),
+                             "codes": got.codes.astype("<i8").tobytes(), "weights": got.weights.astype("<i4").tobytes()})
+                codes.append(got.codes)
+                size += len(got.codes)
                 if size >= block:
                     yield counted(batch)
                     codes, size, number = [], 0, number + 1
-            yield cells(batch, of, rows)
+            yield cells(batch, list(range(len(rows))), rows)
         if codes:
             yield counted(batch)
 
