@@ -200,13 +200,13 @@ def test_composition_is_associative():
     text = "Ununterbrochenes " * 3 + "日本語" * 12 + " and plain words, interrupted by some Zwischenworte of 1234567 digits" * 3
     parts = [alignment.fragment(pair, 1, k, *r) for k, r in enumerate(alignment.ranges(pair, text, 20))]
     open_ = [dict(zip(alignment.FIELDS, p[0])) for p in parts]
+    for p in open_:
+        p |= {c: list(p[c]) for c in ("pa", "pb", "sa", "sb")}
     # ranges end inside pieces, so groups are open between them; a fragment without a cut is open as a whole
     assert len(open_) > 8 and any(p["sa"] for p in open_)
     at = next(i for i, p in enumerate(open_) if p["sa"])
     bare = {**open_[at], "cut": False, "first": None, "pa": open_[at]["sa"], "pb": open_[at]["sb"], "sa": [], "sb": []}
     open_ = [*open_[:at], {**open_[at], "sa": [], "sb": []}, bare, *open_[at + 1:]]
-    for p in open_:
-        p |= {c: list(p[c]) for c in ("pa", "pb", "sa", "sb")}
 
     def tree(rows, widths):
         closed = []
