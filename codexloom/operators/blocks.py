@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codexloom.functions.columns import block_id, section_id
+from codexloom.operators.scans import before_ranges, since_reset
+from codexloom.sources.store import stage
 
 _BEFORE = (Window.unboundedPreceding, -1)
 
@@ -46,25 +48,39 @@ HEADING = (r"^(?:CHAPTER|Chapter|SECTION|Section|PART|Part|BOOK|Book)\s+(?:[0-9]
            r"|^[0-9]+\.[0-9]+(?:\.[0-9]+)?\s+[\p{L}\p{N}_]|^第[一二三四五六七八九十百零两0-9]+章")
 
 
-def heal_page_breaks(blocks: DataFrame) -> DataFrame:
+def heal_page_breaks(blocks: DataFrame, span: int = 1024) -> DataFrame:
     """Join blocks that a page break cut (book_id, page, ord, text) -> (book_id, ord, pages, text, dehyphenated, n_merged).
 
     Neighbours are joinable when the first ends in a hyphen, or the second is no heading and
     continues in lower case after a comma, semicolon, colon or lower-case letter. A run of joinable
-    blocks merges from its first page change on. Windows hold one book's blocks.
+    blocks merges from its first page change on.
+
+    It is a segmented scan: ``ord`` is cut into ranges of ``span``, windows run inside a range over flags of the texts, and three states are carried from range to range:
+    the end of the last block, whether the open run has seen a page change, and the number of groups. The texts are
+    moved only to be joined.
     """
-    w = Window.partitionBy("book_id").orderBy("ord")
-    tail, head = F.rtrim(F.lag("text").over(w)), F.ltrim("text")
-    hyphen = tail.rlike("[-‐]$")
-    lower = head.rlike(r"^\p{Ll}")
-    join = hyphen | (~head.rlike(HEADING) & lower & tail.rlike(r"[,;:\p{Ll}]$"))
-    b = blocks.withColumn("_join", F.coalesce(join, F.lit(False))).withColumn("_hyphen", F.coalesce(hyphen, F.lit(False)))
-    b = b.withColumn("_turn", F.coalesce(F.lag("page").over(w) != F.col("page"), F.lit(False)))
-    b = b.withColumn("_run", F.sum((~F.col("_join")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    in_run = Window.partitionBy("book_id", "_run").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    turned = F.max((F.col("_join") & F.col("_turn")).cast("int")).over(in_run) == 1
-    b = b.withColumn("_merge", F.col("_join") & turned)
-    b = b.withColumn("_group", F.sum((~F.col("_merge")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    key = ["book_id", "_p"]
+    tail, head = F.rtrim("text"), F.ltrim("text")
+    b = blocks.select("book_id", "ord", "page", F.floor(F.col("ord") / span).alias("_p"), F.struct("page", tail.rlike("[-‐]$").alias("hyphen"), tail.rlike(r"[,;:\p{Ll}]$").alias("open")).alias("_end"),
+                      (~head.rlike(HEADING) & head.rlike(r"^\p{Ll}")).alias("_goes_on"))
+    w, so_far = Window.partitionBy(*key).orderBy("ord"), Window.partitionBy(*key).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    ends = b.groupBy(*key).agg(F.max_by("_end", "ord").alias("_end"))
+    b = b.join(before_ranges(ends, ["book_id"], "_p", _came=F.max_by("_end", "_p")), key).withColumn("_last", F.coalesce(F.lag("_end").over(w), "_came"))
+    hyphen = F.coalesce("_last.hyphen", F.lit(False))
+    join = hyphen | (F.col("_goes_on") & F.coalesce("_last.open", F.lit(False)))
+    turn = F.coalesce(F.col("_last.page") != F.col("page"), F.lit(False))
+    b = stage(b.select(*key, "ord", "page", hyphen.alias("_hyphen"), join.alias("_join"), (join & turn).cast("int").alias("_turn")))
+    # a block that joins nothing starts a run
+    b = b.withColumn("_run", F.sum((~F.col("_join")).cast("int")).over(so_far))
+    runs = b.groupBy(*key, "_run").agg(F.max("_turn").alias("_turn")).groupBy(*key).agg((F.max("_run") > 0).alias("_reset"), F.max_by("_turn", "_run").alias("_turn"))
+    came = since_reset(runs, ["book_id"], "_p", "_reset", "_turn").withColumnRenamed("_turn", "_seen")
+    turned = F.max("_turn").over(Window.partitionBy(*key, "_run").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    b = b.join(came, key).withColumn("_turned", F.greatest(turned, F.when(F.col("_run") == 0, F.col("_seen")))).withColumn("_merge", F.col("_join") & (F.col("_turned") == 1))
+    b = stage(b.select(*key, "ord", "page", "_hyphen", "_merge"))
+    groups = b.groupBy(*key).agg(F.sum((~F.col("_merge")).cast("int")).alias("_n"))
+    b = b.join(before_ranges(groups, ["book_id"], "_p", _before=F.sum("_n")), key)
+    b = b.select("book_id", "ord", "page", "_hyphen", "_merge", (F.sum((~F.col("_merge")).cast("int")).over(so_far) + F.coalesce("_before", F.lit(0))).alias("_group"))
+    b = b.join(blocks.select("book_id", "ord", "text"), ["book_id", "ord"])
     parts = F.array_sort(F.collect_list(F.struct("ord", "_hyphen", "_merge", "text")))
     text = F.aggregate(parts, F.lit(""), lambda s, x: F.when(~x["_merge"], x["text"]).when(
         x["_hyphen"], F.concat(F.regexp_replace(F.rtrim(s), "[-‐]$", ""), F.ltrim(x["text"]))).otherwise(F.concat(F.rtrim(s), F.lit(" "), F.ltrim(x["text"]))))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codexloom.functions.hooks import lead_sentences
+from codexloom.operators.clustering import cluster_by_rounds, n_clusters
 from codexloom.operators.retrieval import kmeans
 from codexloom.sources import store
 
@@ -31,11 +32,17 @@ def section_nodes(inputs: DataFrame) -> DataFrame:
                          F.col("n_chunks").alias("cluster_size"), F.coalesce("printed_number", F.lit(0)).alias("chapter"), lead_sentences(F.col("input")).alias("text"))
 
 
-def cluster_nodes(nodes: DataFrame, seed: int = 42) -> DataFrame:
+def cluster_nodes(nodes: DataFrame, seed: int = 42, large: int = 10_000) -> DataFrame:
     """(book_id, node_id, cluster): k-means over a book's unit vectors, K = min(10, max(2, n div 4)); nothing for up to two nodes.
 
-    A book has at most some thousands of nodes per level, one per section or cluster.
+    A book of up to ``large`` nodes is one task's; a larger one is clustered by rounds over all tasks, with the same
+    starts and steps (``cluster_by_rounds``). The driver gets one name for each large book.
     """
+    nodes = nodes.select("book_id", "node_id", "embedding")
+    many = [(r["book_id"], r["n"]) for r in nodes.groupBy("book_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large).collect()]
+    if many:
+        rounds = cluster_by_rounds(nodes, sorted(many), seed)
+        nodes = nodes.join(nodes.sparkSession.createDataFrame(many, "book_id string, n long"), "book_id", "left_anti")
 
     def own(pdf: pd.DataFrame) -> pd.DataFrame:
         n = len(pdf)
@@ -44,10 +51,11 @@ def cluster_nodes(nodes: DataFrame, seed: int = 42) -> DataFrame:
         pdf = pdf.sort_values("node_id")
         v = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
         norm = np.linalg.norm(v, axis=1, keepdims=True)
-        labels, _ = kmeans(v / np.where(norm > 0, norm, 1), min(10, max(2, n // 4)), seed)
+        labels, _ = kmeans(v / np.where(norm > 0, norm, 1), n_clusters(n), seed)
         return pd.DataFrame({"book_id": pdf["book_id"], "node_id": pdf["node_id"], "cluster": labels.astype("int32")})
 
-    return nodes.select("book_id", "node_id", "embedding").groupBy("book_id").applyInPandas(own, "book_id string, node_id string, cluster int")
+    few = nodes.groupBy("book_id").applyInPandas(own, "book_id string, node_id string, cluster int")
+    return few.unionByName(rounds) if many else few
 
 
 def cluster_inputs(members: DataFrame, level: int, cut: int = 600) -> DataFrame:
