@@ -171,18 +171,20 @@ def clean_answers(answers: DataFrame) -> DataFrame:
 
 # The kinds of intent and, below, the names of the response's fields.
 _KINDS = ("chapter_summary", "search", "book_overview", "reading_progress", "export_notes", "smalltalk")
+# Formats that notes are exported in.
+_FORMATS = ("pdf", "markdown")
 
 
 def coerce_intents(raw: DataFrame) -> DataFrame:
     """raw (key, message, response JSON) -> one usable intent per row: key, kind, chapter_number, search_query, export_format,
     ambiguous, clarify_question, clarify_options, clarify_multi, memory_note, memory_note_type.
 
-    A response that is no JSON or names an unknown kind counts as a failed call: a search for the message.
+    A response that is no JSON or names an unknown kind or export format counts as a failed call: a search for the message.
     """
     shape = ("struct<kind: string, chapter_number: int, search_query: string, export_format: string, ambiguous: boolean, clarify_question: string, "
              "clarify_options: array<string>, clarify_multi: boolean, memory_note: string, memory_note_type: string>")
     r = raw.select("key", "message", F.from_json("response", shape).alias("_r"))
-    known = F.coalesce("_r.kind", F.lit("search")).isin(*_KINDS)
+    known = F.coalesce("_r.kind", F.lit("search")).isin(*_KINDS) & F.coalesce("_r.export_format", F.lit("pdf")).isin(*_FORMATS)
     field = lambda name: F.when(known, F.col(f"_r.{name}"))
     given = lambda c: F.nullif(c, F.lit(""))
     kind = F.coalesce(field("kind"), F.lit("search"))

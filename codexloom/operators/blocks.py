@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,6 +13,11 @@ from codexloom.sources.store import stage
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
+def band(y: Column, tolerance: float = 4.0) -> Column:
+    """The height of a line in steps of a tolerance, halves to even; lines that differ less stand in one band."""
+    return F.bround((y / F.lit(tolerance)).cast("decimal(24,6)"), 0).cast("double") * tolerance
+
+
 def drop_repeating_bands(lines: DataFrame, key: list[str], page: str, min_pages: int = 3) -> tuple[DataFrame, DataFrame]:
     """(kept lines, audit per book).
 
@@ -128,6 +133,19 @@ def infer_sections(blocks: DataFrame, ratio: float = 1.25, max_chars: int = 120)
     return heads.unionByName(bare)
 
 
+def infer_dom_sections(blocks: DataFrame) -> DataFrame:
+    """Sections (book_id, pos, label, kind) of marked-up books without an outline, from blocks (book_id, pos, heading_level, text).
+
+    Every first-level heading starts one; in books that have none, every second-level heading does. A book with neither is one section "Body".
+    """
+    levels = blocks.groupBy("book_id").agg(F.min("pos").alias("_first"), F.coalesce(F.bool_or(F.col("heading_level") == 1), F.lit(False)).alias("_h1"), F.coalesce(F.bool_or(F.col("heading_level") == 2), F.lit(False)).alias("_h2"))
+    use = F.when(F.col("_h1"), 1).when(F.col("_h2"), 2)
+    heads = (blocks.where("heading_level in (1, 2)").join(levels.select("book_id", use.alias("_level")), "book_id").where("heading_level = _level")
+             .select("book_id", "pos", F.substring("text", 1, 80).alias("label"), F.lit("heading").alias("kind")))
+    bare = levels.where("not _h1 and not _h2").select("book_id", F.col("_first").alias("pos"), F.lit("Body").alias("label"), F.lit("other").alias("kind"))
+    return heads.unionByName(bare)
+
+
 def emit_blocks(drafts: DataFrame) -> DataFrame:
     """Blocks with order, ids and half-open offsets from drafts (book_id, doc_id, pos, text).
 
@@ -188,3 +206,16 @@ def ingestion_report(blocks: DataFrame, raw: DataFrame) -> DataFrame:
                                      F.sum("chars").alias("n_chars"), F.sum("n_long").alias("n_long"))
     lines = raw.groupBy("book_id").agg(F.count(F.lit(1)).alias("n_raw_lines"), F.count_if(~F.col("text").rlike(r"\S")).alias("n_empty"))
     return own.join(lines, "book_id")
+
+
+def ingestion_histograms(blocks: DataFrame) -> DataFrame:
+    """(book_id, measure, name, n): blocks by kind and by section, ``<none>`` for blocks outside of any; blocks (book_id, section_id, kind)."""
+    named = F.explode(F.array(F.struct(F.lit("kind").alias("measure"), F.col("kind").alias("name")), F.struct(F.lit("section").alias("measure"), F.col("section_id").cast("string").alias("name"))))
+    return blocks.select("book_id", named.alias("x")).groupBy("book_id", "x.measure", F.coalesce("x.name", F.lit("<none>")).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_audits(report: DataFrame, bands: DataFrame, healed: DataFrame) -> DataFrame:
+    """A report per book with its dropped lines (audit of ``drop_repeating_bands``) and joins over page breaks (rows of ``heal_page_breaks``); books without either have none."""
+    joins = healed.groupBy("book_id").agg(F.sum("n_merged").alias("n_merged"), F.count_if("dehyphenated").alias("n_dehyphenated"))
+    j = report.join(bands.select("book_id", "n_boilerplate", "n_page_numbers"), "book_id", "left").join(joins, "book_id", "left")
+    return j.fillna(0, ["n_boilerplate", "n_page_numbers", "n_merged", "n_dehyphenated"])

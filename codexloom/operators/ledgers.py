@@ -189,6 +189,15 @@ def match_catalog(wanted: DataFrame, volumes: DataFrame) -> DataFrame:
     return best.select("pick_id", (-F.col("best.no")).alias("volume_id"), "best.score")
 
 
+def edit_notes(notes: DataFrame, edits: DataFrame) -> DataFrame:
+    """Notes (id, text, type) with the last edit (id, seq, text, type) of each applied: trimmed; a blank text deletes nothing and changes nothing, an unknown type keeps the old one.
+
+    Edits of ids that do not exist are ignored.
+    """
+    last = edits.where(F.trim("text") != "").groupBy("id").agg(F.max_by(F.struct(F.trim("text").alias("t"), F.when(F.col("type").isin("fact", "interest"), F.col("type")).alias("y")), "seq").alias("_e"))
+    return notes.join(last, "id", "left").select("id", F.coalesce("_e.t", "text").alias("text"), F.coalesce("_e.y", "type").alias("type"))
+
+
 def add_notes(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Notes (id, text, type) with new ones added: trimmed, no blanks, exact repeats ignored, the first wins, default type fact."""
     n = new.select("id", F.trim("text").alias("text"), F.when(F.col("type").isin("fact", "interest"), F.col("type")).otherwise("fact").alias("type")).where("text <> ''")
@@ -208,6 +217,18 @@ def usage_cost(usage: DataFrame, prices: DataFrame, *keys: str) -> DataFrame:
                                 F.coalesce(F.sum(cost.cast("decimal(28,12)")), F.lit(0).cast("decimal(28,12)")).alias("cost"), F.count_if(F.col("input_per_1m").isNull()).alias("n_unpriced"))
 
 
+def read_prices(texts: DataFrame) -> DataFrame:
+    """(model, input_per_1m, output_per_1m) of price lists (text), each a JSON object from models to {input_per_1m_tokens, output_per_1m_tokens}.
+
+    An entry that is no object, lacks a price or has one that is no finite decimal is skipped, as is a text that is no object; of repeated models the last by text wins.
+    """
+    v = texts.select("text", F.try_parse_json("text").alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    e = v.select("text", F.explode(F.from_json("text", "map<string, string>")).alias("model", "entry"))
+    price = lambda c: F.get_json_object("entry", f"$.{c}_per_1m_tokens").try_cast("decimal(18,9)").alias(f"{c}_per_1m")
+    e = e.select("text", "model", price("input"), price("output")).where("input_per_1m is not null and output_per_1m is not null")
+    return e.groupBy("model").agg(F.max_by(F.struct("input_per_1m", "output_per_1m"), "text").alias("_p")).select("model", "_p.*")
+
+
 def history_window(turns: DataFrame, n: int = 20, cut: int | None = None) -> DataFrame:
     """(session_id, n_turns, history): the last ``n`` turns of a session in order, one line each."""
     w = Window.partitionBy("session_id").orderBy(F.col("turn").desc())
@@ -225,6 +246,12 @@ def retain_last(df: DataFrame, key: str, order: list[str], n: int = 30) -> DataF
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
+def retain_with_dependents(df: DataFrame, key: str, order: list[str], dependents: list[DataFrame], row: list[str], n: int = 30) -> tuple[DataFrame, list[DataFrame]]:
+    """(kept rows, kept rows of each dependent table): dependents point to a row by the columns ``row`` and go with it."""
+    kept = retain_last(df, key, order, n)
+    return kept, [d if n <= 0 else d.join(kept.select(*row).distinct(), row, "left_semi") for d in dependents]
+
+
 def rec_stats(recs: DataFrame) -> DataFrame:
     """(status, n, add_rate): counts by status, and the share of added ones over all."""
     g = recs.groupBy("status").agg(F.count(F.lit(1)).alias("n"))

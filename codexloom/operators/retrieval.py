@@ -329,6 +329,27 @@ def chapter_docs(requests: DataFrame, nodes: DataFrame, budget: int = 8) -> Data
     return out.select("query_id", "book_id", "section_id", "chunk_id", "raptor_level", "rank")
 
 
+def chapter_docs_by_relevance(requests: DataFrame, nodes: DataFrame, vectors: DataFrame, budget: int = 8, fallback: int = 6) -> DataFrame:
+    """Evidence for chapters by nearness: (query_id, book_id, section_id, chunk_id, raptor_level, rank, origin).
+
+    requests (query_id, book_id, section_id, vector, chapter_vector), nodes as in ``chapter_docs``, vectors (book_id, section_id, chunk_id, vector) of raw
+    chunks. The section's level-1 nodes come first, then its ``nodes`` of level 0 nearest to the question, up to the budget. A request whose section
+    has neither falls back to the ``fallback`` raw vectors of the section that are nearest to the text "Chapter n"
+    (chapter_vector). Similarities are inner products to 6 decimals; ties go by chunk_id.
+    """
+    near = lambda a, b: F.round(F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x), 6)
+    r = requests.withColumnRenamed("vector", "_q").withColumnRenamed("chapter_vector", "_c")
+    j = r.join(nodes.select("book_id", "section_id", "chunk_id", "raptor_level"), ["book_id", "section_id"])
+    tops = j.where("raptor_level = 1").select("query_id", "book_id", "section_id", "chunk_id", "raptor_level", F.lit(None).cast("double").alias("sim"), F.lit("summary").alias("origin"))
+    v = vectors.select("book_id", "section_id", "chunk_id", "vector")
+    raw = j.where("raptor_level = 0").join(v, ["book_id", "section_id", "chunk_id"]).select("query_id", "book_id", "section_id", "chunk_id", "raptor_level", near("_q", "vector").alias("sim"), F.lit("relevance").alias("origin"))
+    none = r.join(j.select("query_id").distinct(), "query_id", "left_anti")
+    back = none.join(v, ["book_id", "section_id"]).select("query_id", "book_id", "section_id", "chunk_id", F.lit(0).alias("raptor_level"), near("_c", "vector").alias("sim"), F.lit("fallback").alias("origin"))
+    w = Window.partitionBy("query_id").orderBy(F.col("origin") != "summary", F.col("sim").desc(), "chunk_id")
+    out = tops.unionByName(raw).unionByName(back).withColumn("rank", F.row_number().over(w))
+    return out.where(F.col("rank") <= F.when(F.col("origin") == "fallback", fallback).otherwise(budget)).drop("sim")
+
+
 def expand_neighbors(seeds: DataFrame, spans: DataFrame, blocks: DataFrame, block_chunk: DataFrame, window: int = 1) -> DataFrame:
     """Chunks around each seed (query_id, book_id, chunk_id): those of the blocks next to the seed's own, in order, without the seed.
 
@@ -422,3 +443,16 @@ def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 8) -> Dat
     j = n.join(hits, "query_id", "left")
     h = F.coalesce("_h", F.lit(0))
     return j.select("query_id", (h / F.col("_n")).alias("recall"), (h / F.lit(k)).alias("precision"), F.coalesce(1 / F.col("_r"), F.lit(0.0)).alias("mrr"))
+
+
+def refusal_metrics(answers: DataFrame, relevant: DataFrame) -> DataFrame:
+    """One row (n_queries, n_unanswerable, refusal_recall, refusal_precision, correctness): answers (query_id, refused) against the queries that have anything relevant.
+
+    A query without a relevant node should be refused, any other answered. A share of nothing is null.
+    """
+    known = relevant.select("query_id").distinct().withColumn("_known", F.lit(True))
+    j = answers.groupBy("query_id").agg(F.bool_or("refused").alias("refused")).join(known, "query_id", "left").withColumn("_none", F.col("_known").isNull())
+    right = F.count_if(F.col("refused") & F.col("_none"))
+    share = lambda a, b: F.when(b > 0, a / b)
+    return j.agg(F.count(F.lit(1)).alias("n_queries"), F.count_if("_none").alias("n_unanswerable"), share(right, F.count_if("_none")).alias("refusal_recall"), share(right, F.count_if("refused")).alias("refusal_precision"),
+                 share(F.count_if(F.col("refused") == F.col("_none")), F.count(F.lit(1))).alias("correctness"))

@@ -147,6 +147,14 @@ def cluster_lines(spark, sf):
     return B.cluster_lines(_geometry(S.lines(spark, sf))).select("book_id", "page", "block_no", "pos", "text", "y0", "y1", "x1", "font_size")
 
 
+# lines a little up or down stand in one band; a quarter of them lies half-way between two
+@query(f"""WITH {_GEO}, k AS (SELECT *, round_even((y0 + page % 2 * 2) / 4, 0) * 4 AS band FROM geo), b AS (SELECT book_id, band, text FROM k GROUP BY ALL HAVING count(DISTINCT page) >= 3)
+SELECT k.book_id, k.page, k.pos, k.band FROM k LEFT JOIN b ON k.book_id = b.book_id AND k.band = b.band AND k.text = b.text WHERE b.book_id IS NULL AND NOT regexp_matches(trim(k.text), '^[0-9]{{1,4}}$')""")
+def drop_boilerplate_bands(spark, sf):
+    g = _geometry(S.lines(spark, sf)).withColumn("band", B.band(col("y0") + col("page") % 2 * 2))
+    return B.drop_repeating_bands(g, ["band", "text"], "page")[0].select("book_id", "page", "pos", "band")
+
+
 @query(r"""WITH d AS (SELECT doc_id AS book_id, unnest(string_split(text, ', ')) AS text, unnest(range(len(string_split(text, ', '))))::INTEGER AS ord FROM documents),
 p AS (SELECT *, ord // 2 AS page, rtrim(lag(text) OVER w) AS tail, ltrim(text) AS head, lag(ord // 2) OVER w AS last_page FROM d WINDOW w AS (PARTITION BY book_id ORDER BY ord)),
 j AS (SELECT *, coalesce(regexp_matches(tail, '[-‐]$'), false) AS hyphen,
@@ -192,6 +200,21 @@ def infer_sections(spark, sf):
     return B.infer_sections(_geometry(S.lines(spark, sf)))
 
 
+# one book in three has first-level headings, one has only second-level ones, one has none
+@query(f"""WITH {V.LINES}, h AS (SELECT doc_id AS book_id, pos, text, CASE WHEN pos % 4 = 0 THEN doc_id % 3 + pos // 4 % 3 + 1 END AS lv FROM lines_f),
+b AS (SELECT book_id, min(pos) AS first_, bool_or(coalesce(lv = 1, false)) AS h1, bool_or(coalesce(lv = 2, false)) AS h2 FROM h GROUP BY book_id)
+SELECT h.book_id, h.pos, substr(h.text, 1, 80) AS label, 'heading' AS kind FROM h JOIN b ON h.book_id = b.book_id WHERE lv = CASE WHEN h1 THEN 1 ELSE 2 END
+UNION ALL SELECT book_id, first_, 'Body', 'other' FROM b WHERE NOT h1 AND NOT h2""")
+def dom_sections(spark, sf):
+    level = F.when(col("pos") % 4 == 0, col("doc_id") % 3 + F.floor(col("pos") / 4) % 3 + 1).cast("int")
+    return B.infer_dom_sections(S.lines(spark, sf).select(col("doc_id").alias("book_id"), "pos", level.alias("heading_level"), "text"))
+
+
+@query()
+def page_sections(spark, sf):
+    return B.infer_dom_sections(parse_dom(S.table(spark, sf, "pages")).withColumnRenamed("page_id", "book_id"))
+
+
 @query(f"WITH {V.BLOCKS} SELECT book_id, section_id, doc_id, pos, order_idx, block_id, start_off, end_off FROM blocks_x")
 def emit_blocks(spark, sf):
     return S.blocks(spark, sf).drop("text")
@@ -228,6 +251,25 @@ def ingestion_report(spark, sf):
     return B.ingestion_report(S.blocks(spark, sf), raw)
 
 
+@query(f"""WITH {V.BLOCKS}, b AS (SELECT book_id, CASE WHEN order_idx % 10 > 0 THEN section_id END AS section_id, CASE WHEN length(text) < 40 THEN 'heading' WHEN text LIKE '%.' THEN 'paragraph' END AS kind FROM blocks_x)
+SELECT book_id, 'kind' AS measure, coalesce(kind, '<none>') AS name, count(*) AS n FROM b GROUP BY ALL UNION ALL SELECT book_id, 'section', coalesce(section_id, '<none>'), count(*) FROM b GROUP BY ALL""")
+def ingestion_histograms(spark, sf):
+    b = S.blocks(spark, sf).select("book_id", F.when(col("order_idx") % 10 > 0, col("section_id")).alias("section_id"), F.when(F.length("text") < 40, "heading").when(col("text").endswith("."), "paragraph").alias("kind"))
+    return B.ingestion_histograms(b)
+
+
+@query(f"""WITH {_BANDS}, a AS (SELECT book_id, count(*) FILTER (WHERE is_band) AS n_boilerplate, count(*) FILTER (WHERE NOT is_band AND is_num) AS n_page_numbers FROM m GROUP BY book_id),
+r AS (SELECT book_id, count(*) AS n_blocks FROM lines GROUP BY book_id), x AS (SELECT source AS book_id, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS n, doc_id % 6 = 0 AS d FROM documents WHERE lang = 'en'),
+h AS (SELECT book_id, sum(n)::BIGINT AS n_merged, count(*) FILTER (WHERE d) AS n_dehyphenated FROM x GROUP BY book_id)
+SELECT r.*, coalesce(n_boilerplate, 0) AS n_boilerplate, coalesce(n_page_numbers, 0) AS n_page_numbers, coalesce(n_merged, 0) AS n_merged, coalesce(n_dehyphenated, 0) AS n_dehyphenated
+FROM r LEFT JOIN a ON r.book_id = a.book_id LEFT JOIN h ON r.book_id = h.book_id""")
+def ingestion_audits(spark, sf):
+    d = S.table(spark, sf, "documents")
+    report = d.select(col("source").alias("book_id"), F.explode(F.split("text", "\n")).alias("text")).groupBy("book_id").agg(F.count(lit(1)).alias("n_blocks"))
+    healed = d.where("lang = 'en'").select(col("source").alias("book_id"), F.when(col("doc_id") % 3 == 0, 2).otherwise(0).alias("n_merged"), (col("doc_id") % 6 == 0).alias("dehyphenated"))
+    return B.with_audits(report, B.drop_repeating_bands(S.lines(spark, sf), ["text"], "doc_id")[1], healed)
+
+
 @query()
 def chunk_blocks(spark, sf):
     return K.chunk_blocks(S.blocks(spark, sf))

@@ -168,6 +168,17 @@ def usage_cost(spark, sf):
     return G.usage_cost(_usage(spark, sf), _prices(spark), "session_id").withColumn("cost", F.round(col("cost").cast("double"), 9))
 
 
+# a price file in which entries of the wrong shape stand between the right ones
+_PRICE_FILE = ('{"click": {"input_per_1m_tokens": "0.6", "output_per_1m_tokens": 2.4}, "view": {"input_per_1m_tokens": 0.15, "output_per_1m_tokens": "0.6"}, "error": {"input_per_1m_tokens": "free", "output_per_1m_tokens": 1}, '
+               '"signup": {"output_per_1m_tokens": 1}, "scroll": 3, "purchase": {"input_per_1m_tokens": 3, "output_per_1m_tokens": 15, "note": "x"}}')
+
+
+@query(f"WITH {_USAGE} SELECT model, sum(i)::BIGINT AS input_tokens, round(coalesce(sum(c), 0)::DOUBLE / 1000000, 9) AS cost, count(*) FILTER (WHERE pi IS NULL) AS n_unpriced FROM uc GROUP BY model")
+def usage_cost_by_price_file(spark, sf):
+    prices = G.read_prices(spark.createDataFrame([(_PRICE_FILE,), ("[1]",), ("{torn",)], "text string"))
+    return G.usage_cost(_usage(spark, sf), prices, "model").select("model", "input_tokens", F.round(col("cost").cast("double"), 9).alias("cost"), "n_unpriced")
+
+
 @query(f"WITH {_USAGE} SELECT model, count(*) AS n_rows, sum(i)::BIGINT AS input_tokens FROM uc WHERE pi IS NULL GROUP BY model")
 def unpriced_models(spark, sf):
     g = G.usage_cost(_usage(spark, sf), _prices(spark), "model").where("n_unpriced > 0")
@@ -256,3 +267,23 @@ def request_latency(spark, sf):
     hour = F.floor(col("start_us") / 3_600_000_000).alias("hour")
     hourly = L.latency_sketches(L.http_requests(L.read_logs(_log_lines(spark, sf))), "path", hour)
     return L.latency(hourly, "path")
+
+
+@query("""WITH k AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id % 10 ORDER BY turn DESC, conv_id DESC) AS n FROM conversations)
+SELECT conv_id, turn, count(*) AS n_words FROM (SELECT c.conv_id, c.turn, unnest(string_split(text, ' ')) AS w FROM conversations c JOIN k ON c.conv_id = k.conv_id AND c.turn = k.turn WHERE k.n <= 30) GROUP BY ALL""")
+def retain_dependents(spark, sf):
+    c = S.table(spark, sf, "conversations").withColumn("thread", col("conv_id") % 10)
+    words = c.select("conv_id", "turn", F.explode(F.split("text", " ")).alias("word"))
+    _, (kept,) = G.retain_with_dependents(c, "thread", ["turn", "conv_id"], [words], ["conv_id", "turn"])
+    return kept.groupBy("conv_id", "turn").agg(F.count(lit(1)).alias("n_words"))
+
+
+@query("""WITH e AS (SELECT p_partkey // 2 AS id, p_partkey AS seq, trim(CASE WHEN p_size % 5 = 0 THEN '  ' ELSE ' ' || p_type END) AS t, CASE WHEN p_size % 3 = 0 THEN 'interest' WHEN p_size % 3 = 1 THEN 'other' END AS y FROM part),
+l AS (SELECT id, arg_max(t, seq) AS t, arg_max({'y': y}, seq).y AS y FROM e WHERE t <> '' GROUP BY id)
+SELECT p_partkey AS id, coalesce(l.t, p_name) AS text, coalesce(CASE WHEN l.y = 'interest' THEN l.y END, 'fact') AS type FROM part LEFT JOIN l ON p_partkey = l.id WHERE p_partkey % 3 > 0""")
+def note_edits(spark, sf):
+    p = S.table(spark, sf, "part")
+    notes = p.where("p_partkey % 3 > 0").select(col("p_partkey").alias("id"), col("p_name").alias("text"), lit("fact").alias("type"))
+    edits = p.select(F.floor(col("p_partkey") / 2).alias("id"), col("p_partkey").alias("seq"), F.when(col("p_size") % 5 == 0, "  ").otherwise(F.concat(lit(" "), "p_type")).alias("text"),
+                     F.when(col("p_size") % 3 == 0, "interest").when(col("p_size") % 3 == 1, "other").alias("type"))
+    return G.edit_notes(notes, edits)

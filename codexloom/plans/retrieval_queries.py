@@ -133,6 +133,32 @@ def _nodes(spark, sf):
     return c.unionByName(top)
 
 
+# every hundredth vector asks about its label's chapter; labels from 8 on have no nodes of their own, labels of 5 no summary
+@query("""WITH r AS (SELECT vec_id AS query_id, label AS s, embedding AS q, list_transform(embedding, lambda x: -x) AS c FROM embeddings WHERE vec_id % 100 = 0),
+raw AS (SELECT query_id, s, 'c' || lpad(vec_id::VARCHAR, 7, '0') AS chunk_id, 0 AS lv, round(list_dot_product(q::DOUBLE[], embedding::DOUBLE[]), 6) AS sim, 'relevance' AS origin FROM r JOIN embeddings ON label = s WHERE s < 8),
+tops AS (SELECT query_id, s, 'top' || s AS chunk_id, 1 AS lv, NULL AS sim, 'summary' AS origin FROM r WHERE s < 8 AND s <> 5),
+back AS (SELECT query_id, s, 'c' || lpad(vec_id::VARCHAR, 7, '0') AS chunk_id, 0 AS lv, round(list_dot_product(c::DOUBLE[], embedding::DOUBLE[]), 6) AS sim, 'fallback' AS origin FROM r JOIN embeddings ON label = s WHERE s >= 8),
+u AS (SELECT * FROM raw UNION ALL SELECT * FROM tops UNION ALL SELECT * FROM back),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY origin <> 'summary', sim DESC, chunk_id) AS rank FROM u)
+SELECT query_id, 'b' AS book_id, s AS section_id, chunk_id, lv AS raptor_level, rank, origin FROM k WHERE rank <= CASE WHEN origin = 'fallback' THEN 6 ELSE 8 END""")
+def chapter_docs_by_relevance(spark, sf):
+    e = S.table(spark, sf, "embeddings").select("vec_id", lit("b").alias("book_id"), col("label").alias("section_id"), F.concat(lit("c"), F.lpad(col("vec_id").cast("string"), 7, "0")).alias("chunk_id"), col("embedding").alias("vector"))
+    known = e.where("section_id < 8")
+    nodes = known.select("book_id", "section_id", "chunk_id", lit(0).alias("raptor_level")).unionByName(
+        known.where("section_id <> 5").select("book_id", "section_id", F.concat(lit("top"), col("section_id").cast("string")).alias("chunk_id"), lit(1).alias("raptor_level")).distinct())
+    rq = e.where("vec_id % 100 = 0").select(col("vec_id").alias("query_id"), "book_id", "section_id", "vector", F.transform("vector", lambda x: -x).alias("chapter_vector"))
+    return R.chapter_docs_by_relevance(rq, nodes, e).withColumn("rank", col("rank").cast("long"))
+
+
+@query("""WITH a AS (SELECT doc_id AS query_id, n_chars < 1500 AS refused FROM documents), k AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+j AS (SELECT a.*, k.doc_id IS NULL AS none FROM a LEFT JOIN k ON a.query_id = k.doc_id)
+SELECT count(*) AS n_queries, count(*) FILTER (WHERE none) AS n_unanswerable, count(*) FILTER (WHERE refused AND none) / count(*) FILTER (WHERE none) AS refusal_recall,
+count(*) FILTER (WHERE refused AND none) / count(*) FILTER (WHERE refused) AS refusal_precision, count(*) FILTER (WHERE refused = none) / count(*) AS correctness FROM j""")
+def refusal_metrics(spark, sf):
+    answers = S.table(spark, sf, "documents").select(col("doc_id").alias("query_id"), (col("n_chars") < 1500).alias("refused"))
+    return R.refusal_metrics(answers, S.table(spark, sf, "labels").where("quality = 1").select(col("doc_id").alias("query_id")))
+
+
 _STRIDE = "({n} <= {k} OR i IN (SELECT round_even(j * ({n} - 1) / {d}, 0)::BIGINT FROM range({k}) t(j)))"
 
 

@@ -21,7 +21,7 @@ from codexloom.operators.dom import KINDS
 from codexloom.plans import registry
 from tests.compare import SF, by_sql
 
-CHECKED = {"dom_blocks", "chunk_blocks", "keyword_snippet", "vector_topk_ivf", "cluster_nodes", "build_tree", "annotate_answers", "clean_answers", "embed_default"}
+CHECKED = {"dom_blocks", "chunk_blocks", "keyword_snippet", "vector_topk_ivf", "cluster_nodes", "build_tree", "annotate_answers", "clean_answers", "embed_default", "page_sections"}
 
 
 def run(spark, name):
@@ -130,6 +130,21 @@ def test_vector_topk_ivf(spark):
         assert [r["rank"] for r in own] == [1, 2, 3] and own == sorted(own, key=lambda r: (-r["sim"], r["node_id"])) and own[0]["node_id"] == own[0]["query_id"]
 
 
+def test_page_sections(spark):
+    """First-level headings, cut out of the pages by their tags; else second-level ones; else one section for a page that has any block."""
+    got = defaultdict(list)
+    for r in run(spark, "page_sections"):
+        got[r["book_id"]].append((r["pos"], r["label"], r["kind"]))
+    headed = defaultdict(lambda: defaultdict(list))
+    for r in run(spark, "dom_blocks"):
+        headed[r["page_id"]][r["heading_level"]].append((r["pos"], r["text"][:80], "heading"))
+    want = {}
+    for page, levels in headed.items():
+        first = min(pos for found in levels.values() for pos, _, _ in found)
+        want[page] = levels.get(1) or levels.get(2) or [(first, "Body", "other")]
+    assert {b: sorted(x) for b, x in got.items()} == {b: sorted(x) for b, x in want.items()} and len(want) > 10
+
+
 def test_cluster_nodes(spark):
     e = parquet("embeddings")
     books, got = defaultdict(dict), defaultdict(dict)
