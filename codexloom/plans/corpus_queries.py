@@ -13,7 +13,8 @@ from codexloom.operators.dom import dom_blocks as parse_dom
 from codexloom.plans import sqlviews as V
 from codexloom.plans.base import query
 from codexloom.sources import corpus as S
-from codexloom.sources import store
+from codexloom.sources import exports, store
+from codexloom.sources.versions import BookStore
 
 col, lit = F.col, F.lit
 
@@ -52,6 +53,26 @@ def replace_book(spark, sf):
     return spark.read.schema(b.schema).parquet(path).groupBy("book_id").agg(F.count(lit(1)).alias("n_blocks"), F.max("order_idx").alias("last_order"))
 
 
+@query(f"""WITH {V.BLOCKS}, b AS (SELECT * FROM blocks_x WHERE book_id <> 'src4' AND (book_id <> 'src2' OR order_idx < 5)), w AS (SELECT DISTINCT book_id, block_id, unnest(string_split(lower(text), ' ')) AS token FROM b),
+n AS (SELECT book_id, count(*) AS n_postings FROM w WHERE token <> '' GROUP BY book_id)
+SELECT b.book_id, count(*) AS n_blocks, max(order_idx) AS last_order, n_postings, n_blocks AS reported FROM b JOIN n ON b.book_id = n.book_id GROUP BY b.book_id, n_postings""")
+def replace_book_with_index(spark, sf):
+    st = BookStore(spark, store.scratch(spark))
+    b = store.stage(S.blocks(spark, sf).select("book_id", "block_id", "order_idx", "text"))
+
+    def put(rows, books):
+        words = rows.select("book_id", "block_id", F.explode(F.split(F.lower("text"), " ")).alias("token")).where("token <> ''").distinct()
+        st.replace(books, blocks=rows, postings=words, report=rows.groupBy("book_id").agg(F.count(lit(1)).alias("n_blocks")))
+
+    put(b, b.select("book_id"))
+    put(b.where("book_id = 'src2' and order_idx < 5"), spark.range(1).select(lit("src2").alias("book_id")))
+    put(b.where("false"), spark.range(1).select(lit("src4").alias("book_id")))
+    blocks = st.read("blocks", b.schema).groupBy("book_id").agg(F.count(lit(1)).alias("n_blocks"), F.max("order_idx").alias("last_order"))
+    postings = st.read("postings", "book_id string, block_id string, token string").groupBy("book_id").agg(F.count(lit(1)).alias("n_postings"))
+    report = st.read("report", "book_id string, n_blocks long").withColumnRenamed("n_blocks", "reported")
+    return blocks.join(postings, "book_id", "full").join(report, "book_id", "full").select("book_id", "n_blocks", "last_order", "n_postings", "reported")
+
+
 @query("SELECT DISTINCT source AS book_id FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'de' AND n_chars > 9000)")
 def books_missing_index(spark, sf):
     d = S.table(spark, sf, "documents").withColumnRenamed("source", "book_id")
@@ -101,6 +122,16 @@ def export_notes(spark, sf):
     return store.export_notes(S.turns(spark, sf))
 
 
+@query("""WITH t AS (SELECT conv_id AS session_id, string_agg('**' || CASE WHEN role = 'user' THEN 'You' ELSE 'Assistant' END || ':** ' || text, chr(10) || chr(10) ORDER BY turn) AS b
+  FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '' GROUP BY conv_id)
+SELECT 'session_' || substr(lpad(session_id::VARCHAR, 8, '0'), 1, 8) || '_' || substr('Conversation ' || session_id, 1, 20) || '.md' AS file, '# Conversation ' || session_id || chr(10) || chr(10) || b AS note FROM t""")
+def export_notes_files(spark, sf):
+    place = f"{store.scratch(spark)}/notes"
+    exports.write_notes(store.export_notes(S.turns(spark, sf)), place)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(place)
+    return files.select(F.url_decode(F.regexp_extract("path", "[^/]*$", 0)).alias("file"), F.decode("content", "UTF-8").alias("note"))
+
+
 @query("""WITH m AS (SELECT l_orderkey AS id, CASE WHEN l_returnflag = 'A' THEN 'added' WHEN l_returnflag = 'N' THEN 'dismissed' WHEN l_linenumber = 1 THEN 'read' ELSE 'seen' END AS s, [epoch_us(l_shipdate), l_linenumber, l_partkey, l_suppkey] AS at_ FROM lineitem),
 t AS (SELECT id, arg_max(s, at_) AS s FROM m WHERE s IN ('suggested', 'seen', 'added', 'dismissed') GROUP BY id), r AS (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')
 SELECT o_orderkey AS id, coalesce(s, 'suggested') AS status, false AS missing FROM r LEFT JOIN t ON o_orderkey = id

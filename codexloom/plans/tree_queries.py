@@ -122,6 +122,30 @@ def map_text_default(spark, sf):
     return hooks.map_text(d, "text", lambda texts: hooks.lead_words(texts, 20), "lead").drop("text")
 
 
+class _Flaky:
+    """A client whose every call fails once, and for some texts always."""
+
+    def __init__(self):
+        self.seen = set()
+
+    def __call__(self, texts):
+        if len(texts) > 1:
+            raise ConnectionError
+        if len(texts[0]) % 7 == 0:
+            raise ValueError
+        if texts[0] not in self.seen:
+            self.seen.add(texts[0])
+            raise ConnectionError
+        return hooks.lead_words(texts, 3)
+
+
+@query(f"""SELECT lang, CASE WHEN length(text) % 7 = 0 THEN 'ValueError' END AS error, count(*) AS n, min(CASE WHEN length(text) % 7 = 0 THEN '-' ELSE {_LEAD.format('text', 3)} END) AS least FROM documents GROUP BY ALL""")
+def map_text_audit(spark, sf):
+    d = S.table(spark, sf, "documents").select("lang", "text")
+    got = hooks.map_text(d, "text", None, "lead", "-", client=_Flaky, retries=1)
+    return got.groupBy("lang", col("lead_error").alias("error")).agg(F.count(lit(1)).alias("n"), F.min("lead").alias("least"))
+
+
 @query()
 def embed_default(spark, sf):
     return hooks.embed(S.passages(spark, sf), "text").select("query_id", "embedding")
