@@ -11,8 +11,9 @@ large after its own leader is split into blocks, and every two blocks that are n
 meet in one task. Links are joined to components, and of each component the first occurrence (smallest
 doc_id, then position) is the original, all others are copies. A document loses its runs of copies,
 that is copies with nothing but blank lines between them, of ``MIN_RUN`` words or more in all: a
-passage goes whether it is one line or wrapped into many, a lone short line (the name of a licence, a
-salutation) is no passage and stays.
+passage goes whether it is one line or wrapped into many. Of shorter runs it loses the paragraphs that stand in
+fewer than ``STANDING`` places of the whole corpus, variants counted together; a short line that stands in so many (the name of a licence, a
+salutation) is a standing phrase, no passage, and stays.
 
 Defined cases: a null text stays null, with no paragraphs; lines of fewer words than a shingle are
 never touched and end a run; a run repeated within a document stays once; repeated rows of a doc_id are told apart by
@@ -38,6 +39,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 MIN_WORDS = SHINGLE
 #: Words of neighbouring copies from which on they are removed.
 MIN_RUN = 20
+#: Places from which on a short copied line counts as a standing phrase.
+STANDING = 5
 BANDS, ROWS = 12, 4
 #: Larger buckets are split by finer bands, which a pair at 0.8 shares with a probability of 0.999.
 BUCKET, FINE_BANDS, FINE_ROWS = 1024, 40, 8
@@ -304,23 +307,23 @@ def similar_classes(docs: DataFrame, classes: DataFrame, min_words: int = MIN_WO
 
 
 def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(_row, pos) of the paragraphs that are copies; docs need a unique _row that follows their order."""
+    """(_row, pos, n) of the paragraphs that are copies, n the places of the whole component; docs need a unique _row that follows their order."""
     order = F.struct("doc_id", "_row", "pos")
     classes = paragraph_table(docs, min_words).groupBy("h").agg(F.min(order).alias("at"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
     classes = stage(classes.select(F.monotonically_increasing_id().alias("pid"), "h", "at", "n", "bands"), "classes")
     roots = similar_classes(docs, classes.select("pid", "at._row", "at.pos", "bands"), min_words)
     joined = classes.select("pid", "h", "at", "n").join(roots.withColumnRenamed("node", "pid"), "pid", "left")
     joined = stage(joined.select("h", "at", "n", F.coalesce("root", "pid").alias("root")), "joined")
-    first = stage(joined.groupBy("root").agg(F.min("at").alias("keep"), F.sum("n").alias("n")).where("n > 1").select("root", "keep"), "first")
-    keep = stage(joined.select("h", "root").join(first, "root").select("h", "keep"), "keep")
+    first = stage(joined.groupBy("root").agg(F.min("at").alias("keep"), F.sum("n").alias("n")).where("n > 1").select("root", "keep", "n"), "first")
+    keep = stage(joined.select("h", "root").join(first, "root").select("h", "keep", "n"), "keep")
     # found a second time, without bands, which are most of a paragraph's bytes
     table = paragraph_table(docs, min_words, with_bands=False)
     lost = table.select("_row", "pos", "h").join(keep, "h").where("not (_row = keep._row and pos = keep.pos)")
-    return lost.select("_row", "pos")
+    return lost.select("_row", "pos", "n")
 
 
-def long_runs(lines: list[bytes], copies: set[int], min_run: int = MIN_RUN) -> set[int]:
-    """Those of the copies (positions of lines) that lie in runs of ``min_run`` words or more."""
+def long_runs(lines: list[bytes], copies: set[int], min_run: int = MIN_RUN, rare: set[int] = frozenset()) -> set[int]:
+    """Those of the copies (positions of lines) that lie in runs of ``min_run`` words or more, and the ``rare`` ones."""
     out, run, words = set(), [], 0
     for i, line in enumerate([*lines, b"."]):
         n = len(line.split())
@@ -328,29 +331,28 @@ def long_runs(lines: list[bytes], copies: set[int], min_run: int = MIN_RUN) -> s
             run.append(i)
             words += n
         elif n:
-            if words >= min_run:
-                out.update(run)
+            out.update(run if words >= min_run else rare.intersection(run))
             run, words = [], 0
     return out
 
 
-def drop_near_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = MIN_RUN) -> DataFrame:
+def drop_near_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = MIN_RUN, standing: int = STANDING) -> DataFrame:
     """docs without their runs of near-duplicate paragraphs, with n_removed, the number of paragraphs removed."""
     packed = stage(pack(docs).withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    lost = repeated_paragraphs(packed, min_words).groupBy("_row").agg(F.collect_list("pos").alias("_lost"))
+    lost = repeated_paragraphs(packed, min_words).groupBy("_row").agg(F.collect_list("pos").alias("_lost"), F.collect_list(F.when(F.col("n") < standing, F.col("pos"))).alias("_rare"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], []
-            for text, own in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("_lost").to_pylist()):
+            for text, own, rare in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("_lost").to_pylist(), batch.column("_rare").to_pylist()):
                 lines = text.split(b"\n") if own else []
-                gone = long_runs(lines, set(own or ()), min_run)
+                gone = long_runs(lines, set(own or ()), min_run, set(rare or ()))
                 texts.append(b"\n".join(line for i, line in enumerate(lines) if i not in gone) if gone else text)
                 counts.append(len(gone))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string()), batch.column("_rest"), pa.array(counts, pa.int64())],
                                              names=["doc_id", "text", "_rest", "n_removed"])
 
-    got = packed.join(lost, "_row", "left").select("doc_id", "text", "_rest", "_lost")
+    got = packed.join(lost, "_row", "left").select("doc_id", "text", "_rest", "_lost", "_rare")
     return unpack(got.mapInArrow(cut, with_fields(packed, ["doc_id", "text", "_rest"], "n_removed long")), docs, "n_removed")
 
 

@@ -453,11 +453,12 @@ def _paragraph_classes(texts):
     for i, k in enumerate(keys):
         keep[find(i)] = min(keep.get(find(i), (1 << 62, 0)), first[k])
     index = {k: i for i, k in enumerate(keys)}
-    return {(d, pos) for d, pos, p in occ if keep[find(index[p])] != (d, pos)}
+    places = Counter(find(index[p]) for _, _, p in occ)
+    return {(d, pos): places[find(index[p])] for d, pos, p in occ if keep[find(index[p])] != (d, pos)}
 
 
 def _in_long_runs(text, copies):
-    """Positions of copies in runs of 20 words, by cutting the text at the lines that are neither copies nor blank."""
+    """Positions of copies (with their places) in runs of 20 words, by cutting the text at the lines that are neither copies nor blank, and of those that stand in fewer than five places."""
     lines = (text or "").split("\n")
     marks = "".join("c" if i in copies else " " if not x.split() else "x" for i, x in enumerate(lines))
     out = set()
@@ -465,7 +466,7 @@ def _in_long_runs(text, copies):
         own = [i for i in range(*m.span()) if marks[i] == "c"]
         if sum(len(lines[i].split()) for i in own) >= 20:
             out.update(own)
-    return out
+    return out | {i for i, n in copies.items() if n < 5}
 
 
 @pytest.mark.parametrize("bucket", [256, 3])
@@ -475,7 +476,7 @@ def test_paragraphs_against_brute_force(spark, documents, bucket, monkeypatch):
     got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in registry.QUERIES["op3_paragraphs"](spark, SF).collect()}
     copies, want = _paragraph_classes(sorted(documents.items())), {}
     for d, t in documents.items():
-        gone = _in_long_runs(t, {pos for e, pos in copies if e == d})
+        gone = _in_long_runs(t, {pos: n for (e, pos), n in copies.items() if e == d})
         want[d] = (len(gone), "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone))
     assert got == want and any(n for n, _ in got.values())
 
@@ -556,16 +557,26 @@ def test_paragraphs_of_few_words(spark):
     docs.append((2, " ".join(words[:17]) + " other17"))
     table = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in paragraphs.drop_near_paragraphs(table).collect()}
-    # four copies of 43 words in a row are a passage, one of 18 words is none
-    assert [got[d][0] for d in range(3)] == [0, 4, 0] and got[0][1] == docs[0][1] and got[1][1] == "own1 " * 4 and got[2][1] == docs[2][1]
+    # four copies of 43 words in a row are a passage; one of 18 words stands in three places only
+    assert [got[d][0] for d in range(3)] == [0, 4, 1] and got[0][1] == docs[0][1] and got[1][1] == "own1 " * 4 and got[2][1] == ""
     got = {r["doc_id"]: r["n_removed"] for r in paragraphs.drop_near_paragraphs(table, min_run=5).collect()}
     assert got == {0: 0, 1: 4, 2: 1}
 
 
+def test_short_paragraphs_in_few_places(spark):
+    """Fifteen words in three documents and nineteen in two go, a phrase in six documents stays."""
+    word = lambda n, k: " ".join(f"{k}word{i}" for i in range(n))
+    docs = [(d, "\n".join([f"own{d} text", word(15, "a") if d < 3 else "x", word(19, "b") if d in (1, 4) else "y", word(6, "c"), f"end {d}"])) for d in range(6)]
+    got = {r["doc_id"]: (r["n_removed"], r["text"].split("\n")) for r in paragraphs.drop_near_paragraphs(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {d: n for d, (n, _) in got.items()} == {0: 0, 1: 1, 2: 1, 3: 0, 4: 2, 5: 0}
+    # in document 4 the phrase is next to a copy of 19 words: together they are a passage
+    assert all((word(6, "c") in got[d][1]) == (d != 4) for d in range(6))
+
+
 def test_runs_of_copies():
     lines = [b"a b c d e f g", b"", b"a b c d e f g", b"short", b"a b c d e f g h i j k", b"  ", b"a b c d e f g h i"]
     assert paragraphs.long_runs(lines, {0, 2}) == set() and paragraphs.long_runs(lines, {0, 2}, 14) == {0, 2}
-    assert paragraphs.long_runs(lines, {0, 2, 4, 6}) == {4, 6} and paragraphs.long_runs(lines, set()) == set() and paragraphs.long_runs([], set()) == set()
+    assert paragraphs.long_runs(lines, {0, 2, 4, 6}) == {4, 6} and paragraphs.long_runs(lines, {0, 2}, rare={2}) == {2} and paragraphs.long_runs(lines, set()) == set() and paragraphs.long_runs([], set()) == set()
 
 
 # fingerprints
