@@ -259,6 +259,11 @@ def rec_stats(recs: DataFrame) -> DataFrame:
     return g.crossJoin(F.broadcast(total))
 
 
+def rec_titles(recs: DataFrame) -> DataFrame:
+    """(title): the distinct titles ever recommended, in any status, trimmed; blank ones are none."""
+    return recs.select(F.trim("title").alias("title")).where("title <> ''").distinct()
+
+
 def request_pairs(logs: DataFrame) -> DataFrame:
     """Requests from log rows (request_id, phase start or end, ts_us, status, level, client_id): took_ms, status (500 without an end), client.
 

@@ -51,6 +51,21 @@ def write_keyword_index(blocks: DataFrame, path: str | None = None) -> KeywordIn
     return KeywordIndex(p, f, store.stage(totals, f"{path}/totals"))
 
 
+def kept_keyword_index(blocks: DataFrame, source: str) -> KeywordIndex:
+    """The index of a table's blocks, written at its first use and read from then on, by whichever session.
+
+    It lies in the shared folder under a name made of the files of ``source`` (names, sizes and times), so another state of the table has another index. Of two sessions that
+    write at once one keeps its place, and both read that.
+    """
+    spark = blocks.sparkSession
+    path = f"{store.root(spark)}/keyword-index-{store.fingerprint(spark, source)}"
+    if not store.exists(spark, path):
+        beside = store.scratch(spark)
+        write_keyword_index(blocks, beside)
+        store.rename(spark, beside, path)
+    return read_keyword_index(spark, path)
+
+
 def read_keyword_index(spark: SparkSession, path: str) -> KeywordIndex:
     return KeywordIndex(*(spark.read.parquet(f"{path}/{name}") for name in KeywordIndex._fields))
 

@@ -71,21 +71,27 @@ def cluster_inputs(members: DataFrame, level: int, cut: int = 600) -> DataFrame:
     return g.select("book_id", "cluster", name.alias("node_id"), "cluster_size", "chapter", "input")
 
 
-def build_tree(nodes: DataFrame, embed, last_level: int = 3, enough: int = 4) -> tuple[DataFrame, DataFrame]:
+def build_tree(nodes: DataFrame, embed, last_level: int = 3, enough: int = 4, chunks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(all nodes, child links): levels above the given level-1 nodes (book_id, node_id, raptor_level, chapter, text).
 
-    Each level clusters the books that still have more than ``enough`` nodes. At most two steps, each
+    Books without such nodes, that is without sections, start from their raw ``chunks`` (of the same columns, level 0): these are clustered to level 1, if there
+    are more than ``enough``. Each level clusters the books that still have more than ``enough`` nodes. At most three steps, each
     written to shared storage, so that the embedder's fit does not compute the levels below again.
     """
     level = nodes = store.stage(nodes)
     out, links = nodes, None
-    for k in range(2, last_level + 1):
-        big = level.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("book_id"))).where(F.col("_n") > enough).drop("_n")
+    if chunks is not None:
+        level = store.stage(chunks.select(*nodes.columns).join(nodes.select("book_id").distinct(), "book_id", "left_anti").unionByName(nodes))
+    for k in range(1 if chunks is not None else 2, last_level + 1):
+        big = level.where(F.col("raptor_level") == k - 1)
+        many = big.groupBy("book_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > enough)
+        big = big.join(many.select("book_id"), "book_id", "left_semi")
         labels = store.stage(cluster_nodes(embed(big, "text")))
         made = cluster_inputs(big.join(labels, ["book_id", "node_id"]).withColumn("ord", F.col("node_id")), k)
         link = labels.select("book_id", F.concat(F.lit(f"raptor_l{k}_c"), F.lpad(F.col("cluster").cast("string"), 3, "0")).alias("node_id"), F.col("node_id").alias("child_id"))
-        level = store.stage(made.select("book_id", "node_id", F.lit(k).alias("raptor_level"), "chapter", lead_sentences(F.col("input")).alias("text")))
-        out = out.unionByName(level)
+        made = store.stage(made.select("book_id", "node_id", F.lit(k).alias("raptor_level"), "chapter", lead_sentences(F.col("input")).alias("text")))
+        out = out.unionByName(made)
+        level = made.unionByName(nodes) if k == 1 else made
         links = link if links is None else links.unionByName(link)
     return out, links
 
@@ -118,3 +124,21 @@ def lookup_nodes(ids: DataFrame, nodes: DataFrame) -> DataFrame:
     raw = F.trim("raw")
     name = F.when(raw.startswith("raptor_l") | raw.startswith("chk_"), raw).otherwise(F.concat(F.lit("chk_"), raw))
     return ids.withColumn("node_id", name).join(nodes, ["book_id", "node_id"], "left")
+
+
+def node_records(ids: DataFrame, nodes: DataFrame, coverage: DataFrame, blocks: DataFrame) -> DataFrame:
+    """What ids (book_id, raw) name: book_id, raw, node_id, raptor_level, page, section_id, section_ids, n_blocks; blank ids are left out, unknown ones keep nulls.
+
+    nodes (book_id, node_id, raptor_level, page, section_id), coverage (book_id, node_id, block_id) and blocks (book_id, block_id, section_id, order_idx). A raw chunk has its
+    page, if that is above zero; chunks and level-1 nodes have a section of their own; a node without one has the sections of the
+    blocks that it covers, in their order.
+    """
+    found = lookup_nodes(ids.where(F.trim("raw") != ""), nodes)
+    asked = found.where("raptor_level > 0").select("book_id", "node_id").distinct()
+    under = coverage.join(asked, ["book_id", "node_id"], "left_semi")
+    sizes = under.groupBy("book_id", "node_id").agg(F.countDistinct("block_id").alias("n_blocks"))
+    spans = node_sections(under, blocks).join(sizes, ["book_id", "node_id"])
+    j = found.join(spans, ["book_id", "node_id"], "left")
+    upper = F.col("section_id").isNull() & (F.col("raptor_level") > 0)
+    return j.select("book_id", "raw", "node_id", "raptor_level", F.when((F.col("raptor_level") == 0) & (F.col("page") > 0), F.col("page")).alias("page"), "section_id",
+                    F.when(upper, F.coalesce("section_ids", F.array().cast("array<string>"))).alias("section_ids"), F.when(F.col("raptor_level") > 0, F.coalesce("n_blocks", F.lit(0))).alias("n_blocks"))

@@ -214,6 +214,12 @@ def rec_list(spark, sf):
     return _recs(spark, sf).where("status = 'added'").orderBy(col("us").desc(), col("id").desc())
 
 
+@query("SELECT DISTINCT trim(p_name) AS title FROM part WHERE trim(p_name) <> ''")
+def rec_titles(spark, sf):
+    p = S.table(spark, sf, "part")
+    return G.rec_titles(p.select(col("p_partkey").alias("id"), F.concat(lit(" "), "p_name").alias("title"), F.when(col("p_size") % 2 == 0, "added").otherwise("seen").alias("status")))
+
+
 def _logs(spark, sf):
     e = S.ledger(spark, sf)
     us = S.micros("ts")

@@ -24,7 +24,7 @@ def _questions(spark, sf):
 
 
 def _top(spark, sf, k=8):
-    return R.keyword_search(_questions(spark, sf), R.write_keyword_index(S.blocks(spark, sf)), k=k)
+    return R.keyword_search(_questions(spark, sf), R.kept_keyword_index(S.blocks(spark, sf), f"{sf}/documents.parquet"), k=k)
 
 
 @query(f"WITH {V.INDEX} SELECT p.token, df, sum(tf)::BIGINT AS n_tokens, max(tf) AS max_tf FROM postings p JOIN df ON p.token = df.token GROUP BY p.token, df")

@@ -11,6 +11,7 @@ from codexloom.plans import corpus_queries as Q
 from codexloom.plans import sqlviews as V
 from codexloom.plans.base import query
 from codexloom.sources import corpus as S
+from codexloom.sources import store
 
 col, lit = F.col, F.lit
 
@@ -116,6 +117,31 @@ def lookup_nodes(spark, sf):
     return T.lookup_nodes(c.select("book_id", raw.alias("raw")), nodes)
 
 
+# pages of a third of the chunks are unknown; level-2 nodes cover six chunks each and have no section of their own
+@query(f"""WITH {V.SPANS}, c AS (SELECT book_id, chunk_id, chunk_ord, section_id, block_ids FROM spans),
+cov AS (SELECT DISTINCT book_id, 'raptor_l2_c' || chunk_ord // 6 AS node_id, unnest(block_ids) AS block_id FROM c UNION SELECT DISTINCT book_id, 'raptor_l1_' || section_id, unnest(block_ids) FROM c),
+n AS (SELECT book_id, chunk_id AS node_id, 0 AS lv, CASE WHEN chunk_ord % 3 > 0 THEN chunk_ord END AS page, section_id FROM c UNION ALL SELECT DISTINCT book_id, 'raptor_l1_' || section_id, 1, 7, section_id FROM c
+  UNION ALL SELECT DISTINCT book_id, 'raptor_l2_c' || chunk_ord // 6, 2, NULL::BIGINT, NULL FROM c),
+i AS (SELECT book_id, CASE chunk_ord % 5 WHEN 0 THEN ' ' || chunk_id WHEN 1 THEN substr(chunk_id, 5) WHEN 2 THEN 'raptor_l1_' || section_id WHEN 3 THEN 'raptor_l2_c' || chunk_ord // 6 ELSE 'raptor_l9_x' END AS raw FROM c),
+k AS (SELECT book_id, raw, CASE WHEN trim(raw) LIKE 'raptor_l%' OR trim(raw) LIKE 'chk_%' THEN trim(raw) ELSE 'chk_' || trim(raw) END AS node_id FROM i),
+s AS (SELECT cov.book_id, cov.node_id, b.section_id, min(b.order_idx) AS o FROM cov JOIN blocks_x b ON cov.book_id = b.book_id AND cov.block_id = b.block_id GROUP BY ALL),
+g AS (SELECT book_id, node_id, string_agg(section_id, ',' ORDER BY o) AS ids FROM s GROUP BY ALL), z AS (SELECT book_id, node_id, count(*) AS n FROM cov GROUP BY ALL)
+SELECT k.book_id, k.raw, k.node_id, n.lv AS raptor_level, CASE WHEN lv = 0 AND page > 0 THEN page END AS page, n.section_id, CASE WHEN lv > 1 THEN ids END AS section_ids, CASE WHEN lv > 0 THEN z.n END AS n_blocks
+FROM k LEFT JOIN n ON k.book_id = n.book_id AND k.node_id = n.node_id LEFT JOIN g ON k.book_id = g.book_id AND k.node_id = g.node_id LEFT JOIN z ON k.book_id = z.book_id AND k.node_id = z.node_id""")
+def node_records(spark, sf):
+    c = store.stage(Q.spans_of(spark, sf).select("book_id", "chunk_id", "chunk_ord", "section_id", "block_ids"))
+    one, two = F.concat(lit("raptor_l1_"), "section_id"), F.concat(lit("raptor_l2_c"), F.floor(col("chunk_ord") / 6).cast("string"))
+    cover = lambda name: c.select("book_id", name.alias("node_id"), F.explode("block_ids").alias("block_id")).distinct()
+    none = lit(None).cast("string")
+    nodes = (c.select("book_id", col("chunk_id").alias("node_id"), lit(0).alias("raptor_level"), F.when(col("chunk_ord") % 3 > 0, col("chunk_ord")).cast("long").alias("page"), "section_id")
+             .unionByName(c.select("book_id", one.alias("node_id"), lit(1).alias("raptor_level"), lit(7).cast("long").alias("page"), "section_id").distinct())
+             .unionByName(c.select("book_id", two.alias("node_id"), lit(2).alias("raptor_level"), lit(None).cast("long").alias("page"), none.alias("section_id")).distinct()))
+    m = col("chunk_ord") % 5
+    raw = F.when(m == 0, F.concat(lit(" "), "chunk_id")).when(m == 1, F.substring("chunk_id", 5, 20)).when(m == 2, one).when(m == 3, two).otherwise("raptor_l9_x")
+    got = T.node_records(c.select("book_id", raw.alias("raw")), nodes, cover(one).unionByName(cover(two)), S.blocks(spark, sf))
+    return got.withColumn("section_ids", F.array_join("section_ids", ","))
+
+
 @query(f"SELECT doc_id, {_LEAD.format('text', 20)} AS lead, NULL::VARCHAR AS lead_error FROM documents")
 def map_text_default(spark, sf):
     d = S.table(spark, sf, "documents").select("doc_id", "text")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -9,15 +10,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under the session's shared checkpoint folder; a temporary one only for a local master."""
-    root = spark.conf.get("spark.checkpoint.dir", "")
-    if not root:
+def root(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder; a temporary one only for a local master."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="codexloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+        folder = "file://" + tempfile.mkdtemp(prefix="codexloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+#: Folders that this process has taken, for ``release``.
+_TAKEN: list[str] = []
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder under the shared one."""
+    _TAKEN.append(f"{root(spark)}/{uuid.uuid4().hex}")
+    return _TAKEN[-1]
+
+
+def n_taken() -> int:
+    """How many folders are taken now."""
+    return len(_TAKEN)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Drop the folders that were taken after the first ``since``; call it once results have been written, as lazy ones still read from there."""
+    while len(_TAKEN) > since:
+        fs, path = _fs(spark, _TAKEN.pop())
+        fs.delete(path, True)
+
+
+def _fs(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), jpath
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def rename(spark: SparkSession, source: str, target: str) -> bool:
+    """Give a folder its final name; false, and nothing happens, where there is one of that name."""
+    fs, p = _fs(spark, source)
+    _, to = _fs(spark, target)
+    return not fs.exists(to) and fs.rename(p, to)
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of the files at a path."""
+    fs, p = _fs(spark, path)
+    found = [s for s in (fs.listStatus(p) if fs.getFileStatus(p).isDirectory() else [fs.getFileStatus(p)])]
+    about = sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in found)
+    return hashlib.sha256(repr(about).encode()).hexdigest()[:32]
 
 
 def stage(df: DataFrame, path: str | None = None) -> DataFrame:
