@@ -8,7 +8,9 @@ from codexloom.plans import registry
 from tests.compare import SF
 
 NATIVE = ["scan_books", "drop_boilerplate_lines", "heal_page_breaks", "emit_blocks", "assign_sections_asof", "printed_number", "keyword_search", "expand_neighbors", "balance_evidence",
-          "tree_links", "quote_containment", "ledger_first_seen", "match_catalog", "usage_cost", "history_window"]
+          "tree_links", "ledger_first_seen", "usage_cost", "history_window", "request_latency", "dom_sections", "chapter_docs_by_relevance", "ingestion_histograms"]
+#: Character grams are hashed in Arrow batches; candidates, counts and comparisons stay in the engine.
+GRAMS = ["quote_containment", "match_catalog"]
 
 
 def plan(spark, name):
@@ -21,6 +23,12 @@ def test_no_python_and_no_cartesian_product(spark, name):
     assert not any(x in text for x in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "MapInArrow", "CartesianProduct"))
 
 
+@pytest.mark.parametrize("name", GRAMS)
+def test_grams_come_in_batches_and_meet_by_keys(spark, name):
+    text = plan(spark, name)
+    assert not any(x in text for x in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "CartesianProduct"))
+
+
 @pytest.mark.parametrize("name", ["keyword_search", "retain_last", "history_window"])
 def test_top_k_is_limited_before_the_shuffle(spark, name):
     assert "WindowGroupLimit" in plan(spark, name)
