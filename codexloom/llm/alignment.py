@@ -50,6 +50,8 @@ FAN = 16
 BLOCK = 1 << 19
 #: Characters of the pieces that a worker keeps.
 CACHE = 5_000_000
+#: Documents that a task gives out at a time.
+ROWS = 512
 #: Characters of documents whose new pieces are aligned together.
 TOGETHER = 1 << 16
 #: Links of one group beyond which equal ids are counted before pairs are formed.
@@ -416,8 +418,12 @@ def align_tokens(docs: DataFrame, a: str, b: str, long: int = LONG, block: int =
 
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            rows = []
-            for text, got in zip(texts, pair.documents(["" if len(t) > long else t for t in texts])):
+            of, rows = [], []
+            for i, (text, got) in enumerate(zip(texts, pair.documents(["" if len(t) > long else t for t in texts]))):
+                if len(rows) >= ROWS:
+                    yield cells(batch, of, rows)
+                    of, rows = [], []
+                of.append(i)
                 if len(text) > long:
                     row += 1
                     rows.append({"_what": "document", "_k": 0, "_block": row})
@@ -434,7 +440,7 @@ def align_tokens(docs: DataFrame, a: str, b: str, long: int = LONG, block: int =
                 if size >= block:
                     yield counted(batch)
                     codes, size, number = [], 0, number + 1
-            yield cells(batch, list(range(len(rows))), rows)
+            yield cells(batch, of, rows)
         if codes:
             yield counted(batch)
 
