@@ -7,17 +7,20 @@ every stage that does not reject it; an empty table stays empty; columns beside
 are dropped by the first stage.
 
 ``run`` drops what the operators staged as soon as a stage is written. Given a place, it keeps the
-written stages there, and a later run takes up after the last one that was finished.
+written stages there, under a name made of the states of its tables and its parameters, and a later run over the same ones takes up after the last stage that was finished.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codexloom.llm import bpe, decontaminate, line_dedup, quality, simhash
 from codexloom.llm.common import n_staged, release, shared_dir, stage, written
+from codexloom.sources import store
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -68,8 +71,18 @@ STAGES = [("quality", keep_quality), ("lines", drop_lines), ("near_copies", keep
 ORACLE_SQL = None
 
 
+#: Raised whenever a stage's code changes what it gives.
+VERSION = 3
+
+
+def _state(spark: SparkSession, sf_dir: str) -> str:
+    """A digest of the tables that the stages read, as they are now, and of what the stages go by."""
+    tables = [store.fingerprint(spark, f"{sf_dir}/{t}.parquet") for t in ("documents", "labels", "benchmark")]
+    return hashlib.sha256(repr((VERSION, tables, quality.THRESHOLD, [name for name, _ in STAGES])).encode()).hexdigest()[:24]
+
+
 def run(spark: SparkSession, sf_dir: str, place: str | None = None) -> DataFrame:
-    docs, place = spark.read.parquet(f"{sf_dir}/documents.parquet"), (place or shared_dir(spark)).rstrip("/")
+    docs, place = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{place.rstrip('/')}/{_state(spark, sf_dir)}" if place else shared_dir(spark)
     for k, (name, apply) in enumerate(STAGES[:-1]):
         path, before = f"{place}/{k}_{name}", n_staged()
         if not written(path):
