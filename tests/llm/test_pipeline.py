@@ -103,3 +103,13 @@ def test_release_drops_what_was_staged(spark):
     common.release(spark, before)
     assert common.n_staged() == before and not spark.catalog.tableExists(table) and not os.path.exists(path.removeprefix("file://"))
     assert first.count() == 7
+
+
+def test_stages_of_other_tables_are_not_taken_up(spark, tmp_path):
+    """Kept stages lie under the state of the tables, so a table that is written anew has stages of its own."""
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    before = P._state(spark, str(tmp_path))
+    assert before == P._state(spark, str(tmp_path)) != P._state(spark, SF)
+    spark.read.parquet(f"{SF}/labels.parquet").limit(5).coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+    assert P._state(spark, str(tmp_path)) != before
