@@ -108,9 +108,10 @@ def chunk_spans(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
     """chunks with block_ids, primary_block_id, lo, hi and first_char: a sorted lookup inside each section.
 
     Positions count in the section's window; a position on the line break between blocks belongs to
-    the earlier one. A section's chunks and its blocks are one row each, which meet once.
+    the earlier one. A section's chunks and its blocks are one row each, which meet once. Short ids of
+    sections can be equal; where both frames have a doc_id, it tells them apart.
     """
-    keys = ["book_id", "section_id"]
+    keys = ["book_id", "section_id", *["doc_id"] * ("doc_id" in chunks.columns and "doc_id" in blocks.columns)]
     b = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("order_idx", "start_off", "block_id"))).alias("_b"))
     c = chunks.groupBy(*keys).agg(F.collect_list(F.struct(*[n for n in chunks.columns if n not in keys])).alias("_c"))
     j = c.join(b, keys).withColumn("_at", F.transform("_b", lambda x: x["start_off"] - F.get("_b", F.lit(0))["start_off"]))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codexloom.operators import attribution as A
+from codexloom.operators import chunks as K
 from codexloom.plans import corpus_queries as Q
 from codexloom.plans import sqlviews as V
 from codexloom.plans.base import query
@@ -122,10 +123,11 @@ i AS (SELECT book_id, chunk_id AS node_id FROM spans UNION ALL SELECT DISTINCT b
 SELECT i.book_id, i.node_id, CASE WHEN lv > 0 THEN 'raptor' WHEN lv = 0 THEN 'raw' END AS layer, coalesce(len(own), 0) AS n_blocks, p AS primary_block_id, b.section_id, substr(n.text, 1, 280) AS snippet, p IS NOT NULL AS resolved
 FROM i LEFT JOIN n ON i.book_id = n.book_id AND i.node_id = n.node_id LEFT JOIN blocks_x b ON b.book_id = i.book_id AND b.block_id = p""")
 def resolve_citations(spark, sf):
-    spans, b = Q.spans_of(spark, sf), S.blocks(spark, sf)
+    b = S.blocks(spark, sf)
+    spans = K.chunk_spans(S.fixed_chunks(b), b)
     top = F.concat(lit("raptor_l1_"), "section_id")
     cov = b.select("book_id", top.alias("node_id"), "block_id")
-    tops = b.select("book_id", top.alias("node_id"), "doc_id").distinct()
+    tops = b.select("book_id", top.alias("node_id")).distinct()
     nodes = spans.select("book_id", col("chunk_id").alias("node_id"), lit(0).alias("raptor_level"), "text", "block_ids", "primary_block_id").unionByName(
         tops.select("book_id", "node_id", lit(1).alias("raptor_level"), lit("summary").alias("text"), lit(None).cast("array<string>").alias("block_ids"), lit(None).cast("string").alias("primary_block_id")))
     ids = spans.select("book_id", col("chunk_id").alias("node_id")).unionByName(tops.select("book_id", "node_id")).unionByName(

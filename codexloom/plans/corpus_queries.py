@@ -310,20 +310,22 @@ def chunk_blocks(spark, sf):
 def chunk_cover_check(spark, sf):
     b = S.blocks(spark, sf)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order_idx", "text"))), lambda x: x["text"]), "\n")
-    wins = b.groupBy("book_id", "section_id").agg(text.alias("win"))
-    spans = K.chunk_blocks(b).groupBy("book_id", "section_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("s"), F.collect_list("text").alias("texts"))
-    j = wins.join(spans, ["book_id", "section_id"], "left")
+    # two sections of a book can have one short id, so windows meet their chunks by their first blocks
+    wins = b.groupBy("book_id", "section_id", "doc_id").agg(text.alias("win"), F.min("order_idx").alias("window"))
+    spans = K.chunk_blocks(b).groupBy("book_id", "window").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("s"), F.collect_list("text").alias("texts"))
+    j = wins.join(spans, ["book_id", "window"], "left")
     # what lies between the pieces and around them is blank, and every piece is a part of the window
     gap = F.aggregate("s", F.struct(lit(0).alias("at"), lit("").alias("out")), lambda a, x: F.struct(
         F.greatest(a["at"], x["stop"]).alias("at"), F.concat(a["out"], F.when(x["start"] > a["at"], F.substring("win", a["at"] + 1, x["start"] - a["at"])).otherwise(lit(""))).alias("out")))
     j = j.withColumn("g", gap).withColumn("left", F.concat(col("g.out"), F.substring(col("win"), col("g.at") + 1, F.length("win"))))
-    return j.groupBy("book_id").agg(F.count(lit(1)).alias("n_windows"), F.count_if(F.coalesce(col("left").rlike(r"\S"), lit(True))).alias("n_uncovered"),
+    return j.groupBy("book_id").agg(F.countDistinct("section_id").alias("n_windows"), F.count_if(F.coalesce(col("left").rlike(r"\S"), lit(True))).alias("n_uncovered"),
                                     F.count_if(~F.forall("texts", lambda t: F.contains(col("win"), t))).alias("n_mixed"))
 
 
 def spans_of(spark, sf):
-    b = S.blocks(spark, sf)
-    return K.chunk_spans(S.fixed_chunks(b), b)
+    """The spans of chunks; no text is moved for them."""
+    b = S.blocks(spark, sf).select("book_id", "section_id", "doc_id", "order_idx", "start_off", "end_off", "block_id")
+    return K.chunk_spans(S.chunk_ranges(b), b)
 
 
 @query(f"""WITH {V.SPANS} SELECT book_id, section_id, chunk_id, chunk_ord, start, stop, array_to_string(block_ids, ',') AS block_ids, lo, hi, primary_block_id, first_char FROM spans""")

@@ -127,7 +127,7 @@ def chapter_lookup(spark, sf):
 
 
 def _nodes(spark, sf):
-    c = S.fixed_chunks(S.blocks(spark, sf)).select("book_id", "section_id", "doc_id", "chunk_id", lit(0).alias("raptor_level"), "chunk_ord")
+    c = S.chunk_ranges(S.blocks(spark, sf)).select("book_id", "section_id", "doc_id", "chunk_id", lit(0).alias("raptor_level"), "chunk_ord")
     top = c.groupBy("book_id", "section_id", "doc_id").agg(F.min("chunk_ord").alias("chunk_ord")).select(
         "book_id", "section_id", "doc_id", F.concat(lit("raptor_l1_"), col("section_id")).alias("chunk_id"), lit(1).alias("raptor_level"), "chunk_ord")
     return c.unionByName(top)
@@ -170,14 +170,14 @@ u AS (SELECT doc_id AS query_id, book_id, section_id, chunk_id, 0 AS raptor_leve
 SELECT query_id, book_id, section_id, chunk_id, raptor_level, row_number() OVER (PARTITION BY query_id ORDER BY p, chunk_ord) AS rank FROM u""")
 def chapter_docs(spark, sf):
     nodes = _nodes(spark, sf)
-    rq = nodes.where("raptor_level = 1").select(col("doc_id").alias("query_id"), "book_id", "section_id")
-    return R.chapter_docs(rq, nodes.drop("doc_id")).withColumn("rank", col("rank").cast("long"))
+    rq = nodes.where("raptor_level = 1").select(col("doc_id").alias("query_id"), "book_id", "section_id", "doc_id")
+    return R.chapter_docs(rq, nodes).withColumn("rank", col("rank").cast("long"))
 
 
 @query(f"""WITH {V.CHUNKS}, c AS (SELECT book_id, chunk_id, chunk_ord, row_number() OVER (PARTITION BY book_id ORDER BY chunk_ord) - 1 AS i, count(*) OVER (PARTITION BY book_id) AS n FROM chunks_x)
 SELECT book_id, chunk_id, chunk_ord FROM c WHERE n <= 8 OR list_contains(list_transform(range(8), lambda j: round_even(j * (n - 1) / 7.0, 0)::BIGINT), i)""")
 def stride_sample(spark, sf):
-    return R.stride_sample(S.fixed_chunks(S.blocks(spark, sf)), ["book_id"], "chunk_ord", 8).select("book_id", "chunk_id", "chunk_ord")
+    return R.stride_sample(S.chunk_ranges(S.blocks(spark, sf)), ["book_id"], "chunk_ord", 8).select("book_id", "chunk_id", "chunk_ord")
 
 
 @query(f"""WITH {V.BLOCK_CHUNK}, s AS (SELECT *, greatest(lo - 1, 0) AS f, hi - lo + 2 AS len FROM spans),

@@ -108,7 +108,7 @@ i AS (SELECT book_id, CASE chunk_ord % 4 WHEN 0 THEN ' ' || chunk_id || ' ' WHEN
 k AS (SELECT book_id, raw, CASE WHEN trim(raw) LIKE 'raptor_l%' OR trim(raw) LIKE 'chk_%' THEN trim(raw) ELSE 'chk_' || trim(raw) END AS node_id FROM i)
 SELECT k.book_id, k.raw, k.node_id, raptor_level, section_id FROM k LEFT JOIN n ON k.book_id = n.book_id AND k.node_id = n.node_id""")
 def lookup_nodes(spark, sf):
-    c = S.fixed_chunks(S.blocks(spark, sf))
+    c = S.chunk_ranges(S.blocks(spark, sf))
     top = F.concat(lit("raptor_l1_"), col("section_id"))
     nodes = c.select("book_id", col("chunk_id").alias("node_id"), lit(0).alias("raptor_level"), "section_id").unionByName(
         c.select("book_id", top.alias("node_id"), lit(1).alias("raptor_level"), "section_id").distinct())
