@@ -6,8 +6,14 @@ lines are kept as variants, whose fields have types of their own.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from codexloom.operators.scans import before_ranges
+from codexloom.sources.store import stage
 
 #: Values that a quantile sketch keeps; up to so many it is exact, beyond its rank error is about 1.7 divided by their number.
 SKETCH = 4096
@@ -73,3 +79,20 @@ def latency(sketches: DataFrame, *keys: str, percentiles: tuple[float, ...] = (0
     g = sketches.groupBy(*keys).agg(F.sum("n_requests").alias("n_requests"), F.sum("n_failed").alias("n_failed"), F.kll_merge_agg_double("sketch").alias("_s"))
     some = F.kll_sketch_get_n_double("_s") > 0
     return g.select(*keys, "n_requests", "n_failed", *[F.when(some, F.kll_sketch_get_quantile_double("_s", F.lit(p))).alias(f"p{p * 100:g}") for p in percentiles])
+
+
+def exact_latency(requests: DataFrame, *keys: str, percentiles: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """What ``latency`` estimates, exactly: the p-th percentile is the least took_ms that at least the share p of the key's known ones do not exceed.
+
+    Equal values are counted first. Sorted ranges of the counts are summed apart and carried from range to range, so no task holds a key's values.
+    """
+    totals = requests.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_requests"), F.count_if(F.col("status") >= 500).alias("n_failed"), F.count("took_ms").alias("_known"))
+    values = requests.where("took_ms is not null").groupBy(*keys, "took_ms").agg(F.count(F.lit(1)).alias("_n"))
+    n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = stage(values.repartitionByRange(n, *keys, "took_ms").withColumn("_range", F.spark_partition_id()))
+    first = before_ranges(held.groupBy(*keys, "_range").agg(F.sum("_n").alias("_sum")), list(keys), "_range", _before=F.sum("_sum"))
+    w = Window.partitionBy(*keys, "_range").orderBy("took_ms").rowsBetween(Window.unboundedPreceding, 0)
+    upto = held.withColumn("_upto", F.sum("_n").over(w)).join(first, [*keys, "_range"]).withColumn("_upto", F.col("_upto") + F.coalesce("_before", F.lit(0)))
+    place = lambda p: F.greatest(F.ceil(F.col("_known") * F.lit(Decimal(str(p)))), F.lit(1))
+    found = upto.join(totals.select(*keys, "_known"), [*keys]).groupBy(*keys).agg(*[F.min(F.when(F.col("_upto") >= place(p), F.col("took_ms"))).alias(f"p{p * 100:g}") for p in percentiles])
+    return totals.drop("_known").join(found, [*keys], "left")

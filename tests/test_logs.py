@@ -39,3 +39,10 @@ def test_merged_sketches_give_the_percentiles_of_all(spark):
     big = spark.range(200_000).selectExpr("'p' AS path", "id % 24 AS hour", "double(id) AS took_ms", "200 AS status")
     p95 = logs.latency(logs.latency_sketches(big, "path", "hour"), "path").first()["p95"]
     assert abs(p95 - 190_000) < 0.01 * 200_000
+
+
+def test_exact_percentiles_of_more_values_than_a_sketch_holds(spark):
+    rows = [("a", float(i * 7 % 20_011), 200) for i in range(20_011)] + [("b", None, 500), ("c", 3.0, 200), ("c", None, 500), ("c", 9.0, 200)]
+    requests = spark.createDataFrame(rows, "path string, took_ms double, status int").repartition(7)
+    got = {r["path"]: tuple(r)[1:] for r in logs.exact_latency(requests, "path").collect()}
+    assert got == {"a": (20_011, 0, 10_005.0, 19_010.0, 19_810.0), "b": (1, 1, None, None, None), "c": (3, 1, 3.0, 9.0, 9.0)}
