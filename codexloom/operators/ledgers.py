@@ -135,9 +135,9 @@ def match_catalog(wanted: DataFrame, volumes: DataFrame) -> DataFrame:
 
     No pair of a pick and an arbitrary volume is formed. Volumes of one title are first reduced to their best, alone and for
     each word of an author's name, so a title is one candidate however many volumes bear it. A volume
-    that shares no word with the pick cannot beat the best of all volumes, nor one that shares a single word
-    the best volume with that word, which are known from one row per word. For more common words the pick's words are
-    taken in order of rarity: those beyond which even a volume with all words left could not reach the best score so far are not looked up, and never the most frequent one. Substrings are joined by
+    that shares no word with the pick cannot beat the best of all volumes, nor one that shares one or two words
+    the best volume with that word or those two, which are known from one row per word or pair. Volumes with more common words are
+    looked up by the two rarest of them, not by one: pairs beyond which even a volume with all words left could not reach the best score so far are left out, and those with the most frequent word. Substrings are joined by
     their hashes (titles inside the pick's) and by rarest grams (the pick's inside titles), where they can still win.
     """
     base = F.when(F.concat_ws(" ", "title", "subtitle", "publisher").rlike(KNOCK_OFF), OFF).otherwise(0) + F.when(F.coalesce(F.trim("description"), F.lit("")) != "", DESCRIBED).otherwise(0.0)
@@ -165,7 +165,17 @@ def match_catalog(wanted: DataFrame, volumes: DataFrame) -> DataFrame:
     counts = posted.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     rank = Window.partitionBy("pick_id").orderBy("n", "w")
     ranked = stage(asked.join(counts, "w").select("pick_id", "w", F.row_number().over(rank).alias("r"), F.count(F.lit(1)).over(Window.partitionBy("pick_id")).alias("of")))
-    # the best of all, of a name, of a word, of a word and a name
+    # words of picks and titles in pairs, each pair in the order of the alphabet
+    pair = lambda x, y: F.struct(F.least(x, y).alias("u"), F.greatest(x, y).alias("v"))
+    two_of = lambda c, make: F.flatten(F.transform(c, lambda x, i: F.transform(F.slice(c, i + 2, F.size(c)), lambda y: make(x, y))))
+    in_rank = F.array_sort(F.collect_list(F.struct("r", "w")))
+    paired = ranked.groupBy("pick_id", "of").agg(in_rank.alias("_w")).select("pick_id", "of", F.explode(two_of(F.col("_w"), lambda x, y: F.struct(
+        x["r"].alias("ra"), y["r"].alias("rb"), pair(x["w"], y["w"]).alias("uv")))).alias("_x")).select("pick_id", "of", "_x.*")
+    paired = stage(paired.select("pick_id", "of", "ra", "rb", "uv.u", "uv.v"))
+    own = posted.groupBy("b").agg(F.first("top").alias("top"), F.sort_array(F.collect_list("w")).alias("_w")).where(F.size("_w") > 1)
+    posted_pairs = own.select("b", "top", F.explode(two_of(F.col("_w"), pair)).alias("_x")).select("b", "top", "_x.*")
+    posted_pairs = stage(posted_pairs.join(paired.select("u", "v").distinct(), ["u", "v"], "left_semi").select("b", "top", "u", "v"))
+    # the best of all, of a name, of a word, of a word and a name, of a pair, of a pair and a name
     x = F.col("top.base").alias("base"), F.col("top.no").alias("no"), F.col("top.b").alias("b")
     b_of = lambda df, *keys: df.groupBy(*keys).agg(F.max(F.struct(*x)).alias("m")).select(*keys, F.col("m.b").alias("b"))
     names = p.select("pick_id", F.explode("names").alias("name"))
@@ -175,16 +185,17 @@ def match_catalog(wanted: DataFrame, volumes: DataFrame) -> DataFrame:
     first = (p.select("pick_id").crossJoin(F.broadcast(overall)).unionByName(p.where("a <> ''").select("pick_id", F.col("a").alias("b")))
              .unionByName(p.where("a <> ''").select("pick_id", F.lit("").alias("b"))).unionByName(names.join(b_of(named, "name"), "name").select("pick_id", "b"))
              .unionByName(asked.join(by_word, "w").select("pick_id", "b")).unionByName(asked.select("pick_id", "w", F.explode("names").alias("name")).join(both, ["w", "name"]).select("pick_id", "b"))
-             .unionByName(ranked.where("r = 1 and of > 1").join(posted, "w").select("pick_id", "b")))
+             .unionByName(paired.join(b_of(posted_pairs, "u", "v"), ["u", "v"]).select("pick_id", "b"))
+             .unionByName(paired.join(names, "pick_id").join(b_of(posted_pairs.drop("top").join(named, "b"), "u", "v", "name"), ["u", "v", "name"]).select("pick_id", "b")))
     one = stage(scored(first))
     most = AUTHOR + DESCRIBED
-    # a volume that holds none of the r - 1 rarest words has at most of - r + 1 common words
-    further = ranked.where("r > 1 and r < of").join(one, "pick_id").where((F.col("of") - F.col("r") + 1) * WORD + most >= F.col("best.score"))
+    # a volume whose rarest common word is the ra-th has at most of - ra + 1 common words; of three or more the second rarest is not the most frequent
+    further = paired.where("ra < of - 1 and rb < of").join(one, "pick_id").where((F.col("of") - F.col("ra") + 1) * WORD + most >= F.col("best.score"))
     open_ = p.where("a <> ''").join(one.where(F.col("best.score") <= INSIDE + most).select("pick_id"), "pick_id", "left_semi")
     longest = titles.agg(F.max(F.char_length("b"))).first()[0] or 0
     within = all_windows(open_, "pick_id", "a", longest).join(hashed(titles.where("b <> ''"), "b", "b"), "hash").select("pick_id", "b")
     around = contained(titles.select(F.col("b").alias("hay_id"), F.col("b").alias("hay")), open_.select(F.col("pick_id").alias("needle_id"), F.col("a").alias("needle"))).select(F.col("needle_id").alias("pick_id"), F.col("hay_id").alias("b"))
-    two = scored(further.join(posted, "w").select("pick_id", "b").unionByName(within).unionByName(around))
+    two = scored(further.join(posted_pairs, ["u", "v"]).select("pick_id", "b").unionByName(within).unionByName(around))
     best = one.unionByName(two).groupBy("pick_id").agg(F.max("best").alias("best"))
     return best.select("pick_id", (-F.col("best.no")).alias("volume_id"), "best.score")
 
