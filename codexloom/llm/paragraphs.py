@@ -15,6 +15,12 @@ passage goes whether it is one line or wrapped into many. Of shorter runs it los
 fewer than ``STANDING`` places of the whole corpus, variants counted together; a short line that stands in so many (the name of a licence, a
 salutation) is a standing phrase, no passage, and stays.
 
+``drop_passages`` searches what is left for passages inside longer lines or across line ends. A passage is named by minima of its hashes too: of every ``SPREAD``
+neighbouring windows of ``WINDOW`` words the least is an anchor, so all equal runs of ``MIN_PASSAGE`` words share
+one. An anchor's first place (smallest doc_id, then position) gives the words around it, at most as many as lie before the next anchor, and every other
+place of another line is held against them word by word. The words covered so go where they make runs of ``MIN_PASSAGE`` words or more, counted by
+different shingles, so that one word said over and over is no passage.
+
 Defined cases: a null text stays null, with no paragraphs; lines of fewer words than a shingle are
 never touched and end a run; a run repeated within a document stays once; repeated rows of a doc_id are told apart by
 their row and the earlier one keeps; a null doc_id sorts first; an empty table gives an empty
@@ -24,6 +30,7 @@ column of that name.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexloom.llm.common import ASCII_LOWER, components, pack, partitions, stage, unpack, with_fields
+from codexloom.llm.common import ASCII_LOWER, bucketed, components, pack, partitions, stage, unpack, with_fields
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: From here on a line has a shingle and so a similarity.
@@ -41,6 +48,9 @@ MIN_WORDS = SHINGLE
 MIN_RUN = 20
 #: Places from which on a short copied line counts as a standing phrase.
 STANDING = 5
+#: Words of an anchor and windows of which one is an anchor; together the words of the shortest passage that is sure to hold one.
+WINDOW, SPREAD = 12, 29
+MIN_PASSAGE = WINDOW + SPREAD - 1
 BANDS, ROWS = 12, 4
 #: Larger buckets are split by finer bands, which a pair at 0.8 shares with a probability of 0.999.
 BUCKET, FINE_BANDS, FINE_ROWS = 1024, 40, 8
@@ -48,6 +58,7 @@ _CHUNK = 1 << 20
 _RNG = np.random.default_rng(42)
 _A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -336,8 +347,123 @@ def long_runs(lines: list[bytes], copies: set[int], min_run: int = MIN_RUN, rare
     return out
 
 
-def drop_near_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = MIN_RUN, standing: int = STANDING) -> DataFrame:
-    """docs without their runs of near-duplicate paragraphs, with n_removed, the number of paragraphs removed."""
+def _sliding(x: np.ndarray, n: int, pick: np.ufunc) -> np.ndarray:
+    """The least or largest (by ``pick``) of every n neighbours."""
+    have = 1
+    while have < n:
+        step = min(have, n - have)
+        x, have = pick(x[:-step], x[step:]), have + step
+    return x
+
+
+def anchors(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word, hash) of the anchors in texts of words."""
+    counts = np.fromiter(map(len, texts), np.int64, len(texts))
+    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for words in texts for w in words), np.uint64, int(counts.sum()))
+    if len(h) < MIN_PASSAGE:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    own = np.repeat(np.arange(len(texts)), counts)
+    g = np.zeros(len(h) - WINDOW + 1, np.uint64)
+    for k in range(WINDOW):
+        g = g * _M1 + h[k:len(g) + k]
+    g = _mix(g)
+    least = _sliding(g, SPREAD, np.minimum)
+    # windows of two texts choose nothing
+    least[own[:len(least)] != own[MIN_PASSAGE - 1:]] = 0
+    none = np.zeros(SPREAD - 1, np.uint64)
+    at = np.flatnonzero(g == _sliding(np.concatenate([none, least, none]), SPREAD, np.maximum))
+    # of the places of one window in a repetition of a few words the first will do
+    order = np.lexsort((at, g[at]))
+    again = (g[at][order][1:] == g[at][order][:-1]) & (np.diff(at[order]) <= SPREAD) & (np.diff(own[at][order]) == 0)
+    at = np.delete(at, order[1:][again])
+    return own[at], at - (np.cumsum(counts) - counts)[own[at]], g[at].view(np.int64)
+
+
+def anchor_table(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, _row, pos, at) of all anchors: the line and the word of the text where they begin."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, texts, size = [], [], 0
+            for row, doc, text in zip(batch.column("_row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary())):
+                lines = [line.split() for line in (text.as_py() or b"").translate(ASCII_LOWER).split(b"\n")]
+                if len(words := [w for line in lines for w in line]) >= MIN_PASSAGE:
+                    own.append((doc, row, np.cumsum(list(map(len, lines)))))
+                    texts.append(words)
+                    size += len(words)
+                if size > _CHUNK // 4:
+                    yield _batch(own, texts)
+                    own, texts, size = [], [], 0
+            yield _batch(own, texts)
+
+    def _batch(own: list, texts: list) -> pa.RecordBatch:
+        text, at, key = anchors(texts)
+        doc, row = (pa.array([x[k] for x in own], pa.int64()).take(pa.array(text)) for k in range(2))
+        pos = [np.searchsorted(x[2], at[text == k], "right") for k, x in enumerate(own)]
+        return pa.RecordBatch.from_arrays([pa.array(key), doc, row, pa.array(np.concatenate([*pos, []]).astype(np.int32)), pa.array(at.astype(np.int32))], names=["key", "doc_id", "_row", "pos", "at"])
+
+    return docs.select("_row", "doc_id", "text").mapInArrow(emit, "key long, doc_id long, _row long, pos int, at int")
+
+
+def anchor_words(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(key, left, own, right): the words of the anchors (key, _row, at), and those before and behind them up to where the next anchor must be."""
+    per_doc = firsts.groupBy("_row").agg(F.collect_list(F.struct("at", "key")).alias("want"))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, want in zip(batch.column("text").cast(pa.binary()), batch.column("want").to_pylist()):
+                words = text.as_py().translate(ASCII_LOWER).split()
+                for w in want:
+                    a = w["at"]
+                    out.append((w["key"], *map(b" ".join, (words[max(0, a - SPREAD):a], words[a:a + WINDOW], words[a + WINDOW:a + WINDOW + SPREAD]))))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["key", "left", "own", "right"])
+
+    return docs.select("_row", "text").join(per_doc, "_row").mapInArrow(emit, "key long, left binary, own binary, right binary")
+
+
+def without_passages(text: bytes, found: list[tuple[int, bytes, bytes, bytes]], min_passage: int = MIN_PASSAGE) -> tuple[bytes, int]:
+    """(the text without its passages, how many they are), by the anchors (at, left, own, right) found elsewhere."""
+    words = text.translate(ASCII_LOWER).split()
+    covered = bytearray(len(words))
+    for at, left, own, right in found:
+        own = own.split(b" ")
+        a, z = at, at + len(own)
+        if words[a:z] != own:
+            continue
+        for w in reversed(left.split()):
+            if not a or words[a - 1] != w:
+                break
+            a -= 1
+        for w in right.split():
+            if z == len(words) or words[z] != w:
+                break
+            z += 1
+        covered[a:z] = b"\1" * (z - a)
+    spans, out, n, done = [m.span() for m in _WORD.finditer(text)], [], 0, 0
+    for m in re.finditer(b"\1+", bytes(covered)):
+        a, z = m.span()
+        if len({tuple(words[i:i + SHINGLE]) for i in range(a, z - SHINGLE + 1)}) > min_passage - SHINGLE:
+            # blanks behind a passage go with it, those before it if it ends the text
+            out.append(text[done:spans[a][0]] if z < len(words) else text[done:spans[a - 1][1] if a else 0])
+            done, n = spans[z][0] if z < len(words) else len(text), n + 1
+    return b"".join(out) + text[done:], n
+
+
+def repeated_anchors(docs: DataFrame) -> DataFrame:
+    """(_row, found): the places (at) of anchors that stand in another line before, with the words there; docs need a unique _row."""
+    table = stage(anchor_table(docs), "anchors")
+    place = F.struct("doc_id", "_row", "pos", "at")
+    firsts = table.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("f")).where("n > 1")
+    firsts = stage(firsts.select("key", "f._row", "f.pos", "f.at"), "firsts")
+    later = table.select("key", "_row", "pos", "at").join(firsts.select("key", F.struct("_row", "pos").alias("f")), "key").where("not (_row = f._row and pos = f.pos)")
+    later = stage(later.select("key", "_row", "at"), "later")
+    words = anchor_words(docs, firsts.select("key", "_row", "at").join(later.select("key").distinct(), "key", "left_semi"))
+    return later.join(words, "key").groupBy("_row").agg(F.collect_list(F.struct("at", "left", "own", "right")).alias("_found"))
+
+
+def _without_paragraphs(docs: DataFrame, min_words: int, min_run: int, standing: int) -> DataFrame:
+    """(_row, doc_id, text, _rest, n_removed) of the packed docs, without their runs of near-duplicate paragraphs."""
     packed = stage(pack(docs).withColumn("_row", F.monotonically_increasing_id()), "numbered")
     lost = repeated_paragraphs(packed, min_words).groupBy("_row").agg(F.collect_list("pos").alias("_lost"), F.collect_list(F.when(F.col("n") < standing, F.col("pos"))).alias("_rare"))
 
@@ -349,12 +475,35 @@ def drop_near_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, min_run: i
                 gone = long_runs(lines, set(own or ()), min_run, set(rare or ()))
                 texts.append(b"\n".join(line for i, line in enumerate(lines) if i not in gone) if gone else text)
                 counts.append(len(gone))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string()), batch.column("_rest"), pa.array(counts, pa.int64())],
-                                             names=["doc_id", "text", "_rest", "n_removed"])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string()), batch.column("_rest"), pa.array(counts, pa.int64())],
+                                             names=["_row", "doc_id", "text", "_rest", "n_removed"])
+
+    got = packed.join(lost, "_row", "left").select("_row", "doc_id", "text", "_rest", "_lost", "_rare")
+    return got.mapInArrow(cut, with_fields(packed, ["_row", "doc_id", "text", "_rest"], "n_removed long"))
+
+
+def drop_near_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = MIN_RUN, standing: int = STANDING) -> DataFrame:
+    """docs without their runs of near-duplicate paragraphs, with n_removed, the number of paragraphs removed."""
+    return unpack(_without_paragraphs(docs, min_words, min_run, standing), docs, "n_removed")
+
+
+def drop_passages(docs: DataFrame, min_passage: int = MIN_PASSAGE) -> DataFrame:
+    """``drop_near_paragraphs`` with n_passages, the number of passages in what is left that begin in another line before, and text_without_passages, the text without them too."""
+    # two joins meet the texts by row; they are moved for them once
+    kept = bucketed(_without_paragraphs(docs, MIN_WORDS, MIN_RUN, STANDING), "_row")
+
+    def cut_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, counts = batch.column("text").cast(pa.binary()).to_pylist(), [0] * len(batch)
+            for k, found in enumerate(batch.column("_found").to_pylist()):
+                if found:
+                    texts[k], counts[k] = without_passages(texts[k], [(x["at"], x["left"], x["own"], x["right"]) for x in found], min_passage)
+            own = ["doc_id", "text", "_rest", "n_removed"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, own), pa.array(counts, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], names=[*own, "n_passages", "text_without_passages"])
 
-    got = packed.join(lost, "_row", "left").select("doc_id", "text", "_rest", "_lost", "_rare")
-    return unpack(got.mapInArrow(cut, with_fields(packed, ["doc_id", "text", "_rest"], "n_removed long")), docs, "n_removed")
+    got = kept.join(repeated_anchors(kept), "_row", "left").select("doc_id", "text", "_rest", "n_removed", "_found")
+    return unpack(got.mapInArrow(cut_passages, with_fields(got, ["doc_id", "text", "_rest", "n_removed"], "n_passages long, text_without_passages string")), docs, "n_removed", "n_passages", "text_without_passages")
 
 
 def op3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_near_paragraphs(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return drop_passages(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
