@@ -133,3 +133,13 @@ def block_to_chunk(spans: DataFrame) -> DataFrame:
     """Each block's first chunk: book_id, block_id, chunk_id, chunk_ord."""
     return (spans.select("book_id", "chunk_id", "chunk_ord", F.explode("block_ids").alias("block_id"))
             .groupBy("book_id", "block_id").agg(F.min_by("chunk_id", "chunk_ord").alias("chunk_id"), F.min("chunk_ord").alias("chunk_ord")))
+
+
+def block_words(blocks: DataFrame) -> DataFrame:
+    """(book_id, block_id, token): the different words of each block id, lower-cased and split at blanks.
+
+    Texts meet by their id, which two blocks of a book can share, and are split then: no word is moved.
+    """
+    per = blocks.groupBy("book_id", "block_id").agg(F.array_join(F.collect_list("text"), " ").alias("_texts"))
+    per = per.withColumn("_words", F.array_distinct(F.split(F.lower("_texts"), " ")))
+    return per.select("book_id", "block_id", F.explode("_words").alias("token")).where("token <> ''")

@@ -61,8 +61,7 @@ def replace_book_with_index(spark, sf):
     b = store.stage(S.blocks(spark, sf).select("book_id", "block_id", "order_idx", "text"))
 
     def put(rows, books):
-        words = rows.select("book_id", "block_id", F.explode(F.split(F.lower("text"), " ")).alias("token")).where("token <> ''").distinct()
-        st.replace(books, blocks=rows, postings=words, report=rows.groupBy("book_id").agg(F.count(lit(1)).alias("n_blocks")))
+        st.replace(books, blocks=rows, postings=K.block_words(rows), report=rows.groupBy("book_id").agg(F.count(lit(1)).alias("n_blocks")))
 
     put(b, b.select("book_id"))
     put(b.where("book_id = 'src2' and order_idx < 5"), spark.range(1).select(lit("src2").alias("book_id")))
