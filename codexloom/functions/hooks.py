@@ -57,7 +57,8 @@ def lead_words(texts: list[str | None], limit: int = 200) -> list[str]:
 
 def lead_sentences(text: Column, limit: int = 200) -> Column:
     """The default summary as an expression: the first ``limit`` blank-separated words."""
-    return F.array_join(F.slice(F.filter(F.split(text, r"\s+"), lambda w: w != ""), 1, limit), " ")
+    # a piece may be empty before the first word, and the last one holds the rest of the text
+    return F.array_join(F.slice(F.filter(F.split(text, r"\s+", limit + 2), lambda w: w != ""), 1, limit), " ")
 
 
 def embed(df: DataFrame, text: str, dims: int = 256) -> DataFrame:

@@ -152,19 +152,21 @@ def emit_blocks(drafts: DataFrame) -> DataFrame:
     One virtual line break lies between blocks. Running sums go over sections first and then within
     each, so that no window holds a whole book's lines.
     """
+    # measured before the joins, so that plans which need offsets alone move no text
+    drafts = drafts.withColumn("_size", F.length("text"))
     inside = Window.partitionBy("book_id", "doc_id").orderBy("pos")
-    per = drafts.groupBy("book_id", "doc_id").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.length("text") + 1).alias("_len"))
+    per = drafts.groupBy("book_id", "doc_id").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("_size") + 1).alias("_len"))
     books = Window.partitionBy("book_id").orderBy("doc_id")
     per = per.select("book_id", "doc_id", (F.row_number().over(books) - 1).alias("_ord"),
                      F.coalesce(F.sum("_n").over(books.rowsBetween(*_BEFORE)), F.lit(0)).alias("_first"),
                      F.coalesce(F.sum("_len").over(books.rowsBetween(*_BEFORE)), F.lit(0)).alias("_base"))
     d = drafts.join(per, ["book_id", "doc_id"])
     order = (F.col("_first") + F.row_number().over(inside) - 1).cast("long")
-    start = (F.col("_base") + F.coalesce(F.sum(F.length("text") + 1).over(inside.rowsBetween(*_BEFORE)), F.lit(0))).cast("long")
+    start = (F.col("_base") + F.coalesce(F.sum(F.col("_size") + 1).over(inside.rowsBetween(*_BEFORE)), F.lit(0))).cast("long")
     d = d.withColumn("order_idx", order).withColumn("start_off", start)
     return d.select("book_id", section_id(F.col("book_id"), F.col("_ord")).alias("section_id"), "doc_id", "pos", "order_idx",
                     block_id(F.col("book_id"), F.col("order_idx")).alias("block_id"), "text", "start_off",
-                    (F.col("start_off") + F.length("text")).cast("long").alias("end_off"))
+                    (F.col("start_off") + F.col("_size")).cast("long").alias("end_off"))
 
 
 def assign_sections(blocks: DataFrame, sections: DataFrame, clamp: bool = False, span: int = 1 << 16) -> DataFrame:

@@ -71,6 +71,15 @@ def cluster_inputs(members: DataFrame, level: int, cut: int = 600) -> DataFrame:
     return g.select("book_id", "cluster", name.alias("node_id"), "cluster_size", "chapter", "input")
 
 
+def _of_large_books(nodes: DataFrame, enough: int) -> DataFrame:
+    """The nodes of the books with more than ``enough`` of them; a book's nodes meet its count by (book, salt), not in one task."""
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = nodes.withColumn("_salt", F.pmod(F.xxhash64("node_id"), F.lit(n)))
+    parts = salted.groupBy("book_id", "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    many = parts.groupBy("book_id").agg(F.sum("_n").alias("_n")).where(F.col("_n") > enough)
+    return salted.join(parts.join(many.select("book_id"), "book_id", "left_semi").select("book_id", "_salt"), ["book_id", "_salt"], "left_semi").select(*nodes.columns)
+
+
 def build_tree(nodes: DataFrame, embed, last_level: int = 3, enough: int = 4, chunks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(all nodes, child links): levels above the given level-1 nodes (book_id, node_id, raptor_level, chapter, text).
 
@@ -84,9 +93,9 @@ def build_tree(nodes: DataFrame, embed, last_level: int = 3, enough: int = 4, ch
         level = store.stage(chunks.select(*nodes.columns).join(nodes.select("book_id").distinct(), "book_id", "left_anti").unionByName(nodes))
     for k in range(1 if chunks is not None else 2, last_level + 1):
         big = level.where(F.col("raptor_level") == k - 1)
-        many = big.groupBy("book_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > enough)
-        big = big.join(many.select("book_id"), "book_id", "left_semi")
-        labels = store.stage(cluster_nodes(embed(big, "text")))
+        big = store.stage(_of_large_books(big, enough))
+        # the vectors are made once, by all tasks, and not by every pass of the clustering
+        labels = store.stage(cluster_nodes(store.stage(embed(big, "text").select("book_id", "node_id", "embedding"))))
         made = cluster_inputs(big.join(labels, ["book_id", "node_id"]).withColumn("ord", F.col("node_id")), k)
         link = labels.select("book_id", F.concat(F.lit(f"raptor_l{k}_c"), F.lpad(F.col("cluster").cast("string"), 3, "0")).alias("node_id"), F.col("node_id").alias("child_id"))
         made = store.stage(made.select("book_id", "node_id", F.lit(k).alias("raptor_level"), "chapter", lead_sentences(F.col("input")).alias("text")))

@@ -17,10 +17,12 @@ col, lit = F.col, F.lit
 
 
 def _inputs(spark, sf, budget=24000):
-    c = S.fixed_chunks(S.blocks(spark, sf))
+    b = S.blocks(spark, sf)
+    c = S.fixed_chunks(b)
     secs = S.section_labels(spark, sf).select(col("doc_id"), L.section_kind(col("label")).alias("kind"), L.printed_number(col("label")).alias("printed_number"))
-    ids = c.select("section_id", "doc_id").distinct()
-    return T.section_inputs(c, secs.join(ids, "doc_id").join(c.select("book_id", "doc_id").distinct(), "doc_id").select("book_id", "section_id", "kind", "printed_number"), budget)
+    # every section of blocks has a chunk; here no text is moved
+    ids = b.select("book_id", "section_id", "doc_id").distinct()
+    return T.section_inputs(c, secs.join(ids, "doc_id").select("book_id", "section_id", "kind", "printed_number"), budget)
 
 
 _INPUTS = f"""{Q._NUMBERS}, {V.CHUNKS}, per AS (SELECT book_id, section_id, doc_id, count(*) AS n_chunks, sum(length(text)) AS len FROM chunks_x GROUP BY ALL),

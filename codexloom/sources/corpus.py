@@ -29,11 +29,16 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emit_blocks(lines(spark, sf_dir))
 
 
-def _pieces(w: DataFrame, width: int, *more: Column) -> DataFrame:
-    """Pieces of sections (book_id, section_id, doc_id, len, ...): the chunk order in a book is a running sum over sections, one row each."""
-    w = w.withColumn("n", F.ceil(F.col("len") / width))
+def _numbered(sizes: DataFrame, width: int) -> DataFrame:
+    """Sections (book_id, doc_id, len) with n, the pieces of each, and before, those before it in its book: a running sum over sections, one row each and no text."""
+    sizes = sizes.withColumn("n", F.ceil(F.col("len") / width))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("book_id").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    w = w.withColumn("before", before).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return sizes.withColumn("before", before)
+
+
+def _pieces(w: DataFrame, width: int, *more: Column) -> DataFrame:
+    """Pieces of numbered sections (book_id, section_id, doc_id, len, n, before, ...)."""
+    w = w.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     start = F.col("i") * width
     return w.select("book_id", "section_id", "doc_id", start.alias("start"), F.least(start + width, F.col("len").cast("long")).alias("stop"),
                     *more, (F.col("before") + F.col("i")).cast("long").alias("chunk_ord")).withColumn("chunk_id", chunk_id(F.col("book_id"), F.col("chunk_ord")))
@@ -42,16 +47,19 @@ def _pieces(w: DataFrame, width: int, *more: Column) -> DataFrame:
 def fixed_chunks(blocks: DataFrame, width: int = 800) -> DataFrame:
     """Chunks of a fixed width over each section's window of text: book_id, section_id, doc_id, start, stop, text, chunk_ord, chunk_id.
 
-    A section is what one document gives: the short ids of two sections of a book can be equal. Its text is one row.
+    A section is what one document gives: the short ids of two sections of a book can be equal. Its text is one row, which stays where
+    its document was gathered; only lengths are ordered by book.
     """
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order_idx", "text"))), lambda x: x["text"]), "\n")
     w = blocks.groupBy("book_id", "section_id", "doc_id").agg(text.alias("win"))
-    return _pieces(w.withColumn("len", F.length("win")), width, F.substring("win", (F.col("i") * width + 1).cast("int"), F.lit(width)).alias("text"))
+    sizes = blocks.groupBy("book_id", "doc_id").agg((F.max("end_off") - F.min("start_off")).alias("len"))
+    w = w.join(_numbered(sizes, width), ["book_id", "doc_id"])
+    return _pieces(w, width, F.substring("win", (F.col("i") * width + 1).cast("int"), F.lit(width)).alias("text"))
 
 
 def chunk_ranges(blocks: DataFrame, width: int = 800) -> DataFrame:
     """``fixed_chunks`` without their text, from the blocks' offsets alone."""
-    return _pieces(blocks.groupBy("book_id", "section_id", "doc_id").agg((F.max("end_off") - F.min("start_off")).alias("len")), width)
+    return _pieces(_numbered(blocks.groupBy("book_id", "section_id", "doc_id").agg((F.max("end_off") - F.min("start_off")).alias("len")), width), width)
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
