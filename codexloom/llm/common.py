@@ -106,6 +106,15 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_only(df: DataFrame, since: int, name: str = "stage") -> DataFrame:
+    """``stage``, after which all that was staged before it, from the ``since``-th on, goes; nothing but ``df`` may read that."""
+    kept = stage(df, name)
+    last = _STAGED.pop()
+    release(df.sparkSession, since)
+    _STAGED.append(last)
+    return kept
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

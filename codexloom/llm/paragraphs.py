@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexloom.llm.common import ASCII_LOWER, bucketed, components, pack, partitions, stage, unpack, with_fields
+from codexloom.llm.common import ASCII_LOWER, bucketed, components, n_staged, pack, partitions, stage, stage_only, unpack, with_fields
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: From here on a line has a shingle and so a similarity.
@@ -379,14 +379,25 @@ def anchors(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return own[at], at - (np.cumsum(counts) - counts)[own[at]], g[at].view(np.int64)
 
 
+def _cut(batch: pa.RecordBatch, min_run: int = MIN_RUN) -> tuple[list[bytes | None], list[int]]:
+    """(the texts without their runs of near-duplicate paragraphs, how many paragraphs went) of rows with _lost and _rare, the positions of their copies."""
+    texts, counts = [], []
+    for text, own, rare in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("_lost").to_pylist(), batch.column("_rare").to_pylist()):
+        lines = text.split(b"\n") if own else []
+        gone = long_runs(lines, set(own or ()), min_run, set(rare or ()))
+        texts.append(b"\n".join(line for i, line in enumerate(lines) if i not in gone) if gone else text)
+        counts.append(len(gone))
+    return texts, counts
+
+
 def anchor_table(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, _row, pos, at) of all anchors: the line and the word of the text where they begin."""
+    """(key, doc_id, _row, pos, at) of all anchors in what the cut leaves: the line and the word of the text where they begin."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, texts, size = [], [], 0
-            for row, doc, text in zip(batch.column("_row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary())):
-                lines = [line.split() for line in (text.as_py() or b"").translate(ASCII_LOWER).split(b"\n")]
+            for row, doc, text in zip(batch.column("_row").to_pylist(), batch.column("doc_id").to_pylist(), _cut(batch)[0]):
+                lines = [line.split() for line in (text or b"").translate(ASCII_LOWER).split(b"\n")]
                 if len(words := [w for line in lines for w in line]) >= MIN_PASSAGE:
                     own.append((doc, row, np.cumsum(list(map(len, lines)))))
                     texts.append(words)
@@ -402,7 +413,7 @@ def anchor_table(docs: DataFrame) -> DataFrame:
         pos = [np.searchsorted(x[2], at[text == k], "right") for k, x in enumerate(own)]
         return pa.RecordBatch.from_arrays([pa.array(key), doc, row, pa.array(np.concatenate([*pos, []]).astype(np.int32)), pa.array(at.astype(np.int32))], names=["key", "doc_id", "_row", "pos", "at"])
 
-    return docs.select("_row", "doc_id", "text").mapInArrow(emit, "key long, doc_id long, _row long, pos int, at int")
+    return docs.select("_row", "doc_id", "text", "_lost", "_rare").mapInArrow(emit, "key long, doc_id long, _row long, pos int, at int")
 
 
 def anchor_words(docs: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -412,14 +423,14 @@ def anchor_words(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, want in zip(batch.column("text").cast(pa.binary()), batch.column("want").to_pylist()):
-                words = text.as_py().translate(ASCII_LOWER).split()
+            for text, want in zip(_cut(batch)[0], batch.column("want").to_pylist()):
+                words = text.translate(ASCII_LOWER).split()
                 for w in want:
                     a = w["at"]
                     out.append((w["key"], *map(b" ".join, (words[max(0, a - SPREAD):a], words[a:a + WINDOW], words[a + WINDOW:a + WINDOW + SPREAD]))))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["key", "left", "own", "right"])
 
-    return docs.select("_row", "text").join(per_doc, "_row").mapInArrow(emit, "key long, left binary, own binary, right binary")
+    return docs.select("_row", "text", "_lost", "_rare").join(per_doc, "_row").mapInArrow(emit, "key long, left binary, own binary, right binary")
 
 
 def without_passages(text: bytes, found: list[tuple[int, bytes, bytes, bytes]], min_passage: int = MIN_PASSAGE) -> tuple[bytes, int]:
@@ -451,7 +462,8 @@ def without_passages(text: bytes, found: list[tuple[int, bytes, bytes, bytes]],
 
 
 def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """(_row, found): the places (at) of anchors that stand in another line before, with the words there; docs need a unique _row."""
+    """(_row, _found): the places (at) of anchors that stand in another line before, with the words there; docs are those of ``_with_copies``."""
+    since = n_staged()
     table = stage(anchor_table(docs), "anchors")
     place = F.struct("doc_id", "_row", "pos", "at")
     firsts = table.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("f")).where("n > 1")
@@ -459,50 +471,50 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
     later = table.select("key", "_row", "pos", "at").join(firsts.select("key", F.struct("_row", "pos").alias("f")), "key").where("not (_row = f._row and pos = f.pos)")
     later = stage(later.select("key", "_row", "at"), "later")
     words = anchor_words(docs, firsts.select("key", "_row", "at").join(later.select("key").distinct(), "key", "left_semi"))
-    return later.join(words, "key").groupBy("_row").agg(F.collect_list(F.struct("at", "left", "own", "right")).alias("_found"))
+    return stage_only(later.join(words, "key").groupBy("_row").agg(F.collect_list(F.struct("at", "left", "own", "right")).alias("_found")), since, "found")
 
 
-def _without_paragraphs(docs: DataFrame, min_words: int, min_run: int, standing: int) -> DataFrame:
-    """(_row, doc_id, text, _rest, n_removed) of the packed docs, without their runs of near-duplicate paragraphs."""
-    packed = stage(pack(docs).withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    lost = repeated_paragraphs(packed, min_words).groupBy("_row").agg(F.collect_list("pos").alias("_lost"), F.collect_list(F.when(F.col("n") < standing, F.col("pos"))).alias("_rare"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, counts = [], []
-            for text, own, rare in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("_lost").to_pylist(), batch.column("_rare").to_pylist()):
-                lines = text.split(b"\n") if own else []
-                gone = long_runs(lines, set(own or ()), min_run, set(rare or ()))
-                texts.append(b"\n".join(line for i, line in enumerate(lines) if i not in gone) if gone else text)
-                counts.append(len(gone))
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string()), batch.column("_rest"), pa.array(counts, pa.int64())],
-                                             names=["_row", "doc_id", "text", "_rest", "n_removed"])
+def _with_copies(docs: DataFrame, min_words: int, standing: int) -> DataFrame:
+    """The packed docs with a _row, and _lost and _rare, the positions of their copies and of those in fewer than ``standing`` places.
 
-    got = packed.join(lost, "_row", "left").select("_row", "doc_id", "text", "_rest", "_lost", "_rare")
-    return got.mapInArrow(cut, with_fields(packed, ["_row", "doc_id", "text", "_rest"], "n_removed long"))
+    Every later join meets the texts by row, so they are dealt out by it once; what is cut from them is cut again where they are
+    read. What the search for copies has staged goes as soon as the positions are written.
+    """
+    packed = bucketed(pack(docs).withColumn("_row", F.monotonically_increasing_id()), "_row")
+    since = n_staged()
+    lost = repeated_paragraphs(packed, min_words).groupBy("_row").agg(F.collect_list("pos").alias("_lost"), F.collect_list(F.when(F.col("n") < standing, F.col("pos"))).alias("_rare"))
+    return packed.join(stage_only(lost, since, "lost"), "_row", "left").select("_row", "doc_id", "text", "_rest", "_lost", "_rare")
 
 
 def drop_near_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = MIN_RUN, standing: int = STANDING) -> DataFrame:
     """docs without their runs of near-duplicate paragraphs, with n_removed, the number of paragraphs removed."""
-    return unpack(_without_paragraphs(docs, min_words, min_run, standing), docs, "n_removed")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, counts = _cut(batch, min_run)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string()), batch.column("_rest"), pa.array(counts, pa.int64())], names=["doc_id", "text", "_rest", "n_removed"])
+
+    found = _with_copies(docs, min_words, standing)
+    return unpack(found.mapInArrow(cut, with_fields(found, ["doc_id", "text", "_rest"], "n_removed long")), docs, "n_removed")
 
 
 def drop_passages(docs: DataFrame, min_passage: int = MIN_PASSAGE) -> DataFrame:
     """``drop_near_paragraphs`` with n_passages, the number of passages in what is left that begin in another line before, and text_without_passages, the text without them too."""
-    # two joins meet the texts by row; they are moved for them once
-    kept = bucketed(_without_paragraphs(docs, MIN_WORDS, MIN_RUN, STANDING), "_row")
 
     def cut_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, counts = batch.column("text").cast(pa.binary()).to_pylist(), [0] * len(batch)
+            kept, removed = _cut(batch)
+            texts, counts = list(kept), [0] * len(batch)
             for k, found in enumerate(batch.column("_found").to_pylist()):
                 if found:
                     texts[k], counts[k] = without_passages(texts[k], [(x["at"], x["left"], x["own"], x["right"]) for x in found], min_passage)
-            own = ["doc_id", "text", "_rest", "n_removed"]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, own), pa.array(counts, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], names=[*own, "n_passages", "text_without_passages"])
+            kept, texts = (pa.array(x, pa.binary()).cast(pa.string()) for x in (kept, texts))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), kept, batch.column("_rest"), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), texts],
+                                             names=["doc_id", "text", "_rest", "n_removed", "n_passages", "text_without_passages"])
 
-    got = kept.join(repeated_anchors(kept), "_row", "left").select("doc_id", "text", "_rest", "n_removed", "_found")
-    return unpack(got.mapInArrow(cut_passages, with_fields(got, ["doc_id", "text", "_rest", "n_removed"], "n_passages long, text_without_passages string")), docs, "n_removed", "n_passages", "text_without_passages")
+    copies = _with_copies(docs, MIN_WORDS, STANDING)
+    got = copies.join(repeated_anchors(copies), "_row", "left").select("doc_id", "text", "_rest", "_lost", "_rare", "_found")
+    return unpack(got.mapInArrow(cut_passages, with_fields(got, ["doc_id", "text", "_rest"], "n_removed long, n_passages long, text_without_passages string")), docs, "n_removed", "n_passages", "text_without_passages")
 
 
 def op3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

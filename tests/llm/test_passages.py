@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from codexloom.llm import paragraphs
+from codexloom.llm import common, paragraphs
 
 
 def _words(rng, n, tag):
@@ -47,3 +47,17 @@ def test_edges_of_a_cut():
     assert paragraphs.without_passages(b"a  " + line[:-16], [(6, *own[1:])], 20)[0] == b"a"
     assert paragraphs.without_passages(b" ".join(words[:46]), [own]) == (b"", 1) and paragraphs.without_passages(line, []) == (line, 0)
     assert paragraphs.without_passages(line, [own], 47) == (line, 0) and paragraphs.without_passages(line, [(6, *own[1:])]) == (line, 0)
+
+
+def test_texts_are_written_once_and_steps_leave_nothing_behind(spark):
+    rng = np.random.default_rng(5)
+    line = " ".join(_words(rng, 30, "c"))
+    docs = [(d, "\n".join([" ".join(_words(rng, 50, f"d{d}x")), line if d % 3 == 0 else " ".join(_words(rng, 30, f"e{d}x"))]) if d % 7 else None) for d in range(200)]
+    since = common.n_staged()
+    got = paragraphs.drop_passages(spark.createDataFrame(docs, "doc_id long, text string"))
+    # the texts, the copies' positions and the passages' words; no bands, no anchors, no second copy of the texts
+    left = [path.rsplit("/", 1)[-1] for path, _ in common._STAGED[since:]]
+    assert len(left) == 3 and left[0].startswith("codexloom_") and sum(x.startswith("codexloom_") for x in left) == 1
+    rows = {r["doc_id"]: (r["n_removed"], r["text"]) for r in got.collect()}
+    assert all(rows[d] == ((1, t.split("\n")[0]) if t and d % 3 == 0 and d > 3 else (0, t)) for d, t in docs)
+    common.release(spark, since)
