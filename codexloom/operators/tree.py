@@ -106,7 +106,10 @@ def build_tree(nodes: DataFrame, embed, last_level: int = 3, enough: int = 4, ch
 
 
 def coverage(parents: DataFrame, child_blocks: DataFrame) -> DataFrame:
-    """(book_id, node_id, block_id): a node covers what its children (book_id, node_id, child_id) cover (book_id, child_id, block_id)."""
+    """(book_id, node_id, block_id): a node covers what its children (book_id, node_id, child_id) cover (book_id, child_id, block_id).
+
+    Children of one id are one child, so a child's id is one that no other of its book has.
+    """
     return parents.join(child_blocks, ["book_id", "child_id"]).select("book_id", "node_id", "block_id").distinct()
 
 

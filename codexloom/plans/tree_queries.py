@@ -70,16 +70,12 @@ def build_tree(spark, sf):
     return out
 
 
-def _child_blocks(spark, sf):
-    spans = Q.spans_of(spark, sf)
-    return spans.select("book_id", "chunk_ord", col("chunk_id").alias("child_id"), F.explode("block_ids").alias("block_id"))
-
-
 @query(f"WITH {V.SPANS} SELECT DISTINCT book_id, 'n' || chunk_ord // 4 AS node_id, unnest(block_ids) AS block_id FROM spans")
 def node_coverage(spark, sf):
-    c = _child_blocks(spark, sf)
-    parents = c.select("book_id", F.concat(lit("n"), F.floor(col("chunk_ord") / 4).cast("string")).alias("node_id"), "child_id").distinct()
-    return T.coverage(parents, c.select("book_id", "child_id", "block_id"))
+    # the short ids of two chunks of a book can be equal, their numbers cannot; parents need no spans
+    own = Q.spans_of(spark, sf).select("book_id", col("chunk_ord").alias("child_id"), F.explode("block_ids").alias("block_id"))
+    parents = S.chunk_ranges(S.blocks(spark, sf)).select("book_id", F.concat(lit("n"), F.floor(col("chunk_ord") / 4).cast("string")).alias("node_id"), col("chunk_ord").alias("child_id"))
+    return T.coverage(parents, own)
 
 
 _ROOTS = f"{V.BLOCKS}, roots AS (SELECT book_id, 'root' || doc_id % 4 AS node_id, block_id, section_id, order_idx FROM blocks_x WHERE doc_id % 4 < 3 AND NOT (doc_id % 8 = 1 AND order_idx % 2 = 0))"
