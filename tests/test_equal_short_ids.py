@@ -59,8 +59,9 @@ def test_citations_of_two_sections_of_one_id(spark, place):
     assert {(r["book_id"], r["node_id"].removeprefix("raptor_l1_")): r["n_blocks"] for r in got} == sizes
 
 
-def test_coverage_of_two_chunks_of_one_id(spark, place):
-    # without the book of the two sections of one id, whose spans SQL leaves open
+# without the book of the two sections of one id, whose spans SQL leaves open
+@pytest.mark.parametrize("name", ["block_to_chunk", "chunk_spans", "node_coverage", "node_records", "resolve_citations"])
+def test_same_rows_as_sql_for_two_chunks_of_one_id(spark, place, name):
     mine = lambda df: compare.rows(df[df.book_id != SECTIONS[0]])
-    names, want = compare.by_sql(registry.ORACLES["node_coverage"], place)
-    assert mine(registry.QUERIES["node_coverage"](spark, place).toPandas()) == mine(pd.DataFrame(want, columns=names))
+    names, want = compare.by_sql(registry.ORACLES[name], place)
+    assert mine(registry.QUERIES[name](spark, place).toPandas()) == mine(pd.DataFrame(want, columns=names))
